@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrymill.llm.encoding import decode_cells
+from quarrymill.llm.residue import find_residue
 from quarrymill.session import table
 
 PC = "enriched_pc_hardware_database"
@@ -21,5 +22,19 @@ def p3_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_cells(table(spark, sf_dir, "sample_chemicals"), ["品名", "备注"]).drop("restored")
 
 
-QUERIES = {"p3_found": p3_found, "p3_guesses": p3_guesses}
+def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = find_residue(table(spark, sf_dir, PC), PC, ["specifications"])
+    return parts.unionByName(find_residue(table(spark, sf_dir, HERBS), HERBS, ["function_effects", "modern_medical_evidence"]))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _residue(spark, sf_dir).drop("kind")
+
+
+def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cells of each field are residue of each kind."""
+    return _residue(spark, sf_dir).groupBy("table_name", "field_name", "kind").count()
+
+
+QUERIES = {"p3_found": p3_found, "p3_guesses": p3_guesses, "p5_found": p5_found, "p5_kinds": p5_kinds}
 ORACLE: dict[str, str] = {}
