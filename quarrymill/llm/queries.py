@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrymill.llm.encoding import decode_cells
+from quarrymill.llm.mixing import mix_documents, predict_sources
 from quarrymill.llm.residue import find_residue
+from quarrymill.llm.tokens import encode_documents
 from quarrymill.session import table
 
 PC = "enriched_pc_hardware_database"
@@ -36,5 +38,34 @@ def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _residue(spark, sf_dir).groupBy("table_name", "field_name", "kind").count()
 
 
-QUERIES = {"p3_found": p3_found, "p3_guesses": p3_guesses, "p5_found": p5_found, "p5_kinds": p5_kinds}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each drawn document is used."""
+    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share each source reaches, beside its target."""
+    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p8_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest source of every document without one."""
+    domains = [r["source"] for r in table(spark, sf_dir, "mix_targets").where("source is not null").orderBy("source").collect()]
+    return predict_sources(table(spark, sf_dir, "documents"), domains).drop("posterior")
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_guesses": p3_guesses,
+    "p5_found": p5_found,
+    "p5_kinds": p5_kinds,
+    "p7_ids": p7_ids,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p8_unlabelled": p8_unlabelled,
+}
 ORACLE: dict[str, str] = {}
