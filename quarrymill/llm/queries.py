@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarrymill.llm.encoding import decode_cells
 from quarrymill.llm.mixing import mix_documents, predict_sources
 from quarrymill.llm.residue import find_residue
+from quarrymill.llm.subjects import assign_subjects, train_subjects
 from quarrymill.llm.tokens import encode_documents
 from quarrymill.session import table
 
@@ -58,6 +59,17 @@ def p8_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_sources(table(spark, sf_dir, "documents"), domains).drop("posterior")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = train_subjects(documents, table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subject_areas"))
+    return assign_subjects(documents, model)
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The make-up of the corpus: documents per subject."""
+    return p9_found(spark, sf_dir).groupBy("subject").count()
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_guesses": p3_guesses,
@@ -67,5 +79,7 @@ QUERIES = {
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
     "p8_unlabelled": p8_unlabelled,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
 }
 ORACLE: dict[str, str] = {}
