@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrymill.llm.canonical import map_to_reference
 from quarrymill.llm.encoding import decode_cells
 from quarrymill.llm.mixing import mix_documents, predict_sources
 from quarrymill.llm.residue import find_residue
@@ -25,6 +26,17 @@ def p3_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_cells(table(spark, sf_dir, "sample_chemicals"), ["品名", "备注"]).drop("restored")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pc = (table(spark, sf_dir, PC), PC, ["manufacturer", "component_type"])
+    hardware = (table(spark, sf_dir, HARDWARE), HARDWARE, ["category"])
+    return map_to_reference([pc, hardware], table(spark, sf_dir, "reference_items"))
+
+
+def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that stand for no entry, counted by field."""
+    return p4_found(spark, sf_dir).where("ref_id = -1").groupBy("table_name", "field_name").count()
+
+
 def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = find_residue(table(spark, sf_dir, PC), PC, ["specifications"])
     return parts.unionByName(find_residue(table(spark, sf_dir, HERBS), HERBS, ["function_effects", "modern_medical_evidence"]))
@@ -73,6 +85,8 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_guesses": p3_guesses,
+    "p4_found": p4_found,
+    "p4_unmatched": p4_unmatched,
     "p5_found": p5_found,
     "p5_kinds": p5_kinds,
     "p7_ids": p7_ids,
