@@ -55,6 +55,8 @@ class Frequencies:
 
     def __post_init__(self) -> None:
         self.total = max(1, sum(self.single.values()))
+        self.logs = {c: math.log(n / self.total + 1e-9) for c, n in self.single.items()}
+        self.unseen = math.log(1e-9)
 
     def log_p(self, before: str, char: str) -> float:
         n = self.single.get(char, 0)
@@ -67,7 +69,7 @@ class Frequencies:
             mixed = (a + b) & 0xFFFFFFFFFFFFFFFF
             pair = int(self.pairs[(mixed ^ (mixed >> 15)) % PAIR_SLOTS])
             follows = min(pair, n, m) / m
-        return math.log(n / self.total + 1e-9) + 0.5 * math.log((0.05 + follows) / 1.05)
+        return self.logs.get(char, self.unseen) + 0.5 * math.log((0.05 + follows) / 1.05)
 
 
 def corpus_frequencies(df: DataFrame, fields: Sequence[str]) -> Frequencies:
@@ -152,26 +154,63 @@ class Decoder:
         self.frequencies, self.rounds = frequencies, rounds
         self.cache: dict[tuple[str, str], bytes | None] = {}
         self.masks: dict[str, dict[tuple, list[str]]] | None = None
+        self.memo: dict[str, tuple[bool, str, str]] = {}
         single = frequencies.single
+        self.latin = re.compile("[\u0080-ÿŒœŠšŸŽžƒˆ˜–-›€™][\u0040-ÿŒœŠšŸŽžƒˆ˜–-›€™]")
+        self.three = re.compile(rb"[\xe2-\xe9\xef][\x80-\xbf]{2}")
         # A Western letter and the ASCII letter after it, read as one double-byte character.
-        self.rare = re.compile(rb"[A-Za-z ][\xc0-\xff][a-z]")
-        # Characters that a Chinese double-byte channel turns into much more frequent ones.
-        self.doubtful = {c for c, n in single.items() if ord(c) > 0xFF and self._likelier(c, n)}
-        self.latin = re.compile("[\u0080-ÿŒœŠšŸŽžƒˆ˜–-›€™]")
-        self.utf8 = re.compile(rb"(?:[\xe2-\xe9\xef][\x80-\xbf]{2}|[\xc2-\xc6\xce\xcf][\x80-\xbf])")
-
-    def _likelier(self, char: str, n: int) -> bool:
-        data = self._encoded(char, "big5")
+        self.western = re.compile(rb"(?:^|[A-Za-z ])[\xc0-\xff][a-z]")
+        # Characters that a double-byte channel turns into much more frequent ones.
+        single = frequencies.single
+        self.turned = {
+            (read_as, written_in): {c for c, n in single.items() if ord(c) > 0xFF and self._likelier(c, n, read_as, written_in)}
+            for read_as, written_in in (("big5", "gbk"), ("big5", "utf-8"), ("gbk", "utf-8"))
+        }
+
+    def _likelier(self, char: str, n: int, read_as: str, written_in: str) -> bool:
+        data = self._encoded(char, read_as)
         if not data or len(data) < 2:
             return False
-        for target in ("gbk", "utf-8"):
-            try:
-                other = data.decode(target)
-            except UnicodeDecodeError:
-                continue
-            if self.frequencies.single.get(other[0], 0) > 2 * n:
-                return True
-        return False
+        try:
+            return self.frequencies.single.get(data.decode(written_in)[0], 0) > 2 * n
+        except UnicodeDecodeError:
+            return False
+
+    def channels(self, cell: str) -> list[tuple]:
+        """The channels that may have damaged the cell: a cheap test of each; none for most clean cells."""
+        if cell.isascii():
+            return []
+        lost = LOST in cell or "锟" in cell
+        single = self.frequencies.single
+        found = set()
+        pairs = self.latin.findall(cell)
+        if pairs:
+            if peel(cell) != cell:
+                found.add("utf8-as-latin")
+            for i in range(len(cell) - 1):
+                a, b = LATIN.get(cell[i]), LATIN.get(cell[i + 1])
+                if a and b and a[0] > 0x80 and b[0] >= 0x40:
+                    try:
+                        known = single.get((a + b).decode("gbk"), 0)
+                    except UnicodeDecodeError:
+                        continue
+                    if known:
+                        found.add("gbk-as-latin")
+                        break
+        if any(c > "\u00ff" for c in cell):
+            as_gbk = b"".join(self._encoded(c, "gbk") or b"\x00" for c in cell)
+            if lost or self.three.search(as_gbk) or not self.turned["gbk", "utf-8"].isdisjoint(cell):
+                found.add("utf8-as-gbk")
+            if self.western.search(as_gbk):
+                found.add("latin-as-gbk")
+            if not self.turned["big5", "gbk"].isdisjoint(cell):
+                found.add("gbk-as-big5")
+            as_big5 = b"".join(self._encoded(c, "big5") or b"\x00" for c in cell)
+            if self.three.search(as_big5) or not self.turned["big5", "utf-8"].isdisjoint(cell):
+                found.add("utf8-as-big5")
+        if lost:
+            found.add("gbk-as-utf8")
+        return [c for c in CHANNELS if c[0] in found]
 
     def _encoded(self, char: str, encoding: str) -> bytes | None:
         key = (char, encoding)
@@ -233,11 +272,11 @@ class Decoder:
                     found.append((size, char))
         return found
 
-    def best(self, cell: str) -> tuple[str, bool, float]:
+    def best(self, cell: str, channels: Sequence[tuple]) -> tuple[str, bool, float]:
         """The best reading of the cell in one round, whether it uses a channel, and its score."""
         log_p, n = self.frequencies.log_p, len(cell)
         streams = []
-        for _, read_as, written_in, cost in CHANNELS:
+        for _, read_as, written_in, cost in channels:
             data: list = []
             starts = []
             high = False
@@ -300,17 +339,27 @@ class Decoder:
 
     def decode(self, cell: str) -> tuple[bool, str, str]:
         """``(garbled, restored, guess)``; restored is empty if bytes were lost, guess is the best reading."""
-        if not self.suspicious(cell):
-            return False, "", cell
+        known = self.memo.get(cell)
+        if known is None:
+            known = self._decode(cell)
+            if len(self.memo) > 100_000:
+                self.memo.clear()
+            self.memo[cell] = known
+        return known
+
+    def _decode(self, cell: str) -> tuple[bool, str, str]:
         lost = LOST in cell or "锟" in cell
         text = cell
         garbled = lost
         for _ in range(self.rounds):
-            better, used, score = self.best(text)
+            channels = self.channels(text)
+            if not channels:
+                break
+            better, used, score = self.best(text, channels)
             outer = peel(text)
             if outer != text:
                 # The text may have been misread twice: the lattice of what is below the outer layer.
-                inner, _, below = self.best(outer)
+                inner, _, below = self.best(outer, self.channels(outer))
                 if below - 3.0 > score:
                     better, used = inner, True
             if not used or better == text:
