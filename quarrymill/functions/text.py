@@ -21,3 +21,138 @@ def trim_blanks(text: Column) -> Column:
 def is_no_value(trimmed: Column, tokens: Iterable[str] = tuple(NO_VALUE)) -> Column:
     """True for null and for the tokens that stand for no value; expects trimmed text."""
     return trimmed.isNull() | trimmed.isin(list(tokens))
+
+
+def clean_text(text: Column) -> Column:
+    """Trimmed, runs of blanks as one, without control characters."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " "), r"[\x00-\x1f\x7f]", ""))
+
+
+def collapse_blanks(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
+
+
+def normalize_name(name: Column, prefixes: Iterable[str]) -> Column:
+    """Clean text without grade prefixes, each removed once in order, and with ASCII brackets."""
+    out = clean_text(name)
+    for prefix in prefixes:
+        out = F.regexp_replace(out, f"^{prefix} *", "")
+    return F.regexp_replace(out, r"[（(]([^）)]*)[）)]", "($1)")
+
+
+def fold_synonyms(text: Column, groups: Iterable[Iterable[str]]) -> Column:
+    """Substring replacement by the first of each group, in order, each on the result of the last."""
+    out = text
+    for first, *others in groups:
+        for other in others:
+            out = F.replace(out, F.lit(other), F.lit(first))
+    return out
+
+
+def null_tokens(text: Column, tokens: Iterable[str]) -> Column:
+    """Null where the trimmed text is one of the tokens."""
+    return F.when(~F.trim(text).isin(list(tokens)), text)
+
+
+def clean_node_name(name: Column, connectives: Iterable[str]) -> Column:
+    """Chinese, letters, digits, hyphens and commas only; one longest trailing connective removed."""
+    kept = F.regexp_replace(name, "[^一-龥a-zA-Z0-9,，-]", "")
+    ends = "|".join(sorted(connectives, key=len, reverse=True))
+    return F.regexp_replace(kept, f"(?:{ends})$", "")
+
+
+def clean_name(name: Column, fillers: Iterable[str]) -> Column:
+    """Without bracketed text, fillers (the longest first), numbering and punctuation; blank beyond 2 to 50 characters."""
+    out = F.regexp_replace(F.trim(name), r"[（(][^）)]*[）)]", "")
+    out = F.regexp_replace(out, r"[【\[][^】\]]*[】\]]", "")
+    out = F.regexp_replace(out, "|".join(sorted(fillers, key=lambda w: (-len(w), w))), "")
+    out = F.regexp_replace(out, r"[（()）\[\]【】]", "")
+    out = F.regexp_replace(out, r"^[0-9]+[.、][ \t]*", "")
+    out = F.regexp_replace(out, r"[，,；;：:。. \t\n\r\f]+", "")
+    bad = out.rlike("^[0-9]+$") | out.rlike("^[用于作为通过经过]")
+    return F.when(F.length(out).between(2, 50) & ~bad, out).otherwise("")
+
+
+def clean_name_chinese(name: Column, stop_words: Iterable[str]) -> Column:
+    """Chinese characters and the middle dot only; blank beyond 2 to 20 characters or for a stop word."""
+    out = F.regexp_replace(name, r"[()（）【】\[\]<>《》].*?[()（）【】\[\]<>《》]", "")
+    out = F.regexp_replace(out, "[^一-龥·]", "")
+    return F.when(F.length(out).between(2, 20) & ~out.isin(list(stop_words)), out).otherwise("")
+
+
+def split_list(text: Column, separators: str = "[;；,，、]") -> Column:
+    """Trimmed parts that are not blank."""
+    return F.filter(F.transform(F.split(text, separators), lambda p: F.trim(p)), lambda p: p != "")
+
+
+def split_first_separator(text: Column, separators: Iterable[str]) -> Column:
+    """Split at the first of the separators that the text contains; the whole text if none."""
+    out = F.when(F.trim(text) != "", F.array(F.trim(text))).otherwise(F.array().cast("array<string>"))
+    for s in reversed(list(separators)):
+        parts = F.filter(F.transform(F.split(text, f"[{s}]"), lambda p: F.trim(p)), lambda p: p != "")
+        out = F.when(text.contains(s), parts).otherwise(out)
+    return out
+
+
+def truncate(text: Column, length: int, suffix: str = "...") -> Column:
+    return F.when(F.length(text) > length, F.concat(F.left(text, F.lit(length - len(suffix))), F.lit(suffix))).otherwise(text)
+
+
+def mask_tokens(text: Column, least: int = 20) -> Column:
+    """Every run of at least ``least`` letters and digits keeps four characters at either end."""
+    return F.regexp_replace(text, rf"([A-Za-z0-9]{{4}})[A-Za-z0-9]{{{least - 8},}}([A-Za-z0-9]{{4}})", "$1****$2")
+
+
+def language_class(text: Column) -> Column:
+    """Chinese if any Chinese character occurs, else English if a Latin letter does, else other."""
+    return F.when(text.rlike("[一-鿿]"), "zh").when(text.rlike("[A-Za-z]"), "en").otherwise("other")
+
+
+def clean_answer(value: Column, invalid: Iterable[str]) -> Column:
+    """Null for invalid answers and placeholders in brackets; enclosing quotes removed."""
+    bare = F.regexp_replace(F.trim(value), "^[\"']+|[\"']+$", "")
+    bad = F.lower(bare).isin(list(invalid)) | bare.rlike(r"^<.*>$") | bare.rlike(r"^\[.*\]$")
+    return F.when(~bad, bare)
+
+
+def is_valid_field(value: Column, invalid: Iterable[str]) -> Column:
+    """False for null, texts without information and single digits."""
+    bare = F.trim(value)
+    return F.coalesce(~F.upper(bare).isin(list(invalid)) & ~bare.rlike("^[0-9]$"), F.lit(False))
+
+
+def remove_producers(text: Column) -> Column:
+    """Without clauses that name producers or companies, without semicolons, blanks collapsed."""
+    out = text
+    for word in ("主要生产商", "生产商", "生厂商", "制造商", "生产企业", "制造企业"):
+        out = F.regexp_replace(out, rf"{word}[^。；;，,]*", "")
+    out = F.regexp_replace(out, r"[^。；;，,]*(?:公司|企业|厂|集团)[^。；;，,]*(?:[。；;，,]|$)", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, "[；;]+", ""), r"\s+", " "))
+
+
+def braced_items(text: Column) -> Column:
+    """What stands in braces, split at separators; ordered, distinct, longer than one character."""
+    groups = F.regexp_extract_all(text, F.lit(r"\{([^}]+)\}"), F.lit(1))
+    parts = F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, "[;；、,，]"), lambda p: F.trim(p))))
+    return F.array_distinct(F.filter(parts, lambda p: F.length(p) > 1))
+
+
+def smart_split(text: Column) -> Column:
+    """Names of a list, with the locants of substances kept whole: only commas outside them split."""
+    parts = F.split(text, r"[、;；和与及或等]+|(?<![0-9],?[0-9]{0,2}),|(?<=[0-9]),(?![0-9])")
+    trimmed = F.transform(parts, lambda p: F.regexp_replace(F.trim(p), r"^(?:由|从|以|通过|经过|利用|使用|主要|含有|含)\s*", ""))
+    ends = r"\s*(?:等|类|制得|制备|制成|生产|合成|反应|裂解|氧化|分解|化学品|原料|物质|材料|中提取|为原料|作为溶剂).*$"
+    cut = F.transform(trimmed, lambda p: F.trim(F.regexp_replace(p, ends, "")))
+    return F.filter(cut, lambda p: F.length(p) >= 2)
+
+
+def safe_name(text: Column, length: int = 80) -> Column:
+    """Usable as a file name."""
+    return F.left(F.regexp_replace(text, r'[<>:"/\\|?*\x00-\x1f ]', "_"), F.lit(length))
+
+
+def name_plausible(name: Column, stop_words: Iterable[str], marks: Iterable[str]) -> Column:
+    """Whether a text may be the name of a substance."""
+    fine = F.length(name).between(1, 20) & ~name.isin(list(stop_words))
+    plain = ~name.rlike(r"[0-9%％\-+=*#@$&^~`|\\\"'\[\]<>《》]")
+    return F.coalesce(fine & plain & name.rlike("[" + "".join(marks) + "]"), F.lit(False))

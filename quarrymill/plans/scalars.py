@@ -1,2 +1,392 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries of the scalar functions: text, measures, identifiers, categories, JSON text."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrymill.functions import categories as C
+from quarrymill.functions import identifiers as I
+from quarrymill.functions import json_text as J
+from quarrymill.functions import measures as M
+from quarrymill.functions import text as X
+from quarrymill import vocab as V
+from quarrymill.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+# Texts with measures; the tables of the project hold none of these kinds.
+MEASURES = [
+    "mp 10-15℃, bp 77F", "-114.1°C", "300K to 310K", "20~25°C storage", "77°F", "101.3kPa at 25℃", "1 atm", "760mmHg @ 20°C; 2 bar", "0.5 MPa",
+    "0.789 g/cm³ at 20°C", "789 kg/m³", "1.2 g/mL", "10g/100mL (20℃)", "不溶于水，易溶于乙醇；微溶于乙醚", "任意比例混溶于水。溶于丙酮", "溶于苯,难溶于酸",
+    "LEL: 3.3% UEL 19%", "lel 5 uel:15.5", "LEL:1.2", "no measure", "",
+]
+NOTES = [
+    "吸入可致中毒；对皮肤有刺激；可能致癌", "眼睛接触后冲洗。胎儿可能受损", "低温保存，密闭容器，远离火源，避光", "以石油为原料制备", "遇酸反应分解", "用途广泛", "可转化",
+    "Timeout while reading", "deadlock detected", "connection reset, 502 bad_gateway", "quota exceeded: too_many_requests", "请求超时", "密钥无效", "内容过滤", "ok",
+    "固体，无色透明，密封存储", "",
+]
+
+
+def _values(rows: list[str]) -> str:
+    quoted = ", ".join(f"({i}, '{r.replace(chr(39), chr(39) * 2)}')" for i, r in enumerate(rows))
+    return f"(VALUES {quoted}) AS v(id, text)"
+
+
+def _fixture(spark: SparkSession, rows: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(rows)), "id int, text string")
+
+
+def _scalar(name: str, source: str, key: str, columns: dict[str, tuple[Callable[[], Column], str]]) -> None:
+    """A query that shows expressions of every row of a table beside its key."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, source).select(key, *[make().alias(c) for c, (make, _) in columns.items()])
+
+    QUERIES[name] = run
+    ORACLE[name] = f"SELECT {key}, " + ", ".join(f"{sql} AS {c}" for c, (_, sql) in columns.items()) + f" FROM {source}"
+
+
+def _fixed(name: str, rows: list[str], columns: dict[str, tuple[Callable[[], Column], str]]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _fixture(spark, rows).select("id", *[make().alias(c) for c, (make, _) in columns.items()])
+
+    QUERIES[name] = run
+    ORACLE[name] = "SELECT id, " + ", ".join(f"{sql} AS {c}" for c, (_, sql) in columns.items()) + f" FROM {_values(rows)}"
+
+
+def _in(words: list[str]) -> str:
+    return ", ".join("'" + w + "'" for w in words)
+
+
+_CLEAN = r"trim(regexp_replace(regexp_replace({0}, '[ \t\n\r\f\x0B]+', ' ', 'g'), '[\x00-\x1f\x7f]', '', 'g'))"
+_scalar("clean_text", "documents", "doc_id", {"clean": (lambda: X.clean_text(F.col("text")), _CLEAN.format("text"))})
+_scalar("ws_collapse", "documents", "doc_id", {"flat": (lambda: X.collapse_blanks(F.col("text")), r"trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))")})
+_scalar("truncate", "documents", "doc_id", {"short": (lambda: X.truncate(F.col("text"), 100), "CASE WHEN length(text) > 100 THEN text[1:97] || '...' ELSE text END")})
+_scalar(
+    "lang_class",
+    "documents",
+    "doc_id",
+    {"class": (lambda: X.language_class(F.col("text")), r"CASE WHEN regexp_matches(text, '[\x{4e00}-\x{9fff}]') THEN 'zh' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'other' END")},
+)
+_scalar(
+    "mask_tokens",
+    "documents",
+    "doc_id",
+    {"masked": (lambda: X.mask_tokens(F.col("text")), r"regexp_replace(text, '([A-Za-z0-9]{4})[A-Za-z0-9]{12,}([A-Za-z0-9]{4})', '\1****\2', 'g')")},
+)
+
+
+def _prefixes() -> str:
+    out = _CLEAN.format('"品名"')
+    for p in V.GRADE_PREFIXES:
+        out = f"regexp_replace({out}, '^{p} *', '')"
+    return rf"regexp_replace({out}, '[（(]([^）)]*)[）)]', '(\1)', 'g')"
+
+
+_scalar("normalize_name", "sample_chemicals", "row_id", {"name": (lambda: X.normalize_name(F.col("品名"), V.GRADE_PREFIXES), _prefixes())})
+
+
+def _synonyms(column: str) -> str:
+    for first, *others in V.SYNONYMS:
+        for other in others:
+            column = f"replace({column}, '{other}', '{first}')"
+    return column
+
+
+_fixed("synonym_fold", NOTES, {"folded": (lambda: X.fold_synonyms(F.col("text"), V.SYNONYMS), _synonyms("text"))})
+_ENDS = "|".join(sorted(V.CONNECTIVES, key=len, reverse=True))
+_scalar(
+    "clean_node_name",
+    "hazard_catalog",
+    '序号',
+    {"name": (lambda: X.clean_node_name(F.col("品名"), V.CONNECTIVES), rf"regexp_replace(regexp_replace(品名, '[^\x{{4e00}}-\x{{9fa5}}a-zA-Z0-9,，-]', '', 'g'), '(?:{_ENDS})$', '')")},
+)
+_FILL = "|".join(sorted(V.NAME_FILLERS, key=lambda w: (-len(w), w)))
+_ADV = "trim({0})"
+for _p in (r"[（(][^）)]*[）)]", r"[【\[][^】\]]*[】\]]", _FILL, r"[（()）\[\]【】]"):
+    _ADV = f"regexp_replace({_ADV}, '{_p}', '', 'g')"
+_ADV = rf"regexp_replace({_ADV}, '^[0-9]+[.、][ \t]*', '')"
+_ADV = rf"regexp_replace({_ADV}, '[，,；;：:。. \t\n\r\f]+', '', 'g')".replace("{0}", "品名")
+_scalar(
+    "clean_name_adv",
+    "sample_chemicals",
+    "row_id",
+    {"name": (lambda: X.clean_name(F.col("品名"), V.NAME_FILLERS), f"CASE WHEN length({_ADV}) BETWEEN 2 AND 50 AND NOT regexp_full_match({_ADV}, '[0-9]+') AND NOT regexp_matches({_ADV}, '^[用于作为通过经过]') THEN {_ADV} ELSE '' END")},
+)
+_CJK = r"regexp_replace(regexp_replace(品名, '[()（）【】\[\]<>《》].*?[()（）【】\[\]<>《》]', '', 'g'), '[^\x{4e00}-\x{9fa5}·]', '', 'g')"
+_scalar(
+    "clean_name_cjk",
+    "sample_chemicals",
+    "row_id",
+    {"name": (lambda: X.clean_name_chinese(F.col("品名"), V.NAME_STOP_WORDS), f"CASE WHEN length({_CJK}) BETWEEN 2 AND 20 AND {_CJK} NOT IN ({_in(V.NAME_STOP_WORDS)}) THEN {_CJK} ELSE '' END")},
+)
+_scalar(
+    "split_list",
+    "hazard_catalog",
+    "序号",
+    {"parts": (lambda: F.array_join(X.split_list(F.col("别名")), "|"), "array_to_string(list_filter(list_transform(string_split_regex(别名, '[;；,，、]'), lambda x: trim(x)), lambda x: x <> ''), '|')")},
+)
+_scalar(
+    "split_first_sep",
+    "hazard_catalog",
+    "序号",
+    {
+        "parts": (
+            lambda: F.array_join(X.split_first_separator(F.col("别名"), [";", "；", ",", "，"]), "|"),
+            "array_to_string(CASE WHEN 别名 IS NULL THEN NULL "
+            + " ".join(f"WHEN contains(别名, '{s}') THEN list_filter(list_transform(string_split(别名, '{s}'), lambda x: trim(x)), lambda x: x <> '')" for s in (";", "；", ",", "，"))
+            + " WHEN trim(别名) <> '' THEN [trim(别名)] ELSE [] END, '|')",
+        )
+    },
+)
+QUERIES["split_first_sep"] = lambda spark, sf_dir: table(spark, sf_dir, "hazard_catalog").select(
+    "序号", F.when(F.col("别名").isNotNull(), F.array_join(X.split_first_separator(F.col("别名"), [";", "；", ",", "，"]), "|")).alias("parts")
+)
+_scalar(
+    "bracket_split",
+    "hazard_catalog",
+    "序号",
+    {
+        "name": (lambda: F.trim(F.regexp_replace("品名", r"\[[^\]]*\]", "")), r"trim(regexp_replace(品名, '\[[^\]]*\]', '', 'g'))"),
+        "threshold": (lambda: F.regexp_extract("品名", r"\[([^\]]*)\]", 1), r"regexp_extract(品名, '\[([^\]]*)\]', 1)"),
+    },
+)
+_scalar("safe_name", "enriched_pc_hardware_database", "row_id", {"file": (lambda: X.safe_name(F.col("product_name")), r"left(regexp_replace(product_name, '[<>:""/\\|?*\x00-\x1f ]', '_', 'g'), 80)".replace('""', '"'))})
+_scalar("clean_nulls", "enriched_pc_hardware_database", "row_id", {c: (lambda c=c: X.null_tokens(F.col(c), V.NO_VALUE), f"CASE WHEN trim({c}) NOT IN ({_in(V.NO_VALUE)}) THEN {c} END") for c in ("component_type", "manufacturer", "form_factor")})
+_BARE = "regexp_replace(trim({0}), '^[\"'']+|[\"'']+$', '', 'g')"
+_scalar(
+    "clean_value",
+    "enriched_computer_hardware_knowledge",
+    "row_id",
+    {c: (lambda c=c: X.clean_answer(F.col(c), V.INVALID_ANSWERS), f"CASE WHEN lower({_BARE.format(c)}) NOT IN ({_in(V.INVALID_ANSWERS)}) AND NOT regexp_full_match({_BARE.format(c)}, '<.*>') AND NOT regexp_full_match({_BARE.format(c)}, '\\[.*\\]') THEN {_BARE.format(c)} END") for c in ("manufacturer", "warranty_period")},
+)
+_FIELDS = ["name", "manufacturer", "category", "power_consumption", "weight", "connectivity"]
+_scalar(
+    "valid_field_count",
+    "enriched_computer_hardware_knowledge",
+    "row_id",
+    {"n": (lambda: sum((X.is_valid_field(F.col(c), V.INVALID_FIELDS).cast("int") for c in _FIELDS), F.lit(0)), " + ".join(f"CAST(coalesce(upper(trim({c})) NOT IN ({_in(V.INVALID_FIELDS)}) AND NOT regexp_full_match(trim({c}), '[0-9]'), false) AS INTEGER)" for c in _FIELDS))},
+)
+_scalar("name_plausible", "sample_chemicals", "row_id", {"ok": (lambda: X.name_plausible(F.col("品名"), V.NAME_STOP_WORDS, V.NAME_MARKS), f"coalesce(length(品名) BETWEEN 1 AND 20 AND 品名 NOT IN ({_in(V.NAME_STOP_WORDS)}) AND NOT regexp_matches(品名, '[-0-9%％+=*#@$&^~`|\\\\\"''\\[\\]<>《》]') AND regexp_matches(品名, '[{''.join(V.NAME_MARKS)}]'), false)")})
+_scalar("braced_list", "documents", "doc_id", {"items": (lambda: F.array_join(X.braced_items(F.col("text")), "; "), r"array_to_string(list_filter(list_transform(flatten(list_transform(regexp_extract_all(text, '\{([^}]+)\}', 1), lambda g: string_split_regex(g, '[;；、,，]'))), lambda x: trim(x)), lambda x: length(x) > 1), '; ')")})
+_scalar("source_default", "enriched_pc_hardware_database", "row_id", {"origin": (lambda: F.coalesce(F.nullif(F.array_join(X.braced_items(F.col("data_source")), "; "), F.lit("")), F.lit(V.SOURCE_DEFAULT)), rf"coalesce(nullif(array_to_string(list_filter(list_transform(flatten(list_transform(regexp_extract_all(data_source, '\{{([^}}]+)\}}', 1), lambda g: string_split_regex(g, '[;；、,，]'))), lambda x: trim(x)), lambda x: length(x) > 1), '; '), ''), '{V.SOURCE_DEFAULT}')")})
+_scalar(
+    "coalesce_columns",
+    "enriched_computer_hardware_knowledge",
+    "row_id",
+    {"resolved": (lambda: F.coalesce(*[F.when(~F.trim(c).isin(V.NO_VALUE), F.trim(c)) for c in ("product_name", "name", "名称")], F.lit("")), "coalesce(" + ", ".join(f"CASE WHEN trim({c}) NOT IN ({_in(V.NO_VALUE)}) THEN trim({c}) END" for c in ("product_name", "name", "名称")) + ", '')")},
+)
+_scalar(
+    "validators",
+    "sample_chemicals",
+    "row_id",
+    {
+        "id_ok": (lambda: F.coalesce(F.col("CAS号").rlike("^[0-9]{2,7}-[0-9]{2}-[0-9]$"), F.lit(False)), "coalesce(regexp_full_match(CAS号, '[0-9]{2,7}-[0-9]{2}-[0-9]'), false)"),
+        "formula_ok": (lambda: F.coalesce(F.col("备注").rlike("^(?:[A-Z][a-z]?[0-9]*)+$"), F.lit(False)), "coalesce(regexp_full_match(备注, '(?:[A-Z][a-z]?[0-9]*)+'), false)"),
+        "name_ok": (lambda: F.coalesce(F.length("品名").between(2, 100) & ~F.col("品名").rlike("^[0-9]+$"), F.lit(False)), "coalesce(length(品名) BETWEEN 2 AND 100 AND NOT regexp_full_match(品名, '[0-9]+'), false)"),
+        "number_ok": (lambda: F.coalesce(F.col("CAS号").try_cast("double").between(0, 1e9), F.lit(False)), "coalesce(try_cast(CAS号 AS DOUBLE) BETWEEN 0 AND 1e9, false)"),
+        "email_ok": (lambda: F.coalesce(F.col("备注").rlike(r"^[\w.+-]+@[\w-]+\.[\w.]+$"), F.lit(False)), r"coalesce(regexp_full_match(备注, '[\w.+-]+@[\w-]+\.[\w.]+'), false)"),
+        "url_ok": (lambda: F.coalesce(F.col("备注").rlike(r"^https?://[^ ]+$"), F.lit(False)), "coalesce(regexp_full_match(备注, 'https?://[^ ]+'), false)"),
+    },
+)
+
+# Identifiers
+_FORM = "[0-9]{2,7}-[0-9]{2}-[0-9]"
+_SUM = "list_sum([CAST(d AS INTEGER) * k FOR d, k IN string_split(reverse((replace({0}, '-', ''))[1:-2]), '')])"
+
+
+def _check(x: str) -> str:
+    """SQL of the check digit."""
+    formed = f"regexp_full_match({x}, '{_FORM}')"
+    return f"coalesce(CASE WHEN {formed} THEN {_SUM.format(x)} % 10 = CAST(({x})[-1:] AS INTEGER) ELSE false END, false)"
+
+
+_scalar("id_normalize", "sample_chemicals", "row_id", {"id": (lambda: I.normalize_id(F.col("CAS号")), "regexp_replace(CAS号, '[^0-9-]', '', 'g')")})
+_scalar("id_checksum", "sample_chemicals", "row_id", {"ok": (lambda: I.checksum_ok(F.trim("CAS号")), _check("trim(CAS号)"))})
+_scalar(
+    "id_classify",
+    "sample_chemicals",
+    "row_id",
+    {"class": (lambda: I.classify_id(F.col("CAS号")), f"CASE WHEN CAS号 IS NULL OR trim(CAS号) = '' THEN 'empty' WHEN regexp_full_match(trim(CAS号), '{_FORM}') THEN 'standard' WHEN regexp_full_match(trim(CAS号), '[0-9]{{6,}}') THEN 'serial' ELSE 'malformed' END")},
+)
+_B = "trim(regexp_replace(trim(CAS号), 'CAS:|CAS |cas:|cas ', '', 'g'))"
+_H = rf"CASE WHEN regexp_full_match(regexp_replace({_B}, '[^0-9-]', '', 'g'), '[0-9]{{5,}}') THEN regexp_replace(regexp_replace({_B}, '[^0-9-]', '', 'g'), '^([0-9]+)([0-9]{{2}})([0-9])$', '\1-\2-\3') ELSE regexp_replace({_B}, '[^0-9-]', '', 'g') END"
+_scalar(
+    "id_fix",
+    "sample_chemicals",
+    "row_id",
+    {
+        "ok": (lambda: I.fix_id(F.col("CAS号"))["ok"], f"coalesce(CASE WHEN CAS号 IS NULL OR {_B} = '' THEN false WHEN regexp_full_match({_B}, '{_FORM}') THEN {_check(_B)} ELSE regexp_full_match({_H}, '{_FORM}') END, false)"),
+        "fixed": (lambda: I.fix_id(F.col("CAS号"))["fixed"], f"CASE WHEN CAS号 IS NULL THEN '' WHEN regexp_full_match({_B}, '{_FORM}') OR NOT regexp_full_match({_H}, '{_FORM}') THEN {_B} ELSE {_H} END"),
+    },
+)
+_scalar(
+    "id_extract",
+    "sample_chemicals_raw",
+    "raw_id",
+    {"ids": (lambda: F.array_join(I.extract_ids(F.col("raw_text")), ","), f"array_to_string(list_filter(regexp_extract_all(raw_text, '(?:^|[^0-9-])({_FORM})(?:$|[^0-9-])', 1), lambda x: {_check('x')}), ',')")},
+)
+QUERIES["invalid_id_count"] = lambda spark, sf_dir: table(spark, sf_dir, "sample_chemicals").agg(
+    F.count_if(~F.coalesce(F.col("CAS号").rlike(r"^[0-9]+-[0-9]+-[0-9]+$"), F.lit(False))).alias("invalid"), F.count("*").alias("rows")
+)
+ORACLE["invalid_id_count"] = "SELECT count(*) FILTER (WHERE NOT coalesce(regexp_full_match(CAS号, '[0-9]+-[0-9]+-[0-9]+'), false)) AS invalid, count(*) AS rows FROM sample_chemicals"
+_scalar("fingerprint", "documents", "doc_id", {"hash": (lambda: F.md5("text"), "md5(text)")})
+_scalar("node_ids", "hazard_catalog", "序号", {"node": (lambda: I.content_id(F.col("品名"), F.col("CAS号")), "md5(concat_ws('|', 品名, CAS号))")})
+
+# Measures
+_N = r"-?[0-9]+(?:\.[0-9]+)?"
+_D = "(?:℃|°?[CKF])"
+_RANGE, _POINT = M.TEMPERATURE_RANGE, M.TEMPERATURE_POINT
+_CELSIUS = "round(CASE upper(regexp_replace({u}, '[°℃]', '', 'g')) WHEN 'F' THEN (CAST({v} AS DOUBLE) - 32) * 5 / 9 WHEN 'K' THEN CAST({v} AS DOUBLE) - 273.15 ELSE CAST({v} AS DOUBLE) END, 2)"
+
+
+def _show(column: Column) -> Column:
+    """Arrays of structs as text, for comparison."""
+    return F.array_join(F.transform(column, lambda x: F.concat_ws("~", x["kind"], F.format_string("%.2f", x["low"]), F.format_string("%.2f", x["high"]))), ";")
+
+
+_fixed(
+    "extract_temp",
+    MEASURES,
+    {
+        "found": (
+            lambda: _show(M.extract_temperatures(F.col("text"))),
+            f"array_to_string(CASE WHEN regexp_matches(text, '{_RANGE}') THEN [concat_ws('~', 'range', printf('%.2f', {_CELSIUS.format(v='a', u='u')}), printf('%.2f', {_CELSIUS.format(v='b', u='u')})) FOR a, b, u IN list_zip(regexp_extract_all(text, '{_RANGE}', 1), regexp_extract_all(text, '{_RANGE}', 2), regexp_extract_all(text, '{_RANGE}', 3))] "
+            f"ELSE [concat_ws('~', 'point', printf('%.2f', {_CELSIUS.format(v='a', u='u')}), printf('%.2f', {_CELSIUS.format(v='a', u='u')})) FOR a, u IN list_zip(regexp_extract_all(text, '{_POINT}', 1), regexp_extract_all(text, '{_POINT}', 2))] END, ';')",
+        )
+    },
+)
+ORACLE["extract_temp"] = f"""
+WITH m AS (SELECT id, text, unnest(range(1, 1 + greatest(1, len(regexp_extract_all(text, '{_RANGE}')), len(regexp_extract_all(text, '{_POINT}'))))) AS i FROM {_values(MEASURES)}),
+s AS (SELECT id, i, len(regexp_extract_all(text, '{_RANGE}')) AS n,
+  regexp_extract_all(text, '{_RANGE}', 1)[i] AS a, regexp_extract_all(text, '{_RANGE}', 2)[i] AS b, regexp_extract_all(text, '{_RANGE}', 3)[i] AS u,
+  regexp_extract_all(text, '{_POINT}', 1)[i] AS p, regexp_extract_all(text, '{_POINT}', 2)[i] AS q FROM m),
+t AS (SELECT id, i, CASE WHEN n > 0 AND a IS NOT NULL THEN concat_ws('~', 'range', printf('%.2f', {_CELSIUS.format(v='a', u='u')}), printf('%.2f', {_CELSIUS.format(v='b', u='u')}))
+  WHEN n = 0 AND p IS NOT NULL THEN concat_ws('~', 'point', printf('%.2f', {_CELSIUS.format(v='p', u='q')}), printf('%.2f', {_CELSIUS.format(v='p', u='q')})) END AS x FROM s)
+SELECT id, coalesce(string_agg(x, ';' ORDER BY i), '') AS found FROM t GROUP BY id"""
+_fixed("temp_convert", ["77F", "300K", "25℃", "-40°F", "0C"], {"celsius": (lambda: F.round(M.to_celsius(F.regexp_extract("text", _N, 0).cast("double"), F.regexp_extract("text", "[°℃CKF]+$", 0)), 2), _CELSIUS.format(v=f"regexp_extract(text, '{_N}')", u="regexp_extract(text, '[°℃CKF]+$')"))})
+
+
+def _rows(name: str, pattern: str, spark_col: Callable[[], Column], fields: list[tuple[str, str]]) -> None:
+    """A query with one row per match of a measure."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = _fixture(spark, MEASURES).select("id", F.posexplode(spark_col()).alias("i", "m"))
+        return found.select("id", (F.col("i") + 1).alias("pos"), *[F.col(f"m.{f}").alias(f) for f, _ in fields])
+
+    QUERIES[name] = run
+    groups = ", ".join(f"regexp_extract_all(text, '{pattern}', {g})[pos] AS g{g}" for g in range(1, 5 if name == "extract_solub" else 4))
+    ORACLE[name] = f"""WITH m AS (SELECT id, text, unnest(range(1, 1 + len(regexp_extract_all(text, '{pattern}')))) AS pos FROM {_values(MEASURES)}),
+      g AS (SELECT id, CAST(pos AS INTEGER) AS pos, {groups} FROM m) SELECT id, pos, {", ".join(f"{sql} AS {f}" for f, sql in fields)} FROM g"""
+
+
+_KPA = "round(CAST(g1 AS DOUBLE) * CASE lower(g2) " + " ".join(f"WHEN '{u}' THEN {f}" for u, f in V.PRESSURE_UNITS.items()) + " END, 4)"
+_rows("extract_pressure", M.PRESSURE, lambda: M.extract_pressures(F.col("text")), [("kpa", _KPA), ("condition", "coalesce(trim(g3), '')")])
+_rows("extract_density", M.DENSITY, lambda: M.extract_densities(F.col("text")), [("density", "round(CASE WHEN lower(g2) = 'kg/m³' THEN CAST(g1 AS DOUBLE) / 1000 ELSE CAST(g1 AS DOUBLE) END, 4)"), ("condition", "coalesce(trim(g3), '')")])
+_rows("extract_solub", M.SOLUBILITY, lambda: M.extract_solubilities(F.col("text")), [("mass", "CAST(g1 AS DOUBLE)"), ("mass_unit", "g2"), ("volume", "CAST(g3 AS DOUBLE)"), ("volume_unit", "g4")])
+_fixed("extract_limits", MEASURES, {n.lower(): (lambda n=n: M.explosion_limits(F.col("text"))[n == "UEL"], rf"try_cast(regexp_extract(text, '(?i){n}[: ]*([0-9]+(?:\.[0-9]+)?)', 1) AS DOUBLE)") for n in ("LEL", "UEL")})
+_scalar("extract_numbers", "enriched_computer_hardware_knowledge", "row_id", {"total": (lambda: F.round(F.aggregate(M.extract_numbers(F.col("dimensions")), F.lit(0.0), lambda a, x: a + x), 4), r"round(coalesce(list_sum(list_transform(regexp_extract_all(dimensions, '[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?'), lambda x: CAST(x AS DOUBLE))), CASE WHEN dimensions IS NOT NULL THEN 0.0 END), 4)")})
+_scalar("extract_units", "enriched_computer_hardware_knowledge", "row_id", {"units": (lambda: F.array_join(M.extract_units(F.col("dimensions")), ","), "array_to_string(list_sort(list_distinct(regexp_extract_all(dimensions, '[0-9] ?(mg|kg|g|mL|L|cm|mm|kPa|Pa|%|°C|℃|MB|GB|W|Hz)', 1))), ',')")})
+
+# Categories
+
+
+def _case(rules: list, default: str, column: str) -> str:
+    from re import escape
+
+    whens = " ".join(f"WHEN regexp_matches({column}, '{'|'.join(escape(w) for w in words)}') THEN '{name}'" for name, words in rules)
+    return f"CASE {whens} ELSE {default} END"
+
+
+def _parts_query(name: str, rules: list, default: str, separators: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = _fixture(spark, NOTES).select("id", F.posexplode(C.categorize(F.col("text"), rules, default, separators)).alias("i", "p"))
+        return found.select("id", F.col("p.class").alias("class"), F.col("p.part").alias("part"))
+
+    QUERIES[name] = run
+    ORACLE[name] = f"WITH p AS (SELECT id, trim(unnest(string_split_regex(text, '{separators}'))) AS part FROM {_values(NOTES)}) SELECT id, {_case(rules, chr(39) + default + chr(39), 'part')} AS class, part FROM p WHERE part <> ''"
+
+
+_parts_query("keyword_categorize", V.HAZARD_CLASSES, "其他", "[;；。]")
+_parts_query("storage_classes", V.STORAGE_CLASSES, "其他要求", "[,，;；]")
+_fixed("relation_type", NOTES, {"type": (lambda: C.first_class(F.lower("text"), V.RELATION_TYPES, "工艺"), _case(V.RELATION_TYPES, "'工艺'", "lower(text)"))})
+_fixed("error_class", NOTES, {"class": (lambda: C.first_class(F.lower("text"), V.ERROR_CLASSES, "unknown"), _case(V.ERROR_CLASSES, "'unknown'", "lower(text)"))})
+_fixed("retry_delay", NOTES, {"seconds": (lambda: C.retry_delay(F.col("text"), F.col("id")), "CASE WHEN contains(lower(text), 'timeout') THEN least(10, 2 + id * 2) WHEN contains(lower(text), 'lock') THEN least(8, 1 + id) WHEN contains(lower(text), 'connection') THEN least(15, 3 + id * 3) WHEN id > 7 THEN -1 ELSE least(5, 1 + id) END")})
+
+
+def _solubility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _fixture(spark, MEASURES).select("id", F.posexplode(C.solubility_grades(F.col("text"))).alias("i", "s"))
+    return found.groupBy("id", F.col("s.solvent").alias("solvent")).agg(F.min_by("s.grade", "i").alias("grade"))
+
+
+QUERIES["solubility_map"] = _solubility
+_GRADES = [(g, [g]) for g in sorted(V.SOLUBILITY_GRADES, key=lambda g: (-len(g), g))]
+ORACLE["solubility_map"] = f"""
+WITH p AS (SELECT id, unnest(range(1, 1 + len(string_split_regex(text, '[,，;；。]')))) AS i, text FROM {_values(MEASURES)}),
+s AS (SELECT id, i, trim(string_split_regex(text, '[,，;；。]')[i]) AS part FROM p),
+g AS (SELECT id, i, {_case([(s, [s]) for s in V.SOLVENTS], "NULL", "part")} AS solvent, {_case(_GRADES, "'未知'", "part")} AS grade FROM s WHERE part <> '')
+SELECT id, solvent, arg_min(grade, i) AS grade FROM g WHERE solvent IS NOT NULL GROUP BY id, solvent"""
+
+# JSON text of a model's answer, made from the events: fenced, prefixed, with trailing commas and bare keys.
+_FENCED = F.concat(F.lit("Answer:\n```json\n"), F.col("props"), F.lit("\n```\nDone."))
+_SLOPPY = F.concat(F.lit("Result: "), F.regexp_replace("props", r'"(k)"', "$1"), F.lit(" // note"))
+_FENCED_SQL = "'Answer:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' || chr(10) || 'Done.'"
+_SLOPPY_SQL = """'Result: ' || regexp_replace(props, '"(k)"', '\\1', 'g') || ' // note'"""
+_scalar("json_direct", "events", "event_id", {"k": (lambda: F.get_json_object("props", "$.k").cast("int"), "CAST(json_extract_string(props, '$.k') AS INTEGER)")})
+_scalar("json_fence", "events", "event_id", {"body": (lambda: J.fenced_block(_FENCED), rf"trim(regexp_extract({_FENCED_SQL}, '(?is)```(?:json)?[ \t\r\n]*(.*?)[ \t\r\n]*```', 1))")})
+_scalar("json_outer", "events", "event_id", {"body": (lambda: J.outer_object(_SLOPPY), rf"regexp_extract({_SLOPPY_SQL}, '(?s)\{{.*\}}')")})
+_scalar("json_regex", "events", "event_id", {"longest": (lambda: J.longest_object(_FENCED), rf"list_sort([[length(x), x] FOR x IN regexp_extract_all({_FENCED_SQL}, '\{{[^{{}}]*\}}')], 'DESC')[1][2]")})
+ORACLE["json_regex"] = rf"SELECT event_id, regexp_extract({_FENCED_SQL}, '\{{[^{{}}]*\}}') AS longest FROM events"
+_scalar("json_kv", "events", "event_id", {"k": (lambda: J.key_values(F.regexp_replace("props", '[{}"]', ""))["k"], "trim(regexp_extract(regexp_replace(props, '[{}\"]', '', 'g'), 'k[ ]*[:：][ ]*([^,\n]+)', 1))")})
+_scalar("json_fix", "events", "event_id", {"k": (lambda: F.get_json_object(J.repair(_SLOPPY), "$.k"), "json_extract_string(props, '$.k')")})
+_scalar("json_key_extract", "events", "event_id", {"k": (lambda: J.value_of_key(_SLOPPY, "k"), rf"coalesce(nullif(regexp_extract({_SLOPPY_SQL}, '\bk\b[ ]*[:：][ ]*([0-9.+-]+)', 1), ''))")})
+_scalar("json_prose", "events", "event_id", {"value": (lambda: J.prose_value(F.concat(F.lit("事件类型为"), "event_type", F.lit("，其余略。")), "事件类型"), "event_type")})
+_scalar("json_id", "sample_chemicals", "row_id", {"id": (lambda: J.id_of_answer(F.concat(F.lit("CAS号是 "), F.coalesce("CAS号", F.lit("")), F.lit(" 。"))), f"list_filter(regexp_extract_all('CAS号是 ' || coalesce(CAS号, '') || ' 。', '(?:^|[^0-9-])({_FORM})(?:$|[^0-9-])', 1), lambda x: {_check('x')})[1]")})
+
+
+def _flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit('{"attributes":[{"name":"type","value":"'), "event_type", F.lit('"},{"name":"note","value":"无"}]}'))
+    flat = J.flatten_attributes(text, V.INVALID_ANSWERS)
+    return table(spark, sf_dir, "events").select("event_id", F.explode(flat).alias("name", "value"))
+
+
+QUERIES["json_attr_flatten"] = _flatten
+ORACLE["json_attr_flatten"] = "SELECT event_id, 'type' AS name, event_type AS value FROM events"
+
+
+def _wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrapped = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"data":['), "props", F.lit(',{"k":-1}]}')).alias("doc"))
+    return wrapped.select("event_id", F.explode(J.records_of(F.col("doc"), "k int")).alias("r")).select("event_id", F.col("r.k").alias("k"))
+
+
+QUERIES["json_wrapper_explode"] = _wrapper
+ORACLE["json_wrapper_explode"] = "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events UNION ALL SELECT event_id, -1 AS k FROM events"
+_fields8 = ["名称", "name", "manufacturer", "category", "power_consumption", "dimensions", "weight", "connectivity", "warranty_period", "cooling_solution"]
+_scalar(
+    "quality_gate",
+    "enriched_computer_hardware_knowledge",
+    "row_id",
+    {"status": (lambda: F.when(sum((X.is_valid_field(F.col(c), V.INVALID_FIELDS).cast("int") for c in _fields8), F.lit(0)) >= 8, "成功").otherwise("失败: 有效字段不足"), "CASE WHEN " + " + ".join(f"CAST(coalesce(upper(trim({c})) NOT IN ({_in(V.INVALID_FIELDS)}) AND NOT regexp_full_match(trim({c}), '[0-9]'), false) AS INTEGER)" for c in _fields8) + " >= 8 THEN '成功' ELSE '失败: 有效字段不足' END")},
+)
+
+
+def _spaces_only(sql: str) -> str:
+    """DuckDB trims blanks of all scripts by default; the expressions here trim spaces."""
+    out, i = [], 0
+    while (at := sql.find("trim(", i)) >= 0:
+        depth, end = 1, at + 5
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0) if sql[end] != "'" else 0
+            if sql[end] == "'":
+                end = sql.index("'", end + 1)
+            end += 1
+        out.append(sql[i:at] + "trim(" + _spaces_only(sql[at + 5 : end - 1]) + ", ' ')")
+        i = end
+    return "".join(out) + sql[i:]
+
+
+ORACLE.update({name: _spaces_only(sql) for name, sql in ORACLE.items()})

@@ -28,3 +28,93 @@ UNIT_ALIASES = {
     ("kHz", "1000"): ["mhz", "megahertz", "兆赫", "兆赫兹"],
     ("kHz", "1000000"): ["ghz", "gigahertz", "吉赫", "吉赫兹", "千兆赫"],
 }
+
+# Order of the keyword classes of hazards; the first class with a keyword in the text wins.
+HAZARD_CLASSES = [
+    ("急性毒性", ["中毒", "有毒", "致命", "急性"]),
+    ("皮肤刺激", ["皮肤", "灼伤", "刺激"]),
+    ("眼部刺激", ["眼", "眼睛", "眼部"]),
+    ("呼吸道刺激", ["呼吸", "吸入"]),
+    ("致癌性", ["致癌", "癌"]),
+    ("致突变性", ["致突变", "突变"]),
+    ("生殖毒性", ["生殖", "胎儿"]),
+]
+
+# Classes of storage conditions.
+STORAGE_CLASSES = [
+    ("温度条件", ["温度", "°C", "℃", "低温", "冷藏"]),
+    ("环境条件", ["通风", "干燥", "避光", "阴凉"]),
+    ("容器要求", ["密闭", "容器", "储存"]),
+    ("隔离要求", ["远离", "避免", "禁止", "分开"]),
+]
+
+# Solvents and grades of solubility; the longest grade in a sentence wins.
+SOLVENTS = ["水", "乙醇", "乙醚", "苯", "氯仿", "丙酮", "酸", "碱"]
+SOLUBILITY_GRADES = ["溶于", "不溶于", "微溶于", "易溶于", "难溶于", "混溶", "任意比例混溶"]
+
+# Relation types by keyword; the default comes last.
+RELATION_TYPES = [
+    ("工艺", ["上游", "原料", "制备", "制造", "生产"]),
+    ("化学反应", ["反应", "化合", "分解", "氧化", "还原"]),
+    ("用途", ["用途", "应用", "制取"]),
+    ("转化", ["转化", "变成", "得到"]),
+]
+
+# Classes of error messages in order of priority.
+ERROR_CLASSES = [
+    ("authentication", ["api_key", "authentication", "authorization", "unauthorized", "invalid_key", "access_denied", "credential", "token",
+                        "认证", "授权", "密钥", "凭证", "令牌", "身份验证", "访问被拒绝"]),
+    ("rate_limit", ["quota", "rate_limit", "limit_exceeded", "too_many_requests", "throttle", "requests_per_minute", "daily_limit",
+                    "配额", "频率限制", "限制超出", "请求过多", "节流", "每分钟请求数", "日限制"]),
+    ("network", ["timeout", "connection", "network", "dns", "unreachable", "socket", "ssl", "certificate", "handshake",
+                 "超时", "连接", "网络", "域名解析", "无法访问", "套接字", "证书", "握手"]),
+    ("request_error", ["bad_request", "400", "404", "not_found", "invalid_request", "malformed", "syntax_error", "invalid_json",
+                       "错误请求", "未找到", "无效请求", "格式错误", "语法错误", "无效json"]),
+    ("server_error", ["internal_server_error", "500", "502", "503", "504", "service_unavailable", "gateway_timeout", "bad_gateway",
+                      "服务器内部错误", "服务不可用", "网关超时", "错误的网关"]),
+    ("safety_policy", ["safety", "policy", "harmful", "blocked", "filtered", "violation", "restricted", "prohibited", "denied", "unsafe",
+                       "dangerous", "content_filter", "harm_category", "inappropriate",
+                       "安全", "政策", "有害", "阻止", "过滤", "违规", "限制", "禁止", "拒绝", "不安全", "危险", "内容过滤", "不当内容", "敏感内容"]),
+]
+
+# Factors to kilopascal.
+PRESSURE_UNITS = {"kpa": 1.0, "pa": 0.001, "hpa": 0.1, "mpa": 1000.0, "bar": 100.0, "atm": 101.325, "mmhg": 0.133322}
+
+# Groups of synonyms, the standard form first.
+SYNONYMS = [
+    ["固态", "固体", "固相"],
+    ["液态", "液体", "液相"],
+    ["气态", "气体", "气相"],
+    ["密闭容器", "密闭储存", "密封存储"],
+    ["避光", "避光保存", "遮光储存"],
+    ["低温", "冷藏", "低温保存"],
+    ["无色", "透明", "无色透明"],
+    ["白色", "白色至浅黄色", "白色至浅棕色"],
+    ["黄色", "浅黄色", "淡黄色"],
+]
+
+# Connectives that a name must not end with.
+CONNECTIVES = ["为", "在", "和", "与", "主要", "包括", "以及", "及", "或", "等", "用", "作", "作为", "通过", "经过", "利用", "使用", "含", "含有",
+               "属于", "来源于", "来自", "等物", "等品"]
+
+# Filler words deleted from names, words that are no names, and marks of a substance's name.
+NAME_FILLERS = ["包括", "等", "类", "中", "的", "和", "与", "及", "或", "各种", "多种", "主要", "广泛", "常见", "一般", "通常", "特别", "尤其", "特殊",
+                "以及", "还有", "另外", "此外", "同时", "另", "其他", "部分", "如", "例如", "比如", "诸如", "像", "譬如", "好比", "如同", "等等",
+                "之类", "左右", "上下", "约", "大约", "接近", "差不多", "括"]
+NAME_STOP_WORDS = ["等", "类", "中", "上", "下", "前", "后", "左", "右", "内", "外", "高", "低", "大", "小", "多", "少", "好", "坏", "新", "旧", "快",
+                   "慢", "热", "冷", "工业", "农业", "医药", "食品", "化工", "生产", "制造", "加工", "处理", "使用", "应用", "方法", "技术", "工艺"]
+NAME_MARKS = ["酸", "碱", "盐", "醇", "醛", "酮", "酯", "醚", "烷", "烯", "炔", "苯", "酚", "腈", "甲", "乙", "丙", "丁", "戊", "己", "庚", "辛", "壬",
+              "癸", "正", "异", "叔", "仲", "邻", "间", "对", "顺", "反", "氢", "氧", "氮", "氯", "硫", "钠", "钾", "钙", "镁", "铁", "铜", "锌",
+              "铅", "汞", "银", "聚", "环", "二", "三", "四", "五", "六", "七", "八", "九", "十", "气", "油", "脂", "胶"]
+GRADE_PREFIXES = ["化学纯", "分析纯", "AR", "CP", "GR"]
+
+# Texts that count as no information, by use.
+INVALID_FIELDS = ["N/A", "NULL", "NONE", "未知", "无数据", "无", "不详", "UNKNOWN", "NOT AVAILABLE", "NOT APPLICABLE", "NO DATA", "/", "-", "",
+                  "待补充", "缺失", "MISSING", "TBD", "TO BE DETERMINED", "NA", "NAN", "空", "无效", "INVALID", "NO INFO", "NO INFORMATION"]
+INVALID_ANSWERS = ["", "null", "none", "n/a", "na", "undefined", "[待补全]", "待补全", "暂无", "无", "未知", "...", "<具体值>", "<值>", "占位符",
+                   "placeholder", "todo", "tbd"]
+
+# Relation types of the graph.
+PRODUCES, COMES_FROM, TAKES_PART, RAW_MATERIAL = "产生", "来源", "参与", "原料"
+PLACEHOLDER = "[待补全]"
+SOURCE_DEFAULT = "根据通义大模型蒸馏而来"
