@@ -1,2 +1,164 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries of relation extraction and the property graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrymill import vocab as V
+from quarrymill.functions.categories import categorize
+from quarrymill.functions.text import clean_node_name, split_list
+from quarrymill.operators import graph as G
+from quarrymill.operators.catalogue import keep_first
+from quarrymill.operators.merge import usable
+from quarrymill.session import table
+
+HARDWARE = "enriched_computer_hardware_knowledge"
+PATTERNS = ["用于([^，,；;。]+?)对照", "以([^，,；;。为]+)为原料", "由([^，,；;。制]+)制得"]
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "sample_chemicals").select("row_id", F.trim("品名").alias("name"), F.col("备注").alias("note"), "CAS号").where("name <> ''")
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "hazard_catalog").select("序号", F.trim(F.regexp_replace("品名", r"\[[^\]]*\]", "")).alias("name"), "别名")
+
+
+def dict_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spaced = _rows(spark, sf_dir).withColumn("text", F.regexp_replace("note", "用于|对照", " "))
+    return G.scan_names(spaced, "row_id", "text", _catalogue(spark, sf_dir).select("name").distinct())
+
+
+def pattern_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = G.extract_by_patterns(F.col("note"), PATTERNS)
+    return _rows(spark, sf_dir).select("row_id", F.posexplode(found).alias("i", "material")).select("row_id", "material")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _rows(spark, sf_dir).select("name", F.explode(G.extract_by_patterns(F.col("note"), PATTERNS)).alias("material"))
+    clean = found.select(clean_node_name(F.col("name"), V.CONNECTIVES).alias("product"), clean_node_name(F.col("material"), V.CONNECTIVES).alias("material"))
+    return clean.where("product <> material and product <> '' and material <> ''").distinct()
+
+
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.relation_edges(_pairs(spark, sf_dir))
+
+
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last row per name; hazardous names carry their own label."""
+    rows = _rows(spark, sf_dir)
+    latest = keep_first(rows, ["name"], "row_id", last=True)
+    listed = _catalogue(spark, sf_dir).select("name").distinct().withColumn("listed", F.lit(True))
+    joined = latest.join(listed, "name", "left")
+    return joined.select("name", F.coalesce("CAS号", F.lit("")).alias("cas"), F.when(F.col("listed"), "DangerousChemical").otherwise("Chemical").alias("label"))
+
+
+def process_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.process_nodes(graph_edges(spark, sf_dir))
+
+
+def process_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = G.neighbours(graph_edges(spark, sf_dir), [V.TAKES_PART, V.COMES_FROM])
+    return found.select("dst", F.col(V.TAKES_PART).alias("materials"), F.col(V.COMES_FROM).alias("products"))
+
+
+def edge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("dst"),
+        F.col("l_returnflag").alias("type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
+    )
+    return G.dedup_edges(lines, "pos")
+
+
+def edge_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = graph_nodes(spark, sf_dir).select("name").union(process_nodes(spark, sf_dir).select("name"))
+    return G.resolve_edges(graph_edges(spark, sf_dir), nodes)
+
+
+def edge_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_edges(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
+
+
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_nodes(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def alias_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.alias_edges(_catalogue(spark, sf_dir), "name", "别名")
+
+
+_PROPS = ["power_consumption", "dimensions", "weight", "warranty_period"]
+
+
+def prop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.property_edges(table(spark, sf_dir, HARDWARE), "row_id", {c: usable(F.col(c)) for c in _PROPS})
+
+
+def node_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, HARDWARE).select("名称", "row_id", F.struct("updated_at", "row_id").alias("version"), usable(F.col("manufacturer")).alias("maker"))
+    return keep_first(rows.where(F.trim("名称") != ""), ["名称"], "version", last=True).select("名称", "row_id", "maker")
+
+
+def record_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records; shown here by scalars of their parts."""
+    rows = table(spark, sf_dir, "sample_chemicals")
+    record = F.struct(
+        F.struct(F.trim("品名").alias("name"), F.trim("CAS号").alias("cas")).alias("basic_info"),
+        split_list(F.col("备注")).alias("notes"),
+        categorize(F.col("备注"), V.STORAGE_CLASSES, "其他要求", "[,，;；]").alias("storage"),
+    )
+    nested = rows.select("row_id", record.alias("r"))
+    return nested.select("row_id", F.col("r.basic_info.name").alias("name"), F.size("r.notes").alias("notes"), F.get(F.col("r.storage"), F.lit(0))["class"].alias("first_class"))
+
+
+def flatten_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ["view", "click", "error"]
+    return table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", kinds).agg(F.count(F.lit(1))).na.fill(0)
+
+
+_KEYS = [
+    "dict_scan", "pattern_extract", "graph_edges", "graph_nodes", "process_nodes", "process_neighbours", "edge_dedup", "edge_resolve", "edge_type_counts",
+    "label_counts", "alias_edges", "prop_edges", "node_upsert", "record_struct", "flatten_pivot",
+]
+QUERIES = {name: globals()[name] for name in _KEYS}
+
+_BAD = "('', 'N/A', 'null', 'nan', '未知', '无', '处理异常', '[待补全]')"
+_ENDS = "|".join(sorted(V.CONNECTIVES, key=len, reverse=True))
+
+
+def _clean(x: str) -> str:
+    return rf"regexp_replace(regexp_replace({x}, '[^\x{{4e00}}-\x{{9fa5}}a-zA-Z0-9,，-]', '', 'g'), '(?:{_ENDS})$', '')"
+
+
+_FOUND = " || ".join(f"regexp_extract_all(note, '{p}', 1)" for p in PATTERNS)
+_BASE = rf"""rows AS (SELECT row_id, trim("品名", ' ') AS name, "备注" AS note, "CAS号" FROM sample_chemicals WHERE trim("品名", ' ') <> ''),
+cat AS (SELECT "序号" AS o, trim(regexp_replace("品名", '\[[^\]]*\]', '', 'g'), ' ') AS name, "别名" AS alias FROM hazard_catalog),
+found AS (SELECT row_id, name, trim(unnest(list_distinct({_FOUND})), ' ') AS material FROM rows),
+good AS (SELECT DISTINCT row_id, name, material FROM found WHERE length(material) >= 2),
+pairs AS (SELECT DISTINCT product, material FROM (SELECT {_clean("name")} AS product, {_clean("material")} AS material FROM good) WHERE product <> material AND product <> '' AND material <> ''),
+edges AS (SELECT DISTINCT product || '_生产工艺' AS src, product AS dst, '产生' AS type FROM pairs UNION ALL SELECT DISTINCT product, product || '_生产工艺', '来源' FROM pairs
+  UNION ALL SELECT material, product || '_生产工艺', '参与' FROM pairs UNION ALL SELECT product || '_生产工艺', material, '原料' FROM pairs),
+ends AS (SELECT DISTINCT n AS name FROM (SELECT src AS n FROM edges UNION ALL SELECT dst FROM edges) WHERE contains(n, '工艺')),
+nodes AS (SELECT name, coalesce("CAS号", '') AS cas, CASE WHEN name IN (SELECT name FROM cat) THEN 'DangerousChemical' ELSE 'Chemical' END AS label FROM rows QUALIFY row_number() OVER (PARTITION BY name ORDER BY row_id DESC) = 1)"""
+_STORE = "CASE " + " ".join(f"WHEN regexp_matches(p, '{'|'.join(w)}') THEN '{c}'" for c, w in V.STORAGE_CLASSES) + " ELSE '其他要求' END"
+ORACLE = {
+    "dict_scan": rf"""WITH {_BASE}, t AS (SELECT row_id, regexp_replace(note, '用于|对照', ' ', 'g') AS text FROM rows WHERE note IS NOT NULL),
+      h AS (SELECT DISTINCT row_id, c.name FROM t JOIN cat c ON contains(text, c.name) AND regexp_matches(' ' || text || ' ', '[^a-zA-Z\x{{4e00}}-\x{{9fa5}}]' || regexp_escape(c.name) || '[^a-zA-Z\x{{4e00}}-\x{{9fa5}}]') WHERE length(c.name) BETWEEN 2 AND 40)
+      SELECT * FROM (SELECT row_id, name, CAST(row_number() OVER (PARTITION BY row_id ORDER BY length(name) DESC, name) AS INTEGER) AS rank FROM h) WHERE rank <= 5""",
+    "pattern_extract": f"WITH {_BASE} SELECT row_id, material FROM good",
+    "graph_edges": f"WITH {_BASE} SELECT * FROM edges",
+    "graph_nodes": f"WITH {_BASE} SELECT * FROM nodes",
+    "process_nodes": f"WITH {_BASE} SELECT name, '化学生产工艺' AS process_type, regexp_replace(name, '_生产工艺$', '') AS product FROM ends",
+    "process_neighbours": f"WITH {_BASE} SELECT dst, coalesce(string_agg(DISTINCT src, ';' ORDER BY src) FILTER (WHERE type = '参与'), '') AS materials, coalesce(string_agg(DISTINCT src, ';' ORDER BY src) FILTER (WHERE type = '来源'), '') AS products FROM edges WHERE type IN ('参与', '来源') GROUP BY dst",
+    "edge_dedup": "SELECT 'S' || l_suppkey AS src, 'P' || l_partkey AS dst, l_returnflag AS type, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem GROUP BY 1, 2, 3",
+    "edge_resolve": f"WITH {_BASE}, k AS (SELECT name FROM nodes UNION SELECT name FROM ends) SELECT DISTINCT src, dst, type FROM edges WHERE src IN (SELECT name FROM k) AND dst IN (SELECT name FROM k)",
+    "edge_type_counts": f"WITH {_BASE} SELECT type, count(*) AS n FROM edges GROUP BY type",
+    "label_counts": f"WITH {_BASE} SELECT label, count(*) AS n FROM nodes GROUP BY label",
+    "alias_edges": f"WITH {_BASE}, a AS (SELECT DISTINCT name AS src, trim(unnest(string_split_regex(alias, '[;；]')), ' ') AS dst FROM cat) SELECT src, dst, dst IN (SELECT name FROM cat) AS is_known FROM a WHERE src <> '' AND dst <> '' AND src <> dst",
+    "prop_edges": " UNION ALL ".join(f"SELECT row_id, 'HAS_PROPERTY' AS relation, '{c}' AS kind, trim({c}, ' ') AS value FROM {HARDWARE} WHERE trim({c}, ' ') NOT IN {_BAD}" for c in _PROPS),
+    "node_upsert": f"""SELECT "名称", row_id, CASE WHEN trim(manufacturer, ' ') NOT IN {_BAD} THEN trim(manufacturer, ' ') END AS maker FROM {HARDWARE} WHERE trim("名称", ' ') <> '' QUALIFY row_number() OVER (PARTITION BY "名称" ORDER BY updated_at DESC, row_id DESC) = 1""",
+    "record_struct": f"""WITH r AS (SELECT row_id, trim("品名", ' ') AS name, "备注", list_filter(list_transform(string_split_regex("备注", '[;；,，、]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS n, list_filter(list_transform(string_split_regex("备注", '[,，;；]'), lambda x: trim(x, ' ')), lambda x: x <> '')[1] AS p FROM sample_chemicals)
+      SELECT row_id, name, CAST(len(n) AS INTEGER) AS notes, CASE WHEN p IS NOT NULL THEN {_STORE} END AS first_class FROM r""",
+    "flatten_pivot": "SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS \"view\", count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error FROM events GROUP BY user_id",
+}
