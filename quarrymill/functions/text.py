@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from quarrymill.vocab import NO_VALUE
 
 # White space of Unicode and zero-width marks.
-BLANK = r"[\s\x0B\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(chr(c) for c in range(0x2000, 0x200C))
 
 
 def trim_blanks(text: Column) -> Column:
     """Without blanks of any script at either end; null stays null."""
-    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def is_no_value(trimmed: Column, tokens: Iterable[str] = tuple(NO_VALUE)) -> Column:

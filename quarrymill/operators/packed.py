@@ -17,24 +17,34 @@ from quarrymill.functions.text import is_no_value, trim_blanks
 
 OPEN, CLOSE = "\ue000", "\ue001"
 
-# What may stand before and after a quoted span or an abbreviation with a slash.
+# What may stand before and after a quoted span or an abbreviation with a slash. Patterns test their
+# first character before they look behind, so that most places in a cell cost one comparison.
 _EDGE = r"\[\]{}(),;:|/+•·*\n\t，；、：①-⑳"
-_BEFORE = rf"(?<=(?:^|[-.{_EDGE}])\s{{0,4}})"
 _AFTER = rf"(?=\s*(?:$|[{_EDGE}]))"
 
+
+def _opening(mark: str) -> str:
+    """A quotation mark at the start of a value."""
+    return rf"{mark}(?<=(?:^|[-.{_EDGE}])\s{{0,4}}{mark})"
+
+
 _QUOTED = [
-    _BEFORE + r'"(?:[^"\\]|\\.|"")*+"' + _AFTER,
-    _BEFORE + r'"(?:[^"\\]|\\.)*?"' + _AFTER,
-    _BEFORE + r"'(?:[^'\\]|\\.)*+'" + _AFTER,
-    _BEFORE + r"“[^”]*”" + _AFTER,
-    _BEFORE + r"「[^」]*」" + _AFTER,
+    _opening('"') + r'(?:[^"\\]|\\.|"")*+"' + _AFTER,
+    _opening('"') + r'(?:[^"\\]|\\.)*?"' + _AFTER,
+    _opening("'") + r"(?:[^'\\]|\\.)*+'" + _AFTER,
+    _opening("“") + r"[^”]*”" + _AFTER,
+    _opening("「") + r"[^」]*」" + _AFTER,
 ]
 _PARENTHESES = [r"\((?:[^()]|\([^()]*\))*\)", r"（[^（）]*）"]
-_LOCANTS = [r"(?<![A-Za-z])(?:\d+['′’]*|[NOSPα-ω])(?:,(?:\d+['′’]*|[NOSP]))+(?=['′’]*-)"]
-_START = rf"(?<=(?:^|[{_EDGE}])\s{{0,4}})"
-_SLASHED = [_START + r"(?:[A-Z]{1,2}/[A-Z0-9]+|[A-Z]{2,}/[A-Z])(?![A-Za-z0-9-])"]
+_LOCANTS = [r"(?:\d++['′’]*|[NOSPα-ω](?<![A-Za-z].)),(?:\d++['′’]*|[NOSP])(?:,(?:\d++['′’]*|[NOSP]))*(?=['′’]*-)"]
+_SLASHED = [
+    rf"[A-Z][A-Z]?/[A-Z0-9]++(?![a-z-])(?<=(?:^|[{_EDGE}])\s{{0,4}}[A-Z]{{1,2}}/[A-Z0-9]{{1,12}})",
+    rf"[A-Z]{{2,8}}/[A-Z](?![A-Za-z0-9-])(?<=(?:^|[{_EDGE}])\s{{0,4}}[A-Z]{{2,8}}/[A-Z])",
+]
 # A comma before a lower-case qualifier, as in "DVI-D, dual link" or "8.1, 64-bit".
-_QUALIFIER = [rf"(?<=[^\s{_EDGE}]),\s(?:[a-z]{{2,}}(?:\s[a-z]+)*|\d+-[a-z]+)(?=\s*(?:$|[{_EDGE}]|\s\d{{1,2}}\.\s))"]
+_QUALIFIER = [rf",\s(?:[a-z]{{2,}}(?:\s[a-z]+)*|\d+-[a-z]+)(?=\s*(?:$|[{_EDGE}]|\s\d{{1,2}}\.\s))"]
+# A cell without any of these has no span.
+_MAY_SPAN = f"[\"'“「(（/{OPEN}{CLOSE}]|,"
 
 # Delimiters between values, once the spans above are out of the way.
 DELIMITERS = r"[,;|/•·\n\r\t，；、｜①-⑳]|(?<=\s|^)\+"
@@ -82,31 +92,45 @@ def explode_packed(
         .select("row_id", "p.field_name", trim_blanks(F.col("p.cell")).alias("cell"))
         .where(~is_no_value(F.col("cell")))
     )
-    spans = F.regexp_extract_all(F.col("cell"), F.lit(pattern), F.lit(0))
-    held = cells.withColumn("spans", spans).withColumn("pieces", F.split("cell", pattern, -1))
-    held = held.withColumn(
-        "masked",
-        F.array_join(
-            F.transform("pieces", lambda p, i: F.when(i < F.size("spans"), F.concat(p, F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(p)),
-            "",
-        ),
+    may = F.col("cell").rlike(_MAY_SPAN)
+    spans = F.when(may, F.regexp_extract_all(F.col("cell"), F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    held = cells.withColumn("spans", spans)
+    marked = F.transform(
+        F.split("cell", pattern, -1), lambda p, i: F.when(i < F.size("spans"), F.concat(p, F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(p)
     )
-    bare = F.regexp_replace("masked", r"(?s)^\s*[\[{【]\s*(.*?)\s*[\]}】]\s*$", "$1")
-    numbered = F.when(bare.rlike(r"^\s*1\s?[.)．]\s"), F.regexp_replace(bare, r"(?:^|\s)\d{1,3}\s?[.)．]\s+", "\n")).otherwise(bare)
+    held = held.withColumn("masked", F.when(F.size("spans") > 0, F.array_join(marked, "")).otherwise(F.col("cell")))
+    inner = trim_blanks(F.substring(F.col("masked"), F.lit(2), F.length("masked") - 2))
+    bracketed = F.left("masked", F.lit(1)).isin("[", "{", "【") & F.right("masked", F.lit(1)).isin("]", "}", "】")
+    held = held.withColumn("bare", F.when(bracketed, inner).otherwise(F.col("masked")))
+    is_numbered = F.left("bare", F.lit(1)).isin("1", "１") & F.col("bare").rlike(r"^[1１]\s?[.)．]\s")
+    numbered = F.when(is_numbered, F.regexp_replace("bare", r"(?:^|\s)\d{1,3}\s?[.)．]\s+", "\n")).otherwise(F.col("bare"))
     held = held.select("row_id", "field_name", "spans", F.split(numbered, DELIMITERS, -1).alias("pieces"))
 
     key_of = rf"^{OPEN}\d+{CLOSE}\s*[:：]\s*"
     marker = r"^(?:[-*]\s+|[-*](?=[^\x00-\x7f]))"
 
-    def value(piece: Column) -> Column:
-        piece = trim_blanks(F.regexp_replace(trim_blanks(piece), key_of, ""))
-        piece = F.regexp_replace(piece, marker, "")
-        text = _restored(piece, F.col("spans"))
-        text = F.regexp_replace(text, r"^(?:\(\d{1,3}\)|（\d{1,3}）)\s*", "")
-        quoted = piece.rlike(rf"^{OPEN}\d+{CLOSE}$") & text.rlike(r"""(?s)^["'“「]""")
-        return trim_blanks(F.when(quoted, _unquoted(text)).otherwise(text))
-
-    items = F.filter(F.transform("pieces", value), lambda v: v != "")
+    # Each step binds its values to a variable of its own, so nothing is computed twice.
+    def bare_piece(piece: Column) -> Column:
+        keyed = F.when(piece.startswith(OPEN), trim_blanks(F.regexp_replace(piece, key_of, ""))).otherwise(piece)
+        return F.when(F.left(keyed, F.lit(1)).isin("-", "*"), F.regexp_replace(keyed, marker, "")).otherwise(keyed)
+
+    def with_text(piece: Column) -> Column:
+        lone = piece.startswith(OPEN) & (F.instr(piece, CLOSE) == F.length(piece))
+        text = F.when(F.contains(piece, F.lit(OPEN)), _restored(piece, F.col("spans"))).otherwise(piece)
+        return F.struct(lone.alias("lone"), text.alias("text"))
+
+    def value(x: Column) -> Column:
+        text = x["text"]
+        first = F.left(text, F.lit(1))
+        return (
+            F.when(x["lone"] & first.isin('"', "'", "“", "「"), trim_blanks(_unquoted(text)))
+            .when(first.isin("(", "（"), trim_blanks(F.regexp_replace(text, r"^(?:\(\d{1,3}\)|（\d{1,3}）)\s*", "")))
+            .otherwise(trim_blanks(text))
+        )
+
+    steps = F.filter(F.transform("pieces", lambda p: trim_blanks(p)), lambda p: p != "")
+    steps = F.transform(F.transform(steps, lambda p: bare_piece(p)), lambda p: with_text(p))
+    items = F.filter(F.transform(steps, lambda x: value(x)), lambda v: v != "")
     return held.select(F.lit(table_name).alias("table_name"), "row_id", "field_name", F.posexplode(items).alias("i", "item")).select(
         "table_name", "row_id", "field_name", (F.col("i") + 1).cast("int").alias("pos"), "item"
     )
