@@ -42,7 +42,7 @@ def scan_names(texts: DataFrame, key: str, text: str, names: DataFrame, least: i
             for batch in batches:
                 rows = []
                 for k, t in zip(batch.key, batch.text, strict=True):
-                    found = {w for end, w in holder["a"].iter(t) if _bounded(t, end - len(w), end + 1)} if words.value else set()
+                    found = {w for end, w in holder["a"].iter(t) if _bounded(t, end - len(w) + 1, end + 1)} if words.value else set()
                     rows += [(k, w) for w in found]
                 yield pd.DataFrame(rows, columns=["key", "name"])
 

@@ -66,6 +66,9 @@ def _unquoted(value: Column) -> Column:
     body = F.substring(value, 2, 2_000_000_000)
     body = F.regexp_replace(body, r"(?s).$", "")
     double = F.regexp_replace(body, r'""|\\"', '"')
+    # Characters written as escapes are read as JSON has them.
+    read = F.get(F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>"), F.lit(0))
+    double = F.when(F.contains(value, F.lit("\\u")), F.coalesce(read, double)).otherwise(double)
     single = F.regexp_replace(body, r"\\'", "'")
     plain = F.when(value.startswith('"'), double).when(value.startswith("'"), single).otherwise(body)
     return F.regexp_replace(plain, r"\\\\", r"\\")

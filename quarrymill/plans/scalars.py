@@ -332,18 +332,24 @@ g AS (SELECT id, i, {_case([(s, [s]) for s in V.SOLVENTS], "NULL", "part")} AS s
 SELECT id, solvent, arg_min(grade, i) AS grade FROM g WHERE solvent IS NOT NULL GROUP BY id, solvent"""
 
 # JSON text of a model's answer, made from the events: fenced, prefixed, with trailing commas and bare keys.
-_FENCED = F.concat(F.lit("Answer:\n```json\n"), F.col("props"), F.lit("\n```\nDone."))
-_SLOPPY = F.concat(F.lit("Result: "), F.regexp_replace("props", r'"(k)"', "$1"), F.lit(" // note"))
+def _fenced() -> Column:
+    return F.concat(F.lit("Answer:\n```json\n"), F.col("props"), F.lit("\n```\nDone."))
+
+
+def _sloppy() -> Column:
+    return F.concat(F.lit("Result: "), F.regexp_replace("props", r'"(k)"', "$1"), F.lit(" // note"))
+
+
 _FENCED_SQL = "'Answer:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' || chr(10) || 'Done.'"
 _SLOPPY_SQL = """'Result: ' || regexp_replace(props, '"(k)"', '\\1', 'g') || ' // note'"""
 _scalar("json_direct", "events", "event_id", {"k": (lambda: F.get_json_object("props", "$.k").cast("int"), "CAST(json_extract_string(props, '$.k') AS INTEGER)")})
-_scalar("json_fence", "events", "event_id", {"body": (lambda: J.fenced_block(_FENCED), rf"trim(regexp_extract({_FENCED_SQL}, '(?is)```(?:json)?[ \t\r\n]*(.*?)[ \t\r\n]*```', 1))")})
-_scalar("json_outer", "events", "event_id", {"body": (lambda: J.outer_object(_SLOPPY), rf"regexp_extract({_SLOPPY_SQL}, '(?s)\{{.*\}}')")})
-_scalar("json_regex", "events", "event_id", {"longest": (lambda: J.longest_object(_FENCED), rf"list_sort([[length(x), x] FOR x IN regexp_extract_all({_FENCED_SQL}, '\{{[^{{}}]*\}}')], 'DESC')[1][2]")})
+_scalar("json_fence", "events", "event_id", {"body": (lambda: J.fenced_block(_fenced()), rf"trim(regexp_extract({_FENCED_SQL}, '(?is)```(?:json)?[ \t\r\n]*(.*?)[ \t\r\n]*```', 1))")})
+_scalar("json_outer", "events", "event_id", {"body": (lambda: J.outer_object(_sloppy()), rf"regexp_extract({_SLOPPY_SQL}, '(?s)\{{.*\}}')")})
+_scalar("json_regex", "events", "event_id", {"longest": (lambda: J.longest_object(_fenced()), rf"list_sort([[length(x), x] FOR x IN regexp_extract_all({_FENCED_SQL}, '\{{[^{{}}]*\}}')], 'DESC')[1][2]")})
 ORACLE["json_regex"] = rf"SELECT event_id, regexp_extract({_FENCED_SQL}, '\{{[^{{}}]*\}}') AS longest FROM events"
 _scalar("json_kv", "events", "event_id", {"k": (lambda: J.key_values(F.regexp_replace("props", '[{}"]', ""))["k"], "trim(regexp_extract(regexp_replace(props, '[{}\"]', '', 'g'), 'k[ ]*[:：][ ]*([^,\n]+)', 1))")})
-_scalar("json_fix", "events", "event_id", {"k": (lambda: F.get_json_object(J.repair(_SLOPPY), "$.k"), "json_extract_string(props, '$.k')")})
-_scalar("json_key_extract", "events", "event_id", {"k": (lambda: J.value_of_key(_SLOPPY, "k"), rf"coalesce(nullif(regexp_extract({_SLOPPY_SQL}, '\bk\b[ ]*[:：][ ]*([0-9.+-]+)', 1), ''))")})
+_scalar("json_fix", "events", "event_id", {"k": (lambda: F.get_json_object(J.repair(_sloppy()), "$.k"), "json_extract_string(props, '$.k')")})
+_scalar("json_key_extract", "events", "event_id", {"k": (lambda: J.value_of_key(_sloppy(), "k"), rf"coalesce(nullif(regexp_extract({_SLOPPY_SQL}, '\bk\b[ ]*[:：][ ]*([0-9.+-]+)', 1), ''))")})
 _scalar("json_prose", "events", "event_id", {"value": (lambda: J.prose_value(F.concat(F.lit("事件类型为"), "event_type", F.lit("，其余略。")), "事件类型"), "event_type")})
 _scalar("json_id", "sample_chemicals", "row_id", {"id": (lambda: J.id_of_answer(F.concat(F.lit("CAS号是 "), F.coalesce("CAS号", F.lit("")), F.lit(" 。"))), f"list_filter(regexp_extract_all('CAS号是 ' || coalesce(CAS号, '') || ' 。', '(?:^|[^0-9-])({_FORM})(?:$|[^0-9-])', 1), lambda x: {_check('x')})[1]")})
 
