@@ -46,8 +46,8 @@ def top_k(scored: DataFrame, k: int, query: str = "query", name: str = "name", s
 def gram_weights(names: DataFrame, name: str = "name") -> tuple[DataFrame, DataFrame]:
     """Postings ``gram, name, w`` with smoothed TF-IDF of unit length, and the ``gram, idf`` table."""
     counted = names.withColumnRenamed(name, "name").select("name", F.explode(grams(F.col("name"))).alias("gram")).groupBy("name", "gram").agg(F.count("*").alias("tf"))
-    total = names.agg(F.count("*").alias("n"))
-    idf = counted.groupBy("gram").agg(F.count("*").alias("df")).join(total, F.lit(True)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    n = names.count()
+    idf = counted.groupBy("gram").agg(F.count("*").alias("df")).select("gram", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = counted.join(idf, "gram").select("name", "gram", (F.col("tf") * F.col("idf")).alias("w"))
     norm = raw.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "name").select("gram", "name", (F.col("w") / F.col("norm")).alias("w")), idf
@@ -83,20 +83,15 @@ def near_pairs(left: DataFrame, right: DataFrame, least: float = 0.75, score: Co
         return F.array_distinct(F.transform(starts, lambda i: F.struct(n.alias("n"), F.substring(F.col(name), i * size + 1, F.when(i == count - 1, n).otherwise(size)).alias("piece"))))
 
     cut = a.select("left_name", F.explode(pieces("left_name")).alias("p")).select("left_name", F.col("p.piece").alias("piece"), F.length("left_name").alias("n"))
-    sizes = cut.select(F.length("piece").alias("size")).distinct().agg(F.sort_array(F.collect_set("size")).alias("sizes"))
-    spread = b.join(sizes, F.lit(True)).select(
-        "right_name",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        "sizes",
-                        lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length("right_name") - s + 1, F.lit(1))), lambda at: F.substring(F.col("right_name"), at, s)),
-                    )
-                )
-            )
-        ).alias("piece"),
-    )
+    # At most as many sizes as a name has characters.
+    sizes = sorted(r["size"] for r in cut.select(F.length("piece").alias("size")).distinct().collect())
+
+    def cuts(size: int) -> Column:
+        starts = F.when(F.length("right_name") >= size, F.sequence(F.lit(1), F.length("right_name") - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.substring(F.col("right_name"), at, F.lit(size)))
+
+    every = F.array_distinct(F.flatten(F.array(*[cuts(s) for s in sizes]))) if sizes else F.array().cast("array<string>")
+    spread = b.select("right_name", F.explode(every).alias("piece"))
     shorter_left = cut.join(spread, "piece").where(F.length("right_name") >= F.col("n")).select("left_name", "right_name").distinct()
     value = score if score is not None else edit_ratio(F.col("left_name"), F.col("right_name"))
     return shorter_left.withColumn("score", value).where(F.col("score") >= least)
@@ -117,15 +112,15 @@ def vector_top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k:
     k rows per query and block are shuffled. Vectors without length have no score.
     """
 
-    def packed(df: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+    def packed(df: DataFrame, side: str) -> tuple[DataFrame, int]:
         slim = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-        n = slim.agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("long").alias("blocks"))
-        placed = slim.join(n, F.lit(True)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        n = max(1, -(-slim.count() // block))
+        placed = slim.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
         return placed.groupBy("block").agg(F.collect_list("id").alias(f"{side}_ids"), F.collect_list("v").alias(f"{side}_vs")).withColumnRenamed("block", f"{side}_block"), n
 
     q, q_count = packed(queries, "q")
     r, _ = packed(rows, "r")
-    spread = r.join(q_count, F.lit(True)).withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = r.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_count - 1).cast("long"))))
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

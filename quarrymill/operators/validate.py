@@ -55,9 +55,9 @@ def range_violations(df: DataFrame, limits: Mapping[str, tuple[float | None, flo
 def duplicate_values(df: DataFrame, column: str, samples: int = 10) -> DataFrame:
     """``duplicates`` beyond the first of each value, and the least values that repeat, at most ``samples``."""
     repeated = df.where(F.col(column).isNotNull()).groupBy(column).count().where("count > 1")
-    shown = repeated.orderBy(column).limit(samples).agg(F.array_join(F.array_sort(F.collect_list(F.col(column).cast("string"))), ",").alias("samples"))
     total = repeated.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicates"))
-    return total.join(shown, F.lit(True))
+    shown = ",".join(str(r[0]) for r in sorted((str(r[column]),) for r in repeated.orderBy(column).limit(samples).collect()))
+    return total.withColumn("samples", F.lit(shown))
 
 
 def long_form(row: DataFrame, columns: Sequence[str], name: str, value: str) -> DataFrame:
