@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_LABELLED = 6000
@@ -30,7 +30,7 @@ BEAM = 8
 # Operating point of the beam search, in nats: the passage check that follows removes what is too much.
 RECALL_BIAS = 2.0
 
-_SENTENCE = re.compile(r"[。！？!?；\n\r]+|(?<=[a-z0-9\")’])\.(?=\s|$)")
+_SENTENCE = re.compile(r"[。！？!?；\n\r]+|(?<=\S)\.(?=\s|$)")
 _WRAPPED = re.compile(r"(?<=[A-Za-z,])\r?\n(?=[a-z])")
 _TERM = re.compile(r"[a-z][a-z'’-]+|[一-鿿]+")
 
@@ -257,7 +257,7 @@ def refine(model: SentenceModel, documents: DataFrame, pull: float = 200.0) -> S
         )
 
     schema = "slot long, " + ", ".join(f"c{c} double" for c in range(k))
-    text = documents.selectExpr("cast(text as string) text").where("text is not null")
+    text = documents.select(unnamed_text(documents).alias("text")).where("text is not null")
     got = text.mapInArrow(count, schema).groupBy("slot").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(k)]).toPandas()
     counts = np.zeros((TERM_SLOTS + 1, k))
     counts[got.slot.to_numpy()] = got[[f"c{c}" for c in range(k)]].to_numpy()
@@ -266,11 +266,20 @@ def refine(model: SentenceModel, documents: DataFrame, pull: float = 200.0) -> S
     return SentenceModel(np.log(smooth / smooth.sum(axis=0)), np.log((mass + 1) / (mass + 1).sum()))
 
 
+def unnamed_text(documents: DataFrame) -> Column:
+    """The text without the entity it was filed under: names stand in sentences of all kinds and tell nothing of the subject."""
+    text = F.col("text").cast("string")
+    if "entity_name" not in documents.columns:
+        return text
+    name = F.trim(F.col("entity_name").cast("string"))
+    return F.when(F.length(name) > 1, F.replace(text, name, F.lit(" "))).otherwise(text)
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> list:
     """At most ``limit`` labelled documents, by the hash of their id, with all of their labels."""
     ids = labels.where("subject is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(limit)
     chosen = labels.where("subject is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("labels"))
-    slim = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
+    slim = documents.select("doc_id", unnamed_text(documents).alias("text"), F.col("source").cast("string").alias("source"))
     return slim.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "source", "labels").orderBy("doc_id").collect()
 
 
@@ -313,5 +322,5 @@ def assign_subjects(documents: DataFrame, model: SubjectModel) -> DataFrame:
                 names = np.array(shared.value.subjects, dtype=object)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(names[subject], pa.string())], ["doc_id", "subject"])
 
-    slim = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(source as string) source")
+    slim = documents.select(F.col("doc_id").cast("long"), unnamed_text(documents).alias("text"), F.col("source").cast("string"))
     return slim.mapInArrow(run, "doc_id long, subject string")
