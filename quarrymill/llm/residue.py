@@ -321,7 +321,11 @@ class Index:
             return "filler"
         covered: dict[str, float] = defaultdict(float)
         total = 0.0
-        if self.postings.keys().isdisjoint(features(cell)):
+        # A covered cell has at least this part of its weight in exemplars; half of it leaves room for
+        # features that several windows share.
+        whole = set(features(cell))
+        shared = sum(map(self.weight, whole & self.postings.keys()))
+        if not shared or shared < 0.5 * CELL_COVERAGE * WINDOW_CONTAINMENT * sum(map(self.weight, whole)):
             return None
         for part in _WINDOW.split(cell):
             found = features(part)
