@@ -8,7 +8,7 @@ state machine diagnoses. Blocks never cross a partition, so the operator needs n
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -95,11 +95,14 @@ def diagnose(record: str, rules: CsvRules) -> tuple[list[str] | None, str | None
     return fields, None
 
 
-def _columnar(records: pa.Array, rules: CsvRules) -> list[pa.Array] | None:
+def _strict(records: pa.Array, rules: CsvRules) -> pa.Array:
+    """Per record: strict RFC 4180 with the right number of fields, tested by columns."""
+    return pc.match_substring_regex(records, "(?s)^" + ",".join([_FIELD] * len(rules.columns)) + "$")
+
+
+def _columnar(records: pa.Array, strict: pa.Array, rules: CsvRules) -> list[pa.Array] | None:
     """The columns of a block that parses as a whole, else None."""
-    width = len(rules.columns)
-    strict = "(?s)^" + ",".join([_FIELD] * width) + "$"
-    if not pc.all(pc.match_substring_regex(records, strict), min_count=0).as_py():
+    if not pc.all(strict, min_count=0).as_py():
         return None
     data = "\n".join(records.to_pylist()).encode() + b"\n"
     try:
@@ -132,24 +135,27 @@ def _invalid(columns: list[pa.Array], rules: CsvRules) -> list[bool]:
     return bad
 
 
-def parse_block(ids: Sequence[int], records: pa.Array, rules: CsvRules) -> Iterator[tuple]:
-    """``(id, fields or None, reason or None)`` of every record of the block; bisects what fails as a whole."""
+Part = tuple[list[pa.Array], list[str | None]]
+
+
+def parse_block(records: pa.Array, strict: pa.Array, rules: CsvRules) -> Iterator[Part]:
+    """Columns (null where not loadable) and reasons of the records in order; bisects what fails as a whole."""
     if not len(records):
         return
-    columns = _columnar(records, rules)
+    columns = _columnar(records, strict, rules)
     if columns is not None:
         bad = _invalid(columns, rules)
-        for i, key in enumerate(ids):
-            yield key, [c[i].as_py() for c in columns] if bad[i] is False else None, "invalid_value" if bad[i] else None
+        mask = pa.array(bad, pa.bool_())
+        yield [pc.if_else(mask, pa.scalar(None, pa.string()), c) for c in columns], ["invalid_value" if b else None for b in bad]
         return
     if len(records) == 1:
-        text = records[0].as_py()
-        fields, reason = diagnose(text, rules)
-        yield ids[0], None if reason else fields, reason
+        fields, reason = diagnose(records[0].as_py(), rules)
+        row = [None] * len(rules.columns) if reason else fields
+        yield [pa.array([v], pa.string()) for v in row], [reason]
         return
     half = len(records) // 2
-    yield from parse_block(ids[:half], records.slice(0, half), rules)
-    yield from parse_block(ids[half:], records.slice(half), rules)
+    yield from parse_block(records.slice(0, half), strict.slice(0, half), rules)
+    yield from parse_block(records.slice(half), strict.slice(half), rules)
 
 
 def parse_records(
@@ -164,14 +170,15 @@ def parse_records(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             records = pc.fill_null(batch.column(1).cast(pa.string()), "")
-            for start in range(0, len(ids), block):
-                rows = list(parse_block(ids[start : start + block], records.slice(start, block), rules))
-                columns = [pa.array([r[0] for r in rows], pa.int64())]
-                columns += [pa.array([r[1][k] if r[1] else None for r in rows], pa.string()) for k in range(width)]
-                columns.append(pa.array([r[2] for r in rows], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, [key, *rules.columns, "reason"])
+            strict = _strict(records, rules)
+            parts: list[Part] = []
+            for start in range(0, len(records), block):
+                parts += parse_block(records.slice(start, block), strict.slice(start, block), rules)
+            if parts:
+                columns = [pa.concat_arrays([p[0][k] for p in parts]) for k in range(width)]
+                reasons = pa.array([r for p in parts for r in p[1]], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, reasons], [key, *rules.columns, "reason"])
 
     return df.selectExpr(f"cast(`{key}` as long) `{key}`", f"cast(`{text}` as string) `{text}`").mapInArrow(run, schema)
 
