@@ -176,6 +176,16 @@ class Decoder:
         except UnicodeDecodeError:
             return False
 
+    def _reads(self, data: bytes) -> bool:
+        """Whether a three-byte character of the corpus stands anywhere in the bytes."""
+        for found in self.three.finditer(data):
+            try:
+                if found.group().decode() in self.frequencies.single:
+                    return True
+            except UnicodeDecodeError:
+                continue
+        return False
+
     def channels(self, cell: str) -> list[tuple]:
         """The channels that may have damaged the cell: a cheap test of each; none for most clean cells."""
         if cell.isascii():
@@ -194,19 +204,20 @@ class Decoder:
                         known = single.get((a + b).decode("gbk"), 0)
                     except UnicodeDecodeError:
                         continue
-                    if known:
+                    # Its two letters are seldom more than ten times as frequent as what they were.
+                    if 10 * known >= min(single.get(cell[i], 0), single.get(cell[i + 1], 0)) and known:
                         found.add("gbk-as-latin")
                         break
         if any(c > "\u00ff" for c in cell):
             as_gbk = b"".join(self._encoded(c, "gbk") or b"\x00" for c in cell)
-            if lost or self.three.search(as_gbk) or not self.turned["gbk", "utf-8"].isdisjoint(cell):
+            if lost or self._reads(as_gbk) or not self.turned["gbk", "utf-8"].isdisjoint(cell):
                 found.add("utf8-as-gbk")
             if self.western.search(as_gbk):
                 found.add("latin-as-gbk")
             if not self.turned["big5", "gbk"].isdisjoint(cell):
                 found.add("gbk-as-big5")
             as_big5 = b"".join(self._encoded(c, "big5") or b"\x00" for c in cell)
-            if self.three.search(as_big5) or not self.turned["big5", "utf-8"].isdisjoint(cell):
+            if self._reads(as_big5) or not self.turned["big5", "utf-8"].isdisjoint(cell):
                 found.add("utf8-as-big5")
         if lost:
             found.add("gbk-as-utf8")
