@@ -114,6 +114,12 @@ INVALID_FIELDS = ["N/A", "NULL", "NONE", "未知", "无数据", "无", "不详",
 INVALID_ANSWERS = ["", "null", "none", "n/a", "na", "undefined", "[待补全]", "待补全", "暂无", "无", "未知", "...", "<具体值>", "<值>", "占位符",
                    "placeholder", "todo", "tbd"]
 
+# Words cut from the start of a listed name, words from which on its rest is cut, and words of producer clauses.
+LIST_PREFIXES = ["由", "从", "以", "通过", "经过", "利用", "使用", "主要", "含有", "含"]
+LIST_SUFFIXES = ["等", "类", "制得", "制备", "制成", "生产", "合成", "反应", "裂解", "氧化", "分解", "化学品", "原料", "物质", "材料", "中提取", "为原料", "作为溶剂"]
+PRODUCER_WORDS = ["主要生产商", "生产商", "生厂商", "制造商", "生产企业", "制造企业"]
+ORGANISATION_WORDS = ["公司", "企业", "厂", "集团"]
+
 # Relation types of the graph.
 PRODUCES, COMES_FROM, TAKES_PART, RAW_MATERIAL = "产生", "来源", "参与", "原料"
 PLACEHOLDER = "[待补全]"
