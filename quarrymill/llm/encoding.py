@@ -159,7 +159,7 @@ class Decoder:
         self.latin = re.compile("[\u0080-ÿŒœŠšŸŽžƒˆ˜–-›€™][\u0040-ÿŒœŠšŸŽžƒˆ˜–-›€™]")
         self.three = re.compile(rb"[\xe2-\xe9\xef][\x80-\xbf]{2}")
         # A Western letter and the ASCII letter after it, read as one double-byte character.
-        self.western = re.compile(rb"(?:^|[A-Za-z ])[\xc0-\xff][a-z]")
+        self.western = re.compile(rb"(?:^|[A-Za-z ])[\xc0-\xff][A-Za-z]")
         # Characters that a double-byte channel turns into much more frequent ones.
         single = frequencies.single
         self.turned = {
@@ -319,7 +319,7 @@ class Decoder:
             if i < n and here:
                 char = cell[i]
                 score = here[0] + (log_p(here[1], char) if char != LOST else -30.0)
-                if char > "\u2fff" and i + 1 < n and "a" <= cell[i + 1] <= "z":
+                if char > "\u2fff" and i + 1 < n and cell[i + 1].isascii() and cell[i + 1].isalpha():
                     score -= 5.0  # a Chinese character hardly stands inside a Latin word
                 if clean[i + 1] is None or score > clean[i + 1][0]:
                     clean[i + 1] = (score, char, ("clean", 0, i), char)
