@@ -37,9 +37,11 @@ _QUOTED = [
 ]
 _PARENTHESES = [r"\((?:[^()]|\([^()]*\))*\)", r"（[^（）]*）"]
 _LOCANTS = [r"(?:\d++['′’]*|[NOSPα-ω](?<![A-Za-z].)),(?:\d++['′’]*|[NOSP])(?:,(?:\d++['′’]*|[NOSP]))*(?=['′’]*-)"]
+# An abbreviation with a slash starts a value; a bullet or a number with a dot may stand before it.
+_START = rf"(?:(?:^|[{_EDGE}])\s{{0,4}}|[-.]\s{{1,4}})"
 _SLASHED = [
-    rf"[A-Z][A-Z]?/[A-Z0-9]++(?![a-z-])(?<=(?:^|[{_EDGE}])\s{{0,4}}[A-Z]{{1,2}}/[A-Z0-9]{{1,12}})",
-    rf"[A-Z]{{2,8}}/[A-Z](?![A-Za-z0-9-])(?<=(?:^|[{_EDGE}])\s{{0,4}}[A-Z]{{2,8}}/[A-Z])",
+    rf"[A-Z][A-Z]?/[A-Z0-9]++(?![a-z-])(?<={_START}[A-Z]{{1,2}}/[A-Z0-9]{{1,12}})",
+    rf"[A-Z]{{2,8}}/[A-Z](?![A-Za-z0-9-])(?<={_START}[A-Z]{{2,8}}/[A-Z])",
 ]
 # A comma before a lower-case qualifier, as in "DVI-D, dual link" or "8.1, 64-bit".
 _QUALIFIER = [rf",\s(?:[a-z]{{2,}}(?:\s[a-z]+)*|\d+-[a-z]+)(?=\s*(?:$|[{_EDGE}]|\s\d{{1,2}}\.\s))"]

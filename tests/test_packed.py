@@ -28,6 +28,9 @@ CASES = [
     ("1,8-桉叶素,5,7,4'-三羟基黄酮,芦丁", ["1,8-桉叶素", "5,7,4'-三羟基黄酮", "芦丁"]),
     ("N,N-二乙基胺; (+)-儿茶素", ["N,N-二乙基胺", "(+)-儿茶素"]),
     ("NAS/ATX/PC/104/S/PDIF", ["NAS", "ATX", "PC/104", "S/PDIF"]),
+    ("- PC/104\n* S/PDIF\n- M.2 Key-E", ["PC/104", "S/PDIF", "M.2 Key-E"]),
+    ("1. 2 x HDMI 2.0 2. I/O shield 3. PS/2 4. DOS/V 7", ["2 x HDMI 2.0", "I/O shield", "PS/2", "DOS/V 7"]),
+    ("M.2 Key-E/USB-C/2 x A", ["M.2 Key-E", "USB-C", "2 x A"]),
     ("A + +DOS/V 7 +", ["A", "DOS/V 7"]),
     ("1. A 8.1\n2. B 3. C", ["A 8.1", "B", "C"]),
     ("①A②B③C", ["A", "B", "C"]),
