@@ -18,7 +18,7 @@ from quarrymill.session import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-# Texts with measures; the tables of the project hold none of these kinds.
+# Texts of every kind of measure and note. The queries over them are fixtures; name_all is the same over the whole tables.
 MEASURES = [
     "mp 10-15℃, bp 77F", "-114.1°C", "300K to 310K", "20~25°C storage", "77°F", "101.3kPa at 25℃", "1 atm", "760mmHg @ 20°C; 2 bar", "0.5 MPa",
     "0.789 g/cm³ at 20°C", "789 kg/m³", "1.2 g/mL", "10g/100mL (20℃)", "不溶于水，易溶于乙醇；微溶于乙醚", "任意比例混溶于水。溶于丙酮", "溶于苯,难溶于酸",
@@ -40,6 +40,22 @@ def _fixture(spark: SparkSession, rows: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(rows)), "id int, text string")
 
 
+# Every document and every remark, as they stand.
+_TEXTS = "(SELECT 'documents' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'sample_chemicals', row_id, 备注 FROM sample_chemicals) AS v"
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text")
+    return documents.union(table(spark, sf_dir, "sample_chemicals").select(F.lit("sample_chemicals"), "row_id", "备注"))
+
+
+def _both(name: str, rows: list[str], run: Callable[[DataFrame, list[str]], DataFrame], sql: Callable[[str, str], str]) -> None:
+    """A query over fixed rows, and the same as ``name_all`` over the whole tables. Both take the keys of a row."""
+    QUERIES[name] = lambda spark, sf_dir: run(_fixture(spark, rows), ["id"])
+    QUERIES[f"{name}_all"] = lambda spark, sf_dir: run(_texts(spark, sf_dir), ["origin", "id"])
+    ORACLE[name], ORACLE[f"{name}_all"] = sql("id", _values(rows)), sql("origin, id", _TEXTS)
+
+
 def _scalar(name: str, source: str, key: str, columns: dict[str, tuple[Callable[[], Column], str]]) -> None:
     """A query that shows expressions of every row of a table beside its key."""
 
@@ -51,11 +67,9 @@ def _scalar(name: str, source: str, key: str, columns: dict[str, tuple[Callable[
 
 
 def _fixed(name: str, rows: list[str], columns: dict[str, tuple[Callable[[], Column], str]]) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _fixture(spark, rows).select("id", *[make().alias(c) for c, (make, _) in columns.items()])
-
-    QUERIES[name] = run
-    ORACLE[name] = "SELECT id, " + ", ".join(f"{sql} AS {c}" for c, (_, sql) in columns.items()) + f" FROM {_values(rows)}"
+    shown = ", ".join(f"{sql} AS {c}" for c, (_, sql) in columns.items())
+    run = lambda df, keys: df.select(*keys, *[make().alias(c) for c, (make, _) in columns.items()])
+    _both(name, rows, run, lambda keys, source: f"SELECT {keys}, {shown} FROM {source}")
 
 
 def _in(words: list[str]) -> str:
@@ -249,39 +263,60 @@ def _show(column: Column) -> Column:
     return F.array_join(F.transform(column, lambda x: F.concat_ws("~", x["kind"], F.format_string("%.2f", x["low"]), F.format_string("%.2f", x["high"]))), ";")
 
 
-_fixed(
-    "extract_temp",
-    MEASURES,
-    {
-        "found": (
-            lambda: _show(M.extract_temperatures(F.col("text"))),
-            f"array_to_string(CASE WHEN regexp_matches(text, '{_RANGE}') THEN [concat_ws('~', 'range', printf('%.2f', {_CELSIUS.format(v='a', u='u')}), printf('%.2f', {_CELSIUS.format(v='b', u='u')})) FOR a, b, u IN list_zip(regexp_extract_all(text, '{_RANGE}', 1), regexp_extract_all(text, '{_RANGE}', 2), regexp_extract_all(text, '{_RANGE}', 3))] "
-            f"ELSE [concat_ws('~', 'point', printf('%.2f', {_CELSIUS.format(v='a', u='u')}), printf('%.2f', {_CELSIUS.format(v='a', u='u')})) FOR a, u IN list_zip(regexp_extract_all(text, '{_POINT}', 1), regexp_extract_all(text, '{_POINT}', 2))] END, ';')",
-        )
-    },
-)
-ORACLE["extract_temp"] = f"""
-WITH m AS (SELECT id, text, unnest(range(1, 1 + greatest(1, len(regexp_extract_all(text, '{_RANGE}')), len(regexp_extract_all(text, '{_POINT}'))))) AS i FROM {_values(MEASURES)}),
-s AS (SELECT id, i, len(regexp_extract_all(text, '{_RANGE}')) AS n,
+
+def _spans(keys: str, source: str) -> str:
+    return f"""
+WITH m AS (SELECT {keys}, text, unnest(range(1, 1 + greatest(1, len(regexp_extract_all(text, '{_RANGE}')), len(regexp_extract_all(text, '{_POINT}'))))) AS i FROM {source}),
+s AS (SELECT {keys}, i, len(regexp_extract_all(text, '{_RANGE}')) AS n,
   regexp_extract_all(text, '{_RANGE}', 1)[i] AS a, regexp_extract_all(text, '{_RANGE}', 2)[i] AS b, regexp_extract_all(text, '{_RANGE}', 3)[i] AS u,
-  regexp_extract_all(text, '{_POINT}', 1)[i] AS p, regexp_extract_all(text, '{_POINT}', 2)[i] AS q FROM m),
+  regexp_extract_all(text, '{_POINT}', 1)[i] AS p, regexp_extract_all(text, '{_POINT}', 2)[i] AS q FROM m)"""
+
+
+QUERIES["extract_temp"] = lambda spark, sf_dir: _fixture(spark, MEASURES).select("id", _show(M.extract_temperatures(F.col("text"))).alias("found"))
+ORACLE["extract_temp"] = f"""{_spans("id", _values(MEASURES))},
 t AS (SELECT id, i, CASE WHEN n > 0 AND a IS NOT NULL THEN concat_ws('~', 'range', printf('%.2f', {_CELSIUS.format(v='a', u='u')}), printf('%.2f', {_CELSIUS.format(v='b', u='u')}))
   WHEN n = 0 AND p IS NOT NULL THEN concat_ws('~', 'point', printf('%.2f', {_CELSIUS.format(v='p', u='q')}), printf('%.2f', {_CELSIUS.format(v='p', u='q')})) END AS x FROM s)
 SELECT id, coalesce(string_agg(x, ';' ORDER BY i), '') AS found FROM t GROUP BY id"""
+
+
+def _temperatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _texts(spark, sf_dir).select("origin", "id", F.posexplode(M.extract_temperatures(F.col("text"))).alias("i", "m"))
+    return found.select("origin", "id", (F.col("i") + 1).alias("pos"), "m.kind", "m.low", "m.high")
+
+
+QUERIES["extract_temp_all"] = _temperatures
+ORACLE["extract_temp_all"] = f"""{_spans("origin, id", _TEXTS)}
+SELECT origin, id, CAST(i AS INTEGER) AS pos, CASE WHEN n > 0 THEN 'range' ELSE 'point' END AS kind, CASE WHEN n > 0 THEN {_CELSIUS.format(v='a', u='u')} ELSE {_CELSIUS.format(v='p', u='q')} END AS low,
+  CASE WHEN n > 0 THEN {_CELSIUS.format(v='b', u='u')} ELSE {_CELSIUS.format(v='p', u='q')} END AS high FROM s WHERE CASE WHEN n > 0 THEN a ELSE p END IS NOT NULL"""
 _fixed("temp_convert", ["77F", "300K", "25℃", "-40°F", "0C"], {"celsius": (lambda: F.round(M.to_celsius(F.regexp_extract("text", _N, 0).cast("double"), F.regexp_extract("text", "[°℃CKF]+$", 0)), 2), _CELSIUS.format(v=f"regexp_extract(text, '{_N}')", u="regexp_extract(text, '[°℃CKF]+$')"))})
 
 
+def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text of the tables states any number of temperatures: one row for each."""
+    parts = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(_POINT), F.lit(g)).alias(n) for g, n in ((1, "v"), (2, "u"))])
+    found = _texts(spark, sf_dir).select("origin", "id", F.posexplode(parts).alias("i", "m"))
+    return found.select("origin", "id", (F.col("i") + 1).alias("pos"), F.round(M.to_celsius(F.col("m.v").cast("double"), F.col("m.u")), 2).alias("celsius"))
+
+
+QUERIES["temp_convert_all"] = _converted
+ORACLE["temp_convert_all"] = f"""WITH m AS (SELECT origin, id, text, unnest(range(1, 1 + len(regexp_extract_all(text, '{_POINT}')))) AS pos FROM {_TEXTS}),
+  g AS (SELECT origin, id, CAST(pos AS INTEGER) AS pos, regexp_extract_all(text, '{_POINT}', 1)[pos] AS v, regexp_extract_all(text, '{_POINT}', 2)[pos] AS u FROM m) SELECT origin, id, pos, {_CELSIUS.format(v="v", u="u")} AS celsius FROM g"""
+
+
 def _rows(name: str, pattern: str, spark_col: Callable[[], Column], fields: list[tuple[str, str]]) -> None:
     """A query with one row per match of a measure."""
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = _fixture(spark, MEASURES).select("id", F.posexplode(spark_col()).alias("i", "m"))
-        return found.select("id", (F.col("i") + 1).alias("pos"), *[F.col(f"m.{f}").alias(f) for f, _ in fields])
+    def run(df: DataFrame, keys: list[str]) -> DataFrame:
+        found = df.select(*keys, F.posexplode(spark_col()).alias("i", "m"))
+        return found.select(*keys, (F.col("i") + 1).alias("pos"), *[F.col(f"m.{f}").alias(f) for f, _ in fields])
 
-    QUERIES[name] = run
     groups = ", ".join(f"regexp_extract_all(text, '{pattern}', {g})[pos] AS g{g}" for g in range(1, 5 if name == "extract_solub" else 4))
-    ORACLE[name] = f"""WITH m AS (SELECT id, text, unnest(range(1, 1 + len(regexp_extract_all(text, '{pattern}')))) AS pos FROM {_values(MEASURES)}),
-      g AS (SELECT id, CAST(pos AS INTEGER) AS pos, {groups} FROM m) SELECT id, pos, {", ".join(f"{sql} AS {f}" for f, sql in fields)} FROM g"""
+
+    def matches(keys: str, source: str) -> str:
+        return f"""WITH m AS (SELECT {keys}, text, unnest(range(1, 1 + len(regexp_extract_all(text, '{pattern}')))) AS pos FROM {source}),
+      g AS (SELECT {keys}, CAST(pos AS INTEGER) AS pos, {groups} FROM m) SELECT {keys}, pos, {", ".join(f"{sql} AS {f}" for f, sql in fields)} FROM g"""
+
+    _both(name, MEASURES, run, matches)
 
 
 _KPA = "round(CAST(g1 AS DOUBLE) * CASE lower(g2) " + " ".join(f"WHEN '{u}' THEN {f}" for u, f in V.PRESSURE_UNITS.items()) + " END, 4)"
@@ -303,12 +338,14 @@ def _case(rules: list, default: str, column: str) -> str:
 
 
 def _parts_query(name: str, rules: list, default: str, separators: str) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = _fixture(spark, NOTES).select("id", F.posexplode(C.categorize(F.col("text"), rules, default, separators)).alias("i", "p"))
-        return found.select("id", F.col("p.class").alias("class"), F.col("p.part").alias("part"))
+    def run(df: DataFrame, keys: list[str]) -> DataFrame:
+        found = df.select(*keys, F.posexplode(C.categorize(F.col("text"), rules, default, separators)).alias("i", "p"))
+        return found.select(*keys, F.col("p.class").alias("class"), F.col("p.part").alias("part"))
 
-    QUERIES[name] = run
-    ORACLE[name] = f"WITH p AS (SELECT id, trim(unnest(string_split_regex(text, '{separators}'))) AS part FROM {_values(NOTES)}) SELECT id, {_case(rules, chr(39) + default + chr(39), 'part')} AS class, part FROM p WHERE part <> ''"
+    def parts(keys: str, source: str) -> str:
+        return f"WITH p AS (SELECT {keys}, trim(unnest(string_split_regex(text, '{separators}'))) AS part FROM {source}) SELECT {keys}, {_case(rules, chr(39) + default + chr(39), 'part')} AS class, part FROM p WHERE part <> ''"
+
+    _both(name, NOTES, run, parts)
 
 
 _parts_query("keyword_categorize", V.HAZARD_CLASSES, "其他", "[;；。]")
@@ -316,20 +353,28 @@ _parts_query("storage_classes", V.STORAGE_CLASSES, "其他要求", "[,，;；]")
 _fixed("relation_type", NOTES, {"type": (lambda: C.first_class(F.lower("text"), V.RELATION_TYPES, "工艺"), _case(V.RELATION_TYPES, "'工艺'", "lower(text)"))})
 _fixed("error_class", NOTES, {"class": (lambda: C.first_class(F.lower("text"), V.ERROR_CLASSES, "unknown"), _case(V.ERROR_CLASSES, "'unknown'", "lower(text)"))})
 _fixed("retry_delay", NOTES, {"seconds": (lambda: C.retry_delay(F.col("text"), F.col("id")), "CASE WHEN contains(lower(text), 'timeout') THEN least(10, 2 + id * 2) WHEN contains(lower(text), 'lock') THEN least(8, 1 + id) WHEN contains(lower(text), 'connection') THEN least(15, 3 + id * 3) WHEN id > 7 THEN -1 ELSE least(5, 1 + id) END")})
+# The tables number no attempts: the key counts them, from 0 to 9 and again.
+QUERIES["retry_delay_all"] = lambda spark, sf_dir: _texts(spark, sf_dir).select("origin", "id", C.retry_delay(F.col("text"), F.pmod("id", F.lit(10))).alias("seconds"))
+ORACLE["retry_delay_all"] = "SELECT origin, id, CASE WHEN contains(lower(text), 'timeout') THEN least(10, 2 + id % 10 * 2) WHEN contains(lower(text), 'lock') THEN least(8, 1 + id % 10) WHEN contains(lower(text), 'connection') THEN least(15, 3 + id % 10 * 3) WHEN id % 10 > 7 THEN -1 ELSE least(5, 1 + id % 10) END AS seconds FROM " + _TEXTS
 
 
-def _solubility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _fixture(spark, MEASURES).select("id", F.posexplode(C.solubility_grades(F.col("text"))).alias("i", "s"))
-    return found.groupBy("id", F.col("s.solvent").alias("solvent")).agg(F.min_by("s.grade", "i").alias("grade"))
+def _solubility(df: DataFrame, keys: list[str]) -> DataFrame:
+    found = df.select(*keys, F.posexplode(C.solubility_grades(F.col("text"))).alias("i", "s"))
+    return found.groupBy(*keys, F.col("s.solvent").alias("solvent")).agg(F.min_by("s.grade", "i").alias("grade"))
 
 
-QUERIES["solubility_map"] = _solubility
 _GRADES = [(g, [g]) for g in sorted(V.SOLUBILITY_GRADES, key=lambda g: (-len(g), g))]
-ORACLE["solubility_map"] = f"""
-WITH p AS (SELECT id, unnest(range(1, 1 + len(string_split_regex(text, '[,，;；。]')))) AS i, text FROM {_values(MEASURES)}),
-s AS (SELECT id, i, trim(string_split_regex(text, '[,，;；。]')[i]) AS part FROM p),
-g AS (SELECT id, i, {_case([(s, [s]) for s in V.SOLVENTS], "NULL", "part")} AS solvent, {_case(_GRADES, "'未知'", "part")} AS grade FROM s WHERE part <> '')
-SELECT id, solvent, arg_min(grade, i) AS grade FROM g WHERE solvent IS NOT NULL GROUP BY id, solvent"""
+
+
+def _grades(keys: str, source: str) -> str:
+    return f"""
+WITH p AS (SELECT {keys}, unnest(range(1, 1 + len(string_split_regex(text, '[,，;；。]')))) AS i, text FROM {source}),
+s AS (SELECT {keys}, i, trim(string_split_regex(text, '[,，;；。]')[i]) AS part FROM p),
+g AS (SELECT {keys}, i, {_case([(s, [s]) for s in V.SOLVENTS], "NULL", "part")} AS solvent, {_case(_GRADES, "'未知'", "part")} AS grade FROM s WHERE part <> '')
+SELECT {keys}, solvent, arg_min(grade, i) AS grade FROM g WHERE solvent IS NOT NULL GROUP BY {keys}, solvent"""
+
+
+_both("solubility_map", MEASURES, _solubility, _grades)
 
 # JSON text of a model's answer, made from the events: fenced, prefixed, with trailing commas and bare keys.
 def _fenced() -> Column:
