@@ -25,11 +25,25 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates that share a pair of characters: the index of the scorers below."""
+    """Candidates that share a pair of characters: the published SQL of jaccard_chars and char_overlap is of these only."""
     two = lambda df, c: df.select(c, F.explode(F.array_distinct(S.grams(F.col(c), (2,)))).alias("g"))
     return two(_queries(spark, sf_dir), "query").join(two(_names(spark, sf_dir), "name"), "g").select("query", "name").distinct()
 
 
+def _sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that share a character, as every pair with a score above 0 does: nothing is lost."""
+    one = lambda df, c: df.select(c, F.explode(S.characters(F.col(c))).alias("g"))
+    return one(_queries(spark, sf_dir), "query").join(one(_names(spark, sf_dir), "name"), "g").select("query", "name").distinct()
+
+
+def jaccard_chars_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sharing(spark, sf_dir).select("query", "name", F.round(S.jaccard(F.col("query"), F.col("name")), 4).alias("score"))
+
+
+def char_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sharing(spark, sf_dir).select("query", "name", F.round(S.overlap(F.col("query"), F.col("name")), 4).alias("score"))
+
+
 def jaccard_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("query", "name", F.round(S.jaccard(F.col("query"), F.col("name")), 4).alias("score"))
 
@@ -39,12 +53,12 @@ def char_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = char_overlap(spark, sf_dir).where("score >= 0.6")
+    scored = char_overlap_all(spark, sf_dir).where("score >= 0.6")
     return scored.groupBy("query").agg(F.max_by("name", F.struct(F.col("score"), F.length("name"), "name")).alias("name"), F.max("score").alias("score"))
 
 
 def tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _pairs(spark, sf_dir).withColumn("score", F.round(S.tiered(F.col("query"), F.col("name")), 4)).where("score > 0.3")
+    scored = _sharing(spark, sf_dir).withColumn("score", F.round(S.tiered(F.col("query"), F.col("name")), 4)).where("score > 0.3")
     return R.top_k(scored, 3).select("query", "name", "score", "rank")
 
 
@@ -59,7 +73,7 @@ def search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = jaccard_chars(spark, sf_dir).where("score >= 0.6")
+    scored = jaccard_chars_all(spark, sf_dir).where("score >= 0.6")
     return R.top_k(scored, 5).select("query", "name", "score", "rank")
 
 
@@ -117,7 +131,7 @@ def first_of_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KEYS = [
     "jaccard_chars", "char_overlap", "best_match", "tiered_search", "variant_index", "search_exact", "fuzzy_search", "search_topk", "fuzzy_pairs",
-    "canonical_shortest", "fuzzy_semi", "tfidf_search", "tfidf_stats", "vector_topk",
+    "canonical_shortest", "fuzzy_semi", "tfidf_search", "tfidf_stats", "vector_topk", "jaccard_chars_all", "char_overlap_all",
 ]
 QUERIES = {name: globals()[name] for name in _KEYS}
 
@@ -137,6 +151,8 @@ vi AS (SELECT variant, kind, arg_max(name, o) AS name FROM va WHERE variant IS N
 fz AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS rank FROM jac WHERE score >= 0.6) WHERE rank <= 5),
 makers AS (SELECT DISTINCT lower(trim(manufacturer, ' ')) AS name FROM enriched_pc_hardware_database WHERE regexp_full_match(lower(trim(manufacturer, ' ')), '[ -~]+')),
 near AS (SELECT a.name AS a, b.name AS b, round(1.0::DOUBLE - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)), 4) AS score, 1.0::DOUBLE - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) AS s FROM makers a JOIN makers b ON a.name < b.name)"""
+# The plain product of queries and names.
+_PRODUCT = _BASE.replace("pairs AS (SELECT DISTINCT query, name FROM qg JOIN ng USING (g))", "pairs AS (SELECT query, name FROM q, names)")
 _EXACT = "SELECT query, vi.name, max(CASE kind WHEN 'exact' THEN 1.0 WHEN 'variant' THEN 0.95 ELSE 0.9 END)::DOUBLE AS score FROM {q} JOIN vi ON variant = lower(trim(query, ' ')) GROUP BY query, vi.name"
 _TF = r"""ngrams AS (SELECT name, lower(name)[i:i+n-1] AS g FROM (SELECT name, n, unnest(range(1, length(name) - n + 2)) AS i FROM names, (VALUES (1), (2), (3)) t(n))),
 ntf AS (SELECT name, g, count(*) AS tf FROM ngrams GROUP BY name, g), idf AS (SELECT g, ln((1 + (SELECT count(*) FROM names)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM ntf GROUP BY g),
@@ -146,6 +162,8 @@ qw AS (SELECT query, g, count(*) * any_value(idf) AS w FROM qgrams JOIN idf USIN
 ORACLE = {
     "jaccard_chars": f"WITH {_BASE} SELECT * FROM jac",
     "char_overlap": f"WITH {_BASE} SELECT * FROM ovl",
+    "jaccard_chars_all": f"WITH {_PRODUCT} SELECT * FROM jac WHERE score > 0",
+    "char_overlap_all": f"WITH {_PRODUCT} SELECT * FROM ovl WHERE score > 0",
     "best_match": f"WITH {_BASE} SELECT query, name, score FROM ovl WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, length(name) DESC, name DESC) = 1",
     "tiered_search": f"WITH {_BASE} SELECT * FROM (SELECT query, name, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS INTEGER) AS rank FROM tier WHERE score > 0.3) WHERE rank <= 3",
     "variant_index": f"WITH {_BASE} SELECT * FROM vi",

@@ -17,3 +17,27 @@ def test_fixed_queries_have_one_over_the_tables(spark, tmp_path):
         assert set(per) == {"documents", "sample_chemicals"} and len(set(per.values())) == 1, name
         if name in ("synonym_fold", "extract_limits", "relation_type", "error_class", "retry_delay"):
             assert per["documents"] == len(texts)
+
+
+def search_tables(spark, folder, queries, names):
+    rows = [(50 * i, q, None) for i, q in enumerate(queries)]
+    spark.createDataFrame(rows, "row_id long, `品名` string, `CAS号` string").write.parquet(f"{folder}/sample_chemicals.parquet")
+    spark.createDataFrame([(i, n, None, None) for i, n in enumerate(names)], "`序号` int, `品名` string, `别名` string, `CAS号` string").write.parquet(f"{folder}/hazard_catalog.parquet")
+
+
+def test_scores_need_one_common_character(spark, tmp_path):
+    """Names of one character and reordered names share no pair of characters."""
+    queries, names = ["苯甲", "氯", "全氟肟", "Na", "水"], ["甲苯", "氯气", "三氟羧基肟", "钠 N", "氯", "乙醇"]
+    search_tables(spark, tmp_path, queries, names)
+    got = {(r.query, r.name): r.score for r in QUERIES["jaccard_chars_all"](spark, str(tmp_path)).collect()}
+    want = {}
+    for q in queries:
+        for n in names:
+            score = min(1.0, len(set(q) & set(n)) / len(set(q) | set(n)) + (0.3 if q in n or n in q else 0.0))
+            if score:
+                want[q, n] = round(score, 4)
+    assert got == want
+    assert set(want) == {(r.query, r.name) for r in QUERIES["char_overlap_all"](spark, str(tmp_path)).collect()}
+    for name in ("best_match", "fuzzy_search", "search_topk", "tiered_search"):
+        assert ("苯甲", "甲苯") in {(r.query, r.name) for r in QUERIES[name](spark, str(tmp_path)).collect()}, name
+    assert ("全氟肟", "三氟羧基肟") in {(r.query, r.name) for r in QUERIES["tiered_search"](spark, str(tmp_path)).collect()}
