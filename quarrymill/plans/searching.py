@@ -85,24 +85,46 @@ def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(best, 5).select("query", "name", "score", "rank")
 
 
-def _makers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct freely typed makers in plain characters."""
+def _every_maker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct freely typed makers."""
     rows = table(spark, sf_dir, "enriched_pc_hardware_database").select(F.lower(F.trim("manufacturer")).alias("name"))
-    return rows.where(F.col("name").rlike("^[ -~]+$")).distinct()
+    return rows.where("name <> ''").distinct()
 
 
-def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.near_pairs_both(_makers(spark, sf_dir), 0.75).select("a", "b", F.round("score", 4).alias("score"))
+def _makers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Makers in plain characters, where DuckDB's levenshtein, which counts bytes, agrees."""
+    return _every_maker(spark, sf_dir).where(F.col("name").rlike("^[ -~]+$"))
 
 
-def canonical_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _near(names: DataFrame) -> DataFrame:
+    return R.near_pairs_both(names, 0.75).select("a", "b", F.round("score", 4).alias("score"))
+
+
+def _shortest(names: DataFrame) -> DataFrame:
     """For each name the shortest of its near names, itself included."""
-    pairs = fuzzy_pairs(spark, sf_dir)
+    pairs = _near(names)
     both = pairs.select(F.col("a").alias("name"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    every = both.union(_makers(spark, sf_dir).select("name", F.col("name")))
+    every = both.union(names.select("name", F.col("name")))
     return every.groupBy("name").agg(F.min_by("other", F.struct(F.length("other"), "other")).alias("canonical"))
 
 
+def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(_makers(spark, sf_dir))
+
+
+def fuzzy_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near pairs of all makers. No SQL, since DuckDB has no edit distance of characters."""
+    return _near(_every_maker(spark, sf_dir))
+
+
+def canonical_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shortest(_makers(spark, sf_dir))
+
+
+def canonical_shortest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shortest(_every_maker(spark, sf_dir))
+
+
 def fuzzy_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries that are a known name, or contain or are contained in one of nearly their length."""
     queries = _queries(spark, sf_dir).select(F.col("query").alias("name")).where(F.length("name").between(2, 40))
@@ -132,6 +154,7 @@ def first_of_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEYS = [
     "jaccard_chars", "char_overlap", "best_match", "tiered_search", "variant_index", "search_exact", "fuzzy_search", "search_topk", "fuzzy_pairs",
     "canonical_shortest", "fuzzy_semi", "tfidf_search", "tfidf_stats", "vector_topk", "jaccard_chars_all", "char_overlap_all",
+    "fuzzy_pairs_all", "canonical_shortest_all",
 ]
 QUERIES = {name: globals()[name] for name in _KEYS}
 

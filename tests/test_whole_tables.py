@@ -41,3 +41,24 @@ def test_scores_need_one_common_character(spark, tmp_path):
     for name in ("best_match", "fuzzy_search", "search_topk", "tiered_search"):
         assert ("苯甲", "甲苯") in {(r.query, r.name) for r in QUERIES[name](spark, str(tmp_path)).collect()}, name
     assert ("全氟肟", "三氟羧基肟") in {(r.query, r.name) for r in QUERIES["tiered_search"](spark, str(tmp_path)).collect()}
+
+
+def test_makers_of_every_script(spark, tmp_path):
+    makers = ["诺维萨科技", "诺维萨科枝", "Nórvexa", "norvexa", "norvexa™", "Ｎｏｒｖｅｘａ", "科凡", "科凡达", "corvane", "Corvanne", "", " ", None, "é", "e"]
+    spark.createDataFrame([(i, m) for i, m in enumerate(makers)], "row_id long, manufacturer string").write.parquet(f"{tmp_path}/enriched_pc_hardware_database.parquet")
+    names = sorted({m.strip(" ").lower() for m in makers if m and m.strip(" ")})
+
+    def edits(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, line = line, [i]
+            for j, y in enumerate(b, 1):
+                line.append(min(last[j] + 1, line[-1] + 1, last[j - 1] + (x != y)))
+        return line[-1]
+
+    near = {(a, b): 1 - edits(a, b) / max(len(a), len(b)) for a in names for b in names if a < b}
+    near = {pair: round(s, 4) for pair, s in near.items() if s >= 0.75}
+    assert any(a > "⿿" for a, _ in near)
+    assert {(r.a, r.b): r.score for r in QUERIES["fuzzy_pairs_all"](spark, str(tmp_path)).collect()} == near
+    other = {n: min([n, *[b if n == a else a for a, b in near if n in (a, b)]], key=lambda x: (len(x), x)) for n in names}
+    assert {r.name: r.canonical for r in QUERIES["canonical_shortest_all"](spark, str(tmp_path)).collect()} == other
