@@ -155,73 +155,25 @@ class Decoder:
         self.cache: dict[tuple[str, str], bytes | None] = {}
         self.masks: dict[str, dict[tuple, list[str]]] | None = None
         self.memo: dict[str, tuple[bool, str, str]] = {}
-        single = frequencies.single
         self.latin = re.compile("[\u0080-ÿŒœŠšŸŽžƒˆ˜–-›€™][\u0040-ÿŒœŠšŸŽžƒˆ˜–-›€™]")
-        self.three = re.compile(rb"[\xe2-\xe9\xef][\x80-\xbf]{2}")
-        # A Western letter and the ASCII letter after it, read as one double-byte character.
-        self.western = re.compile(rb"(?:^|[A-Za-z ])[\xc0-\xff][A-Za-z]")
-        # Characters that a double-byte channel turns into much more frequent ones.
-        single = frequencies.single
-        self.turned = {
-            (read_as, written_in): {c for c, n in single.items() if ord(c) > 0xFF and self._likelier(c, n, read_as, written_in)}
-            for read_as, written_in in (("big5", "gbk"), ("big5", "utf-8"), ("gbk", "utf-8"))
-        }
-
-    def _likelier(self, char: str, n: int, read_as: str, written_in: str) -> bool:
-        data = self._encoded(char, read_as)
-        if not data or len(data) < 2:
-            return False
-        try:
-            return self.frequencies.single.get(data.decode(written_in)[0], 0) > 2 * n
-        except UnicodeDecodeError:
-            return False
-
-    def _reads(self, data: bytes) -> bool:
-        """Whether a three-byte character of the corpus stands anywhere in the bytes."""
-        for found in self.three.finditer(data):
-            try:
-                if found.group().decode() in self.frequencies.single:
-                    return True
-            except UnicodeDecodeError:
-                continue
-        return False
 
     def channels(self, cell: str) -> list[tuple]:
-        """The channels that may have damaged the cell: a cheap test of each; none for most clean cells."""
-        if cell.isascii():
-            return []
-        lost = LOST in cell or "锟" in cell
-        single = self.frequencies.single
-        found = set()
-        pairs = self.latin.findall(cell)
-        if pairs:
-            if peel(cell) != cell:
-                found.add("utf8-as-latin")
-            for i in range(len(cell) - 1):
-                a, b = LATIN.get(cell[i]), LATIN.get(cell[i + 1])
-                if a and b and a[0] > 0x80 and b[0] >= 0x40:
-                    try:
-                        known = single.get((a + b).decode("gbk"), 0)
-                    except UnicodeDecodeError:
-                        continue
-                    # Its two letters are seldom more than ten times as frequent as what they were.
-                    if 10 * known >= min(single.get(cell[i], 0), single.get(cell[i + 1], 0)) and known:
-                        found.add("gbk-as-latin")
-                        break
-        if any(c > "\u00ff" for c in cell):
-            as_gbk = b"".join(self._encoded(c, "gbk") or b"\x00" for c in cell)
-            if lost or self._reads(as_gbk) or not self.turned["gbk", "utf-8"].isdisjoint(cell):
-                found.add("utf8-as-gbk")
-            if self.western.search(as_gbk):
-                found.add("latin-as-gbk")
-            if not self.turned["big5", "gbk"].isdisjoint(cell):
-                found.add("gbk-as-big5")
-            as_big5 = b"".join(self._encoded(c, "big5") or b"\x00" for c in cell)
-            if self._reads(as_big5) or not self.turned["big5", "utf-8"].isdisjoint(cell):
-                found.add("utf8-as-big5")
-        if lost:
-            found.add("gbk-as-utf8")
-        return [c for c in CHANNELS if c[0] in found]
+        """The channels whose bytes can be read at all, whatever the corpus holds; the search weighs their readings."""
+        return [] if cell.isascii() else [c for c in CHANNELS if self._opens(cell, c)]
+
+    def _opens(self, cell: str, channel: tuple) -> bool:
+        """Whether a character of the channel may start at one of the cell's own; a lost byte may be any."""
+        name, read_as, written_in, _ = channel
+        if name == "utf8-as-latin":
+            return peel(cell) != cell
+        if read_as != "latin" and LOST in cell:
+            return True
+        data: list = []
+        starts = []
+        for char in cell:
+            starts.append(len(data))
+            data.extend(self._encoded(char, read_as) or ["barrier"])
+        return any(data[i] != "barrier" and data[i] >= 0x80 and self._next(data, i, written_in) for i in starts)
 
     def _encoded(self, char: str, encoding: str) -> bytes | None:
         key = (char, encoding)

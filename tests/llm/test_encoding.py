@@ -53,3 +53,15 @@ def test_edges(spark):
     rows = decode_cells(frame(spark, [*CLEAN * 5, long, long]), ["v"]).collect()
     assert [r.restored for r in rows] == ["阴凉处保存，远离火源" * 300] * 2
     assert peel("Ã©tÃ© NÃO") == "été NÃO"
+
+
+def test_channels_open_whatever_the_corpus_holds(spark):
+    """Clean copies at most twice the garbled ones: no character is much more frequent than its garbled form."""
+    text = "".join(map(chr, range(0x4E00, 0x5200)))
+    text = "".join(c for c in text if c.encode("gb2312", "ignore") and c.encode("gbk").decode("big5", "ignore") and c not in "".join(CLEAN))[:120]
+    damaged = text.encode("gbk").decode("big5")
+    df = frame(spark, CLEAN * 30 + [text] * 30 + [damaged] * 18)
+    got = {r.row_id: r.restored for r in decode_cells(df, ["v"]).collect()}
+    base = len(CLEAN) * 30 + 30
+    assert got == {base + i: text for i in range(18)}
+    assert {"gbk-as-big5", "utf8-as-gbk"} <= {c[0] for c in Decoder(corpus_frequencies(frame(spark, ["plain"]), ["v"])).channels(damaged + WHOLE.encode().decode("gbk"))}
