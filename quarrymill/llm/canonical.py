@@ -7,7 +7,7 @@ an entry's exact name beside another one ("mainboard (主板)"), the other one i
 if it keeps company with that entry only.
 
 Scale: only distinct values are scored, after a pre-aggregation on the map side; the reference list
-is a bounded table, learned names are counted in Spark and at most ``MAX_LEARNED``; the mapping goes
+is a bounded table, learned names are counted in Spark and all of them are held in memory; the mapping goes
 back to the rows by a broadcast behind a check of its size, beyond it by a salted join.
 """
 
@@ -30,7 +30,6 @@ from quarrymill.session import cut_lineage
 THRESHOLD = 0.62
 MARGIN = 0.04
 LEARNED_SHARE = 0.85
-MAX_LEARNED = 20_000
 MAX_BROADCAST_CHARACTERS = 8_000_000
 SALTS = 16
 
@@ -179,6 +178,7 @@ class Reference:
             for name in e.names:
                 self.exact[name] = e.ref_id
         self.names = sorted(self.exact)
+        self.limits = [allowed_edits(len(name)) for name in self.names]
         df = Counter(g for name in self.names for g in set(grams(name)))
         n = len(self.names)
         self.idf = {g: math.log(1 + n / c) for g, c in df.items()}
@@ -196,11 +196,12 @@ class Reference:
         return {g: w / norm for g, w in weights.items()}
 
     def candidates(self, part: str) -> list[tuple[float, str]]:
+        """Every name whose length allows it to be a misspelling of the part; such names share a gram with it."""
         scores: dict[int, float] = defaultdict(float)
         for g, w in self._weights(part).items():
             for i, other in self.postings.get(g, ()):
                 scores[i] += w * other
-        return sorted(((s, self.names[i]) for i, s in scores.items()), key=lambda x: (-x[0], x[1]))[:8]
+        return [(s, self.names[i]) for i, s in scores.items() if abs(len(self.names[i]) - len(part)) <= self.limits[i]]
 
     def match(self, value: str, threshold: float = THRESHOLD, margin: float = MARGIN) -> int:
         """The entry a value stands for, -1 for none."""
@@ -318,7 +319,7 @@ def map_to_reference(
     votes = distinct.select("field_name", "value").mapInPandas(vote, "field_name string, part string, ref_id int")
     counted = votes.groupBy("field_name", "part", "ref_id").count()
     summed = counted.groupBy("field_name", "part").agg(F.max_by("ref_id", "count").alias("ref_id"), F.max("count").alias("most"), F.sum("count").alias("n"))
-    kept = summed.where(F.col("most") >= LEARNED_SHARE * F.col("n")).orderBy(F.desc("n"), "field_name", "part").limit(MAX_LEARNED)
+    kept = summed.where(F.col("most") >= LEARNED_SHARE * F.col("n"))
     learned: dict[str, dict[str, int]] = defaultdict(dict)
     for r in kept.collect():
         learned[r["field_name"]][r["part"]] = r["ref_id"]

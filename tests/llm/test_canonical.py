@@ -1,4 +1,4 @@
-from quarrymill.llm.canonical import edit_distance, map_to_reference, words_fit
+from quarrymill.llm.canonical import Entry, Reference, edit_distance, map_to_reference, words_fit
 
 REF = [(1, "manufacturer", "Norvexa", "诺维萨", "NVX"), (2, "manufacturer", "Corvane", "科凡", "CRVN"), (3, "manufacturer", "Corvanta", "科凡达", "CRVT"),
        (10, "component_type", "Processor", "处理器", None), (11, "component_type", "Keyboard", "键盘", None), (12, "component_type", "Power Supply", "电源", None),
@@ -44,3 +44,15 @@ def test_edges(spark):
     assert mapped(spark, "manufacturer", ["x" * 100_000, "norvexa", "norvexa"]) == [-1, 1, 1]
     assert edit_distance("abcd", "abdc", 2) == 1 and edit_distance("a", "abcdef", 2) == 3
     assert words_fit("Powr Suply", "Power Supply") and not words_fit("Pet Supplies", "Power Supply")
+
+
+def test_learned_spellings_crowd_nothing_out():
+    """Names with better cosines, but too many edits away, don't hide the entry that is one edit away."""
+    learned = {f"nrvexa{i}nrvexa": 2 for i in range(10)}
+    reference = Reference([Entry(1, ["norvexa"], "Norvexa"), Entry(2, ["corvane"], "Corvane")], learned)
+    assert reference.match("nrvexa") == 1
+
+
+def test_all_learned_names_count(spark):
+    names = [*(f"n{i:05d}" for i in range(20_000)), "zzword"]
+    assert mapped(spark, "component_type", [*(f"{n} (Processor)" for n in names), "zzword"])[-1] == 10
