@@ -76,13 +76,19 @@ def substrings(text: Column, least: int, most: int) -> Column:
 def containing_pairs(left: DataFrame, right: DataFrame, least: int = 2, most: int = 40) -> DataFrame:
     """Pairs ``left_name, right_name`` of which one contains the other, by equi-joins on substrings.
 
-    ``left`` and ``right`` have a column ``name`` of distinct names of at most ``most`` characters.
+    ``left`` and ``right`` have a column ``name`` of distinct names. A name of more than ``most`` characters is found
+    by its first ``most``, then compared as a whole, so names of any length lose no pair.
     """
     a = left.select(F.col("name").alias("left_name")).where(F.length("name") >= least)
     b = right.select(F.col("name").alias("right_name")).where(F.length("name") >= least)
-    in_left = a.select("left_name", F.explode(substrings(F.col("left_name"), least, most)).alias("right_name")).join(b, "right_name")
-    in_right = b.select("right_name", F.explode(substrings(F.col("right_name"), least, most)).alias("left_name")).join(a, "left_name")
-    return in_left.select("left_name", "right_name").union(in_right.select("left_name", "right_name")).distinct()
+
+    def inside(long: DataFrame, short: DataFrame) -> DataFrame:
+        outer, inner = long.columns[0], short.columns[0]
+        spread = long.select(outer, F.explode(substrings(F.col(outer), least, most)).alias("piece"))
+        begun = short.select(inner, F.substring(inner, 1, most).alias("piece"))
+        return spread.join(begun, "piece").where((F.length(inner) <= most) | F.col(outer).contains(F.col(inner))).select("left_name", "right_name")
+
+    return inside(a, b).union(inside(b, a)).distinct()
 
 
 def lookup_ids(names: DataFrame, dictionary: DataFrame) -> DataFrame:

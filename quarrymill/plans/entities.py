@@ -58,7 +58,7 @@ def continuation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "sample_chemicals")
-    missing = rows.where((F.coalesce(F.trim("CAS号"), F.lit("")) == "") & (F.length(F.trim("品名")).between(2, 40)))
+    missing = rows.where((F.coalesce(F.trim("CAS号"), F.lit("")) == "") & (F.trim("品名") != ""))
     return missing.select(F.trim("品名").alias("name")).distinct()
 
 

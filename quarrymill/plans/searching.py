@@ -127,9 +127,9 @@ def canonical_shortest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fuzzy_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries that are a known name, or contain or are contained in one of nearly their length."""
-    queries = _queries(spark, sf_dir).select(F.col("query").alias("name")).where(F.length("name").between(2, 40))
-    near = containing_pairs(queries, _names(spark, sf_dir)).where(F.abs(F.length("left_name") - F.length("right_name")) <= 2)
-    return near.select(F.col("left_name").alias("name")).distinct()
+    queries, names = _queries(spark, sf_dir).select(F.col("query").alias("name")), _names(spark, sf_dir)
+    near = containing_pairs(queries, names).where(F.abs(F.length("left_name") - F.length("right_name")) <= 2)
+    return near.select(F.col("left_name").alias("name")).union(queries.join(names, "name", "left_semi")).distinct()
 
 
 def tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,22 @@ def test_makers_of_every_script(spark, tmp_path):
     assert {(r.a, r.b): r.score for r in QUERIES["fuzzy_pairs_all"](spark, str(tmp_path)).collect()} == near
     other = {n: min([n, *[b if n == a else a for a, b in near if n in (a, b)]], key=lambda x: (len(x), x)) for n in names}
     assert {r.name: r.canonical for r in QUERIES["canonical_shortest_all"](spark, str(tmp_path)).collect()} == other
+
+
+def test_names_of_any_length_are_looked_up(spark, tmp_path):
+    long = "甲基" * 25
+    rows = [(0, long, None), (50, "氯", ""), (100, "含" + long + "盐", None), (150, long[:45], None), (200, "", None), (250, None, None)]
+    spark.createDataFrame(rows, "row_id long, `品名` string, `CAS号` string").write.parquet(f"{tmp_path}/sample_chemicals.parquet")
+    names = [(1, long, None, "1-1-1"), (2, "氯", None, "2-2-2")]
+    spark.createDataFrame(names, "`序号` int, `品名` string, `别名` string, `CAS号` string").write.parquet(f"{tmp_path}/hazard_catalog.parquet")
+    assert {r.row_id: r.id for r in QUERIES["fill_missing_id"](spark, str(tmp_path)).collect()} == {0: "1-1-1", 50: "2-2-2", 100: "1-1-1", 150: "1-1-1", 200: None, 250: None}
+    assert {r.name: r.found_id for r in QUERIES["id_lookup"](spark, str(tmp_path)).collect()} == {long: "1-1-1", "氯": "2-2-2", "含" + long + "盐": "1-1-1", long[:45]: "1-1-1"}
+    assert {r.name for r in QUERIES["fuzzy_semi"](spark, str(tmp_path)).collect()} == {long, "氯", "含" + long + "盐"}
+
+
+def test_longer_edges_of_any_length_are_dropped(spark):
+    from quarrymill.operators.graph import drop_longer_edges
+
+    long = "甲基" * 25
+    edges = spark.createDataFrame([(long, "水", "r"), ("含" + long, "水", "r")], "src string, dst string, type string")
+    assert [r.src for r in drop_longer_edges(edges).collect()] == [long]
