@@ -288,9 +288,8 @@ class Index:
                 self.weights[feature] = got
         return got
 
-    def window(self, found: list[str]) -> tuple[float, str | None]:
+    def window(self, distinct: set[str]) -> tuple[float, str | None]:
         """The weight of a window and the kind of residue it is contained in."""
-        distinct = set(found)
         weights = {f: self.weight(f) for f in distinct}
         total = sum(weights.values())
         shared: dict[int, float] = defaultdict(float)
@@ -321,19 +320,19 @@ class Index:
             return "filler"
         covered: dict[str, float] = defaultdict(float)
         total = 0.0
-        # A covered cell has at least this part of its weight in exemplars; half of it leaves room for
-        # features that several windows share.
-        whole = set(features(cell))
-        shared = sum(map(self.weight, whole & self.postings.keys()))
-        if not shared or shared < 0.5 * CELL_COVERAGE * WINDOW_CONTAINMENT * sum(map(self.weight, whole)):
+        # A covered window has at least WINDOW_CONTAINMENT of its weight in exemplars, a covered cell CELL_COVERAGE
+        # of its weight in covered windows: a cell below their product, window by window, is none.
+        windows = [found for found in map(set, map(features, _WINDOW.split(cell))) if found]
+        known = self.postings.keys()
+        shared = sum(self.weight(f) for found in windows for f in found & known)
+        least = CELL_COVERAGE * WINDOW_CONTAINMENT * (1.0 - 1e-9)
+        if not shared or shared < least * sum(self.weight(f) for found in windows for f in found):
             return None
-        for part in _WINDOW.split(cell):
-            found = features(part)
-            if found:
-                weight, kind = self.window(found)
-                total += weight
-                if kind:
-                    covered[kind] += weight
+        for found in windows:
+            weight, kind = self.window(found)
+            total += weight
+            if kind:
+                covered[kind] += weight
         if covered and sum(covered.values()) >= CELL_COVERAGE * total:
             return max(covered, key=covered.__getitem__)
         return None

@@ -1,4 +1,6 @@
-from quarrymill.llm.residue import find_residue
+import numpy as np
+
+from quarrymill.llm.residue import COUNT_SLOTS, Index, find_residue
 
 SCHEMA = "row_id long, v string, cell string, kind string, p string"
 RESIDUE = {
@@ -31,3 +33,11 @@ def test_edges(spark):
     assert kinds(spark, [None, "", " ", "N/A", "nan", "无", "处理异常", "未知"]) == [None] * 8
     assert find_residue(spark.createDataFrame([], SCHEMA), "t", ["v"]).count() == 0
     assert kinds(spark, CONTENT + ["Real words of a long text about boards. " * 20_000 + "${x}"])[-1] == "placeholder"
+
+
+def test_repeated_windows_count_each_time():
+    """Repeated residue is most of a cell, however few of its distinct features it has."""
+    index = Index(np.zeros(COUNT_SLOTS, np.int64))
+    other = " ".join(f"granite{a}{b}" for a in "abcdefgh" for b in "klmno") + "."
+    assert index.classify("加载失败，请刷新重试。" * 20 + other) == "error"
+    assert index.classify("加载失败，请刷新重试。" * 2 + other) is None
