@@ -18,7 +18,8 @@ from quarrymill.functions.text import is_no_value, trim_blanks
 OPEN, CLOSE = "\ue000", "\ue001"
 
 # What may stand before and after a quoted span or an abbreviation with a slash. Patterns test their
-# first character before they look behind, so that most places in a cell cost one comparison.
+# first character before they look behind, so that most places in a cell cost one comparison. Loops over
+# alternatives are possessive: the matcher would need a stack as deep as the cell is long to go back into them.
 _EDGE = r"\[\]{}(),;:|/+•·*\n\t，；、：①-⑳"
 _AFTER = rf"(?=\s*(?:$|[{_EDGE}]))"
 
@@ -29,14 +30,15 @@ def _opening(mark: str) -> str:
 
 
 _QUOTED = [
-    _opening('"') + r'(?:[^"\\]|\\.|"")*+"' + _AFTER,
-    _opening('"') + r'(?:[^"\\]|\\.)*?"' + _AFTER,
-    _opening("'") + r"(?:[^'\\]|\\.)*+'" + _AFTER,
-    _opening("“") + r"[^”]*”" + _AFTER,
-    _opening("「") + r"[^」]*」" + _AFTER,
+    _opening('"') + r'(?:[^"\\]++|\\.|"")*+"' + _AFTER,
+    _opening('"') + r'(?:[^"\\]++|\\.)*+"' + _AFTER,
+    _opening("'") + r"(?:[^'\\]++|\\.)*+'" + _AFTER,
+    _opening("“") + r"[^”]*+”" + _AFTER,
+    _opening("「") + r"[^」]*+」" + _AFTER,
 ]
-_PARENTHESES = [r"\((?:[^()]|\([^()]*\))*\)", r"（[^（）]*）"]
-_LOCANTS = [r"(?:\d++['′’]*|[NOSPα-ω](?<![A-Za-z].)),(?:\d++['′’]*|[NOSP])(?:,(?:\d++['′’]*|[NOSP]))*(?=['′’]*-)"]
+_PARENTHESES = [r"\((?:[^()]++|\([^()]*+\))*+\)", r"（[^（）]*+）"]
+# A number that goes on from the number before it starts no list of locants: the earlier start has been tried.
+_LOCANTS = [r"(?:\d(?<!\d\d)(?<!\d['′’]?,\d)\d*+['′’]*|[NOSPα-ω](?<![A-Za-z].)),(?:\d++['′’]*|[NOSP])(?:,(?:\d++['′’]*|[NOSP]))*+(?=['′’]*-)"]
 # An abbreviation with a slash starts a value; a bullet or a number with a dot may stand before it.
 _START = rf"(?:(?:^|[{_EDGE}])\s{{0,4}}|[-.]\s{{1,4}})"
 _SLASHED = [
@@ -44,7 +46,7 @@ _SLASHED = [
     rf"[A-Z]{{2,8}}/[A-Z](?![A-Za-z0-9-])(?<={_START}[A-Z]{{2,8}}/[A-Z])",
 ]
 # A comma before a lower-case qualifier, as in "DVI-D, dual link" or "8.1, 64-bit".
-_QUALIFIER = [rf",\s(?:[a-z]{{2,}}(?:\s[a-z]+)*|\d+-[a-z]+)(?=\s*(?:$|[{_EDGE}]|\s\d{{1,2}}\.\s))"]
+_QUALIFIER = [rf",\s(?:[a-z]{{2,}}(?:[^\S\n\t][a-z]++)*+|\d+-[a-z]+)(?=\s*(?:$|[{_EDGE}]|\s\d{{1,2}}\.\s))"]
 # A cell without any of these has no span.
 _MAY_SPAN = f"[\"'“「(（/{OPEN}{CLOSE}]|,"
 

@@ -39,6 +39,7 @@ CASES = [
     ("A;; ;B;", ["A", "B"]),
     ("{A + B}", ["A", "B"]),
     ("DVI-D, dual link; OS 8.1, 64-bit", ["DVI-D, dual link", "OS 8.1, 64-bit"]),
+    ("DVI-D, dual link\neSATA\nlan", ["DVI-D, dual link", "eSATA", "lan"]),
     ('"DVI-D, dual link"', ["DVI-D, dual link"]),
     ("　A、B ", ["A", "B"]),
     ("A0;B", ["A0", "B"]),
@@ -74,3 +75,16 @@ def test_round_trip(spark, seed):
         cells.append(json.dumps(values) if style == "json" else joiner.join('"' + v.replace('"', '""') + '"' for v in values))
         wanted.append(values)
     assert items(spark, cells) == wanted
+
+
+def test_cells_of_a_megabyte(spark):
+    """No cell is so long, so deep or so broken that it ends the JVM."""
+    n = 300_000
+    cells = [
+        "A (" + "b, " * n + "c)", "(" * n, "(a" * n, "A (" + "(b), " * n + ")", '"' + "a, " * n + '"', '"' + "a, " * n, '["' + 'a\\", ' * n + '"]',
+        "'" + "a, " * n + "'", "（" + "b，" * n + "）", "1," * n + "2-x", "1," * n, "A, bb" + " c" * n, "A/" * n, "“" + "a, " * n + "”",
+    ]
+    got = items(spark, cells)
+    assert [len(g) for g in got[:5]] == [1, 1, 1, 1, 1]
+    assert [len(g) for g in got[7:10]] == [1, 1, 1] and got[9] == [cells[9]]
+    assert len(got[10]) == n and got[11] == [cells[11]] and len(got[12]) == n // 2 and len(got[13]) == 1
