@@ -23,6 +23,9 @@ _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000\u00a0\u2009\u20
 _HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "    "
 _SQUARED = {"\u339c": "mm", "\u339d": "cm", "\u338f": "kg", "\u338e": "mg", "\u3394": "GHz", "\u3392": "MHz", "\u33be": "kW"}
 
+# The one symbol of which the case of the first letter tells the prefix: mega, not milli.
+MEGA = "MW"
+
 # A mixed or plain fraction, or a number: a comma before exactly three digits groups thousands.
 NUMBER = r"\d+\s\d+/\d+(?!\d)|\d+/\d+(?![\d/])|\d+(?:,\d{3}(?!\d))*(?:[.,]\d+)?"
 
@@ -41,23 +44,28 @@ def _unit_pattern(aliases: Aliases) -> str:
     names = sorted({a for group in aliases.values() for a in group}, key=lambda a: (-len(a), a))
     latin = [a.replace(".", r"\.") for a in names if a.isascii()]
     other = [a for a in names if not a.isascii()]
-    return rf"(?:(?:(?i:{'|'.join(latin)}))(?!(?![xX]\s*\d)[A-Za-z]|²|\^)|(?:{'|'.join(other)})(?![时秒]))"
+    # A capital N before the m is newton, not nano.
+    return rf"(?:(?:(?!N[mM])(?i:{'|'.join(latin)}))(?!(?![xX]\s*\d)[A-Za-z]|²|\^)|(?:{'|'.join(other)})(?![时秒]))"
 
 
 def patterns(aliases: Aliases = UNIT_ALIASES) -> tuple[str, str]:
-    """The pattern of a group of numbers with their unit, and that of the unit alone."""
+    """The pattern of a group of numbers with their unit, and that of the unit alone.
+
+    Series are possessive, since a shorter one is never followed by a unit. A series without a unit is
+    a match of its own, to be left out, so that it is read once and not from each of its numbers.
+    """
     unit = _unit_pattern(aliases)
     number = rf"(?<![\d.,A-Za-z])(?>{NUMBER})"
     inner = rf"(?>{NUMBER})"
     series = r"\s*(?:[xX×*~～–—\-−/]|to\b|至|到|or\b|和|或)\s*"
-    after = rf"(?:{number}(?:{series}{inner})*|(?<=[A-Za-z_])(?:{NUMBER})(?=\s*{unit}))\s*[(\[（【]?\s*{unit}"
+    after = rf"(?:{number}(?:{series}{inner})*+|(?<=[A-Za-z_])(?:{NUMBER})(?=\s*{unit}))\s*[(\[（【]?\s*{unit}"
     alone = rf"{inner}(?!\s*[(\[]?\s*{unit})"
     label = r"(?:[A-Za-z一-鿿_@-]+\s*[:=@]?\s*)?"
     before = (
         rf"(?<![A-Za-z\d.]){unit}\s*(?:[)\]】]\s*[:,]?|[:,]|计|为单位)\s*{label}{alone}"
-        rf"(?:(?:{series}|\s*[,;、，；|]\s*|\s+){label}{alone})*"
+        rf"(?:(?:{series}|\s*[,;、，；|]\s*|\s+){label}{alone})*+"
     )
-    return f"{after}|{before}", unit
+    return rf"{after}|{before}|{number}(?:{series}{inner})++", unit
 
 
 def _plain(cell: Column) -> Column:
@@ -71,11 +79,11 @@ def _plain(cell: Column) -> Column:
 
 def _amount(number: Column) -> Column:
     """The number as a decimal; mixed fractions are one number."""
-    plain = F.regexp_replace(F.regexp_replace(number, r",(?=\d{3}(?!\d))", ""), ",", ".").cast(T.DecimalType(20, 6))
+    plain = F.regexp_replace(F.regexp_replace(number, r",(?=\d{3}(?!\d))", ""), ",", ".").try_cast(T.DecimalType(20, 6))
     whole = F.regexp_extract(number, r"^(\d+)\s\d+/", 1).try_cast(T.DecimalType(20, 6))
     over = F.regexp_extract(number, r"(\d+)/\d+$", 1).try_cast(T.DecimalType(20, 6))
     under = F.regexp_extract(number, r"/(\d+)$", 1).try_cast(T.DecimalType(20, 6))
-    fraction = F.coalesce(whole, F.lit(0).cast(T.DecimalType(20, 6))) + F.try_divide(over, under).cast(T.DecimalType(20, 6))
+    fraction = F.coalesce(whole, F.lit(0).cast(T.DecimalType(20, 6))) + F.try_divide(over, under).try_cast(T.DecimalType(20, 6))
     return F.when(number.contains("/"), fraction).otherwise(plain)
 
 
@@ -93,7 +101,8 @@ def explode_quantities(
     Both ends of a range count, and so do statements in two units. A unit given once for several
     numbers holds for all of them. Numbers without a unit give no row, unless the cell is a lone
     number and ``unit_fields`` (field -> column that holds its unit) or ``default_units``
-    (field -> unit of the source) provides one. Null and empty cells give no row.
+    (field -> unit of the source) provides one. Null and empty cells give no row. A fraction over zero
+    and an amount beyond 64 bits are null.
     """
     group, unit = patterns(aliases)
     unit_fields, default_units = unit_fields or {}, default_units or {}
@@ -116,21 +125,21 @@ def explode_quantities(
         (F.size("groups") == 0) & F.col("spare").isNotNull() & F.col("text").rlike(lone),
         F.array(F.concat(F.col("text"), F.lit(" "), F.col("spare"))),
     ).otherwise(F.col("groups"))
-    pairs = F.flatten(
-        F.transform(
-            groups,
-            lambda g: F.transform(
-                F.regexp_extract_all(g, F.lit(f"(?:{NUMBER})"), F.lit(0)),
-                lambda n: F.struct(n.alias("number"), F.regexp_extract(g, rf"(?<![A-Za-z]){unit}", 0).alias("unit")),
-            ),
-        )
+    stated = F.transform(
+        groups,
+        lambda g: F.struct(
+            F.regexp_extract(g, rf"(?<![A-Za-z]){unit}", 0).alias("unit"), F.regexp_extract_all(g, F.lit(f"(?:{NUMBER})"), F.lit(0)).alias("numbers")
+        ),
     )
+    # Every unit that the pattern finds has an alias, so the join below drops no row and leaves no gap in the positions.
+    known = F.filter(stated, lambda s: s["unit"] != "")
+    pairs = F.flatten(F.transform(known, lambda s: F.transform(s["numbers"], lambda n: F.struct(n.alias("number"), s["unit"].alias("unit")))))
     rows = found.select("row_id", "field_name", F.posexplode(pairs).alias("i", "q")).select(
         "row_id",
         "field_name",
         (F.col("i") + 1).cast("int").alias("pos"),
         _amount(F.col("q.number")).alias("number"),
-        F.when(F.col("q.unit") == "MW", "megawatt").otherwise(F.lower(F.col("q.unit"))).alias("unit_key"),
+        F.when(F.col("q.unit") == MEGA, "megawatt").otherwise(F.lower(F.col("q.unit"))).alias("unit_key"),
     )
     named = rows.join(F.broadcast(alias_table(df.sparkSession, aliases)), "unit_key")
     return named.select(
@@ -139,5 +148,5 @@ def explode_quantities(
         "field_name",
         "pos",
         "base_unit",
-        F.round(F.col("number") * F.col("factor") + F.col("shift"), 0).cast("long").alias("amount"),
+        F.round(F.col("number") * F.col("factor") + F.col("shift"), 0).try_cast("long").alias("amount"),
     )

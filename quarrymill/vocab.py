@@ -8,6 +8,8 @@ UNIT_ALIASES = {
     ("mW", "1"): ["mw", "milliwatt", "milliwatts", "毫瓦", "毫瓦特"],
     ("mW", "1000"): ["w", "watt", "watts", "瓦", "瓦特"],
     ("mW", "1000000"): ["kw", "kilowatt", "kilowatts", "千瓦", "千瓦特"],
+    ("mW", "1000000000"): ["megawatt", "megawatts", "兆瓦", "兆瓦特"],
+    ("um", "0.001"): ["nm", "nanometre", "nanometres", "nanometer", "nanometers", "纳米"],
     ("um", "1"): ["um", "μm", "µm", "micron", "microns", "micrometre", "micrometer", "micrometres", "micrometers", "微米"],
     ("um", "1000"): ["mm", "millimetre", "millimetres", "millimeter", "millimeters", "毫米"],
     ("um", "10000"): ["cm", "centimetre", "centimetres", "centimeter", "centimeters", "厘米", "公分"],
@@ -15,6 +17,9 @@ UNIT_ALIASES = {
     ("um", "1000000"): ["m", "metre", "metres", "meter", "meters", "米", "公尺"],
     ("um", "25400"): ["in", "in.", "inch", "inches", "英寸", "英吋", "吋", "″"],
     ("um", "304800"): ["ft", "ft.", "foot", "feet", "英尺", "′"],
+    ("um", "914400"): ["yd", "yd.", "yard", "yards", "码"],
+    ("um", "1000000000"): ["km", "kilometre", "kilometres", "kilometer", "kilometers", "千米", "公里"],
+    ("mg", "0.001"): ["μg", "µg", "ug", "mcg", "microgram", "micrograms", "微克"],
     ("mg", "1"): ["mg", "milligram", "milligrams", "毫克"],
     ("mg", "1000"): ["g", "gr", "gm", "gram", "grams", "gramme", "grammes", "克", "公克"],
     ("mg", "1000000"): ["kg", "kgs", "kilo", "kilos", "kilogram", "kilograms", "千克", "公斤"],
@@ -27,6 +32,7 @@ UNIT_ALIASES = {
     ("kHz", "1"): ["khz", "kilohertz", "千赫", "千赫兹"],
     ("kHz", "1000"): ["mhz", "megahertz", "兆赫", "兆赫兹"],
     ("kHz", "1000000"): ["ghz", "gigahertz", "吉赫", "吉赫兹", "千兆赫"],
+    ("kHz", "1000000000"): ["thz", "terahertz", "太赫", "太赫兹"],
 }
 
 # Order of the keyword classes of hazards; the first class with a keyword in the text wins.

@@ -30,6 +30,12 @@ CASES = [
     ("频率(GHz)：4.1 / 5.9", [("kHz", 4100000), ("kHz", 5900000)]),
     ("3,800,000 kHz", [("kHz", 3800000)]),
     ("8 cores @ 2.3GHz", [("kHz", 2300000)]),
+    ("5 MW, 3 W", [("mW", 5_000_000_000), ("mW", 3000)]),
+    ("5 mW; 0.002 THz", [("mW", 5), ("kHz", 2_000_000)]),
+    ("700 nm, 2 yd, 1 km, 9 μg", [("um", 1), ("um", 1828800), ("um", 1_000_000_000), ("mg", 0)]),
+    ("torque 5 Nm", []),
+    ("1/0 W", [("mW", None)]), ("99999999999999999999 kW", [("mW", None)]),
+    ("1 x 2 x 3, 4 W", [("mW", 4000)]),
     ("32 cores / 16 threads", []), (None, []), ("", []), ("N/A", []),
 ]
 
@@ -56,3 +62,18 @@ def test_unit_from_field_and_source(spark):
 def test_empty_and_long(spark):
     assert explode_quantities(spark.createDataFrame([], SCHEMA), "t", ["v"]).count() == 0
     assert len(found(spark, ["; ".join(f"{i} W" for i in range(1, 5001))])[0]) == 5000
+
+
+def test_every_unit_found_has_an_alias(spark):
+    """The join with the aliases drops nothing, so positions have no gaps."""
+    from quarrymill.vocab import UNIT_ALIASES
+
+    names = [(base, a) for (base, _), group in UNIT_ALIASES.items() for a in group]
+    got = found(spark, [f"1 {a}, 7 W" for _, a in names])
+    assert [[b for b, _ in g] for g in got] == [[base, "mW"] for base, _ in names]
+
+
+def test_cells_of_a_megabyte(spark):
+    """A series as long as the cell neither ends the JVM nor is read again from each of its numbers."""
+    n = 200_000
+    assert [len(x) for x in found(spark, ["1 x " * n + "2 mm", "1 x " * n, "in mm: " + "3, " * n, "1/2 " * n, "W" * 5 * n, "(" * 5 * n + "1 W"])] == [n + 1, 0, n, 0, 0, 1]
