@@ -3,12 +3,14 @@
 Method: noisy-channel decoding. A channel is a pair of encodings (read as, written in). The
 characters of a cell are turned back into bytes, a lost byte being a wildcard; a lattice holds
 every way to read stretches of the cell through a channel or as they stand; Viterbi search under
-the corpus frequencies of characters and character pairs picks the best path. A cell is restored
-only if no byte was lost or the bytes left admit a single reading; else the search gives a guess.
+the corpus frequencies of characters and character pairs picks the best path. ``restored`` is given
+only if no byte was lost: with a wildcard in it a cell alone never determines the text, so the
+best path is then no more than a guess.
 
 Scale: frequencies are counted once over all cells with partial counts per partition. What is
 sent to the driver and broadcast is bounded by construction: at most one number per Unicode
-character and ``PAIR_SLOTS`` hashed pair counts. Decoding is a narrow pass.
+character and ``PAIR_SLOTS`` hashed pair counts. Every distinct cell is decoded once, and the garbled
+ones go back to the rows by a broadcast behind a check of their size, beyond it by a salted join.
 """
 
 from __future__ import annotations
@@ -19,13 +21,19 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.session import cut_lineage
+
 PAIR_SLOTS = 1 << 20
 LOST = "�"
+MAX_BROADCAST_CHARACTERS = 8_000_000
+SALTS = 16
+# The most that a preceding character can change in the score of a character.
+CONTEXT = 0.5 * math.log(1.05 / 0.05)
+INNER_LATIN = 5.0  # nats for a Chinese character inside a Latin word
 
 # Channels: name, read as, written in, cost in nats of entering it. A stretch that is valid UTF-8
 # is strong evidence of its own, so those channels are cheap to enter.
@@ -35,6 +43,7 @@ CHANNELS = (
     ("utf8-as-big5", "big5", "utf-8", 4.0),
     ("gbk-as-latin", "latin", "gbk", 4.0),
     ("gbk-as-big5", "big5", "gbk", 8.0),
+    ("big5-as-gbk", "gbk", "big5", 8.0),
     ("latin-as-gbk", "gbk", "latin", 4.0),
     ("gbk-as-utf8", "utf-8", "gbk", 8.0),
 )
@@ -57,8 +66,17 @@ class Frequencies:
         self.total = max(1, sum(self.single.values()))
         self.logs = {c: math.log(n / self.total + 1e-9) for c, n in self.single.items()}
         self.unseen = math.log(1e-9)
+        self.known: dict[str, float] = {}
 
     def log_p(self, before: str, char: str) -> float:
+        found = self.known.get(before + char)
+        if found is None:
+            if len(self.known) > 1 << 19:
+                self.known.clear()
+            found = self.known[before + char] = self._log_p(before, char)
+        return found
+
+    def _log_p(self, before: str, char: str) -> float:
         n = self.single.get(char, 0)
         # Damaged phrases recur as well and predict their own characters perfectly, so the pair
         # only adds a bounded bonus to the frequency of the character.
@@ -112,6 +130,9 @@ def _latin_bytes() -> dict[str, bytes]:
 
 LATIN = _latin_bytes()
 LATIN_CHARS = {data[0]: char for char, data in LATIN.items()}
+_LEADS = re.compile("[\u00c2-\u00f4]")
+# Encodings of one byte below 0x80 and two bytes beyond, with the code page that stands for them.
+DOUBLE = {"gbk": "gbk", "big5": "cp950"}
 
 
 def peel(text: str) -> str:
@@ -153,20 +174,29 @@ class Decoder:
     def __init__(self, frequencies: Frequencies, rounds: int = 3) -> None:
         self.frequencies, self.rounds = frequencies, rounds
         self.cache: dict[tuple[str, str], bytes | None] = {}
-        self.masks: dict[str, dict[tuple, list[str]]] | None = None
-        self.memo: dict[str, tuple[bool, str, str]] = {}
-        self.latin = re.compile("[\u0080-ÿŒœŠšŸŽžƒˆ˜–-›€™][\u0040-ÿŒœŠšŸŽžƒˆ˜–-›€™]")
+        self.masks: dict[str, dict[tuple, list[str]]] = {}
+        self.gains: dict[tuple[str, str], float] = {}
+        self.values: dict[str, dict[bytes, float]] = {"utf-8": {}, "gbk": {}, "big5": {}}
 
     def channels(self, cell: str) -> list[tuple]:
-        """The channels whose bytes can be read at all, whatever the corpus holds; the search weighs their readings."""
+        """The channels that the best path may use, whatever the corpus holds; the search weighs their readings."""
         return [] if cell.isascii() else [c for c in CHANNELS if self._opens(cell, c)]
 
     def _opens(self, cell: str, channel: tuple) -> bool:
-        """Whether a character of the channel may start at one of the cell's own; a lost byte may be any."""
-        name, read_as, written_in, _ = channel
+        """Whether the best path may go through the channel. Never false for one that it goes through.
+
+        Without lost bytes no stretch of a channel pays that can't gain what entering it costs even with the best
+        neighbours; with them, a channel is open if its first byte can be read.
+        """
+        name, read_as, written_in, cost = channel
         if name == "utf8-as-latin":
-            return peel(cell) != cell
-        if read_as != "latin" and LOST in cell:
+            return _LEADS.search(cell) is not None and peel(cell) != cell
+        if LOST not in cell:
+            least = cost - CONTEXT - 1e-6
+            if read_as in DOUBLE and written_in != "utf-8":
+                return self._may_gain(cell, name, read_as, written_in) >= least
+            return self._may_gain_across(cell, read_as, written_in, least)
+        if read_as != "latin":
             return True
         data: list = []
         starts = []
@@ -175,60 +205,143 @@ class Decoder:
             data.extend(self._encoded(char, read_as) or ["barrier"])
         return any(data[i] != "barrier" and data[i] >= 0x80 and self._next(data, i, written_in) for i in starts)
 
+    def _may_gain(self, cell: str, name: str, read_as: str, written_in: str) -> float:
+        """The most that a stretch of the cell can gain by the channel, its cost left out."""
+        best = run = 0.0
+        plain = False
+        gains, last = self.gains, len(cell) - 1
+        for i, char in enumerate(cell):
+            if char < "\x80":
+                # Read as itself; only the character before it may differ.
+                gain = 0.0 if plain else CONTEXT
+                plain = True
+            else:
+                plain = False
+                gain = gains.get((name, char))
+                if gain is None:
+                    gain = gains[name, char] = self._gain(char, read_as, written_in)
+                if i < last and char > "\u2fff" and cell[i + 1].isascii() and cell[i + 1].isalpha():
+                    gain += INNER_LATIN
+            run = run + gain if run > 0.0 else gain
+            if run > best:
+                best = run
+        return best
+
+    def _may_gain_across(self, cell: str, read_as: str, written_in: str, least: float) -> bool:
+        """Whether a stretch can gain ``least`` where the characters of the channel lie across those of the cell."""
+        logs, unseen, values = self.frequencies.logs, self.frequencies.unseen, self.values[written_in]
+        start, n = 0, len(cell)
+        while start < n:
+            data, starts, clean, plain = bytearray(), [], [0.0], False
+            at = start
+            while at < n and (raw := self._encoded(cell[at], read_as)) is not None:
+                char = cell[at]
+                starts.append(len(data))
+                data += raw
+                low = logs.get(char, unseen)
+                if not (plain and char < "\x80"):
+                    low -= CONTEXT
+                if char > "\u2fff" and at + 1 < n and cell[at + 1].isascii() and cell[at + 1].isalpha():
+                    low -= INNER_LATIN
+                clean.append(clean[-1] + low)
+                plain = char < "\x80"
+                at += 1
+            start = at + 1
+            size = len(data)
+            starts.append(size)
+            run = bytes(data)
+            score = [-math.inf] * (size + 4)
+            for i, first in enumerate(starts):
+                if score[first] - clean[i] >= least:
+                    return True
+                if first < size and run[first] >= 0x80 and clean[i] > score[first]:
+                    score[first] = clean[i]
+                for j in range(first, starts[i + 1] if first < size else first):
+                    got = score[j]
+                    if got == -math.inf:
+                        continue
+                    head = run[j]
+                    width = 1 if head < 0x80 else 2 if written_in != "utf-8" or 0xC2 <= head < 0xE0 else 3 if head < 0xF0 else 4
+                    part = run[j : j + width]
+                    value = values.get(part)
+                    if value is None:
+                        value = values[part] = self._value(part, written_in)
+                    if got + value > score[j + width]:
+                        score[j + width] = got + value
+        return False
+
+    def _value(self, part: bytes, encoding: str) -> float:
+        """The most that a character of a channel can score."""
+        try:
+            char = part.decode(DOUBLE.get(encoding, encoding))
+        except UnicodeDecodeError:
+            return -math.inf
+        if len(char) != 1:
+            return -math.inf
+        # What follows a character that ends in a byte below 0x80 has another one before it than in the cell.
+        return self.frequencies.logs.get(char, self.frequencies.unseen) + (CONTEXT if len(part) > 1 and part[-1] < 0x80 else 0.0)
+
+    def _gain(self, char: str, read_as: str, written_in: str) -> float:
+        """The most that one character can gain by being read anew."""
+        raw = self._encoded(char, read_as)
+        if raw is None:
+            return -math.inf
+        if len(raw) != 2:
+            return math.inf
+        score, at = 0.0, 0
+        logs, unseen = self.frequencies.logs, self.frequencies.unseen
+        while at < 2:
+            found = self._next(list(raw), at, written_in)
+            if not found:
+                return -math.inf
+            size, chars = found[0]
+            score, at = score + logs.get(chars[0], unseen), at + size
+        return score - logs.get(char, unseen) + CONTEXT
+
     def _encoded(self, char: str, encoding: str) -> bytes | None:
         key = (char, encoding)
         if key not in self.cache:
             self.cache[key] = _bytes_of(char, encoding)
         return self.cache[key]
 
-    def suspicious(self, cell: str) -> bool:
-        """A cheap test that no garbled cell fails; most clean cells do."""
-        if cell.isascii():
-            return False
-        if LOST in cell or "锟" in cell or self.latin.search(cell) or not self.doubtful.isdisjoint(cell):
-            return True
-        data = b"".join(self._encoded(c, "gbk") or b"\x00" for c in cell)
-        if self.utf8.search(data) or self.rare.search(data):
-            return True
-        return bool(self.utf8.search(b"".join(self._encoded(c, "big5") or b"\x00" for c in cell)))
-
     def _known(self, encoding: str, pattern: tuple) -> list[str]:
-        """Characters of the corpus whose bytes fit a pattern with wildcards."""
-        if self.masks is None:
-            self.masks = {"utf-8": {}, "gbk": {}}
-            for char in self.frequencies.single:
-                for name, index in self.masks.items():
-                    data = self._encoded(char, name)
-                    if not data or len(data) < 2 or char == LOST:
-                        continue
-                    for mask in range(1, 1 << len(data)):
-                        key = tuple(None if mask >> i & 1 else b for i, b in enumerate(data))
-                        index.setdefault(key, []).append(char)
+        """Characters of the corpus whose bytes fit a pattern with wildcards, the most frequent first."""
+        if encoding not in self.masks:
+            index = self.masks[encoding] = {}
+            for char in sorted(self.frequencies.single, key=self.frequencies.logs.__getitem__, reverse=True):
+                data = self._encoded(char, encoding)
+                if not data or len(data) < 2 or char == LOST:
+                    continue
+                for mask in range(1, 1 << len(data)):
+                    key = tuple(None if mask >> i & 1 else b for i, b in enumerate(data))
+                    index.setdefault(key, []).append(char)
         return self.masks[encoding].get(pattern, [])
 
-    def _next(self, data: list, at: int, encoding: str) -> list[tuple[int, str]]:
-        """The characters that may start at a byte: (length in bytes, character)."""
+    def _next(self, data: list, at: int, encoding: str) -> list[tuple[int, Sequence[str]]]:
+        """The characters that may start at a byte: (length in bytes, characters by falling frequency)."""
         head = data[at]
         if head is not None and head < 0x80:
             return [(1, chr(head))]
         if encoding == "latin":
             return [] if head in (None, "barrier") else [(1, LATIN_CHARS[head])]
-        if encoding == "gbk":
+        if encoding in DOUBLE:
             sizes = (2,)
         elif head is None:
             sizes = (3, 2)
         else:
             sizes = (2,) if 0xC2 <= head < 0xE0 else (3,) if head < 0xF0 else (4,)
-        found: list[tuple[int, str]] = []
+        found: list[tuple[int, Sequence[str]]] = []
         for size in sizes:
             part = tuple(data[at : at + size])
             if len(part) < size or "barrier" in part:
                 continue
             if None in part:
-                found += [(size, c) for c in self._known(encoding, part)]
+                chars = self._known(encoding, part)
+                if chars:
+                    found.append((size, chars))
             else:
                 try:
-                    char = bytes(part).decode(encoding)
+                    char = bytes(part).decode(DOUBLE.get(encoding, encoding))
                 except UnicodeDecodeError:
                     continue
                 if len(char) == 1:
@@ -238,6 +351,7 @@ class Decoder:
     def best(self, cell: str, channels: Sequence[tuple]) -> tuple[str, bool, float]:
         """The best reading of the cell in one round, whether it uses a channel, and its score."""
         log_p, n = self.frequencies.log_p, len(cell)
+        logs, unseen = self.frequencies.logs, self.frequencies.unseen
         streams = []
         for _, read_as, written_in, cost in channels:
             data: list = []
@@ -272,7 +386,7 @@ class Decoder:
                 char = cell[i]
                 score = here[0] + (log_p(here[1], char) if char != LOST else -30.0)
                 if char > "\u2fff" and i + 1 < n and cell[i + 1].isascii() and cell[i + 1].isalpha():
-                    score -= 5.0  # a Chinese character hardly stands inside a Latin word
+                    score -= INNER_LATIN  # a Chinese character hardly stands inside a Latin word
                 if clean[i + 1] is None or score > clean[i + 1][0]:
                     clean[i + 1] = (score, char, ("clean", 0, i), char)
             for k, (data, _, starts, written_in, cost) in enumerate(streams):
@@ -287,11 +401,16 @@ class Decoder:
                     got = inside[k].get(at)
                     if not got or data[at] == "barrier":
                         continue
-                    for size, char in self._next(data, at, written_in):
-                        score = got[0] + log_p(got[1], char)
+                    for size, chars in self._next(data, at, written_in):
                         old = inside[k].get(at + size)
-                        if old is None or score > old[0]:
-                            inside[k][at + size] = (score, char, ("in", k, at), char)
+                        most = old[0] if old else -math.inf
+                        for char in chars:
+                            if got[0] + logs.get(char, unseen) <= most:
+                                break  # nor does a rarer character score more
+                            score = got[0] + log_p(got[1], char)
+                            if score > most:
+                                most = score
+                                inside[k][at + size] = (score, char, ("in", k, at), char)
         out, node, used = [], ("clean", 0, n), False
         while node is not None:
             kind, k, at = node
@@ -302,15 +421,6 @@ class Decoder:
 
     def decode(self, cell: str) -> tuple[bool, str, str]:
         """``(garbled, restored, guess)``; restored is empty if bytes were lost, guess is the best reading."""
-        known = self.memo.get(cell)
-        if known is None:
-            known = self._decode(cell)
-            if len(self.memo) > 100_000:
-                self.memo.clear()
-            self.memo[cell] = known
-        return known
-
-    def _decode(self, cell: str) -> tuple[bool, str, str]:
         lost = LOST in cell or "锟" in cell
         text = cell
         garbled = lost
@@ -340,16 +450,19 @@ def decode_cells(df: DataFrame, fields: Sequence[str], key: str = "row_id", freq
     corpus frequencies. Null, empty and clean cells give no row. Extra columns are ignored.
     """
     frequencies = frequencies or corpus_frequencies(df, fields)
-    shared = df.sparkSession.sparkContext.broadcast(frequencies)
-    holder: dict[str, Decoder] = {}
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(frequencies)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).unique()], ["cell"])
 
-    @F.pandas_udf("garbled boolean, restored string, guess string")
-    def decoded(cells: pd.Series) -> pd.DataFrame:
-        if "decoder" not in holder:
-            holder["decoder"] = Decoder(shared.value)
-        codes, distinct = pd.factorize(cells)
-        rows = [holder["decoder"].decode(c) for c in distinct]
-        return pd.DataFrame(rows, columns=["garbled", "restored", "guess"]).iloc[codes].reset_index(drop=True)
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(shared.value)
+        for batch in batches:
+            rows = [(c, *found[1:]) for c in batch.column(0).to_pylist() if (found := decoder.decode(c))[0]]
+            columns = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in columns], ["cell", "restored", "guess"])
 
     pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").cast("string").alias("cell")) for f in fields])
     cells = (
@@ -357,5 +470,20 @@ def decode_cells(df: DataFrame, fields: Sequence[str], key: str = "row_id", freq
         .select("row_id", "p.field_name", "p.cell")
         .where(F.col("cell").rlike(r"[^\x00-\x7f]"))
     )
-    read = cells.withColumn("d", decoded("cell")).where("d.garbled")
-    return read.select("row_id", "field_name", "d.restored", "d.guess")
+    # Repeated cells are dropped within their batch before the one shuffle; its number of partitions is given, since
+    # decoding a cell costs far more than its bytes tell.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    distinct = cells.select("cell").mapInArrow(once, "cell string").repartition(n, "cell").distinct()
+    read = cut_lineage(distinct.mapInArrow(decode, "cell string, restored string, guess string"))
+    return back_to_rows(cells, read).select("row_id", "field_name", "restored", "guess")
+
+
+def back_to_rows(cells: DataFrame, read: DataFrame) -> DataFrame:
+    """Joins what was read from distinct cells to the rows: by a broadcast within ``MAX_BROADCAST_CHARACTERS`` of
+    measured text; beyond it rows are spread by a salt, since one cell may hold a large part of them."""
+    text = F.length("cell") + F.length("restored") + F.length("guess") + 32
+    size = read.agg(F.coalesce(F.sum(text), F.lit(0)).alias("n")).first()["n"]
+    if size <= MAX_BROADCAST_CHARACTERS:
+        return cells.join(F.broadcast(read), "cell")
+    salted = cells.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(read.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["cell", "salt"])

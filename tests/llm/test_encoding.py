@@ -1,4 +1,7 @@
-from quarrymill.llm.encoding import Decoder, corpus_frequencies, decode_cells, peel
+import random
+
+import quarrymill.llm.encoding as E
+from quarrymill.llm.encoding import CHANNELS, Decoder, corpus_frequencies, decode_cells, peel
 
 CLEAN = ["阴凉处保存，远离火源", "库存不足5瓶，已催货", "Größe der Körner über 27 µm", "ÂGE DU LOT : 8 mois", "NÃO MISTURAR com água", "réactif très sensible à l’humidité",
          "樣品由臺灣合作方提供", "含水量偏高，是否返工??", "客户自提，运费到付", "sample only??", "czułość próbki ±9 %"]
@@ -65,3 +68,39 @@ def test_channels_open_whatever_the_corpus_holds(spark):
     base = len(CLEAN) * 30 + 30
     assert got == {base + i: text for i in range(18)}
     assert {"gbk-as-big5", "utf8-as-gbk"} <= {c[0] for c in Decoder(corpus_frequencies(frame(spark, ["plain"]), ["v"])).channels(damaged + WHOLE.encode().decode("gbk"))}
+
+
+def test_channels_left_out_are_not_on_the_best_path(spark):
+    """The bound on what a channel may gain against the search through all channels."""
+    decoder = Decoder(corpus_frequencies(frame(spark, CLEAN * 30), ["v"]))
+    r = random.Random(5)
+    ways = [("utf-8", "gbk"), ("utf-8", "big5"), ("gbk", "big5"), ("big5", "gbk"), ("gbk", "latin-1"), ("utf-8", "latin-1"), ("latin-1", "gbk"), ("gbk", "utf-8")]
+    left_out = 0
+    for _ in range(1500):
+        text = r.choice(CLEAN)
+        a, b = sorted(r.sample(range(len(text) + 1), 2))
+        written, read = r.choice(ways)
+        cell = r.choice([text, text[:a] + text[a:b].encode(written, "ignore").decode(read, "ignore") + text[b:]])
+        opened = decoder.channels(cell)
+        left_out += len(CHANNELS) - len(opened)
+        all_of_them = decoder.best(cell, CHANNELS) if not cell.isascii() else (cell, False, 0.0)
+        if all_of_them[1]:
+            assert decoder.best(cell, opened)[::2] == all_of_them[::2], cell
+        else:
+            assert not decoder.decode(cell)[0] or peel(cell) != cell, cell
+    assert left_out > 1500
+
+
+def test_unseen_characters_and_big5(spark):
+    df = frame(spark, CLEAN * 30)
+    decoder = Decoder(corpus_frequencies(df, ["v"]))
+    assert decoder.decode("饕餮魑魅魍魉".encode().decode("gbk")) == (True, "饕餮魑魅魍魉", "饕餮魑魅魍魉")
+    text = "".join(c for c in "樣品由臺灣合作方提供" if len(c.encode("big5").decode("gbk", "ignore")) == 1)
+    assert len(text) > 5 and decoder.decode(text.encode("big5").decode("gbk")) == (True, text, text)
+
+
+def test_many_garbled_cells_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(E, "MAX_BROADCAST_CHARACTERS", 0)
+    cell = latin("阴凉处保存，远离火源")
+    got = decode_cells(frame(spark, [*CLEAN, cell, cell, None]), ["v"]).collect()
+    assert sorted((r.row_id, r.restored) for r in got) == [(len(CLEAN) + i, "阴凉处保存，远离火源") for i in range(2)]
