@@ -1,10 +1,12 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-Method: labelled exemplars of residue are kept in an inverted index from features (Latin words and
-pairs of Chinese characters) to exemplars. A passage window of a cell, that is a sentence or line,
-retrieves the exemplars it shares features with; its TF-IDF containment in them is computed, and a
-cell mostly covered by contained windows is residue. An unfilled placeholder is residue anywhere:
-the window is then the bracketed span, compared by its shape.
+Method: labelled exemplars of residue are kept in an inverted index from features to exemplars. A
+passage window of a cell retrieves the exemplars it shares features with; its TF-IDF containment in
+the best of them is computed, and a cell mostly covered by contained windows is residue. Windows are
+sentences and lines with Latin words and pairs of Chinese characters as features; a cell without
+letters and digits is one window of its kinds of marks; a bracketed span is a window of its own
+whose one feature is its shape, with slots for the names in it, and one contained window of that
+kind makes a cell residue, since an unfilled placeholder is residue anywhere.
 
 Scale: feature frequencies come from all cells, as hashed counts of fixed size; detection is a
 narrow pass. Distinct cells of an Arrow batch are scored once.
@@ -14,29 +16,82 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions.text import is_no_value, trim_blanks
-from quarrymill.vocab import NO_VALUE
+from quarrymill.vocab import NO_VALUE, PLACEHOLDER
 
 COUNT_SLOTS = 1 << 18
 WINDOW_CONTAINMENT = 0.72
 CELL_COVERAGE = 0.6
 
-# Labelled exemplars of residue.
+# Labelled exemplars of residue, one a line. NAME stands for a name in a placeholder.
 EXEMPLARS = {
+    "placeholder": """
+{{ NAME }}
+${ NAME }
+#{ NAME }
+{NAME}
+<%= NAME %>
+<% NAME %>
+%(NAME)s
+%(NAME)d
+%(NAME)f
+[[ NAME ]]
+__NAME__
+$NAME$
+<!-- NAME -->
+<NAME>
+[insert NAME]
+[enter NAME]
+[your NAME]
+[add NAME]
+[此处填写]
+[此处填写NAME]
+[请填写]
+[请填写NAME]
+[请输入]
+[请输入NAME]
+[插入]
+[插入NAME]
+[待补充]
+[NAME待补充]
+[待补全]
+[NAME待补全]
+[待填写]
+[NAME待填写]
+[待完善]
+[NAME待完善]
+［待补充］
+［NAME待补充］
+［待补全］
+［NAME待补全］
+［待填写］
+［NAME待填写］
+【请填写】
+【请填写NAME】
+【请输入】
+【请输入NAME】
+【待填写】
+【待填写NAME】
+【NAME待填写】
+【此处填写】
+【此处填写NAME】
+【待补充】
+【NAME待补充】
+【待补全】
+【NAME待补全】
+""",
     "filler": """
-lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
-ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat
-duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur
-excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
+lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
+. - ( ) [ ] _ “ ” + $ ^ ~ ° ☆
 xxx
 aaa
 asdf asdf
@@ -89,27 +144,18 @@ no content yet
 页面建设中
 """,
     "error": """
-400 Bad Request
-401 Unauthorized
-403 Forbidden
-404 Not Found
-405 Method Not Allowed
-408 Request Timeout
-410 Gone
-429 Too Many Requests
-500 Internal Server Error
-502 Bad Gateway
-503 Service Unavailable
-504 Gateway Time-out
-504 Gateway Timeout
-HTTP Error 500 - Internal Server Error
+400 STATUS
+HTTP Error 500 - STATUS
+html head title 404 STATUS /title /head body h1 STATUS /h1 /body /html
+error code message STATUS request id q
+Oops! STATUS. Go back to the start page.
+状态
+抱歉，状态（错误代码）
+error 状态 retry_after
+状态，请秒后重试
 HTTP status code error message
-html head title 404 Not Found /title /head body h1 Not Found /h1 /body /html
-error code message Not Found request id q
 error code message detail status request_id trace_id
-error retry_after
 error failed null exception
-Oops! Not Found. Go back to the start page.
 Oops! Something went wrong
 Sorry, the page you are looking for does not exist
 The requested page could not be reached (403).
@@ -135,27 +181,7 @@ Traceback (most recent call last): File line KeyError
 Traceback most recent call last line ValueError TypeError
 Exception in thread main
 undefined is not a function
-页面不存在
 您访问的页面不存在
-抱歉，页面不存在（错误代码）
-抱歉，服务器内部错误（错误代码）
-抱歉，服务暂不可用（错误代码）
-服务器内部错误
-服务器错误
-服务暂不可用
-网关错误
-网关超时
-禁止访问
-拒绝访问
-请求过于频繁
-请求超时
-页面不存在，请秒后重试
-服务器内部错误，请秒后重试
-网关超时，请秒后重试
-网关错误，请秒后重试
-服务暂不可用，请秒后重试
-禁止访问，请秒后重试
-请求过于频繁，请秒后重试
 系统繁忙，请稍后再试
 系统异常
 数据加载失败，点击重试
@@ -196,27 +222,27 @@ verify you are human
 """,
 }
 
-_NAME = r"[A-Za-z_一-鿿][\w.一-鿿]*"
-# Shapes of unfilled placeholders; NAME stands for an identifier.
-PLACEHOLDER_SHAPES = [
-    r"\{\{\s*NAME\s*\}\}",
-    r"[$#]\{\s*NAME\s*\}",
-    r"(?<![\w'\"])\{NAME\}",
-    r"<%=?\s*NAME\s*%>",
-    r"%\(NAME\)[sdf]",
-    r"\[\[\s*NAME\s*\]\]",
-    r"(?<![A-Za-z0-9])__NAME__(?![A-Za-z0-9])",
-    r"\$NAME\$",
-    r"<!--\s*NAME\s*-->",
-    r"<(?!/?(?:p|br|hr|b|i|u|a|em|sub|sup|div|span|html|head|body|title|noscript|script|style|table|tr|td|th|ul|ol|li|h[1-6]|strong|img|pre|code)\b)NAME>",
-    r"【(?:请填写|请输入|待填写|此处填写)[^】]{0,40}】",
-    r"\[(?i:insert|enter|your|add)\s+[^\]]{1,40}\]",
-    r"\[(?:此处填写|请填写|请输入|插入)[^\]]{0,40}\]",
-    r"\[[^\[\]]{0,40}(?:待补充|待补全|待填写|待完善)\s*\]",
-    r"［[^［］]{0,40}(?:待补充|待补全|待填写)\s*］",
-    r"【[^【】]{0,40}(?:待补充|待补全|待填写)\s*】",
-]
-_PLACEHOLDER = re.compile("|".join(s.replace("NAME", _NAME) for s in PLACEHOLDER_SHAPES))
+# What stands for STATUS and 状态 in the exemplars, one exemplar each.
+STATUSES = ["Bad Request", "Unauthorized", "Forbidden", "Not Found", "Method Not Allowed", "Request Timeout", "Gone", "Too Many Requests", "Internal Server Error",
+            "Bad Gateway", "Service Unavailable", "Gateway Time-out", "Gateway Timeout"]
+STATUSES_ZH = ["页面不存在", "服务器内部错误", "服务器错误", "服务暂不可用", "网关错误", "网关超时", "禁止访问", "拒绝访问", "请求过于频繁", "请求超时"]
+
+# Brackets of placeholders: opening, what may stand between, closing.
+_BRACKETS = [
+    (r"\{\{", r"[^{}]*", r"\}\}"), (r"\$\{", r"[^{}]*", r"\}"), (r"#\{", r"[^{}]*", r"\}"), (r"(?<![_^\\])\{", r"[^{}]*", r"\}"),
+    (r"<%=", r"[^<>%]*", r"%>"), (r"<%", r"[^<>%=]*", r"%>"), (r"%\(", r"[^()]*", r"\)[sdf]"), (r"\[\[", r"[^\[\]]*", r"\]\]"),
+    (r"__", r"[A-Za-z一-鿿][\w.一-鿿]*?", r"__"), (r"\$", r"[^$\s]+", r"\$"), (r"<!--", r"[^<>]*", r"-->"),
+    (r"<", r"[^<>]*", r">"), (r"【", r"[^【】]*", r"】"), (r"\[", r"[^\[\]]*", r"\]"), (r"［", r"[^［］]*", r"］"),
+]
+_SPAN = re.compile("|".join(f"{a}({b}){c}" for a, b, c in _BRACKETS))
+_SPACED = re.compile(r"\{\{|[$#]\{|<%|\[\[|<!--")
+_IDENTIFIER = re.compile(r"[A-Za-z_一-鿿][\w.一-鿿]*")
+SLOT_CHARACTERS = 40
+# Tags of pages, which are no names of placeholders.
+TAGS = {
+    "p", "br", "hr", "b", "i", "u", "a", "em", "sub", "sup", "div", "span", "html", "head", "body", "title", "noscript", "script", "style", "table",
+    "tr", "td", "th", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "strong", "img", "pre", "code",
+}
 _MARKS = re.compile(r"[{<\[【$%#_［]")
 _WINDOW = re.compile(r"[。！？!?\n]+|(?<=[.;])\s+")
 _WORDS = re.compile(r"[a-z]+(?:_[a-z]+)*|[一-鿿]+")
@@ -264,6 +290,54 @@ def feature_counts(df: DataFrame, fields: Sequence[str]) -> np.ndarray:
     return counts
 
 
+def marks(text: str) -> list[str]:
+    """The kinds of punctuation and signs in a text."""
+    return sorted({"mark " + unicodedata.category(c) for c in text if not c.isspace()})
+
+
+def labelled(exemplars: dict[str, str]) -> list[tuple[str, str]]:
+    """``(kind, exemplar)``, those with a status once for each."""
+    out = []
+    for kind, text in exemplars.items():
+        for line in filter(None, map(str.strip, text.splitlines())):
+            word, values = ("STATUS", STATUSES) if "STATUS" in line else ("状态", STATUSES_ZH)
+            out += [(kind, line.replace(word, v)) for v in values] if word in line else [(kind, line)]
+    return out
+
+
+class Shapes:
+    """Bracketed spans in normal form: names become slots, the words that exemplars have around them stay."""
+
+    def __init__(self, exemplars: Sequence[str]) -> None:
+        words = {w.strip() for line in exemplars for m in [_SPAN.search(line)] if m for w in m[m.lastindex].split("NAME")}
+        found = sorted(filter(None, words), key=lambda w: (-len(w), w))
+        self.cues = re.compile("|".join(rf"\b{re.escape(w)}\b" if w.isascii() else re.escape(w) for w in found) or "(?!)", re.IGNORECASE)
+
+    def _content(self, text: str, opening: str) -> str | None:
+        if self.cues.search(text):
+            out, at = "", 0
+            for m in self.cues.finditer(text):
+                out += ("·" if text[at : m.start()].strip() else "") + m[0].lower()
+                at = m.end()
+                if len(text[at:]) > SLOT_CHARACTERS or m.start() > SLOT_CHARACTERS:
+                    return None
+            return out + ("·" if text[at:].strip() else "")
+        name = text.strip() if _SPACED.match(opening) else text
+        known = _IDENTIFIER.fullmatch(name) and not (opening == "<" and name.lower() in TAGS)
+        return "·" if known else None
+
+    def spans(self, text: str) -> Iterator[str]:
+        """The shapes of all spans; a span may hold others."""
+        at = 0
+        while m := _SPAN.search(text, at):
+            inner = m[m.lastindex]
+            opening, closing = text[m.start() : m.start(m.lastindex)], text[m.end(m.lastindex) : m.end()]
+            content = self._content(inner, opening)
+            if content:
+                yield f"{opening}{content}{closing}"
+            at = m.start() + 1
+
+
 class Index:
     """Inverted index of the exemplars, with TF-IDF weights of the corpus."""
 
@@ -271,13 +345,15 @@ class Index:
         self.counts, self.total = counts, max(1, int(counts.sum()))
         self.postings: dict[str, set[int]] = defaultdict(set)
         self.kinds: list[str] = []
-        self.union: dict[str, set[str]] = defaultdict(set)
-        for kind, lines in exemplars.items():
-            for line in filter(None, map(str.strip, lines.splitlines())):
-                for f in features(line):
-                    self.postings[f].add(len(self.kinds))
-                    self.union[kind].add(f)
-                self.kinds.append(kind)
+        lines = labelled(exemplars)
+        self.shapes = Shapes([line for kind, line in lines if kind == "placeholder"])
+        for kind, line in lines:
+            # Filler is repeated, so its end may stand before its start.
+            joined = features(line + line) if kind == "filler" else []
+            found = list(self.shapes.spans(line.replace("NAME", "name"))) if kind == "placeholder" else [*features(line), *joined] or marks(line)
+            for f in found:
+                self.postings[f].add(len(self.kinds))
+            self.kinds.append(kind)
         self.weights: dict[str, float] = {}
 
     def weight(self, feature: str) -> float:
@@ -289,35 +365,28 @@ class Index:
         return got
 
     def window(self, distinct: set[str]) -> tuple[float, str | None]:
-        """The weight of a window and the kind of residue it is contained in."""
-        weights = {f: self.weight(f) for f in distinct}
-        total = sum(weights.values())
+        """The weight of a window and the kind of the exemplar that contains it, None if none does."""
+        total = sum(map(self.weight, distinct))
         shared: dict[int, float] = defaultdict(float)
-        kinds: dict[str, float] = defaultdict(float)
         for f in distinct & self.postings.keys():
+            weight = self.weight(f)
             for e in self.postings[f]:
-                shared[e] += weights[f]
-            for kind, known in self.union.items():
-                if f in known:
-                    kinds[kind] += weights[f]
-        if shared:
-            best = max(shared, key=shared.__getitem__)
-            if shared[best] >= WINDOW_CONTAINMENT * total:
-                return total, self.kinds[best]
-            kind = max(kinds, key=kinds.__getitem__)
-            if kinds[kind] >= 0.92 * total:
-                return total, kind
-        return total, None
+                shared[e] += weight
+        best = max(shared, key=shared.__getitem__, default=-1)
+        return total, self.kinds[best] if best >= 0 and shared[best] >= WINDOW_CONTAINMENT * total else None
 
     def classify(self, cell: str) -> str | None:
         """The kind of residue a cell is, None for content."""
-        if cell == "[待补全]" or (_MARKS.search(cell) and _PLACEHOLDER.search(cell)):
-            return "placeholder"
+        if _MARKS.search(cell):
+            for shape in self.shapes.spans(cell):
+                kind = self.window({shape})[1]
+                if kind:
+                    return kind
         trimmed = cell.strip()
         if trimmed in NO_VALUE:
             return None
         if not any(c.isalnum() for c in trimmed):
-            return "filler"
+            return self.window(set(marks(trimmed)))[1]
         covered: dict[str, float] = defaultdict(float)
         total = 0.0
         # A covered window has at least WINDOW_CONTAINMENT of its weight in exemplars, a covered cell CELL_COVERAGE
@@ -339,29 +408,33 @@ class Index:
 
 
 def find_residue(
-    df: DataFrame, table_name: str, fields: Sequence[str], key: str = "row_id", counts: np.ndarray | None = None
+    df: DataFrame,
+    table_name: str,
+    fields: Sequence[str],
+    key: str = "row_id",
+    counts: np.ndarray | None = None,
+    exemplars: dict[str, str] = EXEMPLARS,
 ) -> DataFrame:
     """One row per residue cell: ``table_name, row_id, field_name, kind``.
 
-    Kinds: ``placeholder`` (an unfilled placeholder anywhere), ``filler``, ``error``, ``script``. Null, blank
-    and the other no-value tokens give no row, nor does content that merely mentions such things.
+    Kinds: those of ``exemplars``, of which ``placeholder`` is residue anywhere in a cell. Null, blank and the
+    no-value tokens that are no placeholder give no row, nor does content that merely mentions such things.
     """
     counts = feature_counts(df, fields) if counts is None else counts
-    shared = df.sparkSession.sparkContext.broadcast(counts)
-    holder: dict[str, Index] = {}
+    shared = df.sparkSession.sparkContext.broadcast((counts, exemplars))
 
-    @F.pandas_udf("string")
-    def kind_of(cells: pd.Series) -> pd.Series:
-        if "index" not in holder:
-            holder["index"] = Index(shared.value)
-        codes, distinct = pd.factorize(cells)
-        kinds = np.array([holder["index"].classify(c) for c in distinct], dtype=object)
-        return pd.Series(kinds[codes], dtype=object)
+    def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(*shared.value)
+        for batch in batches:
+            cells = batch.column(2).dictionary_encode()
+            kinds = np.array([index.classify(c) for c in cells.dictionary.to_pylist()] or [None], dtype=object)[cells.indices.to_numpy()]
+            at = pa.array(np.flatnonzero(kinds != np.array(None)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(kinds[at.to_numpy()], pa.string())], ["row_id", "field_name", "kind"]
+            )
 
     pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").cast("string").alias("cell")) for f in fields])
     cells = df.select(F.col(key).cast("long").alias("row_id"), F.explode(pairs).alias("p")).select("row_id", "p.field_name", "p.cell")
-    tokens = [t for t in NO_VALUE if t != "[待补全]"]
-    trimmed = trim_blanks(F.col("cell"))
-    bare = cells.where(trimmed == "[待补全]").withColumn("kind", F.lit("placeholder"))
-    rest = cells.where(~is_no_value(trimmed, [*tokens, "[待补全]"])).withColumn("kind", kind_of("cell")).where(F.col("kind").isNotNull())
-    return bare.unionByName(rest).select(F.lit(table_name).alias("table_name"), "row_id", "field_name", "kind")
+    tokens = [t for t in NO_VALUE if t != PLACEHOLDER]
+    held = cells.where(~is_no_value(trim_blanks(F.col("cell")), tokens)).mapInArrow(detect, "row_id long, field_name string, kind string")
+    return held.select(F.lit(table_name).alias("table_name"), "row_id", "field_name", "kind")
