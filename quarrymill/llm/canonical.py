@@ -1,10 +1,12 @@
 """Free-entered values mapped to the entries of a reference list; values that stand for none are reported.
 
 Method: values are deduplicated and normalised; an inverted index of character n-grams retrieves
-candidate entries; a weighted cosine scores them; the best is accepted above a threshold and a margin
-to the second. Other names of an entry are learned from the values themselves: where a value states
-an entry's exact name beside another one ("mainboard (主板)"), the other one is a name of that entry,
-if it keeps company with that entry only.
+every name that shares a gram; a weighted cosine scores them, nothing else does; the best entry is
+accepted above a threshold and a margin to the second. A check that can only refuse stands between:
+a name has to be the value's part but for few misspellings, or its end. Other names of an entry are
+learned from the values themselves: where a value states an entry's name beside another one
+("mainboard (主板)"), the other one is a name of that entry, if it keeps company with that entry only.
+A second round learns what ends in a name ("desktop CPU"), so that its misspellings are found as well.
 
 Scale: only distinct values are scored, after a pre-aggregation on the map side; the reference list
 is a bounded table, learned names are counted in Spark and all of them are held in memory; the mapping goes
@@ -17,7 +19,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions.text import is_no_value, trim_blanks
 from quarrymill.session import cut_lineage
 
-THRESHOLD = 0.62
+THRESHOLD = 0.2
 MARGIN = 0.04
 LEARNED_SHARE = 0.85
 MAX_BROADCAST_CHARACTERS = 8_000_000
@@ -44,44 +46,6 @@ WRAPPERS = {
 _WRAPPERS_ZH = re.compile(r"^(?:厂商|品牌|制造商|生产商|厂家)|(?:股份有限公司|有限责任公司|有限公司|股份|集团|公司|科技|电子|技术|类|牌)$")
 
 
-# Names in general use for parts of computers, by list and entry.
-GLOSSARY = {
-    "component_type": {
-        "Processor": "cpu; central processing unit; microprocessor; processor unit; 中央处理器; 微处理器",
-        "Graphics Card": "gpu; graphics adapter; video card; vga card; display card; 显示卡; 独立显卡; 图形卡",
-        "Motherboard": "mainboard; main board; mobo; system board; logic board; 主机板; 母板",
-        "Memory Module": "ram; dimm; memory; memory stick; system memory; ddr memory; 内存条; 记忆体",
-        "Solid State Drive": "ssd; solid-state disk; flash disk; 固态; 固态驱动器; 固态盘",
-        "Hard Disk Drive": "hdd; hard disk; hard drive; spinning disk; 硬盘; 机械盘",
-        "Power Supply": "psu; power supply unit; power unit; 电源供应器",
-        "Computer Case": "case; pc case; chassis; tower case; mid-tower; full tower; 机壳",
-        "CPU Cooler": "cooler; cpu fan; heatsink; heat sink; liquid cooler; 风冷; 水冷; 风冷散热; 水冷散热; 风扇",
-        "Display": "monitor; screen; lcd; 屏幕; 液晶屏",
-        "Keyboard": "kbd",
-        "Mouse": "mice; 滑鼠",
-        "Headset": "headphones; earphones; headphone; 耳麦",
-        "Network Adapter": "nic; network card; lan card; wifi card; wi-fi card; ethernet adapter; ethernet card",
-        "Webcam": "web camera; camera; usb camera; video camera",
-    },
-    "category": {
-        "Processors": "cpu; cpus; processor",
-        "Graphics": "gpu; gpus; graphics card; graphics cards; video card; video cards; 显卡; 显示卡",
-        "Mainboards": "motherboard; motherboards; system board; system boards; mobo; 主机板",
-        "System Memory": "ram; dimm; dimms; memory module; memory modules; memory; 内存条; 记忆体",
-        "Internal Storage": "ssd; hdd; hard drive; hard drives; internal hard drive; solid state drive; solid state drives; 固态硬盘; 机械硬盘",
-        "External Storage": "usb flash drive; usb flash drives; portable drive; portable drives; external drive; external hard drive; memory card; memory cards; u盘; 移动硬盘; 存储卡",
-        "Power Supplies": "psu; psus; power supply; 电源供应器",
-        "Enclosures": "pc case; pc cases; case; cases; chassis; tower case; 机壳",
-        "Cooling": "cooler; coolers; fan; fans; heatsink; heatsinks; liquid cooling; 散热器; 风扇; 水冷; 风冷",
-        "Displays": "monitor; monitors; screen; screens; lcd screens; 显示器; 屏幕; 液晶屏",
-        "Input Devices": "keyboard; keyboards; mouse; mice; gamepad; gamepads; 键盘; 鼠标; 手柄; 键鼠套装",
-        "Audio Devices": "headset; headsets; headphones; speaker; speakers; sound card; sound cards; microphone; microphones; 耳机; 耳麦; 音箱; 麦克风; 声卡",
-        "Networking": "router; routers; switch; switches; network card; network cards; 路由器; 交换机; 网卡",
-        "Printing": "printer; printers; scanner; scanners; 打印机; 扫描仪",
-    },
-}
-
-
 def plain(text: str) -> str:
     """Half-width lower case without accents."""
     spread = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", re.sub("[®™©]", "", text)))
@@ -178,7 +142,6 @@ class Reference:
             for name in e.names:
                 self.exact[name] = e.ref_id
         self.names = sorted(self.exact)
-        self.limits = [allowed_edits(len(name)) for name in self.names]
         df = Counter(g for name in self.names for g in set(grams(name)))
         n = len(self.names)
         self.idf = {g: math.log(1 + n / c) for g, c in df.items()}
@@ -195,78 +158,101 @@ class Reference:
         norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
         return {g: w / norm for g, w in weights.items()}
 
-    def candidates(self, part: str) -> list[tuple[float, str]]:
-        """Every name whose length allows it to be a misspelling of the part; such names share a gram with it."""
+    def candidates(self, part: str) -> dict[str, float]:
+        """The cosine of every name that shares a gram with the part; all others have none."""
         scores: dict[int, float] = defaultdict(float)
         for g, w in self._weights(part).items():
             for i, other in self.postings.get(g, ()):
                 scores[i] += w * other
-        return [(s, self.names[i]) for i, s in scores.items() if abs(len(self.names[i]) - len(part)) <= self.limits[i]]
+        return {self.names[i]: s for i, s in scores.items()}
+
+    def _edits(self, part: str, name: str, value: str, ends: set[str]) -> int | None:
+        """Edits from the part to the name; None where the part is neither its misspelling nor a compound that ends in it."""
+        if part == name:
+            return 0
+        if name in ends and len(part) > len(name):
+            return len(part) - len(name)
+        limit = allowed_edits(len(name))
+        edits = edit_distance(part, name, limit)
+        if edits > limit:
+            return None
+        spelt = self.spelling.get(self.exact[name], "")
+        return edits if compact(plain(spelt)) != name or any(words_fit(p, spelt) for p in _SPLIT.split(value) if p.strip()) else None
 
     def match(self, value: str, threshold: float = THRESHOLD, margin: float = MARGIN) -> int:
-        """The entry a value stands for, -1 for none."""
-        parts = parts_of(value)
-        hits = Counter(self.exact[p] for p in parts if p in self.exact)
-        if hits:
-            first = next(self.exact[p] for p in parts if p in self.exact)
-            best, n = hits.most_common(1)[0]
-            return best if n > 1 else first
-        named = Counter(self.exact[h] for h in heads_of(value) if h in self.exact)
-        if len(named) == 1:
-            return next(iter(named))
+        """The entry a value stands for, -1 for none: the best cosine above the threshold and the margin to the second.
+
+        Refused as well if another entry is no more edits away.
+        """
         best: dict[int, float] = {}
-        for part in parts:
-            if len(part) < 3:
-                continue
-            for score, name in self.candidates(part):
+        nearest: dict[int, int] = {}
+        ends = set(heads_of(value))
+        for part in parts_of(value):
+            for name, score in self.candidates(part).items():
+                if score < threshold:
+                    continue
                 ref = self.exact[name]
-                # An exact check: a name is misspelt by few edits for its length.
-                limit = allowed_edits(len(name))
-                edits = edit_distance(part, name, limit)
-                spelt = self.spelling.get(ref, "")
-                if edits <= limit and (compact(plain(spelt)) != name or any(words_fit(p, spelt) for p in _SPLIT.split(value) if p.strip())):
-                    score = max(score, 1.0 - edits / (len(name) + 1.0))
-                    best[ref] = max(best.get(ref, 0.0), score)
-        if not best:
-            return -1
+                edits = self._edits(part, name, value, ends)
+                if edits is not None:
+                    best[ref] = max(score, best.get(ref, 0.0))
+                    nearest[ref] = min(edits, nearest.get(ref, edits))
         ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))
-        if ranked[0][1] < threshold or (len(ranked) > 1 and ranked[0][1] - ranked[1][1] < margin):
+        if not ranked or (len(ranked) > 1 and ranked[0][1] - ranked[1][1] < margin):
             return -1
-        return ranked[0][0]
+        first = ranked[0][0]
+        return -1 if any(nearest[ref] <= nearest[first] for ref in nearest if ref != first) else first
 
 
-def read_reference(reference: DataFrame) -> dict[str, list[Entry]]:
-    """The entries by list; a bounded table read on the driver."""
+def read_reference(reference: DataFrame, glossary: DataFrame | None = None) -> dict[str, list[Entry]]:
+    """The entries by list, with further names from ``glossary`` (``ref_id, name``); bounded tables read on the driver."""
+    further: dict[int, list[str]] = defaultdict(list)
+    for r in glossary.select("ref_id", "name").where("name is not null").orderBy("ref_id", "name").collect() if glossary is not None else []:
+        further[r["ref_id"]].append(r["name"])
     lists: dict[str, list[Entry]] = defaultdict(list)
-    for r in reference.where("canonical_name is not null").orderBy("ref_id").collect():
-        names = [compact(plain(x)) for x in (r["canonical_name"], r["name_zh"], r["short_code"]) if x]
+    items = reference.where("canonical_name is not null").select("ref_id", "list_name", "canonical_name", "name_zh", "short_code")
+    for r in items.orderBy("ref_id").collect():
+        names = [compact(plain(x)) for x in (r["canonical_name"], r["name_zh"], r["short_code"], *further[r["ref_id"]]) if x]
         lists[r["list_name"]].append(Entry(r["ref_id"], list(dict.fromkeys(n for n in names if n)), r["canonical_name"]))
     return lists
 
 
-def other_name(value: str, official: dict[str, int], exact: dict[str, int]) -> tuple[str, int] | None:
-    """Another name that a value gives to an entry: beside the entry's official name, or a compound of its name."""
+def name_beside(value: str, known: dict[str, int]) -> tuple[str, int] | None:
+    """Another name that a value gives to an entry: what stands beside one of the entry's names."""
     pieces = pieces_of(value)
-    if len(pieces) == 2:
-        known = [p for p in pieces if p in official]
-        if len(known) == 1:
-            other = pieces[1] if known[0] == pieces[0] else pieces[0]
-            return (other, official[known[0]]) if len(other) > 1 and other not in exact else None
-    if len(pieces) == 1 and pieces[0] not in exact:
-        heads = {exact[h] for h in heads_of(value) if h in exact}
-        if len(heads) == 1:
-            return pieces[0], heads.pop()
-    return None
-
-
-def with_glossary(lists: dict[str, list[Entry]], canonical: dict[int, str], glossary: dict = GLOSSARY) -> None:
-    """Adds names in general use to the entries they belong to, if the list has them."""
-    for name, entries in lists.items():
-        for e in entries:
-            for other in glossary.get(name, {}).get(canonical[e.ref_id], "").split(";"):
-                form = compact(plain(other))
-                if form and form not in e.names:
-                    e.names.append(form)
+    if len(pieces) != 2:
+        return None
+    named = [p for p in pieces if p in known]
+    other = pieces[1] if named and named[0] == pieces[0] else pieces[0]
+    return (other, known[named[0]]) if len(named) == 1 and len(other) > 1 else None
+
+
+def compound(value: str, known: dict[str, int]) -> tuple[str, int] | None:
+    """A value that ends in the name of one entry, taken for a name of it."""
+    pieces = pieces_of(value)
+    if len(pieces) != 1 or pieces[0] in known:
+        return None
+    refs = {known[h] for h in heads_of(value) if h in known}
+    return (pieces[0], refs.pop()) if len(refs) == 1 else None
+
+
+def learn_names(distinct: DataFrame, known: dict[str, dict[str, int]], rule: Callable) -> dict[str, dict[str, int]]:
+    """Names by list that a rule finds in the values and that keep company with one entry in ``LEARNED_SHARE`` of them."""
+    shared = distinct.sparkSession.sparkContext.broadcast(known)
+
+    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (field, *got) for field, value in zip(batch.field_name, batch.value, strict=True) if (got := rule(value, shared.value.get(field, {})))
+            ]
+            yield pd.DataFrame(rows, columns=["field_name", "part", "ref_id"])
+
+    votes = distinct.select("field_name", "value").mapInPandas(vote, "field_name string, part string, ref_id int")
+    counted = votes.groupBy("field_name", "part", "ref_id").count()
+    summed = counted.groupBy("field_name", "part").agg(F.max_by("ref_id", "count").alias("ref_id"), F.max("count").alias("most"), F.sum("count").alias("n"))
+    out = {field: dict(names) for field, names in known.items()}
+    for r in summed.where(F.col("most") >= LEARNED_SHARE * F.col("n")).orderBy("field_name", "part").collect():
+        out[r["field_name"]].setdefault(r["part"], r["ref_id"])
+    return out
 
 
 def map_to_reference(
@@ -275,67 +261,43 @@ def map_to_reference(
     key: str = "row_id",
     threshold: float = THRESHOLD,
     margin: float = MARGIN,
-    glossary: dict = GLOSSARY,
+    glossary: DataFrame | None = None,
 ) -> DataFrame:
     """One row per cell to be mapped: ``table_name, row_id, field_name, ref_id``, -1 for no entry.
 
-    ``tables``: (frame, name, fields); the list of a field is named like it. Cells that are null, a
-    no-value token or exactly a canonical name of their list give no row. Ties between entries
-    count as no entry. Extra columns are ignored.
+    ``tables``: (frame, name, fields); the list of a field is named like it. ``glossary`` (``ref_id, name``): further
+    names of entries, none by default. Cells that are null, a no-value token or exactly a canonical name of their
+    list give no row. A value that is equally near two entries, or names two, counts as none. Extra columns are ignored.
     """
-    items = reference.where("canonical_name is not null").select("ref_id", "list_name", "canonical_name", "name_zh", "short_code")
-    canonical = {r["ref_id"]: r["canonical_name"] for r in items.collect()}
-    lists = read_reference(items)
-    official = {name: {n: e.ref_id for e in entries for n in e.names} for name, entries in lists.items()}
-    with_glossary(lists, canonical, glossary)
-    exactly: dict[str, list[str]] = defaultdict(list)
-    for name, entries in lists.items():
-        exactly[name] = [canonical[e.ref_id] for e in entries]
+    lists = read_reference(reference, glossary)
+    known = {name: {n: e.ref_id for e in entries for n in e.names} for name, entries in lists.items()}
 
     cells = None
     for df, table_name, fields in tables:
         for field in fields:
             value = F.col(f"`{field}`").cast("string")
+            exactly = [e.spelling for e in lists.get(field, [])]
             part = df.select(
                 F.lit(table_name).alias("table_name"), F.col(key).cast("long").alias("row_id"), F.lit(field).alias("field_name"), value.alias("value")
-            ).where(~is_no_value(trim_blanks(F.col("value"))) & ~F.col("value").isin(exactly[field]))
+            ).where(~is_no_value(trim_blanks(F.col("value"))) & ~F.col("value").isin(exactly))
             cells = part if cells is None else cells.unionByName(part)
-    distinct = cut_lineage(cells.groupBy("field_name", "value").agg(F.count("*").alias("n")))
-
-    spark = reference.sparkSession
-    shared = spark.sparkContext.broadcast(lists)
-    named = spark.sparkContext.broadcast(official)
-
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        exact = {name: {n: e.ref_id for e in entries for n in e.names} for name, entries in shared.value.items()}
-        for batch in batches:
-            rows = []
-            for field, value in zip(batch.field_name, batch.value, strict=True):
-                got = other_name(value, named.value.get(field, {}), exact.get(field, {}))
-                if got:
-                    rows.append((field, *got))
-            yield pd.DataFrame(rows, columns=["field_name", "part", "ref_id"])
-
-    votes = distinct.select("field_name", "value").mapInPandas(vote, "field_name string, part string, ref_id int")
-    counted = votes.groupBy("field_name", "part", "ref_id").count()
-    summed = counted.groupBy("field_name", "part").agg(F.max_by("ref_id", "count").alias("ref_id"), F.max("count").alias("most"), F.sum("count").alias("n"))
-    kept = summed.where(F.col("most") >= LEARNED_SHARE * F.col("n"))
-    learned: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in kept.collect():
-        learned[r["field_name"]][r["part"]] = r["ref_id"]
-    names = spark.sparkContext.broadcast(dict(learned))
+            known.setdefault(field, {})
+    distinct = cut_lineage(cells.select("field_name", "value").distinct())
+    names = learn_names(distinct, learn_names(distinct, known, name_beside), compound)
+    shared = reference.sparkSession.sparkContext.broadcast((dict(lists), names))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entries, learned = shared.value
         ready: dict[str, Reference] = {}
         for batch in batches:
             found = []
             for field, value in zip(batch.field_name, batch.value, strict=True):
                 if field not in ready:
-                    ready[field] = Reference(shared.value.get(field, []), names.value.get(field))
+                    ready[field] = Reference(entries.get(field, []), learned.get(field))
                 found.append(ready[field].match(value, threshold, margin))
             yield pd.DataFrame({"field_name": batch.field_name, "value": batch.value, "ref_id": pd.array(found, dtype="int32")})
 
-    mapping = distinct.select("field_name", "value").mapInPandas(match, "field_name string, value string, ref_id int")
+    mapping = distinct.mapInPandas(match, "field_name string, value string, ref_id int")
     return back_to_rows(cells, mapping, distinct).select("table_name", "row_id", "field_name", "ref_id")
 
 

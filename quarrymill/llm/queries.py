@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrymill.llm.canonical import map_to_reference
 from quarrymill.llm.encoding import decode_cells
+from quarrymill.llm.glossary import glossary_of
 from quarrymill.llm.mixing import mix_documents, predict_sources
 from quarrymill.llm.residue import find_residue
 from quarrymill.llm.subjects import assign_subjects, train_subjects
@@ -26,10 +27,20 @@ def p3_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_cells(table(spark, sf_dir, "sample_chemicals"), ["品名", "备注"]).drop("restored")
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _mapped(spark: SparkSession, sf_dir: str, with_glossary: bool) -> DataFrame:
+    reference = table(spark, sf_dir, "reference_items")
     pc = (table(spark, sf_dir, PC), PC, ["manufacturer", "component_type"])
     hardware = (table(spark, sf_dir, HARDWARE), HARDWARE, ["category"])
-    return map_to_reference([pc, hardware], table(spark, sf_dir, "reference_items"))
+    return map_to_reference([pc, hardware], reference, glossary=glossary_of(reference) if with_glossary else None)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir, True)
+
+
+def p4_without_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the reference list and names learned from the values alone."""
+    return _mapped(spark, sf_dir, False)
 
 
 def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +98,7 @@ QUERIES = {
     "p3_guesses": p3_guesses,
     "p4_found": p4_found,
     "p4_unmatched": p4_unmatched,
+    "p4_without_glossary": p4_without_glossary,
     "p5_found": p5_found,
     "p5_kinds": p5_kinds,
     "p7_ids": p7_ids,

@@ -1,4 +1,7 @@
-from quarrymill.llm.canonical import Entry, Reference, edit_distance, map_to_reference, words_fit
+import random
+
+from quarrymill.llm.canonical import THRESHOLD, Entry, Reference, edit_distance, map_to_reference, words_fit
+from quarrymill.llm.glossary import glossary_of
 
 REF = [(1, "manufacturer", "Norvexa", "诺维萨", "NVX"), (2, "manufacturer", "Corvane", "科凡", "CRVN"), (3, "manufacturer", "Corvanta", "科凡达", "CRVT"),
        (10, "component_type", "Processor", "处理器", None), (11, "component_type", "Keyboard", "键盘", None), (12, "component_type", "Power Supply", "电源", None),
@@ -9,7 +12,7 @@ SCHEMA = "row_id long, manufacturer string, component_type string, value string,
 def mapped(spark, field, values):
     ref = spark.createDataFrame(REF, "ref_id int, list_name string, canonical_name string, name_zh string, short_code string")
     rows = [(i, v if field == "manufacturer" else None, v if field != "manufacturer" else None, "a", "b", "c") for i, v in enumerate(values)]
-    out = map_to_reference([(spark.createDataFrame(rows, SCHEMA), "t", ["manufacturer", "component_type"])], ref)
+    out = map_to_reference([(spark.createDataFrame(rows, SCHEMA), "t", ["manufacturer", "component_type"])], ref, glossary=glossary_of(ref))
     got = {r.row_id: r.ref_id for r in out.collect()}
     return [got.get(i) for i in range(len(values))]
 
@@ -53,6 +56,32 @@ def test_learned_spellings_crowd_nothing_out():
     assert reference.match("nrvexa") == 1
 
 
+def test_two_entries_are_none(spark):
+    assert mapped(spark, "manufacturer", ["Norvexa / Corvane", "Norvexa (诺维萨)", "Corvan"]) == [-1, 1, 2]
+
+
+def test_nothing_is_accepted_below_the_threshold():
+    """The cosine alone accepts; every name with a common gram is retrieved, as by brute force."""
+    r = random.Random(3)
+    names = ["".join(r.choice("abcdeilmnorst") for _ in range(r.randint(3, 10))) for _ in range(120)]
+    reference = Reference([Entry(i, [n], n) for i, n in enumerate(dict.fromkeys(names))])
+
+    def cosine(a, b):
+        x, y = reference._weights(a), reference._weights(b)
+        return sum(w * y.get(g, 0.0) for g, w in x.items())
+
+    for name in names:
+        at = r.randrange(len(name))
+        value = name[:at] + r.choice("xyz") + name[at + r.randint(0, 1) :]
+        found = reference.candidates(value)
+        assert {n for n in reference.names if cosine(value, n) > 0} == set(found)
+        assert all(abs(cosine(value, n) - s) < 1e-9 for n, s in found.items())
+        got = reference.match(value)
+        if got >= 0:
+            assert max(s for n, s in found.items() if reference.exact[n] == got) >= THRESHOLD
+        assert reference.match(value, threshold=1.01) == -1
+
+
 def test_all_learned_names_count(spark):
     names = [*(f"n{i:05d}" for i in range(20_000)), "zzword"]
     assert mapped(spark, "component_type", [*(f"{n} (Processor)" for n in names), "zzword"])[-1] == 10
