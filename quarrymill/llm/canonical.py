@@ -114,9 +114,12 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     return last[-1]
 
 
+MOST_EDITS = 3
+
+
 def allowed_edits(length: int) -> int:
     """Misspellings that a name of this length may have."""
-    return 0 if length < 5 else 1 if length < 6 else 2 if length < 10 else 3
+    return 0 if length < 5 else 1 if length < 6 else 2 if length < 10 else MOST_EDITS
 
 
 def words_fit(value: str, name: str) -> bool:
@@ -146,11 +149,13 @@ class Reference:
         n = len(self.names)
         self.idf = {g: math.log(1 + n / c) for g, c in df.items()}
         self.rare = math.log(1 + n)
-        self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        for i, name in enumerate(self.names):
-            weights = self._weights(name)
+        # By gram and length of the name: a misspelling has nearly the length of its name.
+        self.postings: dict[tuple[str, int], list[tuple[int, float]]] = defaultdict(list)
+        self.vectors = [self._weights(name) for name in self.names]
+        for i, weights in enumerate(self.vectors):
             for g, w in weights.items():
-                self.postings[g].append((i, w))
+                self.postings[g, len(self.names[i])].append((i, w))
+        self.place = {name: i for i, name in enumerate(self.names)}
 
     def _weights(self, name: str) -> dict[str, float]:
         counts = Counter(grams(name))
@@ -158,13 +163,24 @@ class Reference:
         norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
         return {g: w / norm for g, w in weights.items()}
 
-    def candidates(self, part: str) -> dict[str, float]:
-        """The cosine of every name that shares a gram with the part; all others have none."""
-        scores: dict[int, float] = defaultdict(float)
-        for g, w in self._weights(part).items():
-            for i, other in self.postings.get(g, ()):
-                scores[i] += w * other
-        return {self.names[i]: s for i, s in scores.items()}
+    def candidates(self, part: str, ends: set[str], least: float) -> dict[str, float]:
+        """Names with a cosine of at least ``least`` that may pass the check: those at the end of the value and those
+        whose length is within the most edits of the part's.
+
+        A name that shares none of the grams read so far scores at most the norm of the rest, since names have unit
+        length: rare grams are read first, until that is too little for a new one.
+        """
+        own = sorted(self._weights(part).items(), key=lambda x: -x[1])
+        found = {self.place[name] for name in ends if name in self.place}
+        rest = 1.0
+        for g, w in own:
+            if rest < least * least - 1e-9:
+                break
+            for length in range(len(part) - MOST_EDITS, len(part) + MOST_EDITS + 1):
+                found.update(i for i, _ in self.postings.get((g, length), ()))
+            rest -= w * w
+        scores = {self.names[i]: sum(w * self.vectors[i].get(g, 0.0) for g, w in own) for i in found}
+        return {name: score for name, score in scores.items() if score >= least}
 
     def _edits(self, part: str, name: str, value: str, ends: set[str]) -> int | None:
         """Edits from the part to the name; None where the part is neither its misspelling nor a compound that ends in it."""
@@ -187,10 +203,11 @@ class Reference:
         best: dict[int, float] = {}
         nearest: dict[int, int] = {}
         ends = set(heads_of(value))
-        for part in parts_of(value):
-            for name, score in self.candidates(part).items():
-                if score < threshold:
-                    continue
+        parts = parts_of(value)
+        # An equal name scores 1: only names within the margin of it can still matter.
+        least = max(threshold, 1.0 - margin) if any(p in self.exact for p in parts) else threshold
+        for part in parts:
+            for name, score in self.candidates(part, ends, least).items():
                 ref = self.exact[name]
                 edits = self._edits(part, name, value, ends)
                 if edits is not None:

@@ -1,6 +1,6 @@
 import random
 
-from quarrymill.llm.canonical import THRESHOLD, Entry, Reference, edit_distance, map_to_reference, words_fit
+from quarrymill.llm.canonical import MOST_EDITS, THRESHOLD, Entry, Reference, edit_distance, map_to_reference, words_fit
 from quarrymill.llm.glossary import glossary_of
 
 REF = [(1, "manufacturer", "Norvexa", "诺维萨", "NVX"), (2, "manufacturer", "Corvane", "科凡", "CRVN"), (3, "manufacturer", "Corvanta", "科凡达", "CRVT"),
@@ -61,7 +61,7 @@ def test_two_entries_are_none(spark):
 
 
 def test_nothing_is_accepted_below_the_threshold():
-    """The cosine alone accepts; every name with a common gram is retrieved, as by brute force."""
+    """The cosine alone accepts; every name that may pass the check is retrieved, as by brute force."""
     r = random.Random(3)
     names = ["".join(r.choice("abcdeilmnorst") for _ in range(r.randint(3, 10))) for _ in range(120)]
     reference = Reference([Entry(i, [n], n) for i, n in enumerate(dict.fromkeys(names))])
@@ -73,12 +73,14 @@ def test_nothing_is_accepted_below_the_threshold():
     for name in names:
         at = r.randrange(len(name))
         value = name[:at] + r.choice("xyz") + name[at + r.randint(0, 1) :]
-        found = reference.candidates(value)
-        assert {n for n in reference.names if cosine(value, n) > 0} == set(found)
-        assert all(abs(cosine(value, n) - s) < 1e-9 for n, s in found.items())
+        for least in (0.05, THRESHOLD, 0.5):
+            found = reference.candidates(value, set(), least)
+            near = {n: cosine(value, n) for n in reference.names if abs(len(n) - len(value)) <= MOST_EDITS}
+            assert {n for n, s in near.items() if s >= least} == set(found)
+            assert all(abs(near[n] - s) < 1e-9 for n, s in found.items())
         got = reference.match(value)
         if got >= 0:
-            assert max(s for n, s in found.items() if reference.exact[n] == got) >= THRESHOLD
+            assert max(cosine(value, n) for n in reference.names if reference.exact[n] == got) >= THRESHOLD
         assert reference.match(value, threshold=1.01) == -1
 
 
