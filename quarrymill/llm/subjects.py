@@ -3,6 +3,8 @@
 Method: a chain of classifiers, one per subject, over term, source and structure features and the
 subjects decided before it, which models how subjects occur together; a beam search over the chain
 finds the likeliest combination under probabilities calibrated for labels that annotators left out.
+Nothing but the chain decides: the number of sentences on a subject is one of its features. What
+sentences tell is alike for all subjects, so the members of the chain share a prior fitted on all of them.
 The term features come from a sentence model of the same labelled sample, fitted by expectation
 maximisation, since a label belongs to a document but its evidence to a few sentences.
 
@@ -27,8 +29,9 @@ MAX_LABELLED = 6000
 TERM_SLOTS = 1 << 15
 LEAST_SENTENCES = 3
 BEAM = 8
-# Operating point of the beam search, in nats: the passage check that follows removes what is too much.
-RECALL_BIAS = 2.0
+# Ridge of the prior that the members of the chain share, and of each member towards it.
+PRIOR_RIDGE = 0.1
+MEMBER_RIDGE = 10.0
 
 _SENTENCE = re.compile(r"[。！？!?；\n\r]+|(?<=\S)\.(?=\s|$)")
 _WRAPPED = re.compile(r"(?<=[A-Za-z,])\r?\n(?=[a-z])")
@@ -138,23 +141,17 @@ def structure(posterior: np.ndarray, documents: np.ndarray, n: int) -> tuple[np.
             run[d, c] = length
     total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
     own, run = counts[:, :k], run[:, :k]
-    mass = np.zeros((n, k + 1))
-    np.add.at(mass, documents, posterior)
-    features = np.stack(
-        [np.minimum(own, 4) / 4, (own >= LEAST_SENTENCES) * 1.0, (own >= 2) * 1.0, np.minimum(run, 4) / 4, own / total, np.log1p(mass[:, :k])], axis=2
-    )
-    return own, features
-
-
-def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last column of ``x`` is the unpenalised intercept."""
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-3
+    steps = [(own >= n) * 1.0 for n in (1, 2, LEAST_SENTENCES, LEAST_SENTENCES + 1)]
+    return own, np.stack([*steps, np.minimum(run, 4) / 4, own / total], axis=2)
+
+
+def _fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float, rounds: int = 25) -> np.ndarray:
+    """Logistic regression by Newton steps with a ridge towards ``prior``."""
+    w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-6)
+        gradient = x.T @ (p - y) + ridge * (w - prior)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + (ridge + 1e-6) * np.eye(x.shape[1])
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -170,7 +167,7 @@ class Chain:
 
     @staticmethod
     def _inputs(features: np.ndarray, sources: np.ndarray, k: int) -> np.ndarray:
-        others = np.delete(features[:, :, 1], k, axis=1)
+        others = np.delete(features[:, :, LEAST_SENTENCES - 1], k, axis=1)
         return np.concatenate([features[:, k, :], others.sum(axis=1, keepdims=True), 0.3 * sources], axis=1)
 
     def one_hot(self, sources: Sequence[str | None]) -> np.ndarray:
@@ -186,9 +183,14 @@ class Chain:
         order = np.argsort(-labels.sum(axis=0), kind="stable").tolist()
         chain = cls(order, [], 1.0, sorted({s for s in sources if s}))
         hot = chain.one_hot(sources)
+        one = np.ones((len(labels), 1))
+        own = features.shape[2] + 1
+        pooled = np.concatenate([np.concatenate([cls._inputs(features, hot, k)[:, :own], one], axis=1) for k in order])
+        common = _fit_logistic(pooled, labels[:, order].T.ravel(), np.zeros(own + 1), PRIOR_RIDGE)
         for at, k in enumerate(order):
-            x = np.concatenate([cls._inputs(features, hot, k), labels[:, order[:at]], np.ones((len(labels), 1))], axis=1)
-            chain.weights.append(_fit_logistic(x, labels[:, k]))
+            x = np.concatenate([cls._inputs(features, hot, k), labels[:, order[:at]], one], axis=1)
+            prior = np.concatenate([common[:own], np.zeros(x.shape[1] - own - 1), common[-1:]])
+            chain.weights.append(_fit_logistic(x, labels[:, k], prior, MEMBER_RIDGE))
         # The part of evident subjects that annotators noted; probabilities are corrected by it.
         evident = counts >= 2 * LEAST_SENTENCES
         if evident.sum() >= 20:
@@ -206,7 +208,7 @@ class Chain:
             x = self._inputs(features, hot, subject)
             fixed = x @ w[: x.shape[1]] + w[-1]
             logit = fixed[:, None] + taken[:, :, self.order[:at]] @ w[x.shape[1] : -1]
-            p = np.clip(1 / (1 + np.exp(-np.clip(logit + RECALL_BIAS, -30, 30))) / self.kept, 1e-9, 1 - 1e-9)
+            p = np.clip(1 / (1 + np.exp(-np.clip(logit, -30, 30))) / self.kept, 1e-9, 1 - 1e-9)
             width = score.shape[1]
             both = np.concatenate([score + np.log1p(-p), score + np.log(p)], axis=1)
             keep = np.argsort(-both, axis=1, kind="stable")[:, :BEAM]
@@ -223,10 +225,10 @@ class SubjectModel:
     chain: Chain
 
     def predict(self, texts: Sequence[str | None], sources: Sequence[str | None], memo: dict[str, int]) -> np.ndarray:
-        """Documents x subjects. A subject also needs the sentences that make up a passage."""
+        """Documents x subjects."""
         bags = Bags.of(texts, memo)
-        counts, features = structure(self.sentence_model.posterior(bags), bags.documents, len(texts))
-        return (self.chain.decode(features, sources) > 0) & (counts >= LEAST_SENTENCES)
+        _, features = structure(self.sentence_model.posterior(bags), bags.documents, len(texts))
+        return self.chain.decode(features, sources) > 0
 
 
 def refine(model: SentenceModel, documents: DataFrame, pull: float = 200.0) -> SentenceModel:
