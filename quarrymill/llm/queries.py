@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarrymill.llm.canonical import map_to_reference
 from quarrymill.llm.encoding import decode_cells
@@ -10,7 +11,7 @@ from quarrymill.llm.glossary import glossary_of
 from quarrymill.llm.mixing import mix_documents, predict_sources
 from quarrymill.llm.residue import find_residue
 from quarrymill.llm.subjects import assign_subjects, train_subjects
-from quarrymill.llm.tokens import encode_documents
+from quarrymill.llm.tokens import decode_documents, encode_documents
 from quarrymill.session import table
 
 PC = "enriched_pc_hardware_database"
@@ -66,6 +67,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The round trip: the text that the ids of every document give, by its hash."""
+    return decode_documents(p7_ids(spark, sf_dir)).select("doc_id", F.md5("text").alias("hash"))
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each drawn document is used."""
     return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
@@ -102,10 +108,11 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_kinds": p5_kinds,
     "p7_ids": p7_ids,
+    "p7_decoded": p7_decoded,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
     "p8_unlabelled": p8_unlabelled,
     "p9_found": p9_found,
     "p9_composition": p9_composition,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS hash FROM documents"}

@@ -89,6 +89,7 @@ class Encoder:
         self.pattern = regex.compile(PRE_TOKENS)
         self.characters = byte_characters()
         self.cache: dict[str, np.ndarray] = {}
+        self.pieces: list[bytes] = []
 
     def _mapped(self, token: str) -> str:
         return token.encode("utf-8", "surrogatepass").decode("latin-1").translate(_TRANSLATE)
@@ -121,9 +122,11 @@ class Encoder:
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
-        back = {c: b for b, c in enumerate(self.characters)}
-        pieces = "".join(self.processor.id_to_piece(int(i)) for i in ids)
-        return bytes(back[c] for c in pieces).decode("utf-8", "replace")
+        """The text of ids by the inverse mapping of pieces to bytes."""
+        if not self.pieces:
+            back = {c: b for b, c in enumerate(self.characters)}
+            self.pieces = [bytes(back[c] for c in self.processor.id_to_piece(i)) for i in range(self.processor.get_piece_size() - 1)]
+        return b"".join([self.pieces[i] for i in ids]).decode("utf-8", "replace")
 
 
 _TRANSLATE = {b: c for b, c in enumerate(byte_characters())}
@@ -162,3 +165,20 @@ def encode_documents(
     schema = ", ".join([f"`{key}` long", "tokens long" if counts else "ids array<int>", *[f"`{c}` string" for c in carry]])
     wanted = [f"cast(`{key}` as long) `{key}`", f"cast(`{text}` as string) `{text}`", *[f"cast(`{c}` as string) `{c}`" for c in carry]]
     return df.selectExpr(*wanted).mapInArrow(run, schema)
+
+
+def decode_documents(df: DataFrame, key: str = "doc_id", ids: str = "ids", model: bytes | None = None) -> DataFrame:
+    """``doc_id, text`` of documents given by their ids; no ids give the empty text."""
+    shared = df.sparkSession.sparkContext.broadcast(model or serialise_model(read_ranks()))
+    holder: dict[str, Encoder] = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if "encoder" not in holder:
+            holder["encoder"] = Encoder(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                texts = [holder["encoder"].decode(x or ()) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], [key, "text"])
+
+    return df.selectExpr(f"cast(`{key}` as long) `{key}`", f"`{ids}`").mapInArrow(run, f"`{key}` long, text string")

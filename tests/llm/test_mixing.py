@@ -1,16 +1,39 @@
 import numpy as np
 
-from quarrymill.llm.mixing import fit_rates, mix_documents, predict_sources
+from quarrymill.llm.mixing import RateFit, mix_documents, predict_sources
 
 SCHEMA = "doc_id long, text string, source string, tokens string, copies string, grp string"
 
 
-def test_fit_against_closed_form():
-    rates = fit_rates(np.eye(3), np.array([100.0, 200.0, 50.0]), np.array([1.0, 2.0, 5.0]), np.array([50.0, 300.0, 1000.0]))
-    assert np.allclose(rates, [0.5, 1.5, 5.0], atol=1e-6)
-    soft = fit_rates(np.array([[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]]), np.array([100.0, 100.0, 100.0]), np.full(3, 3.0), np.array([120.0, 80.0]))
-    assert np.allclose(soft @ (np.array([[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]]) * 100), [120, 80], atol=1e-3)
-    assert len(fit_rates(np.zeros((0, 2)), np.zeros(0), np.zeros(0), np.zeros(2))) == 0
+def fitted(spark, groups, domains, targets):
+    frame = spark.createDataFrame(groups, "grp string, tokens double, cap double").repartition(3)
+    fit = RateFit(frame, domains, np.array(targets), rounds=400, tolerance=1e-9)
+    names, tokens, caps = (list(x) for x in zip(*groups, strict=True))
+    rates = fit.rates(names, np.array(tokens), np.array(caps))
+    assert {r.grp: r.rate for r in fit.table(frame).collect()} == dict(zip(names, rates.tolist(), strict=True))
+    return rates
+
+
+def test_fit_against_closed_form(spark):
+    hard = [("=a", 100.0, 1.0), ("=b", 200.0, 2.0), ("=c", 50.0, 5.0)]
+    assert np.allclose(fitted(spark, hard, ["a", "b", "c"], [50.0, 300.0, 1000.0]), [0.5, 1.5, 5.0], atol=1e-5)
+
+
+def test_fit_against_brute_force(spark):
+    """Soft groups: no point of a grid within the caps comes nearer to the targets."""
+    groups = [("=a", 100.0, 1.0), ("4,4", 100.0, 2.0), ("=b", 50.0, 1.0), ("2,6", 80.0, 1.0)]
+    member = np.array([[1, 0], [0.5, 0.5], [0, 1], [0.25, 0.75]])
+    size, cap = np.array([g[1] for g in groups]), np.array([g[2] for g in groups])
+    for targets in ([120.0, 80.0], [300.0, 10.0], [10.0, 400.0]):
+        miss = lambda r: float(((np.asarray(r) * size @ member - targets) ** 2).sum())  # noqa: B023, E731
+        rates = fitted(spark, groups, ["a", "b"], targets)
+        assert (rates >= 0).all() and (rates <= cap + 1e-9).all()
+        grid = np.stack(np.meshgrid(*[np.linspace(0, c, 11) for c in cap]), axis=-1).reshape(-1, 4)
+        assert miss(rates) <= min(map(miss, grid)) + 1e-2
+
+
+def test_no_groups(spark):
+    assert len(RateFit(spark.createDataFrame([], "grp string, tokens double, cap double"), ["a", "b"], np.zeros(2)).domains) == 2
 
 
 def make(spark):
@@ -24,7 +47,7 @@ def make(spark):
 def test_shares_and_caps(spark):
     documents, targets = make(spark)
     mix, report = mix_documents(documents, targets)
-    caps = {"a": 2, "b": 1, "c": 3}
+    caps = {"a": 2, "b": 1, "c": 3, None: 1}
     rows = mix.collect()
     assert all(1 <= r.copies <= caps[r.source] for r in rows) and len({r.doc_id for r in rows}) == len(rows)
     by = {r.source: r for r in report.collect()}
@@ -45,6 +68,20 @@ def test_unlabelled(spark):
     assert [(r.doc_id, r.predicted) for r in predict_sources(documents, ["a", "b", "c"]).collect()] == [(5000, "a")]
     mix, _ = mix_documents(documents, targets, unlabelled_repeats=1)
     assert {r.copies for r in mix.where("source is null").collect()} <= {1}
+    mix, report = mix_documents(documents, targets, unlabelled_repeats=0)
+    assert not mix.where("source is null").count() and all(r.expected_tokens == r.mixed_tokens for r in report.collect())
+
+
+def test_long_documents_are_drawn_alike(spark):
+    """No size keeps a document out: a long one is drawn as often as short ones."""
+    rows = [(i, "stone river boat " * (200 if i % 10 == 0 else 1), "a", "x", "y", "z") for i in range(2000)]
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    documents = spark.createDataFrame(rows, SCHEMA)
+    total = mix_documents(documents, targets)[0].groupBy().sum("tokens").first()[0]
+    mix, report = mix_documents(documents, targets, total_tokens=total // 2)
+    drawn = [r.doc_id % 10 == 0 for r in mix.collect()]
+    assert 70 <= sum(drawn) <= 130 and 750 <= len(drawn) - sum(drawn) <= 1050
+    assert abs(report.first().mixed_tokens - total // 2) <= 13  # tokens of a short document
 
 
 def test_empty(spark):
