@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarrymill.vocab import PRESSURE_UNITS
+from quarrymill.vocab import PRESSURE_UNITS, TEXT_UNITS
 
 NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
 DEGREE = r"(?:℃|°?[CKF])"
@@ -90,5 +90,5 @@ def extract_numbers(text: Column) -> Column:
 
 
 def extract_units(text: Column) -> Column:
-    """Distinct units behind numbers, sorted."""
-    return F.array_sort(F.array_distinct(_all(text, r"[0-9] ?(mg|kg|g|mL|L|cm|mm|kPa|Pa|%|°C|℃|MB|GB|W|Hz)", 1)))
+    """Distinct units of all kinds that stand anywhere in the text, sorted."""
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*[_all(text, p, 0) for p in TEXT_UNITS]))))

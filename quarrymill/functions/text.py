@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quarrymill.vocab import LIST_PREFIXES, LIST_SUFFIXES, NO_VALUE, ORGANISATION_WORDS, PRODUCER_WORDS
 
+# Stands for a comma between locants while a list is split.
+LOCANT_COMMA = "\ue002"
+
 # White space of Unicode and zero-width marks.
 BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(chr(c) for c in range(0x2000, 0x200C))
 
@@ -61,23 +64,30 @@ def clean_node_name(name: Column, connectives: Iterable[str]) -> Column:
     return F.regexp_replace(kept, f"(?:{ends})$", "")
 
 
+# Brackets that enclose remarks, by opening and closing.
+_ENCLOSED = "|".join(f"[{a}][^{b}]*[{b}]" for a, b in (("（(", "）)"), ("【\\[", "】\\]")))
+_PUNCTUATION = "[（()）\\[\\]【】，,；;：:。. \\t\\n\\r\\f]"
+_NO_NAME = "^(?:[0-9]+|[用于作为通过经过].*)$"
+
+
 def clean_name(name: Column, fillers: Iterable[str]) -> Column:
-    """Without bracketed text, fillers (the longest first), numbering and punctuation; blank beyond 2 to 50 characters."""
-    out = F.regexp_replace(F.trim(name), r"[（(][^）)]*[）)]", "")
-    out = F.regexp_replace(out, r"[【\[][^】\]]*[】\]]", "")
-    out = F.regexp_replace(out, "|".join(sorted(fillers, key=lambda w: (-len(w), w))), "")
-    out = F.regexp_replace(out, r"[（()）\[\]【】]", "")
-    out = F.regexp_replace(out, r"^[0-9]+[.、][ \t]*", "")
-    out = F.regexp_replace(out, r"[，,；;：:。. \t\n\r\f]+", "")
-    bad = out.rlike("^[0-9]+$") | out.rlike("^[用于作为通过经过]")
-    return F.when(F.length(out).between(2, 50) & ~bad, out).otherwise("")
+    """What is left of a name without remarks in brackets, fillers, list number and punctuation.
+
+    Remarks go first and fillers next, the longest first. A list number counts only at the very start of what is left
+    and only with a dot or an enumeration comma. Blank where 2 to 50 characters don't remain, or only digits, or a
+    start with a character of a purpose or a way.
+    """
+    words = "|".join(sorted(fillers, key=lambda w: (-len(w), w)))
+    bare = F.translate(F.regexp_replace(F.regexp_replace(F.trim(name), _ENCLOSED, ""), words, ""), "（()）[]【】", "")
+    left = F.regexp_replace(bare, f"^[0-9]+[.、][ \\t]*|{_PUNCTUATION}+", "")
+    return F.when(F.length(left).between(2, 50) & ~left.rlike(_NO_NAME), left).otherwise("")
 
 
 def clean_name_chinese(name: Column, stop_words: Iterable[str]) -> Column:
-    """Chinese characters and the middle dot only; blank beyond 2 to 20 characters or for a stop word."""
-    out = F.regexp_replace(name, r"[()（）【】\[\]<>《》].*?[()（）【】\[\]<>《》]", "")
-    out = F.regexp_replace(out, "[^一-龥·]", "")
-    return F.when(F.length(out).between(2, 20) & ~out.isin(list(stop_words)), out).otherwise("")
+    """The Chinese characters of a name, outside of brackets of any kind; blank beyond 2 to 20 or for a stop word."""
+    outside = F.regexp_replace(name, r"[()（）【】\[\]<>《》].*?[()（）【】\[\]<>《》]", "")
+    chinese = F.array_join(F.regexp_extract_all(outside, F.lit("[一-龥·]+"), F.lit(0)), "")
+    return F.when(F.length(chinese).between(2, 20) & ~chinese.isin(list(stop_words)), chinese).otherwise("")
 
 
 def split_list(text: Column, separators: str = "[;；,，、]") -> Column:
@@ -138,12 +148,23 @@ def braced_items(text: Column) -> Column:
 
 
 def smart_split(text: Column) -> Column:
-    """Names of a list, with the locants of substances kept whole: only commas outside them split."""
-    parts = F.split(text, r"[、;；和与及或等]+|(?<![0-9],?[0-9]{0,2}),|(?<=[0-9]),(?![0-9])")
-    trimmed = F.transform(parts, lambda p: F.regexp_replace(F.trim(p), rf"^(?:{'|'.join(LIST_PREFIXES)})\s*", ""))
-    ends = rf"\s*(?:{'|'.join(LIST_SUFFIXES)}).*$"
-    cut = F.transform(trimmed, lambda p: F.trim(F.regexp_replace(p, ends, "")))
-    return F.filter(cut, lambda p: F.length(p) >= 2)
+    """Names of a list; commas between the locants of a substance don't split.
+
+    A comma between two numbers becomes a placeholder before the list is split and a comma again after it; two
+    passes do, since matches share their numbers. Verbs before a name and what follows it are cut.
+    """
+    held = text
+    for _ in range(2):
+        held = F.regexp_replace(held, "([0-9]),([0-9])", f"$1{LOCANT_COMMA}$2")
+    parts = F.split(F.regexp_replace(held, "[、;；,和与及或等]+", "、"), "、")
+    names = F.transform(parts, lambda p: F.trim(F.translate(p, LOCANT_COMMA, ",")))
+    return F.filter(F.transform(names, lambda p: cut_affixes(p, LIST_PREFIXES, LIST_SUFFIXES)), lambda p: F.length(p) >= 2)
+
+
+def cut_affixes(name: Column, prefixes: Iterable[str], suffixes: Iterable[str]) -> Column:
+    """Without one of the prefixes, and without the first of the suffixes and all that follows it."""
+    begun = F.regexp_replace(name, f"^(?:{'|'.join(prefixes)})[ \\t\\n\\r\\f]*", "")
+    return F.trim(F.regexp_replace(begun, f"(?s)[ \\t\\n\\r\\f]*(?:{'|'.join(suffixes)}).*$", ""))
 
 
 def safe_name(text: Column, length: int = 80) -> Column:
@@ -151,8 +172,7 @@ def safe_name(text: Column, length: int = 80) -> Column:
     return F.left(F.regexp_replace(text, r'[<>:"/\\|?*\x00-\x1f ]', "_"), F.lit(length))
 
 
-def name_plausible(name: Column, stop_words: Iterable[str], marks: Iterable[str]) -> Column:
-    """Whether a text may be the name of a substance."""
-    fine = F.length(name).between(1, 20) & ~name.isin(list(stop_words))
-    plain = ~name.rlike(r"[0-9%％\-+=*#@$&^~`|\\\"'\[\]<>《》]")
-    return F.coalesce(fine & plain & name.rlike("[" + "".join(marks) + "]"), F.lit(False))
+def name_plausible(name: Column, invalid: Iterable[str], always: Iterable[str], marks: Iterable[str]) -> Column:
+    """Whether a text may be the name of a substance: one of those that always are, or one with a mark of such names."""
+    fine = F.length(name).between(1, 20) & ~name.isin(list(invalid)) & ~name.rlike(r"[-0-9%％+=*#@$&^~`|\\\"'\[\]<>《》]")
+    return F.coalesce(fine & (name.isin(list(always)) | name.rlike("[" + "".join(marks) + "]")), F.lit(False))

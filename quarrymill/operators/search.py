@@ -54,13 +54,13 @@ def gram_weights(names: DataFrame, name: str = "name") -> tuple[DataFrame, DataF
 
 
 def tfidf_search(queries: DataFrame, names: DataFrame, least: float = 0.1, k: int = 5) -> DataFrame:
-    """``query, name, score, rank``: cosine of character 1 to 3-grams."""
+    """``query, name, score, rank``: cosine of character 1 to 3-grams, to six digits, so that ties don't hang on the order of sums."""
     postings, idf = gram_weights(names)
     own = queries.select("query", F.explode(grams(F.col("query"))).alias("gram")).groupBy("query", "gram").agg(F.count("*").alias("tf"))
     weighted = own.join(idf, "gram").select("query", "gram", (F.col("tf") * F.col("idf")).alias("q"))
     norm = weighted.groupBy("query").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
     pairs = weighted.join(postings, "gram").groupBy("query", "name").agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
-    scored = pairs.join(norm, "query").select("query", "name", (F.col("dot") / F.col("qn")).alias("score")).where(F.col("score") >= least)
+    scored = pairs.join(norm, "query").select("query", "name", F.round(F.col("dot") / F.col("qn"), 6).alias("score")).where(F.col("score") >= least)
     return top_k(scored, k)
 
 

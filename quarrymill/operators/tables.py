@@ -41,11 +41,23 @@ def unexpired(df: DataFrame, stamp: str, seconds: int, now: Column) -> DataFrame
     return df.where(F.col(stamp) + F.make_interval(secs=F.lit(seconds)) >= now)
 
 
-def missing_numbers(df: DataFrame, number: str) -> DataFrame:
-    """Integers between the least and the greatest that do not occur."""
-    bounds = df.agg(F.min(number).alias("lo"), F.max(number).alias("hi"))
-    every = bounds.where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias(number))
-    return every.join(df.select(number).distinct(), number, "left_anti")
+def missing_numbers(df: DataFrame, number: str, block: int = 1_000_000) -> DataFrame:
+    """Integers between the least and the greatest that do not occur.
+
+    Numbers are sorted within blocks of ``block``; the first of a block knows the last of the block before it from a
+    table of one row per block. A gap is a row until the end, and a long one is cut into pieces of ``block`` numbers,
+    so no task holds a range whole.
+    """
+    from pyspark.sql import Window as W
+
+    known = df.where(F.col(number).isNotNull()).select(F.col(number).cast("long").alias("n")).distinct().withColumn("b", F.floor(F.col("n") / block))
+    ends = known.groupBy("b").agg(F.max("n").alias("last"))
+    before = ends.select("b", F.lag("last").over(W.partitionBy(F.lit(0)).orderBy("b")).alias("last"))
+    previous = F.coalesce(F.lag("n").over(W.partitionBy("b").orderBy("n")), F.col("last"))
+    gaps = known.join(before, "b").select(previous.alias("a"), F.col("n").alias("z")).where(F.col("z") - F.col("a") > 1)
+    pieces = gaps.select(F.explode(F.sequence(F.col("a") + 1, F.col("z") - 1, F.lit(block).cast("long"))).alias("a"), "z")
+    every = pieces.select(F.explode(F.sequence(F.col("a"), F.least(F.col("a") + block - 1, F.col("z") - 1))).alias(number))
+    return every.select(F.col(number).cast(df.schema[number].dataType).alias(number))
 
 
 def number_batches(df: DataFrame, order: str, size: int) -> DataFrame:

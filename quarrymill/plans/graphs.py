@@ -113,8 +113,10 @@ def record_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flatten_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = ["view", "click", "error"]
-    return table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", kinds).agg(F.count(F.lit(1))).na.fill(0)
+    """Events per user, a column for every kind of event that there is."""
+    events = table(spark, sf_dir, "events")
+    kinds = [r[0] for r in events.where("event_type is not null").select("event_type").distinct().orderBy("event_type").collect()]
+    return events.groupBy("user_id").pivot("event_type", kinds).agg(F.count(F.lit(1))).na.fill(0)
 
 
 _KEYS = [
@@ -160,5 +162,5 @@ ORACLE = {
     "node_upsert": f"""SELECT "名称", row_id, CASE WHEN trim(manufacturer, ' ') NOT IN {_BAD} THEN trim(manufacturer, ' ') END AS maker FROM {HARDWARE} WHERE trim("名称", ' ') <> '' QUALIFY row_number() OVER (PARTITION BY "名称" ORDER BY updated_at DESC, row_id DESC) = 1""",
     "record_struct": f"""WITH r AS (SELECT row_id, trim("品名", ' ') AS name, "备注", list_filter(list_transform(string_split_regex("备注", '[;；,，、]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS n, list_filter(list_transform(string_split_regex("备注", '[,，;；]'), lambda x: trim(x, ' ')), lambda x: x <> '')[1] AS p FROM sample_chemicals)
       SELECT row_id, name, CAST(len(n) AS INTEGER) AS notes, CASE WHEN p IS NOT NULL THEN {_STORE} END AS first_class FROM r""",
-    "flatten_pivot": "SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS \"view\", count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error FROM events GROUP BY user_id",
+    "flatten_pivot": "SELECT * FROM (PIVOT (SELECT user_id, event_type FROM events) ON event_type USING count(*) GROUP BY user_id)",
 }

@@ -18,28 +18,6 @@ from quarrymill.session import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-# Texts of every kind of measure and note. The queries over them are fixtures; name_all is the same over the whole tables.
-MEASURES = [
-    "mp 10-15℃, bp 77F", "-114.1°C", "300K to 310K", "20~25°C storage", "77°F", "101.3kPa at 25℃", "1 atm", "760mmHg @ 20°C; 2 bar", "0.5 MPa",
-    "0.789 g/cm³ at 20°C", "789 kg/m³", "1.2 g/mL", "10g/100mL (20℃)", "不溶于水，易溶于乙醇；微溶于乙醚", "任意比例混溶于水。溶于丙酮", "溶于苯,难溶于酸",
-    "LEL: 3.3% UEL 19%", "lel 5 uel:15.5", "LEL:1.2", "no measure", "",
-]
-NOTES = [
-    "吸入可致中毒；对皮肤有刺激；可能致癌", "眼睛接触后冲洗。胎儿可能受损", "低温保存，密闭容器，远离火源，避光", "以石油为原料制备", "遇酸反应分解", "用途广泛", "可转化",
-    "Timeout while reading", "deadlock detected", "connection reset, 502 bad_gateway", "quota exceeded: too_many_requests", "请求超时", "密钥无效", "内容过滤", "ok",
-    "固体，无色透明，密封存储", "",
-]
-
-
-def _values(rows: list[str]) -> str:
-    quoted = ", ".join(f"({i}, '{r.replace(chr(39), chr(39) * 2)}')" for i, r in enumerate(rows))
-    return f"(VALUES {quoted}) AS v(id, text)"
-
-
-def _fixture(spark: SparkSession, rows: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(rows)), "id int, text string")
-
-
 # Every document and every remark, as they stand.
 _TEXTS = "(SELECT 'documents' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'sample_chemicals', row_id, 备注 FROM sample_chemicals) AS v"
 
@@ -49,11 +27,10 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.union(table(spark, sf_dir, "sample_chemicals").select(F.lit("sample_chemicals"), "row_id", "备注"))
 
 
-def _both(name: str, rows: list[str], run: Callable[[DataFrame, list[str]], DataFrame], sql: Callable[[str, str], str]) -> None:
-    """A query over fixed rows, and the same as ``name_all`` over the whole tables. Both take the keys of a row."""
-    QUERIES[name] = lambda spark, sf_dir: run(_fixture(spark, rows), ["id"])
-    QUERIES[f"{name}_all"] = lambda spark, sf_dir: run(_texts(spark, sf_dir), ["origin", "id"])
-    ORACLE[name], ORACLE[f"{name}_all"] = sql("id", _values(rows)), sql("origin, id", _TEXTS)
+def _over_texts(name: str, run: Callable[[DataFrame, list[str]], DataFrame], sql: Callable[[str, str], str]) -> None:
+    """A query over every text of the tables, which are known by their origin and id."""
+    QUERIES[name] = lambda spark, sf_dir: run(_texts(spark, sf_dir), ["origin", "id"])
+    ORACLE[name] = sql("origin, id", _TEXTS)
 
 
 def _scalar(name: str, source: str, key: str, columns: dict[str, tuple[Callable[[], Column], str]]) -> None:
@@ -66,10 +43,10 @@ def _scalar(name: str, source: str, key: str, columns: dict[str, tuple[Callable[
     ORACLE[name] = f"SELECT {key}, " + ", ".join(f"{sql} AS {c}" for c, (_, sql) in columns.items()) + f" FROM {source}"
 
 
-def _fixed(name: str, rows: list[str], columns: dict[str, tuple[Callable[[], Column], str]]) -> None:
+def _shown(name: str, columns: dict[str, tuple[Callable[[], Column], str]]) -> None:
     shown = ", ".join(f"{sql} AS {c}" for c, (_, sql) in columns.items())
     run = lambda df, keys: df.select(*keys, *[make().alias(c) for c, (make, _) in columns.items()])
-    _both(name, rows, run, lambda keys, source: f"SELECT {keys}, {shown} FROM {source}")
+    _over_texts(name, run, lambda keys, source: f"SELECT {keys}, {shown} FROM {source}")
 
 
 def _in(words: list[str]) -> str:
@@ -111,7 +88,7 @@ def _synonyms(column: str) -> str:
     return column
 
 
-_fixed("synonym_fold", NOTES, {"folded": (lambda: X.fold_synonyms(F.col("text"), V.SYNONYMS), _synonyms("text"))})
+_shown("synonym_fold", {"folded": (lambda: X.fold_synonyms(F.col("text"), V.SYNONYMS), _synonyms("text"))})
 _ENDS = "|".join(sorted(V.CONNECTIVES, key=len, reverse=True))
 _scalar(
     "clean_node_name",
@@ -185,7 +162,39 @@ _scalar(
     "row_id",
     {"n": (lambda: sum((X.is_valid_field(F.col(c), V.INVALID_FIELDS).cast("int") for c in _FIELDS), F.lit(0)), " + ".join(f"CAST(coalesce(upper(trim({c})) NOT IN ({_in(V.INVALID_FIELDS)}) AND NOT regexp_full_match(trim({c}), '[0-9]'), false) AS INTEGER)" for c in _FIELDS))},
 )
-_scalar("name_plausible", "sample_chemicals", "row_id", {"ok": (lambda: X.name_plausible(F.col("品名"), V.NAME_STOP_WORDS, V.NAME_MARKS), f"coalesce(length(品名) BETWEEN 1 AND 20 AND 品名 NOT IN ({_in(V.NAME_STOP_WORDS)}) AND NOT regexp_matches(品名, '[-0-9%％+=*#@$&^~`|\\\\\"''\\[\\]<>《》]') AND regexp_matches(品名, '[{''.join(V.NAME_MARKS)}]'), false)")})
+_PLAUSIBLE = (
+    "coalesce(length({0}) BETWEEN 1 AND 20 AND {0} NOT IN ('等', '类', '中', '上', '下', '前', '后', '左', '右', '内', '外', '高', '低', '大', '小', '多', '少', '好', '坏', "
+    "'新', '旧', '快', '慢', '热', '冷', '工业', '农业', '医药', '食品', '化工', '生产', '制造', '加工', '处理', '使用', '应用', '方法', '技术', '工艺', '公司', '企业', '有限', "
+    "'股份', '集团', '反应', '制备', '合成', '包括', '通过石油', '经过石油', '利用石油', '使用石油', '乙烯氢气', '通过') AND NOT regexp_matches({0}, '[-0-9%％+=*#@$&^~`|\\\\\"''\\[\\]<>《》]') "
+    "AND ({0} IN ('苯', '甲苯', '二甲苯', '石油', '煤', '天然气', '水', '氨', '氢气', '氧气', '氮气') OR regexp_matches({0}, '[酸碱盐醇醛酮酯醚烷烯炔苯酚腈甲乙丙丁戊己庚辛壬癸正异叔仲邻间对顺反"
+    "氢氧氮氯硫钠钾钙镁铁铜锌铅汞银聚环二三四五六七八九十气油脂胶]')), false)"
+)
+_scalar("name_plausible", "sample_chemicals", "row_id", {"ok": (lambda: X.name_plausible(F.col("品名"), V.NAME_INVALID_WORDS, V.NAME_ALWAYS_VALID, V.NAME_MARKS), _PLAUSIBLE.format("品名"))})
+_SPLIT_HELD = "regexp_replace(regexp_replace({0}, '([0-9]),([0-9])', '\\1~~\\2', 'g'), '([0-9]),([0-9])', '\\1~~\\2', 'g')"
+_CUT = "trim(regexp_replace(regexp_replace(trim(replace({0}, '~~', ',')), '^(?:由|从|以|通过|经过|利用|使用|主要|含有|含)[ \\t\\n\\r\\f]*', ''), '(?s)[ \\t\\n\\r\\f]*(?:等|类|制得|制备|制成|生产|合成|反应|裂解|氧化|分解|化学品|原料|物质|材料|中提取|为原料|作为溶剂).*$', ''))"
+_scalar(
+    "smart_split",
+    "traditional_chinese_medicine_material_enriched",
+    "row_id",
+    {
+        "names": (
+            lambda: F.array_join(X.smart_split(F.col("chemical_constituents")), "|"),
+            f"array_to_string(list_filter(list_transform(string_split_regex({_SPLIT_HELD.format('chemical_constituents')}, '[、;；,和与及或等]+'), lambda x: {_CUT.format('x')}), lambda x: length(x) >= 2), '|')",
+        )
+    },
+)
+_scalar(
+    "remove_producers",
+    "documents",
+    "doc_id",
+    {
+        "rest": (
+            lambda: X.remove_producers(F.col("text")),
+            "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?:主要)?(?:生产商|生厂商|制造商|生产企业|制造企业)[^。；;，,]*', '', 'g'), "
+            "'[^。；;，,]*(?:公司|企业|厂|集团)[^。；;，,]*(?:[。；;，,]|$)', '', 'g'), '[；;]+', '', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))",
+        )
+    },
+)
 _scalar("braced_list", "documents", "doc_id", {"items": (lambda: F.array_join(X.braced_items(F.col("text")), "; "), r"array_to_string(list_filter(list_transform(flatten(list_transform(regexp_extract_all(text, '\{([^}]+)\}', 1), lambda g: string_split_regex(g, '[;；、,，]'))), lambda x: trim(x)), lambda x: length(x) > 1), '; ')")})
 _scalar("source_default", "enriched_pc_hardware_database", "row_id", {"origin": (lambda: F.coalesce(F.nullif(F.array_join(X.braced_items(F.col("data_source")), "; "), F.lit("")), F.lit(V.SOURCE_DEFAULT)), rf"coalesce(nullif(array_to_string(list_filter(list_transform(flatten(list_transform(regexp_extract_all(data_source, '\{{([^}}]+)\}}', 1), lambda g: string_split_regex(g, '[;；、,，]'))), lambda x: trim(x)), lambda x: length(x) > 1), '; '), ''), '{V.SOURCE_DEFAULT}')")})
 _scalar(
@@ -258,12 +267,6 @@ _RANGE, _POINT = M.TEMPERATURE_RANGE, M.TEMPERATURE_POINT
 _CELSIUS = "round(CASE upper(regexp_replace({u}, '[°℃]', '', 'g')) WHEN 'F' THEN (CAST({v} AS DOUBLE) - 32) * 5 / 9 WHEN 'K' THEN CAST({v} AS DOUBLE) - 273.15 ELSE CAST({v} AS DOUBLE) END, 2)"
 
 
-def _show(column: Column) -> Column:
-    """Arrays of structs as text, for comparison."""
-    return F.array_join(F.transform(column, lambda x: F.concat_ws("~", x["kind"], F.format_string("%.2f", x["low"]), F.format_string("%.2f", x["high"]))), ";")
-
-
-
 def _spans(keys: str, source: str) -> str:
     return f"""
 WITH m AS (SELECT {keys}, text, unnest(range(1, 1 + greatest(1, len(regexp_extract_all(text, '{_RANGE}')), len(regexp_extract_all(text, '{_POINT}'))))) AS i FROM {source}),
@@ -272,24 +275,15 @@ s AS (SELECT {keys}, i, len(regexp_extract_all(text, '{_RANGE}')) AS n,
   regexp_extract_all(text, '{_POINT}', 1)[i] AS p, regexp_extract_all(text, '{_POINT}', 2)[i] AS q FROM m)"""
 
 
-QUERIES["extract_temp"] = lambda spark, sf_dir: _fixture(spark, MEASURES).select("id", _show(M.extract_temperatures(F.col("text"))).alias("found"))
-ORACLE["extract_temp"] = f"""{_spans("id", _values(MEASURES))},
-t AS (SELECT id, i, CASE WHEN n > 0 AND a IS NOT NULL THEN concat_ws('~', 'range', printf('%.2f', {_CELSIUS.format(v='a', u='u')}), printf('%.2f', {_CELSIUS.format(v='b', u='u')}))
-  WHEN n = 0 AND p IS NOT NULL THEN concat_ws('~', 'point', printf('%.2f', {_CELSIUS.format(v='p', u='q')}), printf('%.2f', {_CELSIUS.format(v='p', u='q')})) END AS x FROM s)
-SELECT id, coalesce(string_agg(x, ';' ORDER BY i), '') AS found FROM t GROUP BY id"""
-
-
 def _temperatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _texts(spark, sf_dir).select("origin", "id", F.posexplode(M.extract_temperatures(F.col("text"))).alias("i", "m"))
     return found.select("origin", "id", (F.col("i") + 1).alias("pos"), "m.kind", "m.low", "m.high")
 
 
-QUERIES["extract_temp_all"] = _temperatures
-ORACLE["extract_temp_all"] = f"""{_spans("origin, id", _TEXTS)}
+QUERIES["extract_temp"] = _temperatures
+ORACLE["extract_temp"] = f"""{_spans("origin, id", _TEXTS)}
 SELECT origin, id, CAST(i AS INTEGER) AS pos, CASE WHEN n > 0 THEN 'range' ELSE 'point' END AS kind, CASE WHEN n > 0 THEN {_CELSIUS.format(v='a', u='u')} ELSE {_CELSIUS.format(v='p', u='q')} END AS low,
   CASE WHEN n > 0 THEN {_CELSIUS.format(v='b', u='u')} ELSE {_CELSIUS.format(v='p', u='q')} END AS high FROM s WHERE CASE WHEN n > 0 THEN a ELSE p END IS NOT NULL"""
-_fixed("temp_convert", ["77F", "300K", "25℃", "-40°F", "0C"], {"celsius": (lambda: F.round(M.to_celsius(F.regexp_extract("text", _N, 0).cast("double"), F.regexp_extract("text", "[°℃CKF]+$", 0)), 2), _CELSIUS.format(v=f"regexp_extract(text, '{_N}')", u="regexp_extract(text, '[°℃CKF]+$')"))})
-
 
 def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text of the tables states any number of temperatures: one row for each."""
@@ -298,8 +292,8 @@ def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("origin", "id", (F.col("i") + 1).alias("pos"), F.round(M.to_celsius(F.col("m.v").cast("double"), F.col("m.u")), 2).alias("celsius"))
 
 
-QUERIES["temp_convert_all"] = _converted
-ORACLE["temp_convert_all"] = f"""WITH m AS (SELECT origin, id, text, unnest(range(1, 1 + len(regexp_extract_all(text, '{_POINT}')))) AS pos FROM {_TEXTS}),
+QUERIES["temp_convert"] = _converted
+ORACLE["temp_convert"] = f"""WITH m AS (SELECT origin, id, text, unnest(range(1, 1 + len(regexp_extract_all(text, '{_POINT}')))) AS pos FROM {_TEXTS}),
   g AS (SELECT origin, id, CAST(pos AS INTEGER) AS pos, regexp_extract_all(text, '{_POINT}', 1)[pos] AS v, regexp_extract_all(text, '{_POINT}', 2)[pos] AS u FROM m) SELECT origin, id, pos, {_CELSIUS.format(v="v", u="u")} AS celsius FROM g"""
 
 
@@ -316,16 +310,17 @@ def _rows(name: str, pattern: str, spark_col: Callable[[], Column], fields: list
         return f"""WITH m AS (SELECT {keys}, text, unnest(range(1, 1 + len(regexp_extract_all(text, '{pattern}')))) AS pos FROM {source}),
       g AS (SELECT {keys}, CAST(pos AS INTEGER) AS pos, {groups} FROM m) SELECT {keys}, pos, {", ".join(f"{sql} AS {f}" for f, sql in fields)} FROM g"""
 
-    _both(name, MEASURES, run, matches)
+    _over_texts(name, run, matches)
 
 
 _KPA = "round(CAST(g1 AS DOUBLE) * CASE lower(g2) " + " ".join(f"WHEN '{u}' THEN {f}" for u, f in V.PRESSURE_UNITS.items()) + " END, 4)"
 _rows("extract_pressure", M.PRESSURE, lambda: M.extract_pressures(F.col("text")), [("kpa", _KPA), ("condition", "coalesce(trim(g3), '')")])
 _rows("extract_density", M.DENSITY, lambda: M.extract_densities(F.col("text")), [("density", "round(CASE WHEN lower(g2) = 'kg/m³' THEN CAST(g1 AS DOUBLE) / 1000 ELSE CAST(g1 AS DOUBLE) END, 4)"), ("condition", "coalesce(trim(g3), '')")])
 _rows("extract_solub", M.SOLUBILITY, lambda: M.extract_solubilities(F.col("text")), [("mass", "CAST(g1 AS DOUBLE)"), ("mass_unit", "g2"), ("volume", "CAST(g3 AS DOUBLE)"), ("volume_unit", "g4")])
-_fixed("extract_limits", MEASURES, {n.lower(): (lambda n=n: M.explosion_limits(F.col("text"))[n == "UEL"], rf"try_cast(regexp_extract(text, '(?i){n}[: ]*([0-9]+(?:\.[0-9]+)?)', 1) AS DOUBLE)") for n in ("LEL", "UEL")})
+_shown("extract_limits", {n.lower(): (lambda n=n: M.explosion_limits(F.col("text"))[n == "UEL"], rf"try_cast(regexp_extract(text, '(?i){n}[: ]*([0-9]+(?:\.[0-9]+)?)', 1) AS DOUBLE)") for n in ("LEL", "UEL")})
 _scalar("extract_numbers", "enriched_computer_hardware_knowledge", "row_id", {"total": (lambda: F.round(F.aggregate(M.extract_numbers(F.col("dimensions")), F.lit(0.0), lambda a, x: a + x), 4), r"round(coalesce(list_sum(list_transform(regexp_extract_all(dimensions, '[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?'), lambda x: CAST(x AS DOUBLE))), CASE WHEN dimensions IS NOT NULL THEN 0.0 END), 4)")})
-_scalar("extract_units", "enriched_computer_hardware_knowledge", "row_id", {"units": (lambda: F.array_join(M.extract_units(F.col("dimensions")), ","), "array_to_string(list_sort(list_distinct(regexp_extract_all(dimensions, '[0-9] ?(mg|kg|g|mL|L|cm|mm|kPa|Pa|%|°C|℃|MB|GB|W|Hz)', 1))), ',')")})
+_UNITS_SQL = " || ".join(f"regexp_extract_all(text, '{p}')" for p in ("°C|℃|K|°F", "Pa|kPa|MPa|bar|atm|mmHg", "g/mol|Da|u", "g/cm³|kg/m³|g/mL", "mol/L|M|ppm|ppb|%"))
+_shown("extract_units", {"units": (lambda: F.array_join(M.extract_units(F.col("text")), ","), f"array_to_string(list_sort(list_distinct({_UNITS_SQL})), ',')")})
 
 # Categories
 
@@ -345,17 +340,16 @@ def _parts_query(name: str, rules: list, default: str, separators: str) -> None:
     def parts(keys: str, source: str) -> str:
         return f"WITH p AS (SELECT {keys}, trim(unnest(string_split_regex(text, '{separators}'))) AS part FROM {source}) SELECT {keys}, {_case(rules, chr(39) + default + chr(39), 'part')} AS class, part FROM p WHERE part <> ''"
 
-    _both(name, NOTES, run, parts)
+    _over_texts(name, run, parts)
 
 
 _parts_query("keyword_categorize", V.HAZARD_CLASSES, "其他", "[;；。]")
 _parts_query("storage_classes", V.STORAGE_CLASSES, "其他要求", "[,，;；]")
-_fixed("relation_type", NOTES, {"type": (lambda: C.first_class(F.lower("text"), V.RELATION_TYPES, "工艺"), _case(V.RELATION_TYPES, "'工艺'", "lower(text)"))})
-_fixed("error_class", NOTES, {"class": (lambda: C.first_class(F.lower("text"), V.ERROR_CLASSES, "unknown"), _case(V.ERROR_CLASSES, "'unknown'", "lower(text)"))})
-_fixed("retry_delay", NOTES, {"seconds": (lambda: C.retry_delay(F.col("text"), F.col("id")), "CASE WHEN contains(lower(text), 'timeout') THEN least(10, 2 + id * 2) WHEN contains(lower(text), 'lock') THEN least(8, 1 + id) WHEN contains(lower(text), 'connection') THEN least(15, 3 + id * 3) WHEN id > 7 THEN -1 ELSE least(5, 1 + id) END")})
+_shown("relation_type", {"type": (lambda: C.first_class(F.lower("text"), V.RELATION_TYPES, "工艺"), _case(V.RELATION_TYPES, "'工艺'", "lower(text)"))})
+_shown("error_class", {"class": (lambda: C.first_class(F.lower("text"), V.ERROR_CLASSES, "unknown"), _case(V.ERROR_CLASSES, "'unknown'", "lower(text)"))})
 # The tables number no attempts: the key counts them, from 0 to 9 and again.
-QUERIES["retry_delay_all"] = lambda spark, sf_dir: _texts(spark, sf_dir).select("origin", "id", C.retry_delay(F.col("text"), F.pmod("id", F.lit(10))).alias("seconds"))
-ORACLE["retry_delay_all"] = "SELECT origin, id, CASE WHEN contains(lower(text), 'timeout') THEN least(10, 2 + id % 10 * 2) WHEN contains(lower(text), 'lock') THEN least(8, 1 + id % 10) WHEN contains(lower(text), 'connection') THEN least(15, 3 + id % 10 * 3) WHEN id % 10 > 7 THEN -1 ELSE least(5, 1 + id % 10) END AS seconds FROM " + _TEXTS
+QUERIES["retry_delay"] = lambda spark, sf_dir: _texts(spark, sf_dir).select("origin", "id", C.retry_delay(F.col("text"), F.pmod("id", F.lit(10))).alias("seconds"))
+ORACLE["retry_delay"] = "SELECT origin, id, CASE WHEN contains(lower(text), 'timeout') THEN least(10, 2 + id % 10 * 2) WHEN contains(lower(text), 'lock') THEN least(8, 1 + id % 10) WHEN contains(lower(text), 'connection') THEN least(15, 3 + id % 10 * 3) WHEN id % 10 > 7 THEN -1 ELSE least(5, 1 + id % 10) END AS seconds FROM " + _TEXTS
 
 
 def _solubility(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -374,7 +368,7 @@ g AS (SELECT {keys}, i, {_case([(s, [s]) for s in V.SOLVENTS], "NULL", "part")}
 SELECT {keys}, solvent, arg_min(grade, i) AS grade FROM g WHERE solvent IS NOT NULL GROUP BY {keys}, solvent"""
 
 
-_both("solubility_map", MEASURES, _solubility, _grades)
+_over_texts("solubility_map", _solubility, _grades)
 
 # JSON text of a model's answer, made from the events: fenced, prefixed, with trailing commas and bare keys.
 def _fenced() -> Column:

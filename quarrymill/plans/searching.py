@@ -24,36 +24,22 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.trim("品名").alias("query")).where("query <> ''").distinct()
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates that share a pair of characters: the published SQL of jaccard_chars and char_overlap is of these only."""
-    two = lambda df, c: df.select(c, F.explode(F.array_distinct(S.grams(F.col(c), (2,)))).alias("g"))
-    return two(_queries(spark, sf_dir), "query").join(two(_names(spark, sf_dir), "name"), "g").select("query", "name").distinct()
-
-
 def _sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that share a character, as every pair with a score above 0 does: nothing is lost."""
     one = lambda df, c: df.select(c, F.explode(S.characters(F.col(c))).alias("g"))
     return one(_queries(spark, sf_dir), "query").join(one(_names(spark, sf_dir), "name"), "g").select("query", "name").distinct()
 
 
-def jaccard_chars_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sharing(spark, sf_dir).select("query", "name", F.round(S.jaccard(F.col("query"), F.col("name")), 4).alias("score"))
-
-
-def char_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sharing(spark, sf_dir).select("query", "name", F.round(S.overlap(F.col("query"), F.col("name")), 4).alias("score"))
-
-
 def jaccard_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("query", "name", F.round(S.jaccard(F.col("query"), F.col("name")), 4).alias("score"))
+    return _sharing(spark, sf_dir).select("query", "name", F.round(S.jaccard(F.col("query"), F.col("name")), 4).alias("score"))
 
 
 def char_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("query", "name", F.round(S.overlap(F.col("query"), F.col("name")), 4).alias("score"))
+    return _sharing(spark, sf_dir).select("query", "name", F.round(S.overlap(F.col("query"), F.col("name")), 4).alias("score"))
 
 
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = char_overlap_all(spark, sf_dir).where("score >= 0.6")
+    scored = char_overlap(spark, sf_dir).where("score >= 0.6")
     return scored.groupBy("query").agg(F.max_by("name", F.struct(F.col("score"), F.length("name"), "name")).alias("name"), F.max("score").alias("score"))
 
 
@@ -73,7 +59,7 @@ def search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = jaccard_chars_all(spark, sf_dir).where("score >= 0.6")
+    scored = jaccard_chars(spark, sf_dir).where("score >= 0.6")
     return R.top_k(scored, 5).select("query", "name", "score", "rank")
 
 
@@ -91,11 +77,6 @@ def _every_maker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("name <> ''").distinct()
 
 
-def _makers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Makers in plain characters, where DuckDB's levenshtein, which counts bytes, agrees."""
-    return _every_maker(spark, sf_dir).where(F.col("name").rlike("^[ -~]+$"))
-
-
 def _near(names: DataFrame) -> DataFrame:
     return R.near_pairs_both(names, 0.75).select("a", "b", F.round("score", 4).alias("score"))
 
@@ -109,19 +90,11 @@ def _shortest(names: DataFrame) -> DataFrame:
 
 
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(_makers(spark, sf_dir))
-
-
-def fuzzy_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near pairs of all makers. No SQL, since DuckDB has no edit distance of characters."""
     return _near(_every_maker(spark, sf_dir))
 
 
 def canonical_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shortest(_makers(spark, sf_dir))
-
-
-def canonical_shortest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shortest(_every_maker(spark, sf_dir))
 
 
@@ -133,7 +106,7 @@ def fuzzy_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.tfidf_search(_queries(spark, sf_dir), _names(spark, sf_dir)).where("rank = 1").select("query", F.round("score", 3).alias("score"))
+    return R.tfidf_search(_queries(spark, sf_dir), _names(spark, sf_dir)).select("query", "name", "score", "rank")
 
 
 def tfidf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,17 +126,14 @@ def first_of_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KEYS = [
     "jaccard_chars", "char_overlap", "best_match", "tiered_search", "variant_index", "search_exact", "fuzzy_search", "search_topk", "fuzzy_pairs",
-    "canonical_shortest", "fuzzy_semi", "tfidf_search", "tfidf_stats", "vector_topk", "jaccard_chars_all", "char_overlap_all",
-    "fuzzy_pairs_all", "canonical_shortest_all",
+    "canonical_shortest", "fuzzy_semi", "tfidf_search", "tfidf_stats", "vector_topk",
 ]
 QUERIES = {name: globals()[name] for name in _KEYS}
 
 _BASE = r"""cat AS (SELECT "序号" AS o, trim(regexp_replace("品名", '\[[^\]]*\]', '', 'g'), ' ') AS name, "别名" AS alias, "CAS号" AS cas FROM hazard_catalog),
 names AS (SELECT DISTINCT name FROM cat WHERE name <> ''),
 q AS (SELECT DISTINCT trim("品名", ' ') AS query FROM sample_chemicals WHERE row_id % 50 = 0 AND trim("品名", ' ') <> ''),
-qg AS (SELECT DISTINCT query, lower(query)[i:i+1] AS g FROM (SELECT query, unnest(range(1, length(query))) AS i FROM q)),
-ng AS (SELECT DISTINCT name, lower(name)[i:i+1] AS g FROM (SELECT name, unnest(range(1, length(name))) AS i FROM names)),
-pairs AS (SELECT DISTINCT query, name FROM qg JOIN ng USING (g)),
+pairs AS (SELECT query, name FROM q, names),
 chars AS (SELECT query, name, list_distinct(string_split(query, '')) AS x, list_distinct(string_split(name, '')) AS y FROM pairs),
 base AS (SELECT query, name, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE AS j, contains(query, name) OR contains(name, query) AS c FROM chars),
 jac AS (SELECT query, name, round(least(1.0::DOUBLE, j + CASE WHEN c THEN 0.3::DOUBLE ELSE 0::DOUBLE END), 4) AS score FROM base),
@@ -171,11 +141,7 @@ ovl AS (SELECT query, name, round(list_sum([least(length(query) - length(replace
 tier AS (SELECT query, name, round(CASE WHEN query = name THEN 1.0::DOUBLE WHEN contains(name, query) THEN 0.8::DOUBLE WHEN contains(query, name) THEN 0.7::DOUBLE ELSE j END, 4) AS score FROM base),
 va AS (SELECT lower(name) AS variant, name, 'exact' AS kind, o FROM cat UNION ALL SELECT lower(trim(unnest(string_split_regex(alias, '[;；]')), ' ')), name, 'variant', o FROM cat UNION ALL SELECT lower(trim(cas, ' ')), name, 'id', o FROM cat),
 vi AS (SELECT variant, kind, arg_max(name, o) AS name FROM va WHERE variant IS NOT NULL AND variant <> '' GROUP BY variant, kind),
-fz AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS rank FROM jac WHERE score >= 0.6) WHERE rank <= 5),
-makers AS (SELECT DISTINCT lower(trim(manufacturer, ' ')) AS name FROM enriched_pc_hardware_database WHERE regexp_full_match(lower(trim(manufacturer, ' ')), '[ -~]+')),
-near AS (SELECT a.name AS a, b.name AS b, round(1.0::DOUBLE - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)), 4) AS score, 1.0::DOUBLE - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) AS s FROM makers a JOIN makers b ON a.name < b.name)"""
-# The plain product of queries and names.
-_PRODUCT = _BASE.replace("pairs AS (SELECT DISTINCT query, name FROM qg JOIN ng USING (g))", "pairs AS (SELECT query, name FROM q, names)")
+fz AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS rank FROM jac WHERE score >= 0.6) WHERE rank <= 5)"""
 _EXACT = "SELECT query, vi.name, max(CASE kind WHEN 'exact' THEN 1.0 WHEN 'variant' THEN 0.95 ELSE 0.9 END)::DOUBLE AS score FROM {q} JOIN vi ON variant = lower(trim(query, ' ')) GROUP BY query, vi.name"
 _TF = r"""ngrams AS (SELECT name, lower(name)[i:i+n-1] AS g FROM (SELECT name, n, unnest(range(1, length(name) - n + 2)) AS i FROM names, (VALUES (1), (2), (3)) t(n))),
 ntf AS (SELECT name, g, count(*) AS tf FROM ngrams GROUP BY name, g), idf AS (SELECT g, ln((1 + (SELECT count(*) FROM names)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM ntf GROUP BY g),
@@ -183,20 +149,16 @@ nw AS (SELECT name, g, tf * idf AS w FROM ntf JOIN idf USING (g)), nn AS (SELECT
 qgrams AS (SELECT query, lower(query)[i:i+n-1] AS g FROM (SELECT query, n, unnest(range(1, length(query) - n + 2)) AS i FROM q, (VALUES (1), (2), (3)) t(n))),
 qw AS (SELECT query, g, count(*) * any_value(idf) AS w FROM qgrams JOIN idf USING (g) GROUP BY query, g), qn AS (SELECT query, sqrt(sum(w * w)) AS n FROM qw GROUP BY query)"""
 ORACLE = {
-    "jaccard_chars": f"WITH {_BASE} SELECT * FROM jac",
-    "char_overlap": f"WITH {_BASE} SELECT * FROM ovl",
-    "jaccard_chars_all": f"WITH {_PRODUCT} SELECT * FROM jac WHERE score > 0",
-    "char_overlap_all": f"WITH {_PRODUCT} SELECT * FROM ovl WHERE score > 0",
+    "jaccard_chars": f"WITH {_BASE} SELECT * FROM jac WHERE score > 0",
+    "char_overlap": f"WITH {_BASE} SELECT * FROM ovl WHERE score > 0",
     "best_match": f"WITH {_BASE} SELECT query, name, score FROM ovl WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, length(name) DESC, name DESC) = 1",
     "tiered_search": f"WITH {_BASE} SELECT * FROM (SELECT query, name, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS INTEGER) AS rank FROM tier WHERE score > 0.3) WHERE rank <= 3",
     "variant_index": f"WITH {_BASE} SELECT * FROM vi",
     "search_exact": f"WITH {_BASE}, qq AS (SELECT query FROM q UNION ALL SELECT DISTINCT trim(\"CAS号\", ' ') FROM sample_chemicals WHERE row_id % 50 = 0 AND trim(\"CAS号\", ' ') <> '') {_EXACT.format(q='qq')}",
     "fuzzy_search": f"WITH {_BASE} SELECT query, name, score, CAST(rank AS INTEGER) AS rank FROM fz",
     "search_topk": f"WITH {_BASE}, e AS ({_EXACT.format(q='q')} UNION ALL SELECT query, name, score * 0.8::DOUBLE FROM fz), b AS (SELECT query, name, round(max(score), 4) AS score FROM e GROUP BY query, name) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS INTEGER) AS rank FROM b) WHERE rank <= 5",
-    "fuzzy_pairs": f"WITH {_BASE} SELECT a, b, score FROM near WHERE s >= 0.75",
-    "canonical_shortest": f"WITH {_BASE}, e AS (SELECT a AS name, b AS other FROM near WHERE s >= 0.75 UNION ALL SELECT b, a FROM near WHERE s >= 0.75 UNION ALL SELECT name, name FROM makers) SELECT name, other AS canonical FROM e QUALIFY row_number() OVER (PARTITION BY name ORDER BY length(other), other) = 1",
-    "fuzzy_semi": f"WITH {_BASE} SELECT DISTINCT query AS name FROM q JOIN names ON (contains(query, name) OR contains(name, query)) AND abs(length(query) - length(name)) <= 2 AND length(name) >= 2 WHERE length(query) BETWEEN 2 AND 40",
-    "tfidf_search": f"WITH {_BASE}, {_TF}, s AS (SELECT qw.query, nw.name, sum(qw.w * nw.w / nn.n) AS d FROM qw JOIN nw USING (g) JOIN nn ON nn.name = nw.name GROUP BY qw.query, nw.name) SELECT s.query, round(max(d / n), 3) AS score FROM s JOIN qn ON qn.query = s.query GROUP BY s.query HAVING max(d / n) >= 0.1",
+    "fuzzy_semi": f"WITH {_BASE} SELECT DISTINCT query AS name FROM q JOIN names ON (contains(query, name) OR contains(name, query)) AND abs(length(query) - length(name)) <= 2 AND length(name) >= 2 WHERE length(query) >= 2 UNION SELECT query FROM q SEMI JOIN names ON query = name",
+    "tfidf_search": f"WITH {_BASE}, {_TF}, s AS (SELECT qw.query, nw.name, round(sum(qw.w * nw.w / nn.n) / any_value(qn.n), 6) AS score FROM qw JOIN nw USING (g) JOIN nn ON nn.name = nw.name JOIN qn ON qn.query = qw.query GROUP BY qw.query, nw.name) SELECT query, name, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS rank FROM s WHERE score >= 0.1) WHERE rank <= 5",
     "tfidf_stats": f"WITH {_BASE}, {_TF} SELECT count(DISTINCT g) AS features, count(DISTINCT name) AS names, count(*) AS entries FROM ntf",
     "vector_topk": "SELECT query, vec_id, round(s, 4) AS score FROM (SELECT a.vec_id AS query, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) <= 5",
 }

@@ -107,8 +107,17 @@ CONNECTIVES = ["为", "在", "和", "与", "主要", "包括", "以及", "及",
 NAME_FILLERS = ["包括", "等", "类", "中", "的", "和", "与", "及", "或", "各种", "多种", "主要", "广泛", "常见", "一般", "通常", "特别", "尤其", "特殊",
                 "以及", "还有", "另外", "此外", "同时", "另", "其他", "部分", "如", "例如", "比如", "诸如", "像", "譬如", "好比", "如同", "等等",
                 "之类", "左右", "上下", "约", "大约", "接近", "差不多", "括"]
-NAME_STOP_WORDS = ["等", "类", "中", "上", "下", "前", "后", "左", "右", "内", "外", "高", "低", "大", "小", "多", "少", "好", "坏", "新", "旧", "快",
-                   "慢", "热", "冷", "工业", "农业", "医药", "食品", "化工", "生产", "制造", "加工", "处理", "使用", "应用", "方法", "技术", "工艺"]
+NAME_STOP_WORDS = ["等", "类", "中", "上", "下", "前", "后", "左", "右", "内", "外", "高", "低",
+                   "大", "小", "多", "少", "好", "坏", "新", "旧", "快", "慢", "热", "冷",
+                   "工业", "农业", "医药", "食品", "化工", "石油", "煤炭", "天然气",
+                   "生产", "制造", "加工", "处理", "使用", "应用", "方法", "技术", "工艺"]
+NAME_INVALID_WORDS = ["等", "类", "中", "上", "下", "前", "后", "左", "右", "内", "外",
+                      "高", "低", "大", "小", "多", "少", "好", "坏", "新", "旧", "快", "慢",
+                      "热", "冷", "工业", "农业", "医药", "食品", "化工", "生产", "制造",
+                      "加工", "处理", "使用", "应用", "方法", "技术", "工艺", "公司",
+                      "企业", "有限", "股份", "集团", "反应", "制备", "合成", "包括",
+                      "通过石油", "经过石油", "利用石油", "使用石油", "乙烯氢气", "通过"]
+NAME_ALWAYS_VALID = ["苯", "甲苯", "二甲苯", "石油", "煤", "天然气", "水", "氨", "氢气", "氧气", "氮气"]
 NAME_MARKS = ["酸", "碱", "盐", "醇", "醛", "酮", "酯", "醚", "烷", "烯", "炔", "苯", "酚", "腈", "甲", "乙", "丙", "丁", "戊", "己", "庚", "辛", "壬",
               "癸", "正", "异", "叔", "仲", "邻", "间", "对", "顺", "反", "氢", "氧", "氮", "氯", "硫", "钠", "钾", "钙", "镁", "铁", "铜", "锌",
               "铅", "汞", "银", "聚", "环", "二", "三", "四", "五", "六", "七", "八", "九", "十", "气", "油", "脂", "胶"]
@@ -126,6 +135,28 @@ LIST_SUFFIXES = ["等", "类", "制得", "制备", "制成", "生产", "合成",
 PRODUCER_WORDS = ["主要生产商", "生产商", "生厂商", "制造商", "生产企业", "制造企业"]
 ORGANISATION_WORDS = ["公司", "企业", "厂", "集团"]
 
+# Phrases that state what a substance is made from, in order; the group is the list of materials.
+MATERIAL_PATTERNS = [
+    "上游原料[：:]?\\s*包括\\s*([^。；;]+)",
+    "原料(?:包括)?[：:]\\s*([^。；;]+)",
+    "以\\s*([^为]+?)\\s*为原料",
+    "由\\s*([^制]+?)\\s*(?:制得|制成|制备)",
+    "从\\s*([^中]+?)\\s*中(?:提取|分离|得到)",
+    "([^。；;，,]+?)\\s*(?:裂解|氧化|分解)(?:得到|制得|产生)",
+    "原料.*?包括\\s*([^。；;]+)",
+    "主要原料[：:]?\\s*([^。；;]+)",
+    "所需原料[：:]?\\s*([^。；;]+)",
+    "以\\s*([^。；;，,]*(?:、[^。；;，,]*)*)\\s*(?:等\\s*)?(?:化学品|原料|物质)",
+    "使用\\s*([^。；;，,]*(?:、[^。；;，,]*)*)\\s*(?:等\\s*)?(?:作为|为)\\s*原料",
+    "从\\s*([^。；;，,]*(?:、[^。；;，,]*)*)\\s*(?:等\\s*)?中",
+]
+# What is cut from either end of a material, and characters of actions, which no new material may have.
+MATERIAL_PREFIXES = ["通过", "经过", "利用", "使用", "主要", "从", "由"]
+MATERIAL_SUFFIXES = ["等", "类", "反应", "制得", "制备", "制成", "裂解", "氧化", "分解", "化学品", "原料", "物质"]
+ACTION_CHARACTERS = "制得备成反应裂解氧化分"
+# Units known in free text.
+TEXT_UNITS = ["°C|℃|K|°F", "Pa|kPa|MPa|bar|atm|mmHg", "g/mol|Da|u", "g/cm³|kg/m³|g/mL", "mol/L|M|ppm|ppb|%"]
+
 # Relation types of the graph.
 PRODUCES, COMES_FROM, TAKES_PART, RAW_MATERIAL = "产生", "来源", "参与", "原料"
 PLACEHOLDER = "[待补全]"

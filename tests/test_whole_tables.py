@@ -7,12 +7,12 @@ FIXED = ["synonym_fold", "extract_temp", "temp_convert", "extract_pressure", "ex
          "storage_classes", "relation_type", "error_class", "retry_delay"]
 
 
-def test_fixed_queries_have_one_over_the_tables(spark, tmp_path):
+def test_queries_of_texts_read_whole_tables(spark, tmp_path):
     texts = ["吸入可致中毒；低温保存", "mp 10-15℃, bp 77F", "1 atm, 1.2 g/mL, 10g/100mL, LEL: 3.3%", "不溶于水", "Timeout while reading", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(enumerate(texts)), "row_id long, `备注` string").write.parquet(f"{tmp_path}/sample_chemicals.parquet")
     for name in FIXED:
-        found = QUERIES[f"{name}_all"](spark, str(tmp_path))
+        found = QUERIES[name](spark, str(tmp_path))
         per = {r.origin: r["count"] for r in found.groupBy("origin").count().collect()}
         assert set(per) == {"documents", "sample_chemicals"} and len(set(per.values())) == 1, name
         if name in ("synonym_fold", "extract_limits", "relation_type", "error_class", "retry_delay"):
@@ -29,7 +29,7 @@ def test_scores_need_one_common_character(spark, tmp_path):
     """Names of one character and reordered names share no pair of characters."""
     queries, names = ["苯甲", "氯", "全氟肟", "Na", "水"], ["甲苯", "氯气", "三氟羧基肟", "钠 N", "氯", "乙醇"]
     search_tables(spark, tmp_path, queries, names)
-    got = {(r.query, r.name): r.score for r in QUERIES["jaccard_chars_all"](spark, str(tmp_path)).collect()}
+    got = {(r.query, r.name): r.score for r in QUERIES["jaccard_chars"](spark, str(tmp_path)).collect()}
     want = {}
     for q in queries:
         for n in names:
@@ -37,7 +37,7 @@ def test_scores_need_one_common_character(spark, tmp_path):
             if score:
                 want[q, n] = round(score, 4)
     assert got == want
-    assert set(want) == {(r.query, r.name) for r in QUERIES["char_overlap_all"](spark, str(tmp_path)).collect()}
+    assert set(want) == {(r.query, r.name) for r in QUERIES["char_overlap"](spark, str(tmp_path)).collect()}
     for name in ("best_match", "fuzzy_search", "search_topk", "tiered_search"):
         assert ("苯甲", "甲苯") in {(r.query, r.name) for r in QUERIES[name](spark, str(tmp_path)).collect()}, name
     assert ("全氟肟", "三氟羧基肟") in {(r.query, r.name) for r in QUERIES["tiered_search"](spark, str(tmp_path)).collect()}
@@ -59,9 +59,9 @@ def test_makers_of_every_script(spark, tmp_path):
     near = {(a, b): 1 - edits(a, b) / max(len(a), len(b)) for a in names for b in names if a < b}
     near = {pair: round(s, 4) for pair, s in near.items() if s >= 0.75}
     assert any(a > "⿿" for a, _ in near)
-    assert {(r.a, r.b): r.score for r in QUERIES["fuzzy_pairs_all"](spark, str(tmp_path)).collect()} == near
+    assert {(r.a, r.b): r.score for r in QUERIES["fuzzy_pairs"](spark, str(tmp_path)).collect()} == near
     other = {n: min([n, *[b if n == a else a for a, b in near if n in (a, b)]], key=lambda x: (len(x), x)) for n in names}
-    assert {r.name: r.canonical for r in QUERIES["canonical_shortest_all"](spark, str(tmp_path)).collect()} == other
+    assert {r.name: r.canonical for r in QUERIES["canonical_shortest"](spark, str(tmp_path)).collect()} == other
 
 
 def test_names_of_any_length_are_looked_up(spark, tmp_path):
