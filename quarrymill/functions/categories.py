@@ -28,11 +28,11 @@ def categorize(text: Column, rules: Rules, default: str, separators: str) -> Col
 
 
 def solubility_grades(text: Column) -> Column:
-    """Array of ``solvent, grade`` by sentence; the longest grade that occurs wins, the first sentence of a solvent counts."""
+    """Array of ``solvent, grade`` by sentence, of each the first of its list that occurs; sentences that state amounts are left out."""
     parts = F.filter(F.transform(F.split(text, "[,，;；。]"), lambda p: F.trim(p)), lambda p: p != "")
-    solvents = [(s, [s]) for s in SOLVENTS]
-    grades = [(g, [g]) for g in sorted(SOLUBILITY_GRADES, key=lambda g: (-len(g), g))]
-    found = F.transform(parts, lambda p: F.struct(first_class(p, solvents, None).alias("solvent"), first_class(p, grades, "未知").alias("grade")))
+    words = F.filter(parts, lambda p: ~(p.rlike("[0-9]") & p.rlike("g/mL|g/L")))
+    solvents, grades = ([(w, [w]) for w in group] for group in (SOLVENTS, SOLUBILITY_GRADES))
+    found = F.transform(words, lambda p: F.struct(first_class(p, solvents, None).alias("solvent"), first_class(p, grades, "未知").alias("grade")))
     return F.filter(found, lambda x: x["solvent"].isNotNull())
 
 

@@ -1,7 +1,7 @@
 """Enrichment by an external service: prompts, rate limits, retries and a replaceable client.
 
-Only distinct names are sent; answers are written by name before they are used, so a retried task
-or a resumed run does not pay twice.
+Only distinct names are sent. With a ``store`` every answer is appended to a table there before it is used and names
+that have one are not sent again, so a resumed run does not pay twice.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.functions.assign import assign_keys
 from quarrymill.functions.json_text import parse_answer
 
 
@@ -39,9 +40,13 @@ class Limits:
         return max(1, min(self.requests_per_minute, self.tokens_per_minute // self.tokens_per_call))
 
     def share(self, partitions: int) -> Limits:
-        """The part of one partition: there is no lock across executors."""
+        """The part of one partition: there is no lock across executors. Shares never add up to more than the whole."""
         n = max(1, partitions)
-        return Limits(max(1, self.requests_per_minute // n), max(1, self.tokens_per_minute // n), max(1, self.tokens_per_day // n), self.tokens_per_call)
+        return Limits(self.requests_per_minute // n, self.tokens_per_minute // n, self.tokens_per_day // n, self.tokens_per_call)
+
+    def most_partitions(self, wanted: int) -> int:
+        """As many partitions as wanted, but each must be able to make a call."""
+        return max(1, min(wanted, self.calls_per_minute, self.tokens_per_day // max(1, self.tokens_per_call)))
 
 
 class DailyBudgetSpent(RuntimeError):
@@ -54,9 +59,11 @@ class RateLimiter:
     def __init__(self, limits: Limits, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
         self.limits, self.clock, self.sleep = limits, clock, sleep
         self.calls: deque[tuple[float, int]] = deque()
-        self.today = 0
+        self.today, self.began = 0, clock()
 
     def wait(self, tokens: int) -> None:
+        if self.clock() - self.began >= 86_400:
+            self.today, self.began = 0, self.clock()
         if self.today + tokens > self.limits.tokens_per_day:
             raise DailyBudgetSpent
         while True:
@@ -78,9 +85,15 @@ def build_prompt(name: Column, attributes: Sequence[str], ident: Column | None =
 
 
 def enrich(
-    df: DataFrame, name: str, attributes: Sequence[str], make_client: Callable[[], Client], limits: Limits = Limits(), partitions: int = 3, attempts: int = 3
+    df: DataFrame, name: str, attributes: Sequence[str], make_client: Callable[[], Client], limits: Limits = Limits(), partitions: int = 3, attempts: int = 3,
+    store: str | None = None,
 ) -> DataFrame:
-    """``name``, the attributes and ``status`` of every distinct name that is not blank."""
+    """``name``, the attributes and ``status`` of every distinct name that is not blank.
+
+    Keys of an answer that differ from the attributes' names are assigned to the likest. ``partitions`` is lowered to what the
+    limits allow. ``store``: a folder that all executors share; failures are sent again by the next run.
+    """
+    partitions = limits.most_partitions(partitions)
     own = limits.share(partitions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,6 +106,7 @@ def enrich(
                     try:
                         limiter.wait(own.tokens_per_call)
                         found = parse_answer(client(prompt), attributes, loose_first=False)
+                        found = assign_keys(found, attributes) if found else None
                         status = "成功" if found else "失败: 无法解析"
                         if found:
                             break
@@ -107,7 +121,16 @@ def enrich(
 
     names = df.select(name).where(F.trim(name) != "").distinct().withColumn("__prompt", build_prompt(F.col(name), attributes))
     schema = ", ".join(f"`{c}` string" for c in (name, *attributes, "status"))
-    return names.repartition(partitions, name).mapInPandas(run, schema)
+    if store is None:
+        return names.repartition(partitions, name).mapInPandas(run, schema)
+    spark, part = df.sparkSession, f"{store}/answers.parquet"
+    spark.createDataFrame([], schema).write.mode("append").parquet(part)
+    done = spark.read.schema(schema).parquet(part).where("status = '成功'").select(name)
+    pending = names.join(done, name, "left_anti")
+    pending.repartition(partitions, name).mapInPandas(run, schema).write.mode("append").parquet(part)
+    answers = spark.read.schema(schema).parquet(part).join(names.select(name), name, "left_semi")
+    best = F.struct((F.col("status") == "成功").alias("good"), *[F.col(f"`{c}`") for c in (*attributes, "status")])
+    return answers.groupBy(name).agg(F.max(best).alias("a")).select(name, *[F.col(f"a.`{c}`") for c in (*attributes, "status")])
 
 
 def stub_client() -> Client:

@@ -2,61 +2,66 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.operators.catalogue import containing_pairs, keep_first, substrings
+from quarrymill.functions.text import clean_node_name, cut_affixes, name_plausible, remove_producers, smart_split
+from quarrymill.operators.catalogue import containing_pairs, keep_first
+from quarrymill.session import cut_lineage
+from quarrymill import vocab as V
 from quarrymill.vocab import COMES_FROM, PRODUCES, RAW_MATERIAL, TAKES_PART
 
 PROCESS_SUFFIX = "_生产工艺"
-# A dictionary of at most so many names is sent to the executors as an automaton (some 100 MB at most).
-MAX_BROADCAST_NAMES = 200_000
+# A dictionary is sent to the executors as automata of so many characters each (some 100 MB at most).
+MAX_BROADCAST_CHARACTERS = 2_000_000
 
 
-def scan_names(texts: DataFrame, key: str, text: str, names: DataFrame, least: int = 2, most: int = 40, limit: int = 5) -> DataFrame:
-    """``key, name, rank``: known names in a text, not within longer words, the longest ``limit`` of them.
+def scan_names(texts: DataFrame, key: str, text: str, names: DataFrame, least: int = 2, limit: int | None = 5) -> DataFrame:
+    """``key, name, rank``: known names in a text, not within longer words, the longest ``limit`` of them (all with None).
 
-    ``names``: distinct ``name``. A dictionary within ``MAX_BROADCAST_NAMES`` is matched by an
-    automaton in one narrow pass; a larger one by an equi-join on the substrings of the texts.
+    ``names``: distinct ``name`` of any length. Texts are read by an automaton in a narrow pass; a dictionary of more
+    than ``MAX_BROADCAST_CHARACTERS`` is cut by hash into parts of that size, with a pass over the texts for each.
     """
-    known = names.where(F.length("name").between(least, most)).select("name").distinct()
+    known = names.where(F.length("name") >= least).select("name").distinct()
     slim = texts.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text is not null")
-    some = known.limit(MAX_BROADCAST_NAMES + 1).collect()
-    if len(some) <= MAX_BROADCAST_NAMES:
-        words = texts.sparkSession.sparkContext.broadcast([r["name"] for r in some])
-        holder: dict = {}
-
-        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            if "a" not in holder:
-                import ahocorasick
-
-                automaton = ahocorasick.Automaton()
-                for w in words.value:
-                    automaton.add_word(w, w)
-                if words.value:
-                    automaton.make_automaton()
-                holder["a"] = automaton
-            for batch in batches:
-                rows = []
-                for k, t in zip(batch.key, batch.text, strict=True):
-                    found = {w for end, w in holder["a"].iter(t) if _bounded(t, end - len(w) + 1, end + 1)} if words.value else set()
-                    rows += [(k, w) for w in found]
-                yield pd.DataFrame(rows, columns=["key", "name"])
-
-        kind = dict(slim.dtypes)["key"]
-        hits = slim.mapInPandas(find, f"key {kind}, name string")
-    else:
-        spread = slim.select("key", "text", F.explode(substrings(F.col("text"), least, most)).alias("name"))
-        quoted = F.concat(F.lit(r"\Q"), "name", F.lit(r"\E"))
-        bounded = F.rlike(F.concat(F.lit(" "), "text", F.lit(" ")), F.concat(F.lit("[^a-zA-Z一-龥]"), quoted, F.lit("[^a-zA-Z一-龥]")))
-        hits = spread.join(known, "name").where(bounded).select("key", "name")
+    kind = dict(slim.dtypes)["key"]
+    size = known.agg(F.coalesce(F.sum(F.length("name") + 8), F.lit(0))).first()[0]
+    parts = max(1, -(-size // MAX_BROADCAST_CHARACTERS))
+    hits = None
+    for part in range(parts):
+        own = known if parts == 1 else known.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == part)
+        words = texts.sparkSession.sparkContext.broadcast([r["name"] for r in own.collect()])
+        found = slim.mapInPandas(_finder(words), f"key {kind}, name string")
+        hits = found if hits is None else hits.union(found)
     from pyspark.sql import Window as W
 
-    rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc(F.length("name")), "name"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= limit).withColumnRenamed("key", key)
+    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(F.desc(F.length("name")), "name")))
+    return (ranked if limit is None else ranked.where(F.col("rank") <= limit)).withColumnRenamed("key", key)
+
+
+def _finder(words: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Names of one part of a dictionary in the texts of a batch."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for w in words.value:
+            automaton.add_word(w, w)
+        if words.value:
+            automaton.make_automaton()
+        for batch in batches:
+            rows = []
+            for k, t in zip(batch.key, batch.text, strict=True):
+                found = {w for end, w in automaton.iter(t) if _bounded(t, end - len(w) + 1, end + 1)} if words.value else set()
+                rows += [(k, w) for w in found]
+            yield pd.DataFrame(rows, columns=["key", "name"])
+
+    return find
 
 
 def _bounded(text: str, start: int, end: int) -> bool:
@@ -72,6 +77,67 @@ def extract_by_patterns(text: Column, patterns: Sequence[str]) -> Column:
     return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: F.length(x) >= 2))
 
 
+def upstream_materials(texts: DataFrame, key: str, text: str, product: str, known: DataFrame, limit: int = 5) -> DataFrame:
+    """``key, material``: what the product of each text is made from.
+
+    Clauses about producers are left out. Phrases that state materials give lists, lists give names; a name counts if it
+    is known (``name``) or may be one of a substance, and if it holds no character of an action. Known names that stand
+    anywhere else in the text follow, the longest first: as many as make up ``limit`` names in all, at least one.
+    Every name is one that a node may have; the product itself is none.
+    """
+    slim = texts.select(F.col(key).alias("key"), F.trim(F.col(product)).alias("product"), remove_producers(F.col(text).cast("string")).alias("text"))
+    stated = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in V.MATERIAL_PATTERNS]))
+    named = slim.select("key", "product", F.explode(stated).alias("list")).select("key", "product", F.explode(smart_split(F.col("list"))).alias("name"))
+    bare = cut_affixes(F.trim("name"), V.MATERIAL_PREFIXES, V.MATERIAL_SUFFIXES)
+    clean = named.select("key", "product", clean_node_name(bare, V.CONNECTIVES).alias("material"))
+    fit = (F.length("material") >= 2) & ~F.col("material").eqNullSafe(F.col("product")) & ~F.col("material").rlike(f"[{V.ACTION_CHARACTERS}]")
+    names = known.select(F.col("name").alias("material")).distinct().withColumn("is_known", F.lit(True))
+    tested = clean.where(fit).select("key", "material").distinct().join(names, "material", "left")
+    plausible = name_plausible(F.col("material"), V.NAME_INVALID_WORDS, V.NAME_ALWAYS_VALID, V.NAME_MARKS)
+    by_phrase = tested.where(F.col("is_known") | plausible).select("key", "material")
+
+    scanned = scan_names(slim, "key", "text", known, limit=None).join(slim.select("key", "product"), "key")
+    others = scanned.where(~F.col("name").eqNullSafe(F.col("product"))).select("key", clean_node_name(F.col("name"), V.CONNECTIVES).alias("material"))
+    new = others.where("material <> ''").distinct().join(by_phrase, ["key", "material"], "left_anti")
+    counts = by_phrase.groupBy("key").agg(F.count("*").alias("n"))
+    from pyspark.sql import Window as W
+
+    rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc(F.length("material")), "material"))
+    room = F.greatest(F.lit(1), F.lit(limit) - F.coalesce("n", F.lit(0)))
+    kept = new.withColumn("rank", rank).join(counts, "key", "left").where(F.col("rank") <= room)
+    return by_phrase.unionByName(kept.select("key", "material")).withColumnRenamed("key", key)
+
+
+def class_edges(df: DataFrame, name: str, parts: Column, relation: str) -> DataFrame:
+    """Distinct ``src, relation, class, value``: an entity and each classified part of one of its texts."""
+    found = df.select(F.col(name).alias("src"), F.explode(parts).alias("p")).where("src <> ''")
+    return found.select("src", F.lit(relation).alias("relation"), F.col("p.class").alias("class"), F.col("p.part").alias("value")).distinct()
+
+
+def greedy_groups(names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``name, leader``: names in order of ``ord``; one that is in no group yet founds one of all alike that are in none.
+
+    ``names``: distinct ``name, ord``; ``pairs``: ``a, b`` alike. Rounds decide all names at once whose alike of lower
+    order are decided: such a name leads, and what is like it does not. The rest is written between rounds, so lineage
+    doesn't grow. Each other name goes to its leader of the lowest order.
+    """
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).where("a <> b").distinct()
+    order = names.select("name", "ord")
+    alike = cut_lineage(both.join(order.toDF("a", "oa"), "a").join(order.toDF("b", "ob"), "b"))
+    rest, members = alike, None
+    while not rest.isEmpty():
+        leaders = rest.groupBy("a").agg(F.first("oa").alias("oa"), F.min("ob").alias("lowest")).where("oa < lowest").select(F.col("a").alias("b"))
+        joined = cut_lineage(rest.join(leaders, "b", "left_semi").select(F.col("a").alias("name")).distinct())
+        members = joined if members is None else members.unionByName(joined)
+        gone = joined.unionByName(leaders.toDF("name"))
+        rest = cut_lineage(rest.join(gone.toDF("a"), "a", "left_anti").join(gone.toDF("b"), "b", "left_anti"))
+    if members is None:
+        return names.select("name", F.col("name").alias("leader"))
+    # Of all leaders a member is like, the first in order has taken it.
+    taken = alike.join(members.toDF("a"), "a", "left_semi").join(members.toDF("b"), "b", "left_anti").groupBy("a").agg(F.min_by("b", "ob").alias("leader"))
+    return names.select("name").join(taken.withColumnRenamed("a", "name"), "name", "left").select("name", F.coalesce("leader", "name").alias("leader"))
+
+
 def relation_edges(pairs: DataFrame) -> DataFrame:
     """``src, dst, type`` from distinct ``product, material``: two edges per process and two per material."""
     process = F.concat("product", F.lit(PROCESS_SUFFIX))

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill import vocab as V
-from quarrymill.functions.categories import categorize
+from quarrymill.functions.categories import categorize, solubility_grades
 from quarrymill.functions.text import clean_node_name, split_list
 from quarrymill.operators import graph as G
 from quarrymill.operators.catalogue import keep_first
 from quarrymill.operators.merge import usable
+from quarrymill.plans.scalars import ORACLE_TEXT
 from quarrymill.session import table
 
 HARDWARE = "enriched_computer_hardware_knowledge"
@@ -30,6 +31,31 @@ def dict_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.scan_names(spaced, "row_id", "text", _catalogue(spark, sf_dir).select("name").distinct())
 
 
+def upstream_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _catalogue(spark, sf_dir).select("name").distinct()
+    return G.upstream_materials(table(spark, sf_dir, "documents"), "doc_id", "text", "entity_name", known)
+
+
+def edge_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges without those of which a like one with contained ends exists."""
+    return G.drop_longer_edges(graph_edges(spark, sf_dir))
+
+
+def storage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.class_edges(_rows(spark, sf_dir), "name", categorize(F.col("note"), V.STORAGE_CLASSES, "其他要求", "[,，;；]"), "REQUIRES_STORAGE")
+
+
+def hazard_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.class_edges(_rows(spark, sf_dir), "name", categorize(F.col("note"), V.HAZARD_CLASSES, "其他", "[;；。]"), "HAS_HAZARD")
+
+
+def solubility_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of the documents and what their texts say of their solubility."""
+    documents = table(spark, sf_dir, "documents").select(F.trim("entity_name").alias("name"), "text")
+    grades = F.transform(solubility_grades(F.col("text")), lambda x: F.struct(x["solvent"].alias("class"), x["grade"].alias("part")))
+    return G.class_edges(documents, "name", grades, "HAS_SOLUBILITY")
+
+
 def pattern_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = G.extract_by_patterns(F.col("note"), PATTERNS)
     return _rows(spark, sf_dir).select("row_id", F.posexplode(found).alias("i", "material")).select("row_id", "material")
@@ -120,7 +146,7 @@ def flatten_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEYS = [
-    "dict_scan", "pattern_extract", "graph_edges", "graph_nodes", "process_nodes", "process_neighbours", "edge_dedup", "edge_resolve", "edge_type_counts",
+    "dict_scan", "upstream_materials", "edge_containment", "storage_edges", "hazard_edges", "solubility_edges", "pattern_extract", "graph_edges", "graph_nodes", "process_nodes", "process_neighbours", "edge_dedup", "edge_resolve", "edge_type_counts",
     "label_counts", "alias_edges", "prop_edges", "node_upsert", "record_struct", "flatten_pivot",
 ]
 QUERIES = {name: globals()[name] for name in _KEYS}
@@ -144,9 +170,32 @@ edges AS (SELECT DISTINCT product || '_生产工艺' AS src, product AS dst, '
 ends AS (SELECT DISTINCT n AS name FROM (SELECT src AS n FROM edges UNION ALL SELECT dst FROM edges) WHERE contains(n, '工艺')),
 nodes AS (SELECT name, coalesce("CAS号", '') AS cas, CASE WHEN name IN (SELECT name FROM cat) THEN 'DangerousChemical' ELSE 'Chemical' END AS label FROM rows QUALIFY row_number() OVER (PARTITION BY name ORDER BY row_id DESC) = 1)"""
 _STORE = "CASE " + " ".join(f"WHEN regexp_matches(p, '{'|'.join(w)}') THEN '{c}'" for c, w in V.STORAGE_CLASSES) + " ELSE '其他要求' END"
+_HAZARD = "CASE WHEN regexp_matches(p, '中毒|有毒|致命|急性') THEN '急性毒性' WHEN regexp_matches(p, '皮肤|灼伤|刺激') THEN '皮肤刺激' WHEN regexp_matches(p, '眼|眼睛|眼部') THEN '眼部刺激' WHEN regexp_matches(p, '呼吸|吸入') THEN '呼吸道刺激' WHEN regexp_matches(p, '致癌|癌') THEN '致癌性' WHEN regexp_matches(p, '致突变|突变') THEN '致突变性' WHEN regexp_matches(p, '生殖|胎儿') THEN '生殖毒性' ELSE '其他' END"
+_SOLVENT = "CASE " + " ".join(f"WHEN contains(p, '{w}') THEN '{w}'" for w in ("水", "乙醇", "乙醚", "苯", "氯仿", "丙酮", "酸", "碱")) + " END"
+_GRADE = "CASE " + " ".join(f"WHEN contains(p, '{w}') THEN '{w}'" for w in ("溶于", "不溶于", "微溶于", "易溶于", "难溶于", "混溶", "任意比例混溶")) + " ELSE '未知' END"
+_LISTS = [
+    "上游原料[：:]?\\s*包括\\s*([^。；;]+)", "原料(?:包括)?[：:]\\s*([^。；;]+)", "以\\s*([^为]+?)\\s*为原料", "由\\s*([^制]+?)\\s*(?:制得|制成|制备)",
+    "从\\s*([^中]+?)\\s*中(?:提取|分离|得到)", "([^。；;，,]+?)\\s*(?:裂解|氧化|分解)(?:得到|制得|产生)", "原料.*?包括\\s*([^。；;]+)", "主要原料[：:]?\\s*([^。；;]+)",
+    "所需原料[：:]?\\s*([^。；;]+)", "以\\s*([^。；;，,]*(?:、[^。；;，,]*)*)\\s*(?:等\\s*)?(?:化学品|原料|物质)",
+    "使用\\s*([^。；;，,]*(?:、[^。；;，,]*)*)\\s*(?:等\\s*)?(?:作为|为)\\s*原料", "从\\s*([^。；;，,]*(?:、[^。；;，,]*)*)\\s*(?:等\\s*)?中",
+]
+_UPSTREAM = rf"""cat AS (SELECT DISTINCT trim(regexp_replace("品名", '\[[^\]]*\]', '', 'g'), ' ') AS name FROM hazard_catalog),
+d AS (SELECT doc_id, trim(entity_name, ' ') AS product, {ORACLE_TEXT["remove_producers"]} AS t FROM documents),
+l AS (SELECT doc_id, product, unnest({" || ".join(f"regexp_extract_all(t, '{p}', 1)" for p in _LISTS)}) AS x FROM d),
+s AS (SELECT doc_id, product, unnest({ORACLE_TEXT["smart_split"]}) AS n FROM l),
+m AS (SELECT doc_id, product, {_clean("trim(regexp_replace(regexp_replace(trim(n, ' '), '^(?:通过|经过|利用|使用|主要|从|由)[ \t\n\r\f]*', ''), '(?s)[ \t\n\r\f]*(?:等|类|反应|制得|制备|制成|裂解|氧化|分解|化学品|原料|物质).*$', ''), ' ')")} AS material FROM s),
+ph AS (SELECT DISTINCT doc_id, material FROM m WHERE length(material) >= 2 AND material IS DISTINCT FROM product AND NOT regexp_matches(material, '[制得备成反应裂解氧化分]') AND (material IN (SELECT name FROM cat) OR {ORACLE_TEXT["name_plausible"].format("material")})),
+h AS (SELECT DISTINCT doc_id, {_clean("c.name")} AS material FROM d JOIN cat c ON contains(t, c.name) AND c.name IS DISTINCT FROM product AND length(c.name) >= 2
+  AND regexp_matches(' ' || t || ' ', '[^a-zA-Z\x{{4e00}}-\x{{9fa5}}]' || regexp_escape(c.name) || '[^a-zA-Z\x{{4e00}}-\x{{9fa5}}]')),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(material) DESC, material) AS r FROM h ANTI JOIN ph USING (doc_id, material) WHERE material <> '')"""
 ORACLE = {
+    "upstream_materials": f"WITH {_UPSTREAM} SELECT doc_id, material FROM ph UNION ALL SELECT o.doc_id, o.material FROM o LEFT JOIN (SELECT doc_id, count(*) AS n FROM ph GROUP BY doc_id) k USING (doc_id) WHERE r <= greatest(1, 5 - coalesce(n, 0))",
+    "edge_containment": f"WITH {_BASE} SELECT src, dst, type FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edges f WHERE f.type = e.type AND (f.src <> e.src OR f.dst <> e.dst) AND contains(e.src, f.src) AND contains(e.dst, f.dst))",
+    "storage_edges": f"WITH {_BASE}, q AS (SELECT DISTINCT name, trim(unnest(string_split_regex(note, '[,，;；]')), ' ') AS p FROM rows) SELECT DISTINCT name AS src, 'REQUIRES_STORAGE' AS relation, {_STORE} AS class, p AS value FROM q WHERE p <> ''",
+    "hazard_edges": f"WITH {_BASE}, q AS (SELECT DISTINCT name, trim(unnest(string_split_regex(note, '[;；。]')), ' ') AS p FROM rows) SELECT DISTINCT name AS src, 'HAS_HAZARD' AS relation, {_HAZARD} AS class, p AS value FROM q WHERE p <> ''",
+    "solubility_edges": f"WITH q AS (SELECT DISTINCT trim(entity_name, ' ') AS src, trim(unnest(string_split_regex(text, '[,，;；。]')), ' ') AS p FROM documents) SELECT DISTINCT src, 'HAS_SOLUBILITY' AS relation, {_SOLVENT} AS class, {_GRADE} AS value FROM q WHERE src <> '' AND p <> '' AND {_SOLVENT} IS NOT NULL AND NOT (regexp_matches(p, '[0-9]') AND regexp_matches(p, 'g/mL|g/L'))",
     "dict_scan": rf"""WITH {_BASE}, t AS (SELECT row_id, regexp_replace(note, '用于|对照', ' ', 'g') AS text FROM rows WHERE note IS NOT NULL),
-      h AS (SELECT DISTINCT row_id, c.name FROM t JOIN cat c ON contains(text, c.name) AND regexp_matches(' ' || text || ' ', '[^a-zA-Z\x{{4e00}}-\x{{9fa5}}]' || regexp_escape(c.name) || '[^a-zA-Z\x{{4e00}}-\x{{9fa5}}]') WHERE length(c.name) BETWEEN 2 AND 40)
+      h AS (SELECT DISTINCT row_id, c.name FROM t JOIN cat c ON contains(text, c.name) AND regexp_matches(' ' || text || ' ', '[^a-zA-Z\x{{4e00}}-\x{{9fa5}}]' || regexp_escape(c.name) || '[^a-zA-Z\x{{4e00}}-\x{{9fa5}}]') WHERE length(c.name) >= 2)
       SELECT * FROM (SELECT row_id, name, CAST(row_number() OVER (PARTITION BY row_id ORDER BY length(name) DESC, name) AS INTEGER) AS rank FROM h) WHERE rank <= 5""",
     "pattern_extract": f"WITH {_BASE} SELECT row_id, material FROM good",
     "graph_edges": f"WITH {_BASE} SELECT * FROM edges",

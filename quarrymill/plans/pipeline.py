@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
@@ -11,6 +10,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrymill.session import read_text, write_text
+
 Stage = Callable[[DataFrame | None, Mapping[str, Any], SparkSession], DataFrame]
 PENDING, RUNNING, COMPLETED, FAILED = "pending", "running", "completed", "failed"
 
@@ -42,32 +43,32 @@ class Pipeline:
 
     def __init__(self, spark: SparkSession, name: str, folder: str, stages: Sequence[tuple[str, Stage]], config: Mapping[str, Any] | None = None) -> None:
         self.spark, self.folder, self.stages, self.config = spark, folder, list(stages), config or {}
-        self.state_path = os.path.join(folder, f"{name}.json")
-        os.makedirs(folder, exist_ok=True)
+        self.state_path = f"{folder}/{name}.json"
         self.state = self._load() or PipelineState(name, time.time(), [StageState(n) for n, _ in self.stages])
 
     def _load(self) -> PipelineState | None:
-        if not os.path.exists(self.state_path):
+        text = read_text(self.spark, self.state_path)
+        if text is None:
             return None
-        with open(self.state_path, encoding="utf-8") as f:
-            raw = json.load(f)
+        raw = json.loads(text)
         return PipelineState(raw["name"], raw["created"], [StageState(**s) for s in raw["stages"]])
 
     def _save(self) -> None:
-        with open(self.state_path + ".new", "w", encoding="utf-8") as f:
-            json.dump(asdict(self.state), f, ensure_ascii=False, indent=1)
-        os.replace(self.state_path + ".new", self.state_path)
+        write_text(self.spark, self.state_path, json.dumps(asdict(self.state), ensure_ascii=False, indent=1))
 
     def run(self, start: str | None = None, stop: str | None = None, notify: Callable[[str, str], None] | None = None) -> PipelineState:
-        """Runs from ``start`` to ``stop`` inclusive. A failing stage is recorded and its error raised."""
+        """Runs from ``start`` to ``stop`` inclusive. A failing stage is recorded and its error raised.
+
+        With ``start``, that stage and all after it lose their results, since they rest on it.
+        """
         names = [n for n, _ in self.stages]
         first, last = names.index(start) if start else 0, names.index(stop) if stop else len(names) - 1
         current: DataFrame | None = None
         for i, (name, stage) in enumerate(self.stages):
             state = self.state.stages[i]
             if start and i >= first:
-                state.status = PENDING if i == first else state.status
-            if state.status == COMPLETED and not (start and i == first):
+                self.state.stages[i] = state = StageState(name)
+            if state.status == COMPLETED:
                 current = self.spark.read.parquet(state.output) if state.output else None
                 continue
             if i < first or i > last:
@@ -76,7 +77,7 @@ class Pipeline:
             state.status, state.error = RUNNING, None
             self._save()
             try:
-                output = os.path.join(self.folder, f"{i:02d}_{name}.parquet")
+                output = f"{self.folder}/{i:02d}_{name}.parquet"
                 stage(current, self.config, self.spark).write.mode("overwrite").parquet(output)
                 current = self.spark.read.parquet(output)
                 state.rows, state.output, state.status = current.count(), output, COMPLETED
@@ -91,14 +92,13 @@ class Pipeline:
         return self.state
 
 
-def list_pipelines(folder: str, limit: int = 20) -> list[dict[str, Any]]:
+def list_pipelines(spark: SparkSession, folder: str, limit: int = 20) -> list[dict[str, Any]]:
     """The most recent pipelines of a folder."""
-    found = []
-    for f in os.listdir(folder) if os.path.isdir(folder) else []:
-        if f.endswith(".json"):
-            with open(os.path.join(folder, f), encoding="utf-8") as handle:
-                found.append(json.load(handle))
-    return sorted(found, key=lambda p: -p["created"])[:limit]
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [str(f.getPath()) for f in fs.listStatus(p)] if fs.exists(p) else []
+    found = [json.loads(read_text(spark, f) or "{}") for f in names if f.endswith(".json")]
+    return sorted(found, key=lambda x: -x["created"])[:limit]
 
 
 def resolve_domain(config: Mapping[str, Any], name: str) -> Mapping[str, Any]:

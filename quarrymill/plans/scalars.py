@@ -15,6 +15,8 @@ from quarrymill.functions import text as X
 from quarrymill import vocab as V
 from quarrymill.session import table
 
+# SQL of single expressions that other modules' queries need too.
+ORACLE_TEXT: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -172,6 +174,11 @@ _PLAUSIBLE = (
 _scalar("name_plausible", "sample_chemicals", "row_id", {"ok": (lambda: X.name_plausible(F.col("品名"), V.NAME_INVALID_WORDS, V.NAME_ALWAYS_VALID, V.NAME_MARKS), _PLAUSIBLE.format("品名"))})
 _SPLIT_HELD = "regexp_replace(regexp_replace({0}, '([0-9]),([0-9])', '\\1~~\\2', 'g'), '([0-9]),([0-9])', '\\1~~\\2', 'g')"
 _CUT = "trim(regexp_replace(regexp_replace(trim(replace({0}, '~~', ',')), '^(?:由|从|以|通过|经过|利用|使用|主要|含有|含)[ \\t\\n\\r\\f]*', ''), '(?s)[ \\t\\n\\r\\f]*(?:等|类|制得|制备|制成|生产|合成|反应|裂解|氧化|分解|化学品|原料|物质|材料|中提取|为原料|作为溶剂).*$', ''))"
+_NAMES = "list_filter(list_transform(string_split_regex({1}, '[、;；,和与及或等]+'), lambda y: " + _CUT.format("y") + "), lambda y: length(y) >= 2)"
+_REST = (
+    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?:主要)?(?:生产商|生厂商|制造商|生产企业|制造企业)[^。；;，,]*', '', 'g'), "
+    "'[^。；;，,]*(?:公司|企业|厂|集团)[^。；;，,]*(?:[。；;，,]|$)', '', 'g'), '[；;]+', '', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
+)
 _scalar(
     "smart_split",
     "traditional_chinese_medicine_material_enriched",
@@ -179,7 +186,7 @@ _scalar(
     {
         "names": (
             lambda: F.array_join(X.smart_split(F.col("chemical_constituents")), "|"),
-            f"array_to_string(list_filter(list_transform(string_split_regex({_SPLIT_HELD.format('chemical_constituents')}, '[、;；,和与及或等]+'), lambda x: {_CUT.format('x')}), lambda x: length(x) >= 2), '|')",
+            f"array_to_string({_NAMES.format('chemical_constituents', _SPLIT_HELD.format('chemical_constituents'))}, '|')",
         )
     },
 )
@@ -187,13 +194,7 @@ _scalar(
     "remove_producers",
     "documents",
     "doc_id",
-    {
-        "rest": (
-            lambda: X.remove_producers(F.col("text")),
-            "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?:主要)?(?:生产商|生厂商|制造商|生产企业|制造企业)[^。；;，,]*', '', 'g'), "
-            "'[^。；;，,]*(?:公司|企业|厂|集团)[^。；;，,]*(?:[。；;，,]|$)', '', 'g'), '[；;]+', '', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))",
-        )
-    },
+    {"rest": (lambda: X.remove_producers(F.col("text")), _REST)},
 )
 _scalar("braced_list", "documents", "doc_id", {"items": (lambda: F.array_join(X.braced_items(F.col("text")), "; "), r"array_to_string(list_filter(list_transform(flatten(list_transform(regexp_extract_all(text, '\{([^}]+)\}', 1), lambda g: string_split_regex(g, '[;；、,，]'))), lambda x: trim(x)), lambda x: length(x) > 1), '; ')")})
 _scalar("source_default", "enriched_pc_hardware_database", "row_id", {"origin": (lambda: F.coalesce(F.nullif(F.array_join(X.braced_items(F.col("data_source")), "; "), F.lit("")), F.lit(V.SOURCE_DEFAULT)), rf"coalesce(nullif(array_to_string(list_filter(list_transform(flatten(list_transform(regexp_extract_all(data_source, '\{{([^}}]+)\}}', 1), lambda g: string_split_regex(g, '[;；、,，]'))), lambda x: trim(x)), lambda x: length(x) > 1), '; '), ''), '{V.SOURCE_DEFAULT}')")})
@@ -262,8 +263,9 @@ _scalar("node_ids", "hazard_catalog", "序号", {"node": (lambda: I.content_id(F
 
 # Measures
 _N = r"-?[0-9]+(?:\.[0-9]+)?"
-_D = "(?:℃|°?[CKF])"
-_RANGE, _POINT = M.TEMPERATURE_RANGE, M.TEMPERATURE_POINT
+_D = "℃|°?[CKF]"
+_POINT = rf"(?i)({_N})\s*({_D})"
+_RANGE = rf"(?i)({_N})\s*(?:-|~|to|至)\s*({_N})\s*({_D})"
 _CELSIUS = "round(CASE upper(regexp_replace({u}, '[°℃]', '', 'g')) WHEN 'F' THEN (CAST({v} AS DOUBLE) - 32) * 5 / 9 WHEN 'K' THEN CAST({v} AS DOUBLE) - 273.15 ELSE CAST({v} AS DOUBLE) END, 2)"
 
 
@@ -304,7 +306,7 @@ def _rows(name: str, pattern: str, spark_col: Callable[[], Column], fields: list
         found = df.select(*keys, F.posexplode(spark_col()).alias("i", "m"))
         return found.select(*keys, (F.col("i") + 1).alias("pos"), *[F.col(f"m.{f}").alias(f) for f, _ in fields])
 
-    groups = ", ".join(f"regexp_extract_all(text, '{pattern}', {g})[pos] AS g{g}" for g in range(1, 5 if name == "extract_solub" else 4))
+    groups = ", ".join(f"regexp_extract_all(text, '{pattern}', {g})[pos] AS g{g}" for g in range(0, 6 if name == "extract_solub" else 4))
 
     def matches(keys: str, source: str) -> str:
         return f"""WITH m AS (SELECT {keys}, text, unnest(range(1, 1 + len(regexp_extract_all(text, '{pattern}')))) AS pos FROM {source}),
@@ -313,10 +315,14 @@ def _rows(name: str, pattern: str, spark_col: Callable[[], Column], fields: list
     _over_texts(name, run, matches)
 
 
-_KPA = "round(CAST(g1 AS DOUBLE) * CASE lower(g2) " + " ".join(f"WHEN '{u}' THEN {f}" for u, f in V.PRESSURE_UNITS.items()) + " END, 4)"
-_rows("extract_pressure", M.PRESSURE, lambda: M.extract_pressures(F.col("text")), [("kpa", _KPA), ("condition", "coalesce(trim(g3), '')")])
-_rows("extract_density", M.DENSITY, lambda: M.extract_densities(F.col("text")), [("density", "round(CASE WHEN lower(g2) = 'kg/m³' THEN CAST(g1 AS DOUBLE) / 1000 ELSE CAST(g1 AS DOUBLE) END, 4)"), ("condition", "coalesce(trim(g3), '')")])
-_rows("extract_solub", M.SOLUBILITY, lambda: M.extract_solubilities(F.col("text")), [("mass", "CAST(g1 AS DOUBLE)"), ("mass_unit", "g2"), ("volume", "CAST(g3 AS DOUBLE)"), ("volume_unit", "g4")])
+# The patterns and factors of the SQL are written out, independent of those of the operators.
+_AT = r"(?:\s*(?:at|@|在)\s*(-?[0-9]+(?:\.[0-9]+)?\s*(?:℃|°?[CKF])))?"
+_KPA = "round(CAST(g1 AS DOUBLE) * CASE lower(g2) WHEN 'kpa' THEN 1.0::DOUBLE WHEN 'pa' THEN 0.001::DOUBLE WHEN 'hpa' THEN 0.1::DOUBLE WHEN 'mpa' THEN 1000.0::DOUBLE WHEN 'bar' THEN 100.0::DOUBLE WHEN 'atm' THEN 101.325::DOUBLE WHEN 'mmhg' THEN 0.133322::DOUBLE END, 4)"
+_DENSITY = "round(CAST(g1 AS DOUBLE) * CASE lower(g2) WHEN 'kg/m³' THEN 0.001::DOUBLE ELSE 1.0::DOUBLE END, 4)"
+_NUM = r"([0-9]+(?:\.[0-9]+)?)"
+_rows("extract_pressure", rf"(?i){_NUM}\s*(kPa|Pa|hPa|MPa|bar|atm|mmHg){_AT}", lambda: M.extract_pressures(F.col("text")), [("kpa", _KPA), ("condition", "coalesce(trim(g3), '')"), ("original", "trim(g0)")])
+_rows("extract_density", rf"(?i){_NUM}\s*(g/cm³|g/ml|kg/m³){_AT}", lambda: M.extract_densities(F.col("text")), [("density", _DENSITY), ("condition", "coalesce(trim(g3), '')"), ("original", "trim(g0)")])
+_rows("extract_solub", rf"(?i){_NUM}\s*(g|mg)\s*/\s*{_NUM}\s*(mL|L|g|mg)\s*(?:\(([^()]+)\))?", lambda: M.extract_solubilities(F.col("text")), [("mass", "CAST(g1 AS DOUBLE)"), ("mass_unit", "g2"), ("volume", "CAST(g3 AS DOUBLE)"), ("volume_unit", "g4"), ("condition", "coalesce(trim(g5), '')")])
 _shown("extract_limits", {n.lower(): (lambda n=n: M.explosion_limits(F.col("text"))[n == "UEL"], rf"try_cast(regexp_extract(text, '(?i){n}[: ]*([0-9]+(?:\.[0-9]+)?)', 1) AS DOUBLE)") for n in ("LEL", "UEL")})
 _scalar("extract_numbers", "enriched_computer_hardware_knowledge", "row_id", {"total": (lambda: F.round(F.aggregate(M.extract_numbers(F.col("dimensions")), F.lit(0.0), lambda a, x: a + x), 4), r"round(coalesce(list_sum(list_transform(regexp_extract_all(dimensions, '[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?'), lambda x: CAST(x AS DOUBLE))), CASE WHEN dimensions IS NOT NULL THEN 0.0 END), 4)")})
 _UNITS_SQL = " || ".join(f"regexp_extract_all(text, '{p}')" for p in ("°C|℃|K|°F", "Pa|kPa|MPa|bar|atm|mmHg", "g/mol|Da|u", "g/cm³|kg/m³|g/mL", "mol/L|M|ppm|ppb|%"))
@@ -357,14 +363,14 @@ def _solubility(df: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys, F.col("s.solvent").alias("solvent")).agg(F.min_by("s.grade", "i").alias("grade"))
 
 
-_GRADES = [(g, [g]) for g in sorted(V.SOLUBILITY_GRADES, key=lambda g: (-len(g), g))]
+_GRADES = [(g, [g]) for g in ("溶于", "不溶于", "微溶于", "易溶于", "难溶于", "混溶", "任意比例混溶")]
 
 
 def _grades(keys: str, source: str) -> str:
     return f"""
 WITH p AS (SELECT {keys}, unnest(range(1, 1 + len(string_split_regex(text, '[,，;；。]')))) AS i, text FROM {source}),
 s AS (SELECT {keys}, i, trim(string_split_regex(text, '[,，;；。]')[i]) AS part FROM p),
-g AS (SELECT {keys}, i, {_case([(s, [s]) for s in V.SOLVENTS], "NULL", "part")} AS solvent, {_case(_GRADES, "'未知'", "part")} AS grade FROM s WHERE part <> '')
+g AS (SELECT {keys}, i, {_case([(s, [s]) for s in V.SOLVENTS], "NULL", "part")} AS solvent, {_case(_GRADES, "'未知'", "part")} AS grade FROM s WHERE part <> '' AND NOT (regexp_matches(part, '[0-9]') AND regexp_matches(part, 'g/mL|g/L')))
 SELECT {keys}, solvent, arg_min(grade, i) AS grade FROM g WHERE solvent IS NOT NULL GROUP BY {keys}, solvent"""
 
 
@@ -435,3 +441,10 @@ def _spaces_only(sql: str) -> str:
 
 
 ORACLE.update({name: _spaces_only(sql) for name, sql in ORACLE.items()})
+ORACLE_TEXT.update(
+    {
+        "remove_producers": _spaces_only(_REST),
+        "smart_split": _spaces_only(_NAMES.format("x", _SPLIT_HELD.format("x"))),
+        "name_plausible": _PLAUSIBLE,
+    }
+)

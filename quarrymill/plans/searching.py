@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions import similarity as S
 from quarrymill.operators import search as R
 from quarrymill.operators.catalogue import containing_pairs, keep_first
+from quarrymill.operators.graph import greedy_groups
 from quarrymill.session import table
 
 
@@ -98,6 +99,14 @@ def canonical_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shortest(_every_maker(spark, sf_dir))
 
 
+def name_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Makers in groups of near names, founded in their order; each group has its shortest name as canonical."""
+    names = _every_maker(spark, sf_dir).select("name", F.col("name").alias("ord"))
+    groups = greedy_groups(names, R.near_pairs_both(names.select("name"), 0.85))
+    shortest = groups.groupBy("leader").agg(F.min_by("name", F.struct(F.length("name"), "name")).alias("canonical"))
+    return groups.join(shortest, "leader").select("name", "leader", "canonical")
+
+
 def fuzzy_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries that are a known name, or contain or are contained in one of nearly their length."""
     queries, names = _queries(spark, sf_dir).select(F.col("query").alias("name")), _names(spark, sf_dir)
@@ -126,7 +135,7 @@ def first_of_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KEYS = [
     "jaccard_chars", "char_overlap", "best_match", "tiered_search", "variant_index", "search_exact", "fuzzy_search", "search_topk", "fuzzy_pairs",
-    "canonical_shortest", "fuzzy_semi", "tfidf_search", "tfidf_stats", "vector_topk",
+    "canonical_shortest", "name_groups", "fuzzy_semi", "tfidf_search", "tfidf_stats", "vector_topk",
 ]
 QUERIES = {name: globals()[name] for name in _KEYS}
 

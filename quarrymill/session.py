@@ -31,11 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the session's ``spark.checkpoint.dir``, else one of our own.
 
-    A private temporary folder is made only where the setting is absent, as in local tests;
-    a cluster names a folder that all of its executors share.
+    A private temporary folder is made only where the setting is absent and all runs on one machine, as in local
+    tests; a cluster has to name a folder that all of its executors share.
     """
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarrymill-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -50,3 +52,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def tokenizer_folder() -> str:
     return os.environ.get("QUARRYMILL_TOKENIZERS", "/opt/tokenizers")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of any file system that the session reaches, None if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file beside its place and moves it there, so that a reader never sees a part of it."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    new, final = jvm.Path(path + ".new"), jvm.Path(path)
+    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.create(new, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    fs.delete(final, False)
+    fs.rename(new, final)

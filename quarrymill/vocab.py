@@ -54,7 +54,7 @@ STORAGE_CLASSES = [
     ("隔离要求", ["远离", "避免", "禁止", "分开"]),
 ]
 
-# Solvents and grades of solubility; the longest grade in a sentence wins.
+# Solvents and grades of solubility; of each the first in this order that a sentence holds counts.
 SOLVENTS = ["水", "乙醇", "乙醚", "苯", "氯仿", "丙酮", "酸", "碱"]
 SOLUBILITY_GRADES = ["溶于", "不溶于", "微溶于", "易溶于", "难溶于", "混溶", "任意比例混溶"]
 
@@ -83,8 +83,15 @@ ERROR_CLASSES = [
                        "安全", "政策", "有害", "阻止", "过滤", "违规", "限制", "禁止", "拒绝", "不安全", "危险", "内容过滤", "不当内容", "敏感内容"]),
 ]
 
-# Factors to kilopascal.
-PRESSURE_UNITS = {"kpa": 1.0, "pa": 0.001, "hpa": 0.1, "mpa": 1000.0, "bar": 100.0, "atm": 101.325, "mmhg": 0.133322}
+# Measures in free text. Factors to kilopascal and to grams per cubic centimetre; units of solubility;
+# marks of degrees; what stands between the ends of a range and before the temperature of a measurement.
+PRESSURE_UNITS = {"kPa": 1.0, "Pa": 0.001, "hPa": 0.1, "MPa": 1000.0, "bar": 100.0, "atm": 101.325, "mmHg": 0.133322}
+DENSITY_UNITS = {"g/cm³": 1.0, "g/ml": 1.0, "kg/m³": 0.001}
+SOLUTE_UNITS = ["g", "mg"]
+SOLVENT_UNITS = ["mL", "L", "g", "mg"]
+DEGREES = ["℃", "°?[CKF]"]
+RANGE_WORDS = ["-", "~", "to", "至"]
+CONDITION_WORDS = ["at", "@", "在"]
 
 # Groups of synonyms, the standard form first.
 SYNONYMS = [

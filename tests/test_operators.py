@@ -44,7 +44,7 @@ def test_scan_paths_agree(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "含 甲苯、乙醇 的"), (2, "二甲苯溶液"), (3, None), (4, "")], "id long, t string")
     names = spark.createDataFrame([("甲苯",), ("乙醇",), ("二甲苯",)], "name string")
     fast = {(r.id, r.name) for r in G.scan_names(texts, "id", "t", names).collect()}
-    monkeypatch.setattr(G, "MAX_BROADCAST_NAMES", 1)
+    monkeypatch.setattr(G, "MAX_BROADCAST_CHARACTERS", 10)
     assert fast == {(1, "甲苯"), (1, "乙醇")} == {(r.id, r.name) for r in G.scan_names(texts, "id", "t", names).collect()}
 
 

@@ -93,6 +93,6 @@ def test_pipeline_resumes(spark, tmp_path):
     assert make().state.status == FAILED
     state = make().run()
     assert state.status == COMPLETED and state.stages[1].rows == 2 and calls == ["first", "second", "second"]
-    assert list_pipelines(str(tmp_path))[0]["name"] == "p"
+    assert list_pipelines(spark, str(tmp_path))[0]["name"] == "p"
     nested = {"domains": {"chemical": {"schema": {"attributes": [{"name": "a"}]}}}}
     assert domain_attributes(resolve_domain(nested, "chemical")) == ["a"]
