@@ -1,9 +1,11 @@
 """Rows that fail to parse: valid records as columns, the others with the reason.
 
-Method: records are parsed in blocks by a columnar CSV reader. A block counts as parsed when the
-reader gives exactly one row of the right width per record and the rows, written again, make up
-the same bytes; else the block is cut in half, until single bad records are left, which a strict
-state machine diagnoses. Blocks never cross a partition, so the operator needs no shuffle.
+Method: records are parsed in blocks by a columnar CSV reader. A block counts as parsed when all of
+its records have the strict form and the reader gives exactly one row of the right width for each.
+A block that fails is cut in two: by the strict form where some records lack it, so that one part
+is all that has it and the other all that has not, else in the middle; parts are cut on until they
+parse or are single bad records, which a strict state machine diagnoses. Blocks never cross a
+partition, so the operator needs no shuffle.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pcsv
@@ -135,27 +138,39 @@ def _invalid(columns: list[pa.Array], rules: CsvRules) -> list[bool]:
     return bad
 
 
-Part = tuple[list[pa.Array], list[str | None]]
+Part = tuple[np.ndarray, list[pa.Array], list[str | None]]
 
 
-def parse_block(records: pa.Array, strict: pa.Array, rules: CsvRules) -> Iterator[Part]:
-    """Columns (null where not loadable) and reasons of the records in order; bisects what fails as a whole."""
+def parse_block(records: pa.Array, strict: pa.Array, rules: CsvRules, at: np.ndarray) -> Iterator[Part]:
+    """Places, columns (null where not loadable) and reasons of the records; cuts what fails as a whole.
+
+    ``at``: the places of the records, in which the results may come out of order.
+    """
     if not len(records):
         return
     columns = _columnar(records, strict, rules)
     if columns is not None:
         bad = _invalid(columns, rules)
         mask = pa.array(bad, pa.bool_())
-        yield [pc.if_else(mask, pa.scalar(None, pa.string()), c) for c in columns], ["invalid_value" if b else None for b in bad]
+        yield at, [pc.if_else(mask, pa.scalar(None, pa.string()), c) for c in columns], ["invalid_value" if b else None for b in bad]
+        return
+    good = np.flatnonzero(strict.to_numpy(zero_copy_only=False))
+    if not len(good):
+        # None has the strict form, so no part of these can parse.
+        found = [diagnose(r, rules) for r in records.to_pylist()]
+        rows = [[None] * len(rules.columns) if reason else fields for fields, reason in found]
+        yield at, [pa.array(c, pa.string()) for c in zip(*rows, strict=True)], [reason for _, reason in found]
         return
     if len(records) == 1:
         fields, reason = diagnose(records[0].as_py(), rules)
         row = [None] * len(rules.columns) if reason else fields
-        yield [pa.array([v], pa.string()) for v in row], [reason]
+        yield at, [pa.array([v], pa.string()) for v in row], [reason]
         return
-    half = len(records) // 2
-    yield from parse_block(records.slice(0, half), strict.slice(0, half), rules)
-    yield from parse_block(records.slice(half), strict.slice(half), rules)
+    middle = np.arange(len(records)) < len(records) // 2
+    first = strict.to_numpy(zero_copy_only=False).astype(bool) if len(good) < len(records) else middle
+    for part in (np.flatnonzero(first), np.flatnonzero(~first)):
+        take = pa.array(part)
+        yield from parse_block(records.take(take), strict.take(take), rules, at[part])
 
 
 def parse_records(
@@ -174,11 +189,13 @@ def parse_records(
             strict = _strict(records, rules)
             parts: list[Part] = []
             for start in range(0, len(records), block):
-                parts += parse_block(records.slice(start, block), strict.slice(start, block), rules)
+                own = records.slice(start, block)
+                parts += parse_block(own, strict.slice(start, block), rules, np.arange(start, start + len(own)))
             if parts:
-                columns = [pa.concat_arrays([p[0][k] for p in parts]) for k in range(width)]
-                reasons = pa.array([r for p in parts for r in p[1]], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, reasons], [key, *rules.columns, "reason"])
+                order = pa.array(np.concatenate([p[0] for p in parts]))
+                columns = [pa.concat_arrays([p[1][k] for p in parts]) for k in range(width)]
+                reasons = pa.array([r for p in parts for r in p[2]], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(order), *columns, reasons], [key, *rules.columns, "reason"])
 
     return df.selectExpr(f"cast(`{key}` as long) `{key}`", f"cast(`{text}` as string) `{text}`").mapInArrow(run, schema)
 
