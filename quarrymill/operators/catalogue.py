@@ -47,7 +47,10 @@ def match_reference(data: DataFrame, catalogue: DataFrame, key: str, name: str,
     slim = data.select(
         F.col(f"`{key}`").alias("key"), F.trim(F.col(f"`{name}`")).alias("name"), F.trim(F.col(f"`{ident}`")).alias("ident"), own_alias.alias("own_alias")
     )
-    joined = slim.join(i, slim["ident"] == i["i_id"], "left").join(n, F.col("name") == n["n_name"], "left")
+    # Rows without an id, which may be many, are kept out of the join by it.
+    with_id = slim.where(F.col("ident") != "").join(i, F.col("ident") == F.col("i_id"), "left")
+    without = slim.where(~F.coalesce(F.col("ident") != "", F.lit(False)))
+    joined = with_id.unionByName(without, allowMissingColumns=True).join(n, F.col("name") == n["n_name"], "left")
     hit = F.coalesce("i", "n")
     return joined.select(
         F.col("key").alias(key),

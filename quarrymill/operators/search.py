@@ -67,34 +67,38 @@ def tfidf_search(queries: DataFrame, names: DataFrame, least: float = 0.1, k: in
 def near_pairs(left: DataFrame, right: DataFrame, least: float = 0.75, score: Column | None = None) -> DataFrame:
     """Pairs ``left_name, right_name, score`` with an edit ratio of at least ``least``.
 
-    Blocking loses no pair: for names of length n and at most d edits, one of d + 1 pieces of the
-    shorter name stays whole, so candidates share a piece at a place shifted by at most d.
+    Blocking loses no pair: for a shorter name of length n and at most d edits, one of d + 1 pieces of it stays
+    whole, at a place shifted by at most d, in a name of at most n + d characters. So candidates share a piece, its
+    place and the length of the longer name, and short pieces don't bring together all names that hold them.
+    ``least`` has to be above 0.5, else a name may have more edits than characters.
     """
+    if least <= 0.5:
+        raise ValueError("near pairs are found from a ratio above 0.5")
     a = left.select(F.col("name").alias("left_name")).where(F.length("name") >= 1)
     b = right.select(F.col("name").alias("right_name")).where(F.length("name") >= 1)
     # With ratio t, d <= (1 - t) * longer and longer <= shorter / t, so d + 1 pieces of the shorter suffice.
-    most = lambda n: F.floor(n * (1 - least) / least + 1e-9).cast("int")
-
-    def pieces(name: str) -> Column:
-        n = F.length(name)
-        count = most(n) + 1
-        size = F.greatest(F.floor(n / count), F.lit(1)).cast("int")
-        starts = F.sequence(F.lit(0), count - 1)
-        return F.array_distinct(F.transform(starts, lambda i: F.struct(n.alias("n"), F.substring(F.col(name), i * size + 1, F.when(i == count - 1, n).otherwise(size)).alias("piece"))))
-
-    cut = a.select("left_name", F.explode(pieces("left_name")).alias("p")).select("left_name", F.col("p.piece").alias("piece"), F.length("left_name").alias("n"))
+    n = F.length("left_name")
+    most = F.floor(n * (1 - least) / least + 1e-9).cast("int")
+    count = most + 1
+    size = F.greatest(F.floor(n / count), F.lit(1)).cast("int")
+    starts = F.filter(F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * size + 1), lambda at: at <= n)
+    last = F.element_at(starts, -1)
+    pieces = F.transform(starts, lambda at: F.struct(at.alias("at"), F.substring(F.col("left_name"), at, F.when(at == last, n).otherwise(size)).alias("piece")))
+    cut = a.select("left_name", most.alias("most"), F.explode(pieces).alias("p")).select("left_name", "most", "p.at", "p.piece")
     # At most as many sizes as a name has characters.
     sizes = sorted(r["size"] for r in cut.select(F.length("piece").alias("size")).distinct().collect())
+    placed = cut.select("left_name", "most", "piece", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("most")), F.col("at") + F.col("most"))).alias("at"))
+    wanted = placed.select("left_name", "piece", "at", F.explode(F.sequence(F.length("left_name"), F.length("left_name") + F.col("most"))).alias("length"))
 
     def cuts(size: int) -> Column:
-        starts = F.when(F.length("right_name") >= size, F.sequence(F.lit(1), F.length("right_name") - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda at: F.substring(F.col("right_name"), at, F.lit(size)))
+        every = F.when(F.length("right_name") >= size, F.sequence(F.lit(1), F.length("right_name") - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(every, lambda at: F.struct(at.alias("at"), F.substring(F.col("right_name"), at, F.lit(size)).alias("piece")))
 
-    every = F.array_distinct(F.flatten(F.array(*[cuts(s) for s in sizes]))) if sizes else F.array().cast("array<string>")
-    spread = b.select("right_name", F.explode(every).alias("piece"))
-    shorter_left = cut.join(spread, "piece").where(F.length("right_name") >= F.col("n")).select("left_name", "right_name").distinct()
+    held = F.flatten(F.array(*[cuts(s) for s in sizes])) if sizes else F.array().cast("array<struct<at:int,piece:string>>")
+    spread = b.select("right_name", F.length("right_name").alias("length"), F.explode(held).alias("p")).select("right_name", "length", "p.at", "p.piece")
+    found = wanted.join(spread, ["piece", "at", "length"]).select("left_name", "right_name").distinct()
     value = score if score is not None else edit_ratio(F.col("left_name"), F.col("right_name"))
-    return shorter_left.withColumn("score", value).where(F.col("score") >= least)
+    return found.withColumn("score", value).where(F.col("score") >= least)
 
 
 def near_pairs_both(names: DataFrame, least: float) -> DataFrame:
@@ -104,13 +108,50 @@ def near_pairs_both(names: DataFrame, least: float) -> DataFrame:
     return found.select(a.alias("a"), b.alias("b"), "score").distinct()
 
 
+# Queries of so many numbers are sent to all tasks (64 MB as doubles).
+MAX_BROADCAST_NUMBERS = 8_000_000
+
+
+def _best_of(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and cosines of the k best vectors per query, ties by id; without a score: minus infinity."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
+    s = np.where(np.isfinite(s), s, -np.inf)
+    top = np.stack([np.lexsort((ids, -line))[:k] for line in s])
+    return top, np.take_along_axis(s, top, axis=1)
+
+
+def _against_all(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    got = queries.toPandas()
+    shared = rows.sparkSession.sparkContext.broadcast((got.id.to_numpy(np.int64), [np.asarray(v, np.float64) for v in got.v]))
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, vectors = shared.value
+        a = np.stack(vectors) if len(vectors) else None
+        for batch in batches:
+            if a is None or not len(batch):
+                continue
+            ids = batch["id"].to_numpy(np.int64)
+            top, score = _best_of(a, np.stack([np.asarray(v, np.float64) for v in batch.v]), ids, k)
+            out = pd.DataFrame({"query": np.repeat(own, top.shape[1]), key: ids[top].ravel(), "score": score.ravel()})
+            yield out[np.isfinite(out.score)]
+
+    slim = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    return slim.mapInPandas(multiply, f"query long, `{key}` long, score double")
+
+
 def vector_top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 5, block: int = 1024) -> DataFrame:
-    """``query, key, score, rank``: exact cosine of every query against all rows, in blocks.
+    """``query, key, score, rank``: exact cosine of every query against all rows.
 
-    Both sides are packed into blocks by a hash of the key; a task multiplies one block of rows with
-    one block of queries and keeps k rows per query, so nothing larger than a block is in memory and
-    k rows per query and block are shuffled. Vectors without length have no score.
+    Queries of at most ``MAX_BROADCAST_NUMBERS`` numbers, which is counted, go to the rows: every batch of rows is
+    multiplied with them where it stands, and k rows per query and batch are shuffled. Beyond it both sides are packed
+    into blocks by a hash of the key, and a task multiplies one block of rows with one of queries, so nothing larger
+    than a block is in memory. Vectors without length have no score.
     """
+    slim_queries = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    numbers = slim_queries.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
+    if numbers <= MAX_BROADCAST_NUMBERS:
+        return top_k(_against_all(slim_queries, rows, key, vector, k), k, "query", key, "score")
 
     def packed(df: DataFrame, side: str) -> tuple[DataFrame, int]:
         slim = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
@@ -125,16 +166,11 @@ def vector_top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k:
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                a = np.stack([np.asarray(v, np.float64) for v in row.q_vs])
-                b = np.stack([np.asarray(v, np.float64) for v in row.r_vs])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
-                s = np.where(np.isfinite(s), s, -np.inf)
                 ids = np.asarray(row.r_ids)
-                top = np.stack([np.lexsort((ids, -line))[:k] for line in s])
+                a, b = (np.stack([np.asarray(v, np.float64) for v in vs]) for vs in (row.q_vs, row.r_vs))
+                top, score = _best_of(a, b, ids, k)
                 query = np.repeat(np.asarray(row.q_ids), top.shape[1])
-                score = np.take_along_axis(s, top, axis=1).ravel()
-                out = pd.DataFrame({"query": query, key: ids[top].ravel(), "score": score})
+                out = pd.DataFrame({"query": query, key: ids[top].ravel(), "score": score.ravel()})
                 yield out[np.isfinite(out.score)]
 
     pairs = spread.join(q, "q_block").select("q_ids", "q_vs", "r_ids", "r_vs").mapInPandas(multiply, f"query long, `{key}` long, score double")

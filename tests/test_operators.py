@@ -91,12 +91,15 @@ def test_limiter_and_enrichment(spark):
     assert [tuple(r) for r in rows] == [("a", "p of a", "成功")]
 
 
-def test_hot_vector_blocks(spark):
+def test_hot_vector_blocks(spark, monkeypatch):
     import random
 
     r = random.Random(0)
     rows = [(i, [r.random() for _ in range(4)]) for i in range(60)] + [(99, [0.0] * 4), (100, None)]
     df = spark.createDataFrame(rows, "id long, v array<float>")
+    sent = R.vector_top_k(df.where("id < 5"), df, "id", "v", 3).collect()
+    monkeypatch.setattr(R, "MAX_BROADCAST_NUMBERS", 0)
     small = R.vector_top_k(df.where("id < 5"), df, "id", "v", 3, block=7).collect()
+    assert sorted((x.query, x.id, x["rank"]) for x in sent) == sorted((x.query, x.id, x["rank"]) for x in small)
     large = R.vector_top_k(df.where("id < 5"), df, "id", "v", 3, block=1000).collect()
     assert sorted((x.query, x.id, x["rank"]) for x in small) == sorted((x.query, x.id, x["rank"]) for x in large) and len(small) == 15
