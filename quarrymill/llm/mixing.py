@@ -34,10 +34,19 @@ MEMBERSHIP_STEPS = 8
 HASH_BITS = 12
 
 
+_known: dict[str, int] = {}
+
+
 def _slots(text: str | None) -> np.ndarray:
+    """Slots of the distinct features of a text; those of a feature are remembered by the worker."""
     import xxhash
 
-    return np.array([xxhash.xxh32_intdigest(f) % FEATURE_SLOTS for f in set(features(text or ""))], np.int64)
+    if len(_known) > 1 << 18:
+        _known.clear()
+    found = set(features(text or ""))
+    for f in found - _known.keys():
+        _known[f] = xxhash.xxh32_intdigest(f) % FEATURE_SLOTS
+    return np.fromiter((_known[f] for f in found), np.int64, len(found))
 
 
 class SourcePosterior:

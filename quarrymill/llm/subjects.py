@@ -14,14 +14,12 @@ the hash of their id, and are of fixed size; every document is then classified i
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,51 +31,80 @@ BEAM = 8
 PRIOR_RIDGE = 0.1
 MEMBER_RIDGE = 10.0
 
-_SENTENCE = re.compile(r"[。！？!?；\n\r]+|(?<=\S)\.(?=\s|$)")
-_WRAPPED = re.compile(r"(?<=[A-Za-z,])\r?\n(?=[a-z])")
-_TERM = re.compile(r"[a-z][a-z'’-]+|[一-鿿]+")
+# Characters that end a sentence; a full stop does before white space, a line break unless a word goes on.
+_ENDS = np.array([ord(c) for c in "。！？!?；\n\r"], np.uint32)
+_SPACES = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x3000], np.uint32)
+_RADIX = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_RADIX), -1, 1 << 64))
 
 
-def sentences(text: str) -> list[str]:
-    """Sentences of a text in normal form, in order. A line break within a sentence does not end it."""
-    plain = _WRAPPED.sub(" ", unicodedata.normalize("NFKC", text))
-    return [s for s in (p.strip() for p in _SENTENCE.split(plain.lower())) if s]
+def _slot(hashed: np.ndarray) -> np.ndarray:
+    mixed = (hashed ^ (hashed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(33)) % np.uint64(TERM_SLOTS)).astype(np.int64)
 
 
-def terms(sentence: str, memo: dict[str, int]) -> list[int]:
-    """Hashed Latin words and pairs of Chinese characters."""
-    out = []
-    for run in _TERM.findall(sentence):
-        for t in [run] if run[0] <= "z" else [run[i : i + 2] for i in range(len(run) - 1)]:
-            slot = memo.get(t)
-            if slot is None:
-                if len(memo) > 1 << 18:
-                    memo.clear()
-                slot = memo[t] = xxhash.xxh32_intdigest(t) % TERM_SLOTS
-            out.append(slot)
-    return out
+def _powers(radix: np.uint64, n: int) -> np.ndarray:
+    out = np.full(max(n, 1), radix, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 @dataclass
 class Bags:
-    """Sentences of many documents as a ragged array of term slots."""
+    """Sentences of many documents as a ragged array of term slots: hashed Latin words and pairs of Chinese characters."""
 
     slots: np.ndarray
     bounds: np.ndarray  # of sentences in slots
     documents: np.ndarray  # document of each sentence
 
     @classmethod
-    def of(cls, texts: Sequence[str | None], memo: dict[str, int]) -> Bags:
-        slots: list[int] = []
-        bounds, documents = [0], []
-        for d, text in enumerate(texts):
-            for s in sentences(text) if text else []:
-                found = terms(s, memo)
-                if found:
-                    slots += found
-                    bounds.append(len(slots))
-                    documents.append(d)
-        return cls(np.array(slots, np.int64), np.array(bounds, np.int64), np.array(documents, np.int64))
+    def of(cls, texts: Sequence[str | None]) -> Bags:
+        """Reads all texts at once as one array of characters; sentences without terms are left out."""
+        plain = [unicodedata.normalize("NFKC", t) if t else "" for t in texts]
+        codes = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(codes)
+        if not n:
+            return cls(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64))
+        sizes = np.array([len(p) for p in plain], np.int64)
+        owner = np.repeat(np.arange(len(plain)), sizes)
+        first = np.append(True, owner[1:] != owner[:-1])
+        last = np.append(first[1:], True)
+        before, after = np.append(np.uint32(0), codes[:-1]), np.append(codes[1:], np.uint32(0))
+        before[first], after[last] = 0, 0
+        small = (codes >= 97) & (codes <= 122)
+        big = (codes >= 65) & (codes <= 90)
+        joins = small | big | (codes == 44)
+        # A line break within a sentence: after a letter or comma, before a small letter.
+        feed = (codes == 10) & np.append(small[1:], False) & ~last
+        crlf = feed & (before == 13)
+        two_back = np.append(np.zeros(2, bool), joins[:-2])[:n] & (np.append(np.full(2, -1), owner[:-2])[:n] == owner)
+        wrapped = feed & np.where(crlf, two_back, np.append(False, joins[:-1]) & ~first)
+        ends = np.isin(codes, _ENDS) & ~wrapped
+        ends[np.flatnonzero(wrapped & crlf) - 1] = False
+        dot = (codes == 46) & ~first & ~np.isin(before, _SPACES) & (last | np.isin(after, _SPACES))
+        sentence = np.cumsum(ends | dot | first)
+
+        chinese = (codes >= 0x4E00) & (codes <= 0x9FFF)
+        pairs = np.flatnonzero(chinese[:-1] & chinese[1:] & ~first[1:])
+        pair_hash = codes[pairs].astype(np.uint64) * _RADIX + codes[pairs + 1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+        letter = small | big
+        inner = letter | (codes == 39) | (codes == 0x2019) | (codes == 45)
+        starts = np.flatnonzero(inner & (first | ~np.append(False, inner[:-1])))
+        stops = np.flatnonzero(inner & (last | ~np.append(inner[1:], False))) + 1
+        begun = np.minimum.reduceat(np.where(letter, np.arange(n), n), starts) if len(starts) else starts
+        whole = (begun < n) & (stops - begun >= 2)
+        begun, stops = begun[whole], stops[whole]
+        lower = np.where(big, codes + 32, codes).astype(np.uint64)
+        sums = np.append(np.uint64(0), np.cumsum(lower * _powers(_RADIX, n), dtype=np.uint64))
+        word_hash = (sums[stops] - sums[begun]) * _powers(_INVERSE, n)[begun]
+
+        at = np.concatenate([pairs, begun])
+        slots = _slot(np.concatenate([pair_hash, word_hash]))
+        order = np.argsort(sentence[at], kind="stable")
+        own = sentence[at][order]
+        new = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+        return cls(slots[order], np.append(new, len(own)).astype(np.int64), owner[at[order][new]].astype(np.int64))
 
     def scores(self, log_p: np.ndarray) -> np.ndarray:
         """Sum of term scores per sentence: sentences x classes. ``log_p``: slots x classes."""
@@ -126,19 +153,14 @@ def structure(posterior: np.ndarray, documents: np.ndarray, n: int) -> tuple[np.
     """Per document and subject: sentences, and features of their number, share and longest run."""
     k = posterior.shape[1] - 1
     best = posterior.argmax(axis=1) if len(posterior) else np.zeros(0, np.int64)
-    counts = np.zeros((n, k + 1))
-    np.add.at(counts, (documents, best), 1)
-    run = np.zeros((n, k + 1))
-    length, last_class, last_document = 0, -1, -1
-    for d, c in zip(documents.tolist(), best.tolist(), strict=True):
-        if d != last_document:
-            length, last_class = 0, -1
-        if c == k and last_class >= 0:
-            continue  # a general remark doesn't end a passage
-        length = length + 1 if (d, c) == (last_document, last_class) else 1
-        last_document, last_class = d, c
-        if length > run[d, c]:
-            run[d, c] = length
+    counts = np.bincount(documents * (k + 1) + best, minlength=n * (k + 1)).reshape(n, k + 1).astype(float)
+    # A general remark doesn't end a passage.
+    own = best < k
+    key = (documents * (k + 1) + best)[own]
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    run = np.zeros(n * (k + 1))
+    np.maximum.at(run, key[begin], np.diff(np.append(begin, len(key))))
+    run = run.reshape(n, k + 1)
     total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
     own, run = counts[:, :k], run[:, :k]
     steps = [(own >= n) * 1.0 for n in (1, 2, LEAST_SENTENCES, LEAST_SENTENCES + 1)]
@@ -224,9 +246,9 @@ class SubjectModel:
     sentence_model: SentenceModel
     chain: Chain
 
-    def predict(self, texts: Sequence[str | None], sources: Sequence[str | None], memo: dict[str, int]) -> np.ndarray:
+    def predict(self, texts: Sequence[str | None], sources: Sequence[str | None]) -> np.ndarray:
         """Documents x subjects."""
-        bags = Bags.of(texts, memo)
+        bags = Bags.of(texts)
         _, features = structure(self.sentence_model.posterior(bags), bags.documents, len(texts))
         return self.chain.decode(features, sources) > 0
 
@@ -241,12 +263,11 @@ def refine(model: SentenceModel, documents: DataFrame, pull: float = 200.0) -> S
     k = model.log_p.shape[1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
         total = np.zeros((TERM_SLOTS, k))
         mass = np.zeros(k)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                bags = Bags.of(batch.column(0).slice(at, 1000).to_pylist(), memo)
+                bags = Bags.of(batch.column(0).slice(at, 1000).to_pylist())
                 p = shared.value.posterior(bags)
                 mass += p.sum(axis=0)
                 owner = np.repeat(np.arange(len(p)), np.diff(bags.bounds))
@@ -298,8 +319,7 @@ def train_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, li
                 y[i, subjects.index(s)] = 1.0
     for j in range(len(known)):
         y[len(rows) + j, j] = 1.0
-    memo: dict[str, int] = {}
-    bags = Bags.of(texts, memo)
+    bags = Bags.of(texts)
     sentence_model = refine(SentenceModel.fit(bags, y), documents)
     counts, features = structure(sentence_model.posterior(bags), bags.documents, len(texts))
     n = len(rows)
@@ -313,13 +333,12 @@ def assign_subjects(documents: DataFrame, model: SubjectModel) -> DataFrame:
     Null, empty and blank texts have none. Whole texts are read; extra columns are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    memo: dict[str, int] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                found = shared.value.predict(part.column(1).to_pylist(), part.column(2).to_pylist(), memo)
+                found = shared.value.predict(part.column(1).to_pylist(), part.column(2).to_pylist())
                 row, subject = np.nonzero(found)
                 names = np.array(shared.value.subjects, dtype=object)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(names[subject], pa.string())], ["doc_id", "subject"])

@@ -1,6 +1,11 @@
 import random
 
-from quarrymill.llm.subjects import assign_subjects, sentences, train_subjects
+import re
+import unicodedata
+
+import numpy as np
+
+from quarrymill.llm.subjects import Bags, assign_subjects, structure, train_subjects
 
 WORDS = {"law": "court appeal statute judge licence clause verdict", "sport": "match referee striker league goal stadium coach", "software": "module compiler thread branch library query commit"}
 GENERAL = ["The rest of the day passed quietly.", "Readers sent several letters.", "It is not clear who wrote this."]
@@ -57,5 +62,41 @@ def test_edges(spark):
     assert assign_subjects(documents, unlabelled).count() >= 0
 
 
+def sentences(text):
+    """Sentences one by one, as the definition has them."""
+    plain = re.sub(r"(?<=[A-Za-z,])\r?\n(?=[a-z])", " ", unicodedata.normalize("NFKC", text)).lower()
+    return [s for s in (p.strip() for p in re.split(r"[。！？!?；\n\r]+|(?<=\S)\.(?=\s|$)", plain)) if s]
+
+
+def words(sentence):
+    out = []
+    for run in re.findall(r"[a-z][a-z'’-]+|[一-鿿]+", sentence):
+        out += [run] if run[0] <= "z" else [run[i : i + 2] for i in range(len(run) - 1)]
+    return out
+
+
 def test_sentences():
     assert sentences("One two.\nThree 3.5 four! 五六。七八\r\nwrapped,\nline") == ["one two", "three 3.5 four", "五六", "七八", "wrapped, line"]
+
+
+def test_bags_against_one_by_one():
+    r = random.Random(8)
+    parts = ["word", "It's", "a", "B", "co-op", "-x", "--", "五六七", "中", " ", "  ", ".", ". ", "。", "！", "\n", "\r\n", ",\n", "3.5", "ＡＢ", "é", "\x85", "😀", "...", "’tis", "z\nq", "Q,\r\nr"]
+    texts = [None, "", " ", ".", "\n", *("".join(r.choice(parts) for _ in range(r.randint(1, 30))) for _ in range(400))]
+    bags = Bags.of(texts)
+    slot_of, want = {}, []
+    for d, t in enumerate(texts):
+        want += [(d, sorted(found)) for s in (sentences(t) if t else []) if (found := words(s))]
+    assert bags.documents.tolist() == [d for d, _ in want]
+    for i, (_, terms) in enumerate(want):
+        for t in set(terms):
+            slot_of.setdefault(t, int(Bags.of([t + " " if t[0] <= "z" else t]).slots[0]))
+        assert sorted(bags.slots[bags.bounds[i] : bags.bounds[i + 1]].tolist()) == sorted(slot_of[t] for t in terms), texts[want[i][0]]
+
+
+def test_runs():
+    """Sentences on a subject in a row, general remarks (the last class) left out."""
+    best, documents = np.array([0, 2, 0, 1, 0, 0, 2, 0]), np.array([0, 0, 0, 0, 0, 1, 1, 3])
+    counts, features = structure(np.eye(3)[best], documents, 4)
+    assert counts.tolist() == [[3, 1], [1, 0], [0, 0], [1, 0]]
+    assert (features[:, :, 4] * 4).tolist() == [[2, 1], [1, 0], [0, 0], [1, 0]]
