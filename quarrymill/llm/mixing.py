@@ -25,43 +25,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.residue import features
+from quarrymill.llm.subjects import TERM_SLOTS, Bags
 from quarrymill.llm.tokens import encode_documents
 from quarrymill.session import cut_lineage
 
-FEATURE_SLOTS = 1 << 14
 MEMBERSHIP_STEPS = 8
 HASH_BITS = 12
 
 
-_known: dict[str, int] = {}
-
-
-def _slots(text: str | None) -> np.ndarray:
-    """Slots of the distinct features of a text; those of a feature are remembered by the worker."""
-    import xxhash
-
-    if len(_known) > 1 << 18:
-        _known.clear()
-    found = set(features(text or ""))
-    for f in found - _known.keys():
-        _known[f] = xxhash.xxh32_intdigest(f) % FEATURE_SLOTS
-    return np.fromiter((_known[f] for f in found), np.int64, len(found))
+def _document_slots(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """``(document, slot)`` of the distinct terms of each text."""
+    bags = Bags.of(texts)
+    sizes = np.diff(bags.bounds)
+    both = np.unique(np.repeat(bags.documents, sizes) * TERM_SLOTS + bags.slots)
+    return both // TERM_SLOTS, both % TERM_SLOTS
 
 
 class SourcePosterior:
-    """Multinomial naive Bayes over hashed features: ``domains x FEATURE_SLOTS`` counts, bounded by the targets."""
+    """Naive Bayes over hashed terms: ``domains x TERM_SLOTS`` counts, bounded by the targets."""
 
     def __init__(self, domains: Sequence[str], counts: np.ndarray, documents: np.ndarray) -> None:
         self.domains = list(domains)
         smooth = counts + 0.1
-        self.log_likelihood = np.log(smooth / smooth.sum(axis=1, keepdims=True))
+        self.log_likelihood = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.copy()
         self.log_prior = np.log((documents + 1.0) / (documents + 1.0).sum())
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        score = self.log_prior + self.log_likelihood[:, _slots(text)].sum(axis=1)
-        p = np.exp(score - score.max())
-        return p / p.sum()
+    def __call__(self, texts: Sequence[str | None]) -> np.ndarray:
+        """Texts x domains."""
+        score = np.tile(self.log_prior, (len(texts), 1))
+        documents, slots = _document_slots(texts)
+        if len(documents):
+            first = np.flatnonzero(np.append(True, documents[1:] != documents[:-1]))
+            score[documents[first]] += np.add.reduceat(self.log_likelihood[slots], first, axis=0)
+        p = np.exp(score - score.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
 
 
 def train_posterior(df: DataFrame, domains: Sequence[str], text: str = "text", source: str = "source") -> SourcePosterior:
@@ -69,20 +66,22 @@ def train_posterior(df: DataFrame, domains: Sequence[str], text: str = "text", s
     place = {d: i for i, d in enumerate(domains)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(place), FEATURE_SLOTS + 1), np.int64)
+        total = np.zeros((len(place), TERM_SLOTS + 1), np.int64)
         for batch in batches:
-            for label, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = total[place[label]]
-                row[_slots(body)] += 1
-                row[FEATURE_SLOTS] += 1
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                labels = np.array([place[x] for x in part.column(0).to_pylist()], np.int64)
+                documents, slots = _document_slots(part.column(1).to_pylist())
+                np.add.at(total, (labels[documents], slots), 1)
+                total[:, TERM_SLOTS] += np.bincount(labels, minlength=len(place))
         at, slot = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(slot), pa.array(total[at, slot])], ["domain", "slot", "n"])
 
     known = df.where(F.col(source).isin(list(domains))).select(F.col(source), F.col(text))
     rows = known.mapInArrow(count, "domain long, slot long, n long").groupBy("domain", "slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(place), FEATURE_SLOTS + 1))
-    counts[rows.domain.to_numpy(), rows.slot.to_numpy()] = rows.n.to_numpy()
-    return SourcePosterior(domains, counts[:, :FEATURE_SLOTS], counts[:, FEATURE_SLOTS])
+    counts = np.zeros((len(place), TERM_SLOTS + 1))
+    counts[rows.domain.to_numpy(np.int64), rows.slot.to_numpy(np.int64)] = rows.n.to_numpy(float)
+    return SourcePosterior(domains, counts[:, :TERM_SLOTS], counts[:, TERM_SLOTS])
 
 
 def predict_sources(
@@ -93,7 +92,7 @@ def predict_sources(
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value(t) for t in batch.column(1).to_pylist()]
+            found = shared.value(batch.column(1).to_pylist())
             best = [shared.value.domains[int(p.argmax())] for p in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(best, pa.string()), pa.array([p.tolist() for p in found], pa.list_(pa.float64()))],
