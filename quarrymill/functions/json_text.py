@@ -159,7 +159,8 @@ def parse_answers(df: DataFrame, text: str, out: str = "parsed", loose_first: bo
 
         return values.map(one)
 
-    tried = df.withColumn("__native", F.coalesce(native, fixed))
+    # A list of attributes has to be made flat first.
+    tried = df.withColumn("__native", F.when(~F.contains(F.col(text), F.lit('"attributes"')), F.coalesce(native, fixed)))
     done = tried.where(F.col("__native").isNotNull()).withColumn(out, F.col("__native"))
     rest = tried.where(F.col("__native").isNull()).withColumn(out, F.from_json(slow(F.col(text)), STRING_MAP))
     return done.unionByName(rest).drop("__native")

@@ -9,7 +9,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.functions.text import clean_node_name, cut_affixes, name_plausible, remove_producers, smart_split
+from quarrymill.functions.text import braced_items, clean_node_name, cut_affixes, name_plausible, remove_producers, smart_split
 from quarrymill.operators.catalogue import containing_pairs, keep_first
 from quarrymill.session import cut_lineage
 from quarrymill import vocab as V
@@ -219,6 +219,46 @@ def neighbours(edges: DataFrame, kinds: Sequence[str]) -> DataFrame:
     return distinct.groupBy("dst").agg(*gathered)
 
 
+def project_nodes(
+    df: DataFrame, columns: Mapping[str, str], hazard: str | None = None, hazard_columns: Sequence[str] = (), labels: Sequence[str] = ("DangerousChemical;Chemical", "Chemical")
+) -> DataFrame:
+    """Rows as nodes of a graph import: the columns that exist under their new names, and ``:LABEL``.
+
+    The part of a new name after the colon tells what is done: ``ID`` and ``name`` are cleaned names, and rows whose
+    name has nothing left are dropped; ``id`` is blank where it holds Chinese; ``string[]`` is a list of cleaned names;
+    ``source`` is what stands in braces, else the default; ``producers`` is text without clauses about producers. Of rows
+    whose ``hazard`` isn't 是, ``hazard_columns`` are blank; without that column they are all. Nulls become blank.
+    """
+    dangerous = F.coalesce(F.trim(F.col(f"`{hazard}`")) == "是", F.lit(False)) if hazard in df.columns else F.lit(False)
+    clean = lambda c: clean_node_name(c, V.CONNECTIVES)
+
+    def made(column: str, kind: str) -> Column:
+        c = F.col(f"`{column}`").cast("string")
+        if kind in ("ID", "name"):
+            c = clean(c)
+        elif kind == "id":
+            c = F.when(~c.rlike("[一-龥]"), c)
+        elif kind == "string[]":
+            c = F.array_join(F.filter(F.transform(F.split(c, "[;；|]"), lambda x: clean(F.trim(x))), lambda x: x != ""), ";")
+        elif kind == "source":
+            c = F.coalesce(F.nullif(F.array_join(braced_items(c), "; "), F.lit("")), F.lit(V.SOURCE_DEFAULT))
+        elif kind == "producers":
+            c = remove_producers(c)
+        return F.coalesce(F.when(dangerous, c) if column in hazard_columns else c, F.lit(""))
+
+    kept = {old: new for old, new in columns.items() if old in df.columns}
+    out = [made(old, new.split(":")[1]).alias(_header(new)) for old, new in kept.items()]
+    nodes = df.select(*out, F.when(dangerous, labels[0]).otherwise(labels[1]).alias(":LABEL"))
+    named = [_header(new) for new in kept.values() if new.endswith(":ID")]
+    return nodes.where(F.col(f"`{named[0]}`") != "") if named else nodes
+
+
+def _header(name: str) -> str:
+    """The header of an import file: kinds that are made differently are strings all the same."""
+    base, kind = name.split(":")
+    return name if kind in ("ID", "string[]") else f"{base}:string"
+
+
 def import_tables(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node and edge tables with the headers that a graph database imports."""
     n = nodes.select(*[F.col(c).alias({"name": "name:ID", "label": ":LABEL"}.get(c, f"{c}:string")) for c in nodes.columns])

@@ -68,6 +68,19 @@ def merge_records(df: DataFrame, keys: Sequence[str], order: str, policies: Mapp
     return out
 
 
+def identifier_score(ident: Column, bonuses: Sequence[tuple[Column, float]] = ()) -> Column:
+    """The score of one record for its id: 10 for a well-formed id, 2 for a serial of three digits or more, half a point
+    for the record itself, and the weight of every bonus (condition, weight) that holds."""
+    form = F.when(ident.rlike("^[0-9]{2,7}-[0-9]{2}-[0-9]$"), 10.0).when(ident.rlike("^[0-9]{3,}$"), 2.0).otherwise(0.0)
+    return sum((F.when(condition, weight).otherwise(0.0) for condition, weight in bonuses), form + F.lit(0.5))
+
+
+def record_bonuses(formula: Column, weight: Column, english: Column, use: Column, source: Column) -> list[tuple[Column, float]]:
+    """What a full record adds to the score of its id."""
+    some = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    return [(some(formula), 1.0), (some(weight), 0.5), (some(english), 1.0), (F.coalesce(F.length(F.trim(use)) > 5, F.lit(False)), 0.5), (some(source), 0.5)]
+
+
 def resolve_conflicts(df: DataFrame, name: str, ident: str, order: str, score: Column) -> DataFrame:
     """Per name the id with the highest sum of scores; of equal ones the one met first."""
     sums = df.groupBy(name, ident).agg(F.sum(score).alias("score"), F.min(order).alias("first_seen"), F.count("*").alias("n"))

@@ -41,6 +41,22 @@ def edge_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.drop_longer_edges(graph_edges(spark, sf_dir))
 
 
+def graph_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every substance as a node with the columns that the tables have: hazards and thresholds of listed ones only."""
+    listed = keep_first(_rows_of_catalogue(spark, sf_dir), ["name"], "o")
+    rows = _rows(spark, sf_dir).join(listed, "name", "left")
+    record = rows.select(
+        F.col("name").alias("中文名称"), F.col("CAS号").alias("CAS号或流水号"), F.col("alias").alias("中文别名"), F.col("note").alias("危害"), F.col("threshold").alias("浓度阈值"),
+        F.col("note").alias("data_source"), F.when(F.col("o").isNotNull(), "是").otherwise("否").alias("是否为危化品"),
+    )
+    return G.project_nodes(record, V.NODE_COLUMNS, "是否为危化品", V.HAZARD_COLUMNS)
+
+
+def _rows_of_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.trim(F.regexp_replace("品名", r"\[[^\]]*\]", ""))
+    return table(spark, sf_dir, "hazard_catalog").select(F.col("序号").alias("o"), name.alias("name"), F.col("别名").alias("alias"), F.regexp_extract("品名", r"\[([^\]]*)\]", 1).alias("threshold"))
+
+
 def storage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.class_edges(_rows(spark, sf_dir), "name", categorize(F.col("note"), V.STORAGE_CLASSES, "其他要求", "[,，;；]"), "REQUIRES_STORAGE")
 
@@ -146,7 +162,7 @@ def flatten_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEYS = [
-    "dict_scan", "upstream_materials", "edge_containment", "storage_edges", "hazard_edges", "solubility_edges", "pattern_extract", "graph_edges", "graph_nodes", "process_nodes", "process_neighbours", "edge_dedup", "edge_resolve", "edge_type_counts",
+    "dict_scan", "upstream_materials", "edge_containment", "graph_projection", "storage_edges", "hazard_edges", "solubility_edges", "pattern_extract", "graph_edges", "graph_nodes", "process_nodes", "process_neighbours", "edge_dedup", "edge_resolve", "edge_type_counts",
     "label_counts", "alias_edges", "prop_edges", "node_upsert", "record_struct", "flatten_pivot",
 ]
 QUERIES = {name: globals()[name] for name in _KEYS}
@@ -188,7 +204,14 @@ ph AS (SELECT DISTINCT doc_id, material FROM m WHERE length(material) >= 2 AND m
 h AS (SELECT DISTINCT doc_id, {_clean("c.name")} AS material FROM d JOIN cat c ON contains(t, c.name) AND c.name IS DISTINCT FROM product AND length(c.name) >= 2
   AND regexp_matches(' ' || t || ' ', '[^a-zA-Z\x{{4e00}}-\x{{9fa5}}]' || regexp_escape(c.name) || '[^a-zA-Z\x{{4e00}}-\x{{9fa5}}]')),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(material) DESC, material) AS r FROM h ANTI JOIN ph USING (doc_id, material) WHERE material <> '')"""
+_BRACED = r"array_to_string(list_distinct(list_filter(list_transform(flatten(list_transform(regexp_extract_all(note, '\{([^}]+)\}', 1), lambda g: string_split_regex(g, '[;；、,，]'))), lambda x: trim(x, ' ')), lambda x: length(x) > 1)), '; ')"
 ORACLE = {
+    "graph_projection": rf"""WITH {_BASE}, c1 AS (SELECT o, name, alias, threshold FROM (SELECT "序号" AS o, trim(regexp_replace("品名", '\[[^\]]*\]', '', 'g'), ' ') AS name, "别名" AS alias, regexp_extract("品名", '\[([^\]]*)\]', 1) AS threshold FROM hazard_catalog) QUALIFY row_number() OVER (PARTITION BY name ORDER BY o) = 1)
+      SELECT {_clean("r.name")} AS "name:ID", coalesce(CASE WHEN NOT regexp_matches("CAS号", '[\x{{4e00}}-\x{{9fa5}}]') THEN "CAS号" END, '') AS "cas:string",
+      coalesce(array_to_string(list_filter(list_transform(string_split_regex(alias, '[;；|]'), lambda x: {_clean("trim(x, ' ')")}), lambda x: x <> ''), ';'), '') AS "aliases:string[]",
+      CASE WHEN o IS NOT NULL THEN coalesce(note, '') ELSE '' END AS "hazard:string", coalesce(nullif({_BRACED}, ''), '根据通义大模型蒸馏而来') AS "source:string",
+      CASE WHEN o IS NOT NULL THEN coalesce(threshold, '') ELSE '' END AS "concentration_threshold:string", CASE WHEN o IS NOT NULL THEN 'DangerousChemical;Chemical' ELSE 'Chemical' END AS ":LABEL"
+      FROM rows r LEFT JOIN c1 ON c1.name = r.name WHERE {_clean("r.name")} <> ''""",
     "upstream_materials": f"WITH {_UPSTREAM} SELECT doc_id, material FROM ph UNION ALL SELECT o.doc_id, o.material FROM o LEFT JOIN (SELECT doc_id, count(*) AS n FROM ph GROUP BY doc_id) k USING (doc_id) WHERE r <= greatest(1, 5 - coalesce(n, 0))",
     "edge_containment": f"WITH {_BASE} SELECT src, dst, type FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edges f WHERE f.type = e.type AND (f.src <> e.src OR f.dst <> e.dst) AND contains(e.src, f.src) AND contains(e.dst, f.dst))",
     "storage_edges": f"WITH {_BASE}, q AS (SELECT DISTINCT name, trim(unnest(string_split_regex(note, '[,，;；]')), ' ') AS p FROM rows) SELECT DISTINCT name AS src, 'REQUIRES_STORAGE' AS relation, {_STORE} AS class, p AS value FROM q WHERE p <> ''",

@@ -42,11 +42,11 @@ def agg_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names with several ids: the best formed and most frequent id wins."""
-    rows = table(spark, sf_dir, "sample_chemicals").select(F.trim("品名").alias("name"), F.trim("CAS号").alias("id"), "备注", "row_id").where("name <> '' and id <> ''")
-    formed = F.col("id").rlike("^[0-9]{2,7}-[0-9]{2}-[0-9]$")
-    score = F.when(formed, 10.0).when(F.col("id").rlike("[0-9]"), 2.0).otherwise(0.0) + F.when(F.length("备注") > 5, 0.5).otherwise(0.0) + 0.5
-    return G.resolve_conflicts(rows, "name", "id", "row_id", score)
+    """Names with several ids: the best formed, most frequent and best described id wins."""
+    rows = table(spark, sf_dir, "sample_chemicals").select(F.trim("品名").alias("name"), F.trim("CAS号").alias("id"), "备注", "source_file", "row_id").where("name <> '' and id <> ''")
+    none = F.lit(None).cast("string")
+    bonuses = G.record_bonuses(none, none, none, F.col("备注"), F.col("source_file"))
+    return G.resolve_conflicts(rows, "name", "id", "row_id", G.identifier_score(F.col("id"), bonuses))
 
 
 def partition_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,8 +100,8 @@ ORACLE = {
     "agg_severity": "SELECT o_custkey, o_orderpriority AS worst FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority "
     + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _RANKS.items())
     + " ELSE 0 END DESC, o_orderkey) = 1",
-    "id_conflict": r"""WITH r AS (SELECT trim("品名", ' ') AS name, trim("CAS号", ' ') AS id, "备注", row_id FROM sample_chemicals WHERE trim("品名", ' ') <> '' AND trim("CAS号", ' ') <> ''),
-      s AS (SELECT name, id, sum(CASE WHEN regexp_full_match(id, '[0-9]{2,7}-[0-9]{2}-[0-9]') THEN 10.0 WHEN regexp_matches(id, '[0-9]') THEN 2.0 ELSE 0.0 END + CASE WHEN length("备注") > 5 THEN 0.5 ELSE 0.0 END + 0.5) AS score, min(row_id) AS f FROM r GROUP BY name, id)
+    "id_conflict": r"""WITH r AS (SELECT trim("品名", ' ') AS name, trim("CAS号", ' ') AS id, "备注", source_file, row_id FROM sample_chemicals WHERE trim("品名", ' ') <> '' AND trim("CAS号", ' ') <> ''),
+      s AS (SELECT name, id, sum(CASE WHEN regexp_full_match(id, '[0-9]{2,7}-[0-9]{2}-[0-9]') THEN 10.0 WHEN regexp_full_match(id, '[0-9]{3,}') THEN 2.0 ELSE 0.0 END + CASE WHEN length(trim("备注", ' ')) > 5 THEN 0.5 ELSE 0.0 END + CASE WHEN trim(source_file, ' ') <> '' THEN 0.5 ELSE 0.0 END + 0.5) AS score, min(row_id) AS f FROM r GROUP BY name, id)
       SELECT name, count(*) OVER (PARTITION BY name) AS candidates, id, CAST(score AS DOUBLE) AS score FROM s QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, f) = 1""",
     "partition_merge": rf"""WITH r AS (SELECT row_id, trim("品名", ' ') AS name, "CAS号" FROM sample_chemicals WHERE trim("品名", ' ') <> ''),
       l AS (SELECT DISTINCT trim(regexp_replace("品名", '\[[^\]]*\]', '', 'g'), ' ') AS name FROM hazard_catalog)

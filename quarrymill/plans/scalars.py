@@ -396,6 +396,19 @@ _scalar("json_kv", "events", "event_id", {"k": (lambda: J.key_values(F.regexp_re
 _scalar("json_fix", "events", "event_id", {"k": (lambda: F.get_json_object(J.repair(_sloppy()), "$.k"), "json_extract_string(props, '$.k')")})
 _scalar("json_key_extract", "events", "event_id", {"k": (lambda: J.value_of_key(_sloppy(), "k"), rf"coalesce(nullif(regexp_extract({_SLOPPY_SQL}, '\bk\b[ ]*[:：][ ]*([0-9.+-]+)', 1), ''))")})
 _scalar("json_prose", "events", "event_id", {"value": (lambda: J.prose_value(F.concat(F.lit("事件类型为"), "event_type", F.lit("，其余略。")), "事件类型"), "event_type")})
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in five forms, by the number of the event: plain, fenced, with bare keys, as lines, as a list of attributes."""
+    listed = F.concat(F.lit('{"attributes":[{"name":"k","value":"'), F.get_json_object("props", "$.k"), F.lit('"}]}'))
+    lines = F.concat(F.lit("k: "), F.get_json_object("props", "$.k"), F.lit("\nnote: none"))
+    forms = F.array(F.col("props"), _fenced(), _sloppy(), lines, listed)
+    answers = table(spark, sf_dir, "events").select("event_id", F.get(forms, F.pmod("event_id", F.lit(5)).cast("int")).alias("answer"))
+    return J.parse_answers(answers, "answer").select("event_id", F.col("parsed")["k"].alias("k"))
+
+
+QUERIES["json_parse"] = _parsed
+ORACLE["json_parse"] = "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events"
 _scalar("json_id", "sample_chemicals", "row_id", {"id": (lambda: J.id_of_answer(F.concat(F.lit("CAS号是 "), F.coalesce("CAS号", F.lit("")), F.lit(" 。"))), f"list_filter(regexp_extract_all('CAS号是 ' || coalesce(CAS号, '') || ' 。', '(?:^|[^0-9-])({_FORM})(?:$|[^0-9-])', 1), lambda x: {_check('x')})[1]")})
 
 

@@ -9,9 +9,12 @@ from pyspark.sql import types as T
 from quarrymill.operators.graph import import_tables
 
 
-def write_batches(df: DataFrame, path: str, rows: int = 3000, mode: str = "overwrite") -> None:
-    """CSV files of at most so many rows each; nulls become blanks."""
-    df.na.fill("").write.mode(mode).option("header", True).option("maxRecordsPerFile", rows).option("escape", '"').csv(path)
+def write_batches(df: DataFrame, path: str, rows: int = 3000, mode: str = "overwrite", mark: bool = False) -> None:
+    """CSV files of at most so many rows each; nulls become blanks. ``mark``: each file starts with a byte order mark."""
+    out = df.na.fill("")
+    if mark:
+        out = out.toDF("\ufeff" + out.columns[0], *out.columns[1:])
+    out.write.mode(mode).option("header", True).option("maxRecordsPerFile", rows).option("escape", '"').csv(path)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, rows: int = 3000, mode: str = "overwrite") -> None:

@@ -164,6 +164,28 @@ ACTION_CHARACTERS = "制得备成反应裂解氧化分"
 # Units known in free text.
 TEXT_UNITS = ["°C|℃|K|°F", "Pa|kPa|MPa|bar|atm|mmHg", "g/mol|Da|u", "g/cm³|kg/m³|g/mL", "mol/L|M|ppm|ppb|%"]
 
+# Columns of a record and their headers in a graph import; the kind after the colon tells how a value is made.
+NODE_COLUMNS = {
+    "中文名称": "name:ID",
+    "CAS号或流水号": "cas:id",
+    "中文别名": "aliases:string[]",
+    "英文名称": "english_name:name",
+    "英文别名": "english_aliases:string[]",
+    "分子式": "molecular_formula:string",
+    "分子量": "molecular_weight:string",
+    "危害": "hazard:string",
+    "防范": "prevention:string",
+    "危害处置": "hazard_disposal:string",
+    "用途": "uses:string",
+    "自然来源": "natural_source:string",
+    "生产来源": "production_source:producers",
+    "上游原料": "upstream_materials:string",
+    "性质": "properties:string",
+    "data_source": "source:source",
+    "浓度阈值": "concentration_threshold:string",
+}
+HAZARD_COLUMNS = ["危害", "防范", "危害处置", "浓度阈值"]
+
 # Relation types of the graph.
 PRODUCES, COMES_FROM, TAKES_PART, RAW_MATERIAL = "产生", "来源", "参与", "原料"
 PLACEHOLDER = "[待补全]"

@@ -126,3 +126,32 @@ def test_limits_hold(spark, tmp_path):
         got = {r.n: r["用途"] for r in enrich(names, "n", ["用途"], counted, store=str(tmp_path / "s")).collect()}
         assert got == {"a": "用途 of a", "b": "用途 of b"}
     assert len(open(calls).read()) == 2
+
+
+def test_whole_run(spark, tmp_path, small):
+    from quarrymill.plans.stages import DEFAULT_STAGES
+
+    rows = [(1, "甲苯", "108-88-3", "以石油为原料"), (2, "甲苯", None, "短"), (3, "氯苯", "无", "由苯制得"), (4, None, "x", "y"), (5, "nan", "x", "y")]
+    spark.createDataFrame(rows, "row_id long, n string, c string, t string").write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(1, "氯苯[98%]", "一氯代苯", None)], "o int, n string, a string, c string").write.parquet(str(tmp_path / "cat"))
+    config = {"input": str(tmp_path / "in"), "key": "row_id", "name": "n", "ident": "c", "text": "t", "catalogue": str(tmp_path / "cat"), "catalogue_columns": ["n", "a", "c", "o"]}
+    state = Pipeline(spark, "run", str(tmp_path / "out"), DEFAULT_STAGES, config).run()
+    assert [s.rows for s in state.stages] == [3, 3, 2, 4]
+    merged = {r.name: (r.ident, r.is_hazard, r.threshold, r.n_rows) for r in spark.read.parquet(state.stages[2].output).collect()}
+    assert merged == {"甲苯": ("108-88-3", "否", None, 2), "氯苯": (None, "是", "98%", 1)}
+    assert ("石油", "甲苯_生产工艺", "参与") in {tuple(r) for r in spark.read.parquet(state.stages[3].output).collect()}
+
+
+def test_imports_are_logged(spark, tmp_path):
+    from quarrymill.streaming.imports import import_file, import_log, import_statistics
+
+    good, bad = tmp_path / "a.csv", tmp_path / "b.csv"
+    good.write_text("品名,CAS号\n甲苯,108-88-3\n,1\n", encoding="utf-8")
+    bad.write_text("x,y\n1,2\n", encoding="utf-8")
+    folder = str(tmp_path / "out")
+    assert [r["中文名称"] for r in import_file(spark, str(good), folder).collect()] == ["甲苯"]
+    assert import_file(spark, str(bad), folder) is None and import_file(spark, str(tmp_path / "none.csv"), folder) is None
+    stats = import_statistics(import_log(spark, folder)).collect()
+    assert [tuple(r) for r in stats] == [("csv", 3, 1, 1, 1)]
+    written = next((tmp_path / "out" / "processed").glob("*/part-*.csv")).read_bytes()
+    assert written.startswith(b"\xef\xbb\xbf") and len(list((tmp_path / "out" / "failed").glob("*.txt"))) == 2
