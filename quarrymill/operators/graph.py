@@ -86,7 +86,9 @@ def upstream_materials(texts: DataFrame, key: str, text: str, product: str, know
     Every name is one that a node may have; the product itself is none.
     """
     slim = texts.select(F.col(key).alias("key"), F.trim(F.col(product)).alias("product"), remove_producers(F.col(text).cast("string")).alias("text"))
-    stated = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in V.MATERIAL_PATTERNS]))
+    none = F.array().cast("array<string>")
+    lists = [F.when(F.col("text").rlike(cue), F.regexp_extract_all("text", F.lit(p), F.lit(1))).otherwise(none) for p, cue in V.MATERIAL_PATTERNS]
+    stated = F.flatten(F.array(*lists))
     named = slim.select("key", "product", F.explode(stated).alias("list")).select("key", "product", F.explode(smart_split(F.col("list"))).alias("name"))
     bare = cut_affixes(F.trim("name"), V.MATERIAL_PREFIXES, V.MATERIAL_SUFFIXES)
     clean = named.select("key", "product", clean_node_name(bare, V.CONNECTIVES).alias("material"))

@@ -142,20 +142,21 @@ LIST_SUFFIXES = ["等", "类", "制得", "制备", "制成", "生产", "合成",
 PRODUCER_WORDS = ["主要生产商", "生产商", "生厂商", "制造商", "生产企业", "制造企业"]
 ORGANISATION_WORDS = ["公司", "企业", "厂", "集团"]
 
-# Phrases that state what a substance is made from, in order; the group is the list of materials.
+# Phrases that state what a substance is made from, in order; the group is the list of materials. Beside each what a
+# text must hold for it, so that a phrase is looked for only where it can be. Lists may hold 、.
 MATERIAL_PATTERNS = [
-    "上游原料[：:]?\\s*包括\\s*([^。；;]+)",
-    "原料(?:包括)?[：:]\\s*([^。；;]+)",
-    "以\\s*([^为]+?)\\s*为原料",
-    "由\\s*([^制]+?)\\s*(?:制得|制成|制备)",
-    "从\\s*([^中]+?)\\s*中(?:提取|分离|得到)",
-    "([^。；;，,]+?)\\s*(?:裂解|氧化|分解)(?:得到|制得|产生)",
-    "原料.*?包括\\s*([^。；;]+)",
-    "主要原料[：:]?\\s*([^。；;]+)",
-    "所需原料[：:]?\\s*([^。；;]+)",
-    "以\\s*([^。；;，,]*(?:、[^。；;，,]*)*)\\s*(?:等\\s*)?(?:化学品|原料|物质)",
-    "使用\\s*([^。；;，,]*(?:、[^。；;，,]*)*)\\s*(?:等\\s*)?(?:作为|为)\\s*原料",
-    "从\\s*([^。；;，,]*(?:、[^。；;，,]*)*)\\s*(?:等\\s*)?中",
+    ("上游原料[：:]?\\s*包括\\s*([^。；;]+)", "上游原料"),
+    ("原料(?:包括)?[：:]\\s*([^。；;]+)", "原料(?:包括)?[：:]"),
+    ("以\\s*([^为]+?)\\s*为原料", "为原料"),
+    ("由\\s*([^制]+?)\\s*(?:制得|制成|制备)", "制得|制成|制备"),
+    ("从\\s*([^中]+?)\\s*中(?:提取|分离|得到)", "中(?:提取|分离|得到)"),
+    ("([^。；;，,]+?)\\s*(?:裂解|氧化|分解)(?:得到|制得|产生)", "(?:裂解|氧化|分解)(?:得到|制得|产生)"),
+    ("原料.*?包括\\s*([^。；;]+)", "原料.*?包括"),
+    ("主要原料[：:]?\\s*([^。；;]+)", "主要原料"),
+    ("所需原料[：:]?\\s*([^。；;]+)", "所需原料"),
+    ("以\\s*([^。；;，,]*)\\s*(?:等\\s*)?(?:化学品|原料|物质)", "化学品|原料|物质"),
+    ("使用\\s*([^。；;，,]*)\\s*(?:等\\s*)?(?:作为|为)\\s*原料", "(?:作为|为)\\s*原料"),
+    ("从\\s*([^。；;，,]*)\\s*(?:等\\s*)?中", "从"),
 ]
 # What is cut from either end of a material, and characters of actions, which no new material may have.
 MATERIAL_PREFIXES = ["通过", "经过", "利用", "使用", "主要", "从", "由"]
