@@ -71,8 +71,8 @@ def unique_names(names: Sequence[str]) -> list[str]:
     return out
 
 
-def read_delimited(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None) -> DataFrame:
-    """A delimited file with header as strings: blanks stay blank, short rows are filled up, rows that are too long are left out."""
+def _with_spare(spark: SparkSession, path: str, encoding: str | None, separator: str | None, breaks: bool) -> DataFrame:
+    """All rows of a delimited file; what goes beyond the header's columns begins in ``__spare``."""
     encoding = encoding or file_encoding(path)
     head = _head_line(path, encoding)
     separator = separator or probe_separator(head)
@@ -81,9 +81,24 @@ def read_delimited(spark: SparkSession, path: str, encoding: str | None = None,
     if encoding not in ("UTF-8", "ISO-8859-1", "UTF-16LE", "UTF-16BE"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     read = spark.read.schema(schema).options(
-        header=True, multiLine=True, encoding=encoding, sep=separator, ignoreLeadingWhiteSpace=True, mode="PERMISSIVE", escape='"', enforceSchema=True
+        header=True, multiLine=breaks, encoding=encoding, sep=separator, ignoreLeadingWhiteSpace=True, mode="PERMISSIVE", escape='"', enforceSchema=True
     )
-    return read.csv(path).where(F.col("__spare").isNull()).drop("__spare").na.fill("")
+    return read.csv(path)
+
+
+def read_delimited(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None, breaks: bool = True) -> DataFrame:
+    """A delimited file with header as strings: blanks stay blank, short rows are filled up, rows that are too long are left out
+    (``too_long_rows`` has them).
+
+    ``breaks``: quoted fields may hold line breaks; a file is then read by one task. Without them large files are split.
+    """
+    return _with_spare(spark, path, encoding, separator, breaks).where(F.col("__spare").isNull()).drop("__spare").na.fill("")
+
+
+def too_long_rows(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None, breaks: bool = True) -> DataFrame:
+    """``fields, reason`` of the rows with more fields than the header: those of the header and the first beyond them."""
+    rows = _with_spare(spark, path, encoding, separator, breaks).where(F.col("__spare").isNotNull())
+    return rows.select(F.array(*[F.col(f"`{c}`") for c in rows.columns]).alias("fields"), F.lit("too many fields").alias("reason"))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

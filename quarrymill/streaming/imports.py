@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarrymill.operators.validate import schema_problems
 from quarrymill.session import write_text
 from quarrymill.sources.columns import STANDARD, drop_unnamed, standardise
-from quarrymill.sources.readers import load
+from quarrymill.sources.readers import load, too_long_rows
 from quarrymill.sources.sinks import write_batches
 
 LOG_ENTRIES = 1000
@@ -30,7 +30,7 @@ def import_file(
 ) -> DataFrame | None:
     """The records of a file under standard names, also saved below ``folder``; None if it can't be imported.
 
-    Rows without a value in a required column are dropped and counted. Failures leave a note, and every file a log entry.
+    Rows without a value in a required column and rows with too many fields are dropped and counted. Failures leave a note, and every file a log entry.
     """
     at = at or datetime.now(timezone.utc)
     kind = os.path.splitext(path)[1].lstrip(".").lower()
@@ -40,12 +40,12 @@ def import_file(
         if missing:
             raise ValueError(f"missing columns: {', '.join(missing)}")
         bare = [F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for c in required]
-        kept = df.where(" and ".join(["true"])) if not bare else df
+        kept = df
         for value in bare:
             kept = kept.where((value != "") & (F.lower(value) != "nan"))
         output = f"{folder}/processed/{stamped(path, kind, at)}"
         write_batches(kept, output, mark=True)
-        records, every = kept.count(), df.count()
+        records, every = kept.count(), df.count() + (too_long_rows(spark, path).count() if kind in ("csv", "tsv") else 0)
         _log(spark, folder, (at, path, output, kind, records, every - records, True, None))
         return kept
     except Exception as error:  # noqa: BLE001 - a bad file must not stop the others

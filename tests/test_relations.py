@@ -143,15 +143,17 @@ def test_whole_run(spark, tmp_path, small):
 
 
 def test_imports_are_logged(spark, tmp_path):
+    from quarrymill.sources.readers import too_long_rows
     from quarrymill.streaming.imports import import_file, import_log, import_statistics
 
     good, bad = tmp_path / "a.csv", tmp_path / "b.csv"
-    good.write_text("品名,CAS号\n甲苯,108-88-3\n,1\n", encoding="utf-8")
+    good.write_text("品名,CAS号\n甲苯,108-88-3\n,1\nx,y,z\n", encoding="utf-8")
     bad.write_text("x,y\n1,2\n", encoding="utf-8")
     folder = str(tmp_path / "out")
     assert [r["中文名称"] for r in import_file(spark, str(good), folder).collect()] == ["甲苯"]
     assert import_file(spark, str(bad), folder) is None and import_file(spark, str(tmp_path / "none.csv"), folder) is None
     stats = import_statistics(import_log(spark, folder)).collect()
-    assert [tuple(r) for r in stats] == [("csv", 3, 1, 1, 1)]
+    assert [tuple(r) for r in stats] == [("csv", 3, 1, 1, 2)]
+    assert [r.fields for r in too_long_rows(spark, str(good)).collect()] == [["x", "y", "z"]]
     written = next((tmp_path / "out" / "processed").glob("*/part-*.csv")).read_bytes()
     assert written.startswith(b"\xef\xbb\xbf") and len(list((tmp_path / "out" / "failed").glob("*.txt"))) == 2
