@@ -41,22 +41,26 @@ def unexpired(df: DataFrame, stamp: str, seconds: int, now: Column) -> DataFrame
     return df.where(F.col(stamp) + F.make_interval(secs=F.lit(seconds)) >= now)
 
 
-def missing_numbers(df: DataFrame, number: str, block: int = 1_000_000) -> DataFrame:
-    """Integers between the least and the greatest that do not occur.
+def missing_numbers(df: DataFrame, number: str, bits: int = 13, blocks: int = 1024) -> DataFrame:
+    """Integers between the least and the greatest that do not occur; those two are found at once, by a job of its own.
 
-    Numbers are sorted within blocks of ``block``; the first of a block knows the last of the block before it from a
-    table of one row per block. A gap is a row until the end, and a long one is cut into pieces of ``block`` numbers,
-    so no task holds a range whole.
+    The range is cut into blocks of 2 ** ``bits`` numbers. A block is a row until the end, dealt to tasks of about
+    ``blocks`` blocks and joined with the numbers that occur in it. Spark gathers all that a row is exploded to, by all
+    generators of a stage, before it passes any of it on: so there is one generator, behind the exchange, and a task
+    holds the numbers of one block at a time, however wide a gap is.
     """
-    from pyspark.sql import Window as W
-
-    known = df.where(F.col(number).isNotNull()).select(F.col(number).cast("long").alias("n")).distinct().withColumn("b", F.floor(F.col("n") / block))
-    ends = known.groupBy("b").agg(F.max("n").alias("last"))
-    before = ends.select("b", F.lag("last").over(W.partitionBy(F.lit(0)).orderBy("b")).alias("last"))
-    previous = F.coalesce(F.lag("n").over(W.partitionBy("b").orderBy("n")), F.col("last"))
-    gaps = known.join(before, "b").select(previous.alias("a"), F.col("n").alias("z")).where(F.col("z") - F.col("a") > 1)
-    pieces = gaps.select(F.explode(F.sequence(F.col("a") + 1, F.col("z") - 1, F.lit(block).cast("long"))).alias("a"), "z")
-    every = pieces.select(F.explode(F.sequence(F.col("a"), F.least(F.col("a") + block - 1, F.col("z") - 1))).alias(number))
+    n = F.col(number).cast("long")
+    least, greatest = df.agg(F.min(n), F.max(n)).first()
+    if least is None:
+        return df.select(number).limit(0)
+    first, last = least >> bits, greatest >> bits
+    parts = min((last - first) // blocks + 1, 10_000)
+    known = df.where(F.col(number).isNotNull()).groupBy(F.shiftright(n, bits).alias("b")).agg(F.collect_set(n).alias("known"))
+    cut = df.sparkSession.range(first, last + 1).select(F.col("id").alias("b")).repartition(parts, "b")
+    begin = F.shiftleft("b", bits)
+    whole = F.sequence(F.greatest(begin, F.lit(least).cast("long")), F.least(begin + ((1 << bits) - 1), F.lit(greatest).cast("long")))
+    free = F.when(F.col("known").isNull(), whole).otherwise(F.array_except(whole, "known"))
+    every = cut.join(known, "b", "left").select(F.explode(free).alias(number))
     return every.select(F.col(number).cast(df.schema[number].dataType).alias(number))
 
 

@@ -1,6 +1,9 @@
 """Materials, containment, groups, key assignment, restarts and limits, on small fixtures."""
 
+import os
 import random
+import subprocess
+import sys
 
 import quarrymill.operators.graph as G
 from quarrymill.functions.assign import assign_keys, assign_loosely, key_score
@@ -85,6 +88,29 @@ def test_missing_numbers_of_a_wide_range(spark):
     assert missing_numbers(ids.limit(0), "n").count() == 0
 
 
+def test_missing_numbers_against_brute_force(spark):
+    far, edge = random.Random(3), 2**63 - 1
+    for kind, known in (("long", far.sample(range(-9000, 9000), 6000)), ("int", [-(2**31), 9 - 2**31]), ("long", [edge, edge - 9000, None]), ("long", [-edge - 1, 9000 - edge])):
+        ids = [n for n in known if n is not None]
+        found = missing_numbers(spark.createDataFrame([(n,) for n in known], f"n {kind}"), "n")
+        assert found.dtypes == [("n", {"long": "bigint"}.get(kind, kind))]
+        assert sorted(n for (n,) in found.collect()) == sorted(set(range(min(ids), max(ids) + 1)) - set(ids))
+
+
+def test_a_wide_gap_needs_little_memory(spark):
+    """Rows that leave a stage one by one, as in a write, in a session of its own: none piles up the numbers of a gap."""
+    code = """
+from quarrymill.operators.tables import missing_numbers
+from quarrymill.session import local_session
+spark = local_session(cores=2, memory="600m")
+found = missing_numbers(spark.createDataFrame([(1,), (12_000_000,)], "n long"), "n")
+found.write.format("noop").mode("overwrite").save()
+assert found.rdd.getNumPartitions() > 1
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=600)
+
+
 def test_restart_takes_later_stages_along(spark, tmp_path):
     size = {"n": 1}
     stages = [("one", lambda df, c, s: s.range(size["n"])), ("two", lambda df, c, s: df)]
